@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, line_quality, near_dedup, packing, toxicity, url_rules
-from millrace.session import read_table
+from millrace.llm import decontaminate, licenses, line_quality, near_dedup, packing, pii, token_counts, toxicity, url_rules, warc
+from millrace.session import read_table, shared_dir
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 #: Host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -34,6 +39,16 @@ FROM p LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path,
 """
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates; the default is for tests."""
+    return spark.conf.get("spark.millrace.pii.key", "not a secret")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii_key(spark))
+    return found.select("doc_id", "text", *(F.col(f"pii_found.{k}").alias(f"n_{k}") for k in pii.PATTERNS))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(read_table(spark, sf_dir, "documents"), width=4)
 
@@ -48,6 +63,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, place = read_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(pages, place)
+    back = warc.read(spark, place, with_payload=False)
+    kind = pages.schema["page_id"].dataType
+    return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -58,12 +90,15 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_url_rules": op3_url_rules,
+    "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_licenses": op9_licenses,
     "op10_line_quality": op10_line_quality,
 }
 
-ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op8_warc": OP8_SQL}

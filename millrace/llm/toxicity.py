@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm._text import row_type, slices, utf8
 
@@ -168,12 +170,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, schema: pa.Schema) -
             yield pa.RecordBatch.from_arrays([pa.array(scores), *(batch.column(c)[lo:hi] for c in batch.schema.names)], schema=schema)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a first column `score`; a column of that name in `docs` gives way."""
-    docs = docs.drop("score")
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kind = T.StructType([T.StructField("score", T.DoubleType()), *docs.schema.fields])
+def score(docs: DataFrame, model: Model, *, into: str = "score") -> DataFrame:
+    """`docs` with a first column `into`; a column of that name in `docs` gives way."""
+    docs = docs.drop(into)
+    kind = T.StructType([T.StructField(into, T.DoubleType()), *docs.schema.fields])
     arrow = to_arrow_schema(kind)
     return docs.mapInArrow(lambda it: _score(it, model, arrow), kind)
