@@ -1,0 +1,360 @@
+"""Each operator against a plain version of it on small tables with nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, licenses, line_quality, near_dedup, packing, pii, queries, token_counts, toxicity, url_rules, warc
+from millrace.session import read_table
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    (1000, None), (1001, ""), (1002, " \n\t "), (1003, "one"), (1004, "one"), (1005, "one two three"), (1006, "word " * 3000),
+    (1007, "Zero\x00byte and 0 and 1980 \u00a0 non\u2003break ﬁ É é Σ ΑΣ don't ,'s <|endoftext|>"), (1007, "repeated id"), (1007, "repeated id"), (None, "no id here at all"),
+    (1008, "a b c d\n" * 40), (1009, "MIT License mit license. Apache\nLicense; GNU General Public License, general public licenses"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    odd = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("source", F.when(F.col("doc_id") > 1005, "odd"))
+    odd = odd.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as bigint) as n_chars", "1 as uid", "2 as key", "3 as n", "4 as ids", "'x' as score", "5 as hash", "6 as rest")
+    return read_table(spark, small, "documents").unionByName(odd, allowMissingColumns=True).cache()
+
+
+def texts(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def empty(docs):
+    return docs.limit(0)
+
+
+@pytest.mark.parametrize("targets", [None, {"src0": 2.0, "src1": 1.0, "odd": 1.0, "missing": 3.0}])
+def test_packing_places_each_token_once(docs, targets):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    rows = packing.pack(docs, TOKENIZER, targets=targets).collect()
+    expected = Counter((d, zlib.crc32(ids := struct.pack(f"<{len(i)}I", *i)), len(ids) // 4) for d, t in texts(docs) for i in [tokenizer.encode(t, add_special_tokens=False).ids + [1]])
+    by_id = defaultdict(list)
+    for d, t in texts(docs):
+        by_id[d].append(tokenizer.encode(t, add_special_tokens=False).ids + [1])
+    covered = Counter()
+    for r in rows:
+        fits = [i for i in by_id[r["doc_id"]] if len(i) == r["doc_tokens"] and zlib.crc32(struct.pack(f"<{r['length']}I", *i[r["start"] : r["start"] + r["length"]])) == r["ids_crc32"]]
+        assert fits, r
+        covered[r["doc_id"]] += r["length"]
+    assert covered == Counter({d: sum(map(len, v)) for d, v in by_id.items()}) and sum(expected.values()) == docs.count()
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s, found in places.items():
+        at = 0
+        for offset, n in sorted(found):
+            assert offset == at
+            at += n
+        assert at == 2048 or s == max(places)
+    assert packing.pack(empty(docs), TOKENIZER).count() == 0
+
+
+def test_packing_keeps_the_mixture(docs):
+    rows = packing.pack(docs, TOKENIZER).collect()
+    tokens, last = Counter(), max(r["sequence_id"] for r in rows)
+    for r in rows:
+        tokens[r["source"]] += r["length"]
+    for s in range(last):
+        own = Counter()
+        for r in rows:
+            if r["sequence_id"] == s:
+                own[r["source"]] += r["length"]
+        for source, n in tokens.items():
+            share = n / sum(tokens.values())
+            assert share < 2 / 2048 or abs(own[source] - 2048 * share) <= 2
+
+
+def test_phases_are_gapless():
+    rng = random.Random(5)
+    for _ in range(60):
+        sizes = [rng.choice([0, 1, 5, 300, 5000, 70_000]) for _ in range(rng.randint(1, 9))]
+        for targets in (None, [rng.choice([0.0, 0.001, 1.0, 3.0]) for _ in sizes]):
+            seen = []
+            for q, n in enumerate(sizes):
+                got, at = [], 0
+                while at < n:  # documents of any size
+                    step = min(n - at, rng.choice([1, 70, 3000]))
+                    got += [p for phase in packing.plan_phases(sizes, targets, 2048) for p in phase.pieces(q, at, at + step)] if n < 1000 else []
+                    at += step
+                got = got or [p for phase in packing.plan_phases(sizes, targets, 2048) for p in phase.pieces(q, 0, n)]
+                assert sum(p[1] for p in got) == n
+                seen += [(s, k) for _, k, s in got]
+            at = 0
+            for s, k in sorted(seen):
+                assert s == at, (sizes, targets)
+                at += k
+            assert at == sum(sizes)
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(docs, rule):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode, _ = token_counts.encoder(path, public_tokenizers.PATTERN)
+    rows = token_counts.attribute(docs.where("doc_id <> 1007"), path, public_tokenizers.PATTERN, rule=rule).collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r["doc_id"]].append(r)
+    for d, t in texts(docs.where("doc_id <> 1007")):
+        own = sorted(found[d], key=lambda r: r["section"])
+        lines = re.findall(r"[^\n]*\n|[^\n]+$", t) or [""]
+        assert "".join(t[r["begin"] : r["end"]] for r in own) == t and [r["end"] - r["begin"] for r in own] == [len(x) for x in lines]
+        raw, at, expected = [encode.decode_single_token_bytes(x) for x in encode.encode_ordinary(t)], 0, Counter()
+        owner = [i for i, x in enumerate(lines) for _ in x.encode()]
+        first = [c & 0xC0 != 0x80 for c in t.encode()]
+        for b in raw:
+            parts = Counter()
+            for i in range(at, at + len(b)):
+                parts[owner[i]] += first[i]
+            if len(parts) == 1 or not sum(parts.values()) or rule == "first":
+                expected[owner[at]] += 1
+            elif rule == "majority":
+                expected[max(parts, key=lambda s: (parts[s], -s))] += 1
+            else:
+                for s, n in parts.items():
+                    expected[s] += n / sum(parts.values())
+            at += len(b)
+        assert [r["n_tokens"] for r in own] == pytest.approx([expected[i] for i in range(len(lines))])
+    assert token_counts.attribute(empty(docs), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_url_rules(spark):
+    rng = random.Random(1)
+    hosts = ["org", "example.org", "m.example.org", "a.b.example.org", "com", "x.com", "notexample.org", "", "EXAMPLE.Org", "example.org:80", "a..com"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/es', '/es/', '/en/1', '/en/12?x=1', '/en/2#t', '?q', '#f/es/', '/fr/a/../b'])}" for _ in range(400)] + [None, "", "no scheme", "://", "a://b://c/es/"]
+    urls += ["https://example.org/en/1"] * 300
+    pages = spark.createDataFrame([(i % 690, u, 1) for i, u in enumerate(urls)], "page_id long, url string, key int")
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("example.org", "/en/1", "allow"), ("com", "", "block"), ("x.com", "/fr", "allow"), ("b.example.org", "/", "block")]
+    got = url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), ranges=12).collect()
+
+    def judge(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        best = max(fits, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "block"), default=None)
+        return host, path, best and best[0] + best[1], best[2] if best else "allow"
+
+    assert Counter((r["page_id"], *r[1:]) for r in got) == Counter((i % 690, *judge(u)) for i, u in enumerate(urls))
+    assert url_rules.judge(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+
+
+def test_pii_keeps_identity_and_format(spark):
+    rng = random.Random(2)
+    mails = [f"{a}.{b:02d}@mail{c}.example.com" for a in ("ab", "of", "the") for b in range(30) for c in range(2)]
+    rows = [(i, f"write {rng.choice(mails)} or {rng.choice(mails).upper()}; card 4539578763621486, call +1 (017) 555-{rng.randint(1000, 1020)}.", i) for i in range(300)]
+    rows += [(1000, None, 0), (1001, "", 0), (1002, "nothing to see, 12 of 345", 0), (1002, "nothing to see, 12 of 345", 0), (1003, "Mr. John Smith met Mrs. Anna Smith. Mr. Smith left; Г-жа Анна Иванова", 0), (None, "x@y.org", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid long")
+    out = pii.replace(docs, key="k").collect()
+    assert sorted(map(str, ((r["doc_id"], r["uid"]) for r in out))) == sorted(map(str, ((r[0], r[2]) for r in rows)))
+    made, before = {r["doc_id"]: r["text"] for r in out}, {r[0]: r[1] for r in rows}
+    for k in (1000, 1001, 1002):
+        assert made[k] == before[k]
+    pair, mail = {}, re.compile(r"[\w.]+@[\w.]+", re.I)
+    for i in range(300):
+        for a, b in zip(mail.findall(before[i]), mail.findall(made[i]), strict=True):
+            assert pair.setdefault(a.lower(), b.lower()) == b.lower() and len(a) == len(b) and a.isupper() == b.isupper()
+        assert "555" not in made[i] or before[i] != made[i]
+    assert len(set(pair.values())) == len(pair) and not set(pair) & set(pair.values())
+    cards = {re.search(r"card (\d{16}),", made[i])[1] for i in range(300)}
+    digits = [int(c) for c in cards.pop()]
+    assert not cards and sum(sum(divmod(2 * d, 10)) if k % 2 == 0 else d for k, d in enumerate(digits)) % 10 == 0
+    names = re.match(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. Mr\. (\w+) left; Г-жа (\w+) (\w+)", made[1003])
+    assert names[2] == names[4] == names[5] and names[1] in pii.FIRST["latin", "m"] and names[3] in pii.FIRST["latin", "f"] and names[6] in pii.FIRST["cyrillic", "f"]
+    assert {r["text"] for r in pii.replace(docs, key="k").collect()} == {r["text"] for r in out} != {r["text"] for r in pii.replace(docs, key="other").collect()}
+    assert pii.replace(docs.limit(0), key="k").count() == 0
+
+
+def plain_shingles(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates(spark, docs, width):
+    rng = random.Random(width)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(60)]
+    made = []
+    for i in range(120):  # one large group, of which many pairs are just below or above the threshold
+        own = list(base)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        made.append((2000 + i, " ".join(own)))
+    common = [rng.choice(words) for _ in range(25)]
+    made += [(3000 + i, " ".join(common + [rng.choice(words) for _ in range(20)])) for i in range(120)]
+    all_docs = docs.select("doc_id", "text").where("doc_id <> 1007 or doc_id is null").union(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in near_dedup.link(all_docs, width=width).collect()}
+    sets = {d: plain_shingles(t, width) for d, t in texts(all_docs)}
+    parent = {d: d for d in sets if d is not None}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(d for d in parent if sets[d])
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 80 * max(len(sets[a]), len(sets[b])) <= 100 * min(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    for d in parent:
+        r = rows[d]
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[d]), root(d), root(d) == d), d
+    assert rows[None]["component_id"] is None and not rows[None]["kept"]
+    assert near_dedup.link(all_docs.limit(0)).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (201, 200), (200, 201)]
+    key = lambda i: bytes([i])
+    got = {r["key"][0]: r["component"][0] for r in near_dedup.components(spark.createDataFrame([(bytearray(key(a)), bytearray(key(b))) for a, b in edges], "a binary, b binary")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_decontamination(spark, small, docs, blocks, monkeypatch):
+    items = [(r["item_id"], r["text"] or "") for r in read_table(spark, small, "benchmark").collect()] + [(900, ""), (901, "mit license"), (902, "A b c d a B c d a b c, d!"), (903, "one two three"), (904, "One, two-three"), (905, None)]
+    if blocks:
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
+    got = decontaminate.digest(decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string"))).collect()
+    windows = defaultdict(set)
+    for i, t in items:
+        w = plain_words(t or "")
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    lengths = {len(w) for w in windows}
+    expected = Counter()
+    for d, t in texts(docs):
+        words, hit, found = plain_words(t), set(), set()
+        for n in lengths:
+            for k in range(len(words) - n + 1):
+                if own := windows.get(tuple(words[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    found |= own
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        expected[d, len(words), len(hit), len(found), digest, bool(hit)] += 1
+    assert Counter(tuple(r[:6]) for r in got) == expected
+    assert decontaminate.find(empty(docs), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert decontaminate.digest(decontaminate.find(docs, spark.createDataFrame([], "item_id long, text string"))).where("contaminated").count() == 0
+
+
+def test_proximity(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    near = item.replace("delta", "delta very").replace("iota", "other")
+    found = decontaminate.find(spark.createDataFrame([(1, f"x y {near} z"), (2, f"q {item}"), (3, "alpha beta gamma nothing else here iota iota iota")], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["items"], r["near_items"]) for r in found} == {1: ([], ["7"]), 2: (["7"], []), 3: ([], [])}
+
+
+def test_toxicity_is_learned_from_other_rows(spark):
+    medium = "/root/testdata/sf0.1"
+    docs, labels = read_table(spark, medium, "documents").where("doc_id < 6000"), read_table(spark, medium, "labels").where("doc_id < 6000")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(toxicity.held_out("doc_id")).select("score", "toxic").collect()
+    hit, miss = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
+    auc = sum((h > m) + (h == m) / 2 for h in hit for m in miss) / len(hit) / len(miss)
+    assert auc > 0.9 and sum(m >= 0.5 for m in miss) < 0.02 * len(miss)
+
+
+def test_toxicity_folds_and_exempts(spark):
+    model = toxicity.Model({"idiot": 5.0, "trash": 4.0}, (-3.0, 1.0, 0.0, 0.0, 0.0))
+    matcher = toxicity.Matcher(model)
+    assert [matcher.features(toxicity.fold(t))[3] for t in ("You ID10T!", "id\u0456ot", "IDIOT idiot", "idiotic", "a trash can", "trash, can you", "trash trash can", "")] == [1, 1, 1, 0, 0, 0, 1, 0]
+    odd = spark.createDataFrame(ODD, "doc_id long, text string")
+    assert toxicity.score(odd, toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))).count() == len(ODD)
+    assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rng = random.Random(3)
+    long = "".join(rng.choice("aé漢\r\n😀 <p>") for _ in range(200_000))
+    html = [None, "", "short", "short", "x" * 99, "x" * 99, "y" * 100, "y" * 100, "y" * 100, long, long, "é" * 60, "WARC/1.1\r\n\r\n" * 30, "0\r\n\r\n" * 5000]
+    pages = spark.createDataFrame([(i, None if i == 3 else f"http://a.b/{i}\r\nX: y", h) for i, h in enumerate(html)] + [(6, "again", "y" * 100), (None, "no id", "z" * 200)], "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w")
+    got = sorted((r for r in warc.read(spark, f"file://{tmp_path}/w").collect()), key=lambda r: int(r["page_id"] or 99))
+    first = {}
+    for i, h in enumerate(html):
+        if len((h or "").encode()) >= 100:
+            first.setdefault(h, i)
+    for r in got:
+        if r["page_id"] is None:
+            assert r["payload"] == b"z" * 200
+            continue
+        i = int(r["page_id"])
+        raw = (html[i] or "").encode()
+        revisit = first.get(html[i], i) != i
+        assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", str(first[html[i]]) if revisit else None)
+        assert r["payload"] == (None if revisit else raw)
+    assert len(got) == len(html) + 2
+    with pytest.raises(ValueError):
+        warc._page([("o", 1, None, "response", "1", None, "sha256:", None, b"a\r\n\r\n0\r\n\r\n"), ("o", 3, 9, "continuation", None, None, None, None, b"b")])
+
+
+def test_licenses(spark, docs):
+    rows = licenses.scan(docs).collect()
+    expected = Counter()
+    for d, t in texts(docs):
+        words = plain_words(t)
+        places = [(k, label) for phrase, label in licenses.PHRASES for p in [phrase.split()] for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+        at = [k for k, _ in places]
+        expected[d, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) for r in rows) == expected
+    for r in rows:
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert licenses.scan(empty(docs)).count() == 0
+    text = "x " * 50 + licenses.TEMPLATES[4][0].replace("binary forms", "any binary forms").replace("with or without", "with")
+    (row,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["labels"] == "bsd" and row["base_labels"] == "" and 0.6 <= row["score"] < 1
+
+
+def test_line_quality(docs):
+    by = defaultdict(list)
+    for r in line_quality.judge(docs).collect():
+        by[r["doc_id"]].append(r)
+    for d, t in texts(docs):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        hit = {i + j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(3)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+        expected = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit), failed)
+        assert expected in [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in by[d]], d
+        assert all(not r["kept"] for r in by[d] if r["base_failed"])
+    assert line_quality.judge(empty(docs)).count() == 0
+
+
+def test_line_rules():
+    assert [line_quality.line_fails(x) for x in ("Plain words that end with a stop.", "", "1234 - 56", "a*** b%%% c### d.", "Home | News | Sport | More", "Click here to go on", "THIS IS ALL IN CAPITAL LETTERS.", "la " * 30 + "end.")] == [None, None, "letters", "symbols", "navigation", "boilerplate", "shouting", "monotony"]
+
+
+def test_every_operator_is_registered():
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
