@@ -18,7 +18,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,52 +26,99 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._text import row_type, slices, utf8
+from millrace.llm._text import IS_SPACED, SPACED, Words, row_type, words_of
 from millrace.session import materialize
 
 WINDOW = 2048
 #: Words a worker remembers with their ids; what it has not seen lately is encoded again.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 
 
 class WordEncoder:
     """Encodes texts word by word through one of the `tokenizers` files.
 
-    Exact for tokenizers whose pre-tokens never span ASCII white space and drop it: a text's ids are
-    then its words' ids in order.
+    Exact for tokenizers that lower-case, drop white space and never make a token over it: a text's ids are
+    then its words' ids in order. Words that were seen lately are looked up by their hashes; new ones are
+    encoded many at a time, kept apart by the word "0" (words that hold a 0 are encoded alone).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.seen: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes], end: int) -> list[bytes]:
-        split, seen, last = [t.split() for t in texts], self.seen, array(self.code, [end]).tobytes()
-        words = set().union(*split)
-        new = list(words - seen.keys())
-        if len(seen) + len(new) > CACHED_WORDS:
-            self.seen = seen = {w: seen[w] for w in words if w in seen}
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                seen[w] = array(self.code, e.ids).tobytes()
-        return [b"".join([*map(seen.__getitem__, ws), last]) for ws in split]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        (self.apart,) = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.known, self.begin, self.size, self.used, self.clock = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.ids = np.zeros(0, self.kind)
+
+    def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
+        texts = [w.decode() for w in words]
+        alone = [i for i, t in enumerate(texts) if "0" in t]
+        some = [i for i, t in enumerate(texts) if "0" not in t]
+        out: list = [None] * len(words)
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.kind)
+        for lo in range(0, len(some), 1000):
+            part = some[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(ids == self.apart)
+            if len(cut) != len(part) - 1:
+                raise ValueError("this tokenizer does not keep words apart")
+            for i, a, b in zip(part, [0, *(cut + 1)], [*cut, len(ids)], strict=True):
+                out[i] = ids[a:b]
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        new = self._encoded(words)
+        if len(self.known) + len(new) > CACHED_WORDS:  # what the last slices have not used goes
+            keep = np.flatnonzero(self.used >= self.clock - 4)
+            size = self.size[keep]
+            self.ids = self.ids[np.arange(size.sum()) + np.repeat(self.begin[keep] - (np.cumsum(size) - size), size)]
+            self.known, self.used, self.size, self.begin = self.known[keep], self.used[keep], size, np.cumsum(size) - size
+        size = np.array([len(x) for x in new], np.int64)
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *new])
+        at = np.searchsorted(self.known, hashes)  # both are sorted
+        self.known, self.begin, self.size = np.insert(self.known, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.used = np.insert(self.used, at, self.clock)
+
+    def __call__(self, words: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a slice's documents in a row, each document's followed by `end`, and how many each has."""
+        self.clock += 1
+        distinct, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        new = np.arange(len(distinct))
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+            new = np.flatnonzero(self.known[at] != distinct)
+            self.used[at] = self.clock
+        if len(new):
+            self._learn(distinct[new], [words.data[words.start[i] : words.end[i]].tobytes() for i in first[new]])
+        at = np.searchsorted(self.known, distinct)
+        size = self.size[at][back]
+        ends = np.cumsum(size)
+        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[at][back] - (ends - size), size)]
+        upto = np.concatenate([[0], ends])[words.first[1:]]
+        return np.insert(ids, upto, end), np.diff(np.concatenate([[0], upto])) + 1
+
+
+#: A worker's encoders; their words serve the next task too.
+_encoders: dict[str, WordEncoder] = {}
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, part, spent = WordEncoder(path), TaskContext.get().partitionId(), {}
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    encoder, part, spent = _encoders[path], TaskContext.get().partitionId(), {}
     for batch in batches:
-        at, data = utf8(batch.column("text"))
-        for lo, hi in slices(at):
-            ids = encoder([data[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)], end)
-            sources, wide, before = batch.column("source")[lo:hi].to_pylist(), array(encoder.code).itemsize, []
-            for s, x in zip(sources, ids, strict=True):
+        for lo, hi, words in words_of(batch.column("text"), IS_SPACED, SPACED):
+            ids, n = encoder(words, end)
+            before = []
+            for s, k in zip(batch.column("source")[lo:hi].to_pylist(), n.tolist(), strict=True):
                 before.append(spent.get(s, 0))
-                spent[s] = before[-1] + len(x) // wide
-            yield pa.RecordBatch.from_arrays([pa.array([part] * (hi - lo), pa.int32()), batch.column("source")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(before, pa.int64()), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+                spent[s] = before[-1] + k
+            offsets = np.concatenate([[0], np.cumsum(n) * encoder.kind.itemsize]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * (hi - lo), pa.int32()), batch.column("source")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(before, pa.int64()), pa.array(n, pa.int64()), packed], schema=schema)
 
 
 class Phase:
@@ -205,5 +251,5 @@ def pack(docs: DataFrame, tokenizer: str, *, end_token: int = 1, window: int = W
 
     placed = tokens.join(at, ["pid", "source"]).select("doc_id", "source", "queue", (F.col("queue_at") + F.col("before")).alias("begin"), "n", "ids")
     result, cut_arrow = row_type("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", doc_id=id_type)
-    wide = array(WordEncoder(tokenizer).code).itemsize
+    wide = WordEncoder(tokenizer).kind.itemsize
     return placed.mapInArrow(lambda it: _cut(it, phases, window, wide, cut_arrow), result)
