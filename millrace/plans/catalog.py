@@ -1,13 +1,23 @@
-"""The registered queries of the dataset operators, with the SQL that gives the same rows."""
+"""The registered queries of the dataset operators, with the SQL that gives the same rows.
+
+The supplied tables stand in for media: documents for text assets, labels for annotations, conversations for
+ordered segments, embeddings for vectors of logits and for samples, events for scores, marks and JSON payloads.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import read_table
+from millrace import schema
+from millrace.functions import documents as docs_functions
+from millrace.functions import text as tx
+from millrace.operators import captions, media, tags
+from millrace.session import read_table, shared_dir
+from millrace.sources import assets, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,10 +35,411 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""
-SELECT d.doc_id, d.source, d.n_chars FROM documents d
-WHERE d.lang = 'en' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
-""")
+# Scans, filters, joins on keys
+
+
+@query("SELECT d.doc_id, d.source, d.n_chars FROM documents d WHERE d.lang = 'en' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def scan_unannotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").where(F.col("lang") == "en")
     return docs.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "n_chars").orderBy("doc_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE url LIKE 'https://%'")
+def scan_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").where(F.startswith("url", F.lit("https://"))).select("page_id", "url")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def scan_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = read_table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    return read_table(spark, sf_dir, "documents").join(keys, "doc_id", "left_semi").select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (toxic = 1) AS flagged, round(100.0 * count(*) FILTER (toxic = 1) / nullif(count(*), 0), 2) AS percent FROM labels")
+def count_and_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.count_if(F.col("toxic") == 1)
+    return read_table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("total"), one.alias("flagged"), F.round(F.try_divide(100.0 * one, F.count(F.lit(1))), 2).alias("percent"))
+
+
+@query("SELECT CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN l.quality = 1 THEN 'done' ELSE 'failed' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").select("doc_id").join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy(F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 1, "done").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Paths for the rules on files: four documents share a stem, and extensions go around.
+_SUFFIXES = (".png", ".TXT", ".gif", ".md", ".srt", ".mp4", ".txt", ".pdf", ".xyz", ".flac")
+_PATHS_SQL = f"""p AS (SELECT doc_id, '/data/' || lang || '/a' || (doc_id // 4) || [{", ".join(repr(s) for s in _SUFFIXES)}][1 + (doc_id * 7 + doc_id // 4) % {len(_SUFFIXES)}] AS path FROM documents),
+q AS (SELECT *, lower(regexp_extract(path, '(\\.[^.]+)$', 1)) AS ext, regexp_replace(path, '\\.[^.]+$', '') AS stem FROM p),
+f AS (SELECT *, CASE WHEN ext = '.gif' THEN 'animation' WHEN ext = '.png' THEN 'image' WHEN ext = '.mp4' THEN 'video' WHEN ext = '.flac' THEN 'audio' WHEN ext IN ('.txt', '.md') THEN 'text' WHEN ext = '.pdf' THEN 'application' END AS family FROM q)"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.pmod(d * 7 + F.floor(d / 4), F.lit(len(_SUFFIXES))) + 1).cast("int"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/data/"), "lang", F.lit("/a"), F.floor(d / 4).cast("string"), suffix).alias("path"))
+
+
+@query(f"WITH {_PATHS_SQL} SELECT doc_id, path, family AS on_import, CASE WHEN family = 'animation' THEN 'image' ELSE family END AS on_export FROM f")
+def media_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return _paths(spark, sf_dir).select("doc_id", "path", schema.family(path).alias("on_import"), schema.family(path, schema.EXPORT_ORDER).alias("on_export"))
+
+
+@query(f"WITH {_PATHS_SQL} SELECT path, family FROM f WHERE family IS NOT NULL AND NOT (family = 'text' AND EXISTS (SELECT 1 FROM f g WHERE g.stem = f.stem AND g.family <> 'text'))")
+def text_or_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.primary_assets(_paths(spark, sf_dir).select("path"))
+
+
+@query(f"""WITH {_PATHS_SQL}, s AS (SELECT f.path, arg_min(g.path, (CASE g.ext WHEN '.txt' THEN '1' WHEN '.md' THEN '2' ELSE '3' END) || g.path) AS sidecar
+FROM f JOIN f g ON g.stem = f.stem AND g.ext IN ('.txt', '.md', '.srt') AND g.path <> f.path GROUP BY f.path) SELECT f.path, s.sidecar FROM f LEFT JOIN s USING (path) WHERE f.family IN ('image', 'animation', 'video', 'audio')""")
+def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _paths(spark, sf_dir).select("path")
+    own = paths.where(schema.family(F.col("path")).isin("image", "animation", "video", "audio"))
+    return assets.sidecars(own, paths)
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN (CASE WHEN l.toxic = 1 THEN NULL ELSE 'checked' END) ELSE d.source END AS source,
+CASE WHEN l.quality = 1 THEN -1 ELSE d.n_chars END AS n_chars, d.lang FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def keyed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ragged update: every label owns `source` (null for toxic ones), only good ones own `n_chars`."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    given = read_table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 0, "checked").alias("source"), F.lit(-1).cast("long").alias("n_chars"), (F.col("quality") == 1).alias("has_chars"))
+    return versions.updated(docs, given, "doc_id", {"n_chars": "has_chars"})
+
+
+@query("SELECT lang, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version, count(*) AS n FROM documents GROUP BY 1, 2")
+def version_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits and a tag: the tag still reads the first, the newest version is the second."""
+    data = versions.Dataset(spark, f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    data.write(docs.where("lang <> 'de'"), "create", tag="raw.import")
+    data.write(docs.where("lang = 'de'"))
+    first, last = data.read("raw.import").withColumn("version", F.lit(1)), data.read().withColumn("version", F.lit(2))
+    return first.unionByName(last).groupBy("lang", "version").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, lang || '.' || source || '.20240102_030405' AS tag FROM documents")
+def version_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", versions.version_tag(F.concat(F.lit("_"), "lang", F.lit("- ")), F.lit(""), F.col("source"), at=F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("tag"))
+
+
+@query("SELECT event_id, coalesce(v.category, '0') AS category FROM events e LEFT JOIN (VALUES ('click', 'a'), ('view', 'b')) AS v(name, category) ON e.event_type = v.name")
+def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("click", "a"), ("view", "b")], "name string, category string")
+    return tags.categorized(read_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tag")), known).select("event_id", "category")
+
+
+# Tags
+
+
+_TAGS_SQL = """x AS (SELECT vec_id AS uri, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS idx FROM embeddings),
+t AS (SELECT uri, idx, CASE WHEN idx < 4 THEN 'rating' WHEN idx < 8 THEN 'character' ELSE 'general' END AS category, 'tag_' || idx AS tag, 1 / (1 + exp(-least(greatest(20 * v, -30), 30))) AS confidence FROM x)"""
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tags.scores(read_table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: 20 * v.cast("double")).alias("v")), "vec_id", "v")
+    kind = F.when(F.col("idx") < 4, "rating").when(F.col("idx") < 8, "character").otherwise("general")
+    return rows.select(F.col("vec_id").alias("uri"), "idx", kind.alias("category"), F.concat(F.lit("tag_"), F.col("idx").cast("string")).alias("tag"), "confidence")
+
+
+_PICKED_SQL = f"""WITH {_TAGS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY uri, category ORDER BY confidence DESC, idx) AS n FROM t),
+k AS (SELECT uri, category, idx, tag, confidence FROM r WHERE CASE WHEN category = 'rating' THEN n = 1 WHEN category = 'character' THEN confidence >= 0.9 ELSE confidence >= 0.8 END)"""
+
+
+def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.above(_tags(spark, sf_dir), {"character": 0.9, "general": 0.8})
+
+
+@query(_PICKED_SQL + " SELECT uri, category, idx::INT AS idx, tag, round(confidence, 6) AS confidence FROM k")
+def tag_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picked(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_PICKED_SQL + """, w AS (SELECT uri, replace(tag, '_', ' ') AS tag, CASE category WHEN 'rating' THEN 0 WHEN 'general' THEN 10 ELSE 11 END AS rank, confidence, idx FROM k WHERE tag <> 'tag_9')
+SELECT uri, string_agg(CASE WHEN tag = 'tag 20' THEN 'twenty' ELSE tag END, ', ' ORDER BY (tag <> 'tag 12')::INT, rank, confidence DESC, idx) AS tags FROM w GROUP BY uri""")
+def tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _picked(spark, sf_dir)
+    name = tags.prepared(F.col("tag"), F.col("category"), undesired=("tag_9",), replacements={"tag_20": "twenty"})
+    return tags.assembled(rows.withColumn("tag", name), pinned=("tag 12",)).select("uri", F.array_join("tags", ", ").alias("tags"))
+
+
+@query(_PICKED_SQL + """, i AS (SELECT * FROM (VALUES ('tag_10', 'tag_11'), ('tag_10', 'tag_12'), ('tag_13', 'tag_14')) AS v(parent, child))
+SELECT uri, tag FROM k WHERE NOT EXISTS (SELECT 1 FROM i JOIN k c ON c.tag = i.child WHERE i.parent = k.tag AND c.uri = k.uri)""")
+def tag_parents_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("tag_10", "tag_11"), ("tag_10", "tag_12"), ("tag_13", "tag_14")], "parent string, child string")
+    return tags.without_parents(_picked(spark, sf_dir), known).select("uri", "tag")
+
+
+@query(_PICKED_SQL + " SELECT tag, count(*) AS n FROM k GROUP BY tag")
+def tag_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = _picked(spark, sf_dir).groupBy("uri").agg(F.collect_list(F.concat("tag", F.lit(":0.50"))).alias("tags"))
+    return tags.frequencies(lists)
+
+
+@query(_PICKED_SQL + " SELECT uri, category, string_agg(tag, ',' ORDER BY idx) AS tags FROM k GROUP BY uri, category")
+def tag_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = tags.by_category(_picked(spark, sf_dir))
+    return maps.select("uri", F.explode("tags").alias("category", "list")).select("uri", "category", F.array_join("list", ",").alias("tags"))
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part), t AS (SELECT p_partkey, list_concat(words, [array_to_string(words, ' ')]) AS tags FROM w),
+r AS (SELECT p_partkey, tags, list_transform(tags, lambda x: list_extract(string_split(x, ' '), -1)) AS roots FROM t)
+SELECT p_partkey, array_to_string(list_filter(tags, lambda x: contains(x, ' ') OR len(list_filter(roots, lambda y: y = x)) <= 1), ',') AS tags FROM r""")
+def tag_noun_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags.noun_roots(F.concat(words, F.array(F.array_join(words, " ")))), ",").alias("tags"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '<' || replace(p_name, '_', ':') || '> from (' || p_brand || ')' ELSE '<' || p_name || '>' END || ', <x (y)>' AS names FROM part")
+def tag_name_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_("), "p_brand", F.lit(")"))).otherwise(" (cosplay)"), F.lit(", x (y)"))
+    names = F.regexp_replace(names, r"_\(", " (")
+    return read_table(spark, sf_dir, "part").select("p_partkey", tags.name_series(names, excluded=("y",)).alias("names"))
+
+
+# Captions and segments
+
+
+@query("""SELECT event_id, coalesce(nullif(trim(json_extract_string(props, '$.k')), ''), 'No description available') AS shown,
+(event_type = 'click' AND coalesce(nullif(trim(json_extract_string(props, '$.k')), ''), '') <> '') AS stored FROM events""")
+def caption_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").withColumn("p", captions.payload(F.to_json(F.struct(F.get_json_object("props", "$.k").alias("caption")))))
+    status = F.when(F.col("event_type") == "click", "success").otherwise("failed")
+    return rows.select("event_id", captions.description(F.col("p")).alias("shown"), captions.persistable(status, F.get_json_object("props", "$.k")).alias("stored"))
+
+
+@query("SELECT conv_id, turn, text, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 40), '') AS context FROM conversations")
+def previous_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.previous_context(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 40)
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.joined_segments(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("""WITH d AS (SELECT doc_id AS uri, n_chars * 10 AS duration FROM documents WHERE n_chars > 0), s AS (SELECT uri, duration, unnest(range(0, ceil(duration / 20000.0)::BIGINT)) AS n FROM d)
+SELECT uri, n::INT AS n, n * 20000 AS "begin", least((n + 1) * 20000, duration) AS "end" FROM s""")
+def fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media_rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), (F.col("n_chars") * 10).alias("duration"))
+    return captions.segments(media_rows, F.lit(20))
+
+
+@query("""WITH c AS (SELECT conv_id AS uri, turn AS clip, length(text) * 50 AS "begin", length(text) * 50 + 900 AS "end", role AS text FROM conversations),
+o AS (SELECT conv_id AS uri, turn AS clip, coalesce(sum(10000) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM conversations),
+m AS (SELECT c.uri, "begin" + off AS "begin", "end" + off AS "end", text FROM c JOIN o USING (uri, clip) WHERE "begin" <= 10000)
+SELECT uri, (row_number() OVER (PARTITION BY uri ORDER BY "begin", "end", text))::INT AS number, "begin"::BIGINT AS "begin", "end"::BIGINT AS "end", text FROM m""")
+def merged_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "uri", "turn": "clip"})
+    at = F.length("text").cast("long") * 50
+    return captions.merged_cues(rows.select("uri", "clip", at.alias("begin"), (at + 900).alias("end"), F.col("role").alias("text")), rows.select("uri", "clip", F.lit(10_000).alias("length")), 10)
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, ts, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e), r AS (SELECT user_id, run, min(event_type) AS v, count(*) AS n FROM g GROUP BY 1, 2),
+l AS (SELECT user_id, list(CASE WHEN n > 1 THEN v || ' x' || n ELSE v END ORDER BY run) AS runs FROM r GROUP BY 1)
+SELECT user_id, array_to_string(CASE WHEN len(runs) > 12 THEN list_concat(list_concat(runs[1:8], ['...']), runs[-2:]) ELSE runs END, '; ') AS runs FROM l""")
+def compact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
+    return captions.compact_runs(rows, "user_id", "at", "event_type").select("user_id", F.array_join("runs", "; ").alias("runs"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts, floor(value)::INT AS segment FROM events), p AS (SELECT *, max(segment) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT event_id, user_id, segment FROM p WHERE before IS NULL OR segment > before""")
+def segment_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.floor("value").cast("int").alias("segment"))
+    return captions.running_segments(rows, "user_id", "at", "segment").select("event_id", "user_id", "segment")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS notes, count(*) AS events, max(value) AS top, arg_min(event_type, ts) AS first_type FROM (SELECT * FROM events) GROUP BY user_id")
+def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events")
+    return rows.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("notes"), F.count(F.lit(1)).alias("events"), F.max("value").alias("top"), F.min_by("event_type", "ts").alias("first_type"))
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, CASE WHEN o_orderkey % 3 = 0 THEN 5.0 END, (1.0 + o_orderkey % 7) / 2) AS score FROM orders")
+def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    named = F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.pmod(key, F.lit(7)).cast("double"))
+    score = captions.mean_score(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")), F.when(F.pmod(key, F.lit(3)) == 0, 5.0), F.lit(None).cast("double"), named)
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", score.alias("score"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'It shows <' || regexp_extract(url, '([^/]+)/[^/]+$', 1) || '>.' END AS context FROM pages WHERE regexp_matches(url, '^https?://[^/()]+/[^/()]+/[^/()]+$')""")
+def directory_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").where(F.regexp_like("url", F.lit(r"^https?://[^/()]+/[^/()]+/[^/()]+$")))
+    return pages.select("page_id", captions.directory_context(F.col("url"), F.when(F.col("page_id") % 2 == 0, "text/plain").otherwise("image/png")).alias("context"))
+
+
+# Time lines, buckets, numbers
+
+
+@query("SELECT event_id, CASE WHEN value <= 10 THEN 10.0 WHEN value <= 25.5 THEN 25.5 WHEN value <= 40 THEN 40.0 ELSE 60.0 END AS bucket FROM events")
+def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select("event_id", media.bucket(F.col("value"), [40.0, 10.0, 25.5, 60.0]).alias("bucket"))
+
+
+_CUES_SQL = """c AS (SELECT user_id, event_id AS number, epoch_us(ts) // 1000 % 10000000 AS "end" FROM events WHERE event_type <> 'click'), m AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 % 10000000 AS mark FROM events WHERE event_type = 'click')"""
+
+
+def _cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = read_table(spark, sf_dir, "events").withColumn("at", F.pmod(F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"), F.lit(10_000_000)))
+    cues = rows.where("event_type <> 'click'").select("user_id", F.col("event_id").alias("number"), F.col("at").alias("end"))
+    return cues, rows.where("event_type = 'click'").select("user_id", F.col("at").alias("mark")).distinct()
+
+
+@query(f"WITH {_CUES_SQL} SELECT c.number, c.\"end\", (SELECT m.mark FROM m WHERE m.user_id = c.user_id ORDER BY abs(m.mark - c.\"end\"), m.mark LIMIT 1) AS nearest FROM c")
+def nearest_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues, marks = _cues(spark, sf_dir)
+    return media.nearest(cues, marks, "user_id", "end", "mark").select("number", "end", "nearest")
+
+
+_BLOCKS_SQL = """b0 AS (SELECT user_id, mark, lead(mark) OVER (PARTITION BY user_id ORDER BY mark) AS nxt FROM m),
+b AS (SELECT user_id, mark AS "begin", coalesce(nxt, mark + trunc(avg(nxt - mark) OVER (PARTITION BY user_id))::BIGINT) AS "end" FROM b0)"""
+
+
+@query(f"WITH {_CUES_SQL}, {_BLOCKS_SQL} SELECT user_id, \"begin\", \"end\" FROM b WHERE \"end\" IS NOT NULL")
+def scene_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.scene_blocks(_cues(spark, sf_dir)[1], "user_id", "mark")
+
+
+@query(f"WITH {_CUES_SQL}, {_BLOCKS_SQL} SELECT c.number, b.\"begin\" AS block_begin FROM c JOIN b ON c.user_id = b.user_id AND c.\"end\" BETWEEN b.\"begin\" - 2000 AND b.\"end\" + 2000 WHERE b.\"end\" IS NOT NULL")
+def cue_scene_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues, marks = _cues(spark, sf_dir)
+    return media.overlapping(cues, media.scene_blocks(marks, "user_id", "mark"), "user_id").select("number", "block_begin")
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), p AS (SELECT vec_id, i // 16 AS s, avg(v * v) AS p FROM x GROUP BY 1, 2)
+SELECT vec_id, round(greatest(-200, 10 * log10(greatest(max(p), 1e-20))), 6) AS level FROM p GROUP BY 1""")
+def loudest_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "value"))
+    return media.loudest(rows, "vec_id", 16).select("vec_id", F.round("level", 6).alias("level"))
+
+
+@query("""WITH x AS (SELECT label, vec_id * 8 % 40 AS start, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT label, start + i AS place, round(sum(v * (1 + i)) / greatest(sum(1 + i), 1e-8), 6) AS value FROM x GROUP BY 1, 2""")
+def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") * 8 % 40).alias("start"), F.transform("embedding", lambda v: v.cast("double")).alias("samples"), F.transform("embedding", lambda v, i: (1 + i).cast("double")).alias("weights"))
+    return media.overlap_add(rows, "label").select("label", "place", F.round("value", 6).alias("value"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(range(0, greatest(n_chars - 1000, 0) + 1, 750), [greatest(n_chars - 1000, 0)]))), ',') AS starts FROM documents")
+def chunk_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(media.chunk_starts(F.col("n_chars"), 1000, 750)), ",").alias("starts"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size * 40 + 1 AS w, p_size * 25 + 7 AS h FROM part), k AS (SELECT *, least(1.0, 1024.0 / greatest(w, h)) AS z FROM s)
+SELECT p_partkey, greatest(16, round_even(w * z / 16, 0) * 16)::INT AS width, greatest(16, round_even(h * z / 16, 0) * 16)::INT AS height, greatest(16, w // 16 * 16)::INT AS floor_width FROM k""")
+def fitted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40 + 1).alias("w"), (F.col("p_size") * 25 + 7).alias("h"))
+    return rows.withColumn("s", media.fit(F.col("w"), F.col("h"), long_edge=1024)).select("p_partkey", "s.width", "s.height", media.floored(F.col("w")).alias("floor_width"))
+
+
+@query("SELECT l_orderkey, l_linenumber, [trunc(l_quantity * 0.5)::INT, (l_partkey * 2.0)::INT]::VARCHAR AS box FROM lineitem WHERE l_orderkey < 1000")
+def rescaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "lineitem").where("l_orderkey < 1000")
+    box = media.rescale(F.array(F.col("l_quantity"), F.col("l_partkey").cast("double")), F.lit(100), F.lit(100), F.lit(50), F.lit(200))
+    return rows.select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(F.transform(box, lambda v: v.cast("string")), ", "), F.lit("]")).alias("box"))
+
+
+@query("""SELECT o_orderkey, (s // 60)::VARCHAR || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS short, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS long
+FROM (SELECT o_orderkey, floor(o_totalprice / 10)::BIGINT AS s FROM orders)""")
+def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.floor(F.col("o_totalprice") / 10)
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", tx.duration(s * 1000 + 999).alias("short"), tx.clock(s + 0.5).alias("long"))
+
+
+@query("SELECT p_partkey, least(8, greatest(1, floor((p_retailprice - 900) / 50)::INT + 1)) AS batch, CASE WHEN p_size > 40 THEN 'unknown' WHEN p_size <= 20 THEN 'ok' ELSE 'warning' END AS fit FROM part")
+def memory_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    need = F.when(F.col("p_size") <= 40, F.col("p_size"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", media.batch_size(F.col("p_retailprice"), F.lit(900), F.lit(50), F.lit(8)).alias("batch"), media.model_fit(need, F.lit(20)).alias("fit"))
+
+
+# Texts
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents), l AS (SELECT doc_id, list_transform(regexp_split_to_array(trim(t, E' \t\n\r'), '\n{2,}'), lambda p: trim(p, E' \t\n\r')) AS parts FROM t)
+SELECT doc_id, array_to_string(list_filter(parts, lambda p: p <> ''), E'\n\n') AS markdown, array_to_string(list_filter(parts, lambda p: p <> ''), E'\n\n') || chr(10) AS final FROM l""")
+def text_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tx.to_markdown(F.col("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", made.alias("markdown"), tx.finalize(made).alias("final"))
+
+
+@query("SELECT doc_id, length(text) AS chars, 1 AS whole FROM documents")
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at most 500 characters: their lengths add up to the text's, and together they are the text."""
+    ends = docs_functions.column(lambda t: docs_functions.chunk_offsets(t, 500), "array<int>")
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", ends("text").alias("ends"))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.element_at("ends", i))
+    chunks = F.transform("ends", lambda e, i: F.substring(F.col("text"), begin(i) + 1, e - begin(i)))
+    return rows.select("doc_id", F.aggregate(chunks, F.lit(0).cast("long"), lambda n, c: n + F.length(c)).alias("chars"), (F.array_join(chunks, "") == F.col("text")).cast("int").alias("whole"))
+
+
+@query("SELECT page_id, url, TRUE AS same FROM pages")
+def text_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is protected comes back: a round trip over urls."""
+    trip = docs_functions.column(lambda t: docs_functions.restore(*docs_functions.protect(t)), "string")
+    held = docs_functions.column(lambda t: docs_functions.protect(t)[0], "string")
+    pages = read_table(spark, sf_dir, "pages").withColumn("t", F.concat(F.lit("see "), "url", F.lit(" and `code`.")))
+    return pages.select("page_id", "url", ((trip("t") == F.col("t")) & ~F.contains(held("t"), F.col("url"))).alias("same"))
+
+
+@query()
+def text_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose repeated end is collapsed."""
+    cut = docs_functions.column(lambda t: docs_functions.collapse_tail(t, least=500), "string")
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("before"), F.length(cut("text")).alias("after"))
+
+
+@query()
+def pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = docs_functions.column(docs_functions.html_to_markdown, "string")
+    return read_table(spark, sf_dir, "pages").select("page_id", made("html").alias("markdown"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN len(x) = 0 THEN '' WHEN len(x) = 1 THEN coalesce(x[1], '') ELSE array_to_string(list_filter(x, lambda v: v <> ''), chr(10)) END AS text
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN [] WHEN 1 THEN [text] WHEN 2 THEN [role, '', text] ELSE ['', NULL] END AS x FROM conversations)""")
+def captions_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, text = F.col("turn") % 4, F.col("text")
+    lists = F.when(turn == 0, F.array().cast("array<string>")).when(turn == 1, F.array(text)).when(turn == 2, F.array(F.col("role"), F.lit(""), text)).otherwise(F.array(F.lit(""), F.lit(None)))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.captions_to_text(lists).alias("text"))
+
+
+@query("SELECT doc_id, '  ' || upper(lang) || chr(10) AS kept, ' x ' AS blank FROM documents")
+def text_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", tx.keep_edges(F.concat(F.lit("  "), "lang", F.lit("\n")), F.concat(F.lit(" "), F.upper("lang"))).alias("kept"), tx.keep_edges(F.lit(" x "), F.lit(" \n")).alias("blank"))
+
+
+@query("""SELECT page_id, CASE WHEN length(s) <= 40 THEN s ELSE left(s, 20) || '-' || right(s, 19) END AS slug, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS label FROM (SELECT page_id, url, regexp_replace(lower(url), '[^a-z0-9-]', '-', 'g') AS s FROM pages)""")
+def text_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", tx.slug(F.col("url")).alias("slug"), tx.score_key(F.col("url")).alias("label"))
+
+
+@query("SELECT doc_id, lang || ' is short' AS short, 'a long ' || source AS long, lang AS body, 'done' AS thought FROM documents")
+def answer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.concat(F.lit("intro ### Short: "), "lang", F.lit("  is\nshort ### Long description: a\tlong  "), "source")
+    short, long = tx.short_and_long(answer)
+    fence = F.concat(F.lit("x\n```srt\nold\n```\n```srt\n"), "lang", F.lit("\n```\n"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", short.alias("short"), long.alias("long"), tx.fenced(fence, "srt").alias("body"), tx.strip_reasoning(F.concat(F.lit("<Think a=1>"), "text", F.lit("</think> done"))).alias("thought"))
+
+
+@query("""SELECT o_orderkey, '00:0' || a || ':' || b || ',500 --> 00:' || b || ':' || b || ',250 --> 0' || a || ':' || b || ':' || b || ',125' AS times FROM (SELECT o_orderkey, (o_orderkey % 10)::VARCHAR AS a, lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS b FROM orders)""")
+def subtitle_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (F.col("o_orderkey") % 10).cast("string"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0")
+    raw = F.concat(a, F.lit(":"), b, F.lit(".500 --> "), b, F.lit(":"), b, F.lit(":250 --> 0"), a, F.lit(":"), b, F.lit(":"), b, F.lit(".125"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", tx.timestamps(raw).alias("times"))
+
+
+@query("SELECT p_partkey, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][1 + p_partkey % 12] || (p_partkey % 120 // 12 - 1) || '+12' AS note FROM part")
+def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "part").select("p_partkey", tx.note_name(F.col("p_partkey") % 120 + 0.12).alias("note"))
+
+
+@query("SELECT vec_id, round(sum(v * v), 4) AS score FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY vec_id")
+def batch_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer as a plug-in: made once a partition, rows stay with their scores."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    out = media.scored(rows, lambda: lambda values: [float(sum(float(x) * float(x) for x in v)) for v in values], "vec_id", "embedding")
+    return out.select("vec_id", F.round("score", 4).alias("score"))
