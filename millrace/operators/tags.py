@@ -68,7 +68,7 @@ def assembled(tags: DataFrame, *, pinned: tuple[str, ...] = (), ratings: str = "
     keep = ~F.col("category").isin("unknown", *(() if ratings else RATING_RELATED)) & (F.col("tag") != "")
     pin = F.array_position(F.array(*map(F.lit, pinned)), F.col("tag")) if pinned else F.lit(0)
     pin = F.when(pin > 0, pin).otherwise(len(pinned) + 1)
-    text = F.concat(F.col("tag"), F.lit(":"), F.format_number(F.col("confidence"), "0.00")) if with_confidence else F.col("tag")
+    text = F.concat(F.col("tag"), F.lit(":"), F.format_number("confidence", 2)) if with_confidence else F.col("tag")
     first = F.when(F.lit(by_confidence), -F.col("confidence")).otherwise(0.0)
     row = F.struct(pin.alias("pin"), first.alias("first"), order_of(F.col("category"), ratings=ratings or "first", characters_first=characters_first).alias("rank"), "category", (-F.col("confidence")).alias("less"), "idx", text.alias("text"))
     rows = tags.where(keep).groupBy("uri").agg(F.array_sort(F.collect_list(row)).alias("rows"))
