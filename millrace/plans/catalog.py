@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace import schema
 from millrace.functions import documents as docs_functions
 from millrace.functions import text as tx
-from millrace.operators import captions, media, tags
+from millrace.operators import answers, captions, media, tags
 from millrace.session import read_table, shared_dir
 from millrace.sources import assets, versions
 
@@ -443,3 +443,66 @@ def batch_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     out = media.scored(rows, lambda: lambda values: [float(sum(float(x) * float(x) for x in v)) for v in values], "vec_id", "embedding")
     return out.select("vec_id", F.round("score", 4).alias("score"))
+
+
+# Model answers
+
+
+@query("SELECT conv_id, turn AS number, turn * 1500 AS \"begin\", turn * 1500 + 900 AS \"end\", role AS text FROM conversations")
+def subtitle_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues written as subtitle texts and parsed again."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 1500).cast("long").alias("begin"), (F.col("turn") * 1500 + 900).cast("long").alias("end"), F.col("role").alias("text"))
+    first = rows.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    texts = answers.subtitle_text(rows.withColumn("number", F.col("turn")), "conv_id")
+    back = answers.cues(texts, "conv_id", "text").join(first, "conv_id")
+    return back.select("conv_id", (F.col("number") + F.col("first") - 1).alias("number"), "begin", "end", "text")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'INVALID_SUBTITLE_RANGE' WHEN 'view' THEN 'EMPTY_SUBTITLE_TEXT' WHEN 'purchase' THEN 'EMPTY_SUBTITLE_ITEMS' END AS fault FROM events")
+def subtitle_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    text = F.when(kind == "click", "1\n00:00:02,000 --> 00:00:01,000\nx\n").when(kind == "view", "1\n00:00:01,000 --> 00:00:02,000\n\n").when(kind == "purchase", "nothing").otherwise("00:00:01,000 --> 00:00:02,000\nfine")
+    return answers.subtitle_faults(read_table(spark, sf_dir, "events").select("event_id", text.alias("text")), "event_id", "text")
+
+
+@query("""WITH n AS (SELECT page_id, page_id // 5 AS doc, CASE WHEN page_id % 2 = 0 THEN 'Fig' ELSE 'fig' END || (page_id % 3) || '.png' AS leaf FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(leaf) ORDER BY page_id) AS k FROM n) SELECT page_id, CASE WHEN k = 1 THEN leaf ELSE replace(leaf, '.png', '_' || k || '.png') END AS own_name FROM r""")
+def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.col("page_id")
+    name = F.concat(F.lit("http://x/y/"), F.when(page % 2 == 0, "Fig").otherwise("fig"), (page % 3).cast("string"), F.lit(".png"))
+    return answers.image_names(read_table(spark, sf_dir, "pages").select("page_id", F.floor(page / 5).alias("doc"), name.alias("name")), "doc", "page_id", "name").select("page_id", "own_name")
+
+
+@query("""SELECT page_id, '# ' || page_id || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || '- item' || chr(10) || chr(10) || '$$' || chr(10) || 'x^2' || chr(10) || '$$' AS markdown FROM pages""")
+def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda kind, text: F.struct(F.lit(kind).alias("category"), text.alias("text"))
+    cells = F.array(cell("Page-header", F.lit("head")), cell("Title", F.col("page_id").cast("string")), cell("Section-header", F.lit("## Part")), cell("Picture", F.lit(" ")), cell("List-item", F.lit("* item")), cell("Formula", F.lit("$x^2$")))
+    return read_table(spark, sf_dir, "pages").select("page_id", answers.layout_markdown(cells).alias("markdown"))
+
+
+@query("SELECT p_partkey, (p_size % 10)::DOUBLE AS light, 7.5 AS depth FROM part")
+def freeform_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("# Review\n1. **Light** "), (F.col("p_size") % 10).cast("string"), F.lit("\n2. Depth: 7.5/10\nplain words"))
+    found = answers.scores(text)
+    return read_table(spark, sf_dir, "part").select("p_partkey", found["light"].alias("light"), found["depth"].alias("depth"))
+
+
+@query("SELECT p_partkey, '<0.5 - ' || (p_size) || '.3> one' || chr(10) || '<2.0 - 3.0> two' AS text FROM part")
+def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = lambda a, b, t: F.struct(F.lit(a).alias("start"), b.alias("end"), F.lit(t).alias("text"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", answers.event_text(F.array(event(0.5, F.col("p_size") + 0.3, "one"), event(2.0, F.lit(3.0), "two"))).alias("text"))
+
+
+@query("SELECT conv_id, arg_min(role || turn, (CASE WHEN role = 'user' THEN 0 ELSE 1000000 END) + turn) AS name FROM conversations GROUP BY conv_id")
+def best_vocals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = F.concat(F.when(F.col("role") == "user", "lead vocals ").otherwise("drums "), "role", F.col("turn").cast("string"))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", stem.alias("name"))
+    return answers.best_vocals(rows, "conv_id", "name", "turn").select("conv_id", F.substring_index("name", " ", -1).alias("name"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'vision' WHEN 'view' THEN 'ears' WHEN 'purchase' THEN NULL ELSE 'any' END AS provider FROM events")
+def provider_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    jobs = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(kind == "view", "audio/wav").otherwise("image/png").alias("mime"), F.when(kind == "click", "EYES").when(kind == "purchase", "ears").alias("route"))
+    known = spark.createDataFrame([("vision", ["eyes"], "image/", 5), ("any", None, "image/", 1), ("ears", [], "audio/", 9)], "name string, aliases array<string>, prefix string, priority int")
+    return answers.routed(jobs, known).select(F.col("id").alias("event_id"), "provider")
