@@ -1,6 +1,6 @@
 """Operator 10: line-first cleaning.
 
-Each line is judged by itself: symbols, missing letters, navigation, boilerplate, shouting, missing final
+Each line is judged by itself: symbols, missing letters, navigation, boilerplate, shouting, missing
 punctuation, monotony, and repetition of an earlier line of its document. Lines that fail are removed. A
 document is rejected if it loses more than half of its text, or if it is short or repeats itself as a whole.
 One pass, no shuffle: a document's verdict needs no other document.
@@ -33,7 +33,7 @@ _boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _navigation = re.compile(rf"\W*(?:{'|'.join(map(re.escape, NAVIGATION))})\b")
 _symbols = re.compile(r"[#*$%&|<>{}=~^\\]")
 _bars = re.compile(r"[|»›•·]")
-_ending = re.compile(r"[.!?:;…。！？\"'”’»)\]][^\w\s]*$")
+_stops = re.compile(r"[.!?;…。！？]")
 _SAME, _SYMBOL = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _IN_LINE = np.ones(256, bool)
@@ -57,7 +57,7 @@ def line_fails(line: str) -> str | None:
         return "boilerplate"
     if n >= 5 and line == line.upper():
         return "shouting"
-    if n >= 12 and not _ending.search(line.rstrip()):
+    if n >= 12 and not _stops.search(line):
         return "punctuation"
     if n >= 20 and len({w.lower() for w in words}) < 0.3 * n:
         return "monotony"
