@@ -53,8 +53,37 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(read_table(spark, sf_dir, "documents"), width=4)
 
 
+_LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+    found = decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found).drop("n_near_items")
+
+
+_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+OP6_SQL = rf"""
+WITH i AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+v AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM i)),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS t FROM (SELECT d.doc_id, d.ws, l.n, unnest(range(1, len(d.ws) - l.n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM v) l)),
+m AS (SELECT g.doc_id, g.k, g.n, v.item_id FROM g JOIN v USING (n, t)),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM m) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +130,4 @@ QUERIES = {
     "op10_line_quality": op10_line_quality,
 }
 
-ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
