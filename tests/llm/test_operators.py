@@ -186,6 +186,25 @@ def plain_shingles(text, width):
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
 
 
+def plain_components(sets):
+    """The smallest id that each id is linked with, by all pairs."""
+    parent = {d: d for d in sets if d is not None}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(d for d in parent if sets[d])
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 80 * max(len(sets[a]), len(sets[b])) <= 100 * min(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d in parent}
+
+
 @pytest.mark.parametrize("width", [4, 5])
 def test_near_duplicates(spark, docs, width):
     rng = random.Random(width)
@@ -202,23 +221,10 @@ def test_near_duplicates(spark, docs, width):
     all_docs = docs.select("doc_id", "text").where("doc_id <> 1007 or doc_id is null").union(spark.createDataFrame(made, "doc_id long, text string"))
     rows = {r["doc_id"]: r for r in near_dedup.link(all_docs, width=width).collect()}
     sets = {d: plain_shingles(t, width) for d, t in texts(all_docs)}
-    parent = {d: d for d in sets if d is not None}
-
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    ids = sorted(d for d in parent if sets[d])
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if 80 * max(len(sets[a]), len(sets[b])) <= 100 * min(len(sets[a]), len(sets[b])):
-                both = len(sets[a] & sets[b])
-                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
-                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    parent = plain_components(sets)
     for d in parent:
         r = rows[d]
-        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[d]), root(d), root(d) == d), d
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[d]), parent[d], parent[d] == d), d
     assert rows[None]["component_id"] is None and not rows[None]["kept"]
     assert near_dedup.link(all_docs.limit(0)).count() == 0
 
@@ -237,17 +243,23 @@ def plain_words(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
+def plain_windows(items):
+    """The items of each window of ten words."""
+    windows = defaultdict(set)
+    for i, t in items:
+        w = plain_words(t or "")
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    return windows
+
+
 @pytest.mark.parametrize("blocks", [False, True])
 def test_decontamination(spark, small, docs, blocks, monkeypatch):
     items = [(r["item_id"], r["text"] or "") for r in read_table(spark, small, "benchmark").collect()] + [(900, ""), (901, "mit license"), (902, "A b c d a B c d a b c, d!"), (903, "one two three"), (904, "One, two-three"), (905, None)]
     if blocks:
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
     got = decontaminate.digest(decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string"))).collect()
-    windows = defaultdict(set)
-    for i, t in items:
-        w = plain_words(t or "")
-        for k in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[k : k + 10])].add(i)
+    windows = plain_windows(items)
     lengths = {len(w) for w in windows}
     expected = Counter()
     for d, t in texts(docs):

@@ -1,9 +1,17 @@
 """The pipeline's stages on a small table with planted cases."""
 
 import random
+import re
+import struct
+import zlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from test_operators import plain_components, plain_shingles, plain_windows, plain_words
 
 import corpus_pipeline
-from millrace.llm import decontaminate, near_dedup, toxicity
+from millrace.llm import decontaminate, near_dedup, pii, toxicity
 from millrace.session import read_table
 
 
@@ -37,6 +45,27 @@ def test_stages(spark, small, tmp_path):
     assert model.weights is not None
 
 
-def test_run(spark, small):
-    out = corpus_pipeline.run(spark, small)
-    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+@pytest.mark.parametrize("of", ["sf0.001", "sf0.01"])
+def test_run_equals_a_plain_pipeline(spark, of):
+    from tokenizers import Tokenizer
+
+    sf_dir = f"/root/testdata/{of}"
+    docs = {r["doc_id"]: r["text"] or "" for r in read_table(spark, sf_dir, "documents").collect()}
+    matcher = toxicity.Matcher(toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+    docs = {d: t for d, t in docs.items() if matcher.scores([toxicity.fold(t)])[0] < 0.5}
+    parent = plain_components({d: plain_shingles(t, 5) for d, t in docs.items()})
+    docs = {d: t for d, t in docs.items() if parent[d] == d}
+    windows = plain_windows([(r["item_id"], r["text"]) for r in read_table(spark, sf_dir, "benchmark").collect()])
+    lengths = {len(w) for w in windows}
+    clean = lambda words: not any(tuple(words[k : k + n]) in windows for n in lengths for k in range(len(words) - n + 1))
+    docs = {d: t for d, t in docs.items() if clean(plain_words(t))}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(docs)
+    tokenizer, entity = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), re.compile("|".join((r"@", r"\d{16}", r"\d{3}[ )]*[ -]\d{3}-\d{4}", r"(?:\d+\.){3}\d", r"[0-9a-fA-F]{32}", "|".join(pii.TITLES.values()))))
+    covered = Counter()
+    for r in rows:
+        covered[r["doc_id"]] += r["length"]
+        if not entity.search(docs[r["doc_id"]]):  # texts without personal data are packed as they are
+            ids = tokenizer.encode(docs[r["doc_id"]], add_special_tokens=False).ids + [1]
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(struct.pack(f"<{r['length']}I", *ids[r["start"] : r["start"] + r["length"]]))
+    assert all(covered[r["doc_id"]] == r["doc_tokens"] for r in rows)
