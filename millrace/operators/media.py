@@ -208,3 +208,41 @@ def scored(rows: DataFrame, scorer, key: str, value: str, kind: str = "double")
             yield pd.DataFrame({key: batch[key], "score": made(batch[value])})
 
     return rows.select(key, value).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, score {kind}")
+
+
+def sample_times(start: Column, steps: Column) -> Column:
+    """`steps` times from `start` towards 1, evenly apart; 1 itself is not among them."""
+    return F.transform(F.sequence(F.lit(0), steps - 1), lambda i: start + i * ((1.0 - start) / steps))
+
+
+#: Words in a layer's name that tell its class, the first that fits counts.
+LAYER_WORDS = (("lineart", "line|sketch|ink|outline"), ("background", "background|bg|sky|scenery"), ("effects", "effect|fx|glow|light"), ("foreground", "foreground|fg|front"), ("coloring", "color|colour|shade|flat"), ("subject", "character|body|face|hair|figure"))
+
+
+def name_class(name: Column) -> Column:
+    found = F.when(F.lit(False), "")
+    for label, words in LAYER_WORDS:
+        found = found.when(F.regexp_like(F.lower(name), F.lit(words)), label)
+    return found.otherwise("other")
+
+
+def layer_class(layer: Column) -> Column:
+    """A layer's class from its statistics (saturation, alpha, entropy, bbox, offset, z, total) and its name.
+
+    Faint and sparse layers are line art; then come full layers at the bottom, rich and central ones, the top,
+    and plain covering ones; what no statistic tells its name does.
+    """
+    x, name = (lambda c: layer[c]), name_class(layer["name"])
+    depth = x("z") / F.greatest(x("total"), F.lit(1))
+    rules = (
+        ((x("saturation") < 0.1) | (x("saturation") < 0.15) & (x("alpha") < 0.3) | (name == "lineart"), F.lit("lineart")),
+        ((x("bbox") > 0.95) & (depth < 0.3), F.lit("background")),
+        ((x("entropy") > 3) & (x("offset") < 0.3), F.lit("subject")),
+        ((x("saturation") > 0.3) & (x("offset") < 0.4) & name.isin("subject", "coloring"), name),
+        (depth > 0.7, F.lit("foreground")),
+        ((x("entropy") < 2) & (x("bbox") > 0.7), F.when(name == "effects", name).otherwise("background")),
+    )
+    found = F.when(F.lit(False), "")
+    for condition, label in rules:
+        found = found.when(condition, label)
+    return found.otherwise(name)

@@ -127,3 +127,20 @@ def newest(frame: DataFrame, by: Sequence[str], order: Sequence[Column]) -> Data
     """The first row of each group in an order: last-wins and first-seen dedups."""
     row = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return frame.withColumn("__row", row).where("__row = 1").drop("__row")
+
+
+def find(spark: SparkSession, folder: str, name: str | None = None) -> Dataset | None:
+    """The dataset in a folder: the folder itself, the one called `name`, or its only one; several are an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    is_set = lambda p: files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "log"))
+    if is_set(at):
+        return Dataset(spark, folder)
+    if not files.exists(at):
+        raise FileNotFoundError(folder)
+    there = {s.getPath().getName(): s.getPath().toString() for s in files.listStatus(at) if s.isDirectory() and is_set(s.getPath())}
+    if name in there or len(there) == 1:
+        return Dataset(spark, there.get(name) or next(iter(there.values())))
+    if there:
+        raise ValueError(f"several datasets in {folder}: {sorted(there)}")
+    return None

@@ -218,3 +218,24 @@ def test_captions_and_tags(spark):
     assert tags.assembled(tags.above(rows, {}), with_confidence=True).first()["tags"] == ["a:0.40", "c:0.50"]
     assert v(schema.family(F.lit("X.GIF"))) == "animation" and v(schema.family(F.lit("X.GIF"), schema.EXPORT_ORDER)) == "image"
     assert v(schema.stem(F.lit("d/.hidden"))) == ".hidden" and v(schema.extension(F.lit("a.b/c"))) == ""
+
+
+def test_dataset_search(spark, tmp_path):
+    assert versions.find(spark, f"file://{tmp_path}") is None
+    for name in ("one", "two"):
+        versions.Dataset(spark, f"file://{tmp_path}/{name}").write(spark.range(1 if name == "one" else 2))
+        if name == "one":
+            assert versions.find(spark, f"file://{tmp_path}").read().count() == 1
+    assert versions.find(spark, f"file://{tmp_path}", "two").read().count() == 2 and versions.find(spark, f"file://{tmp_path}/one").latest() == 1
+    with pytest.raises(ValueError):
+        versions.find(spark, f"file://{tmp_path}")
+    with pytest.raises(FileNotFoundError):
+        versions.find(spark, f"file://{tmp_path}/none")
+
+
+def test_layers_and_times(spark):
+    assert values(spark, media.sample_times(F.lit(0.5), F.lit(2))) == [0.5, 0.75]
+    ddl = "name string, saturation double, alpha double, entropy double, bbox double, offset double, z int, total int"
+    rows = [("x", 0.05, 1.0, 9.0, 1.0, 0.0, 0, 10), ("x", 0.5, 1.0, 1.0, 0.99, 0.9, 0, 10), ("x", 0.5, 1.0, 4.0, 0.5, 0.1, 5, 10), ("flat color", 0.5, 1.0, 2.5, 0.5, 0.3, 5, 10), ("x", 0.2, 1.0, 2.5, 0.5, 0.9, 9, 10), ("glow", 0.2, 1.0, 1.0, 0.8, 0.9, 5, 10), ("sky", 0.2, 1.0, 2.5, 0.8, 0.9, 5, 10)]
+    layers = spark.createDataFrame(rows, ddl)
+    assert [r[0] for r in layers.select(media.layer_class(F.struct(*layers.columns))).collect()] == ["lineart", "background", "subject", "coloring", "foreground", "effects", "background"]
