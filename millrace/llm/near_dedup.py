@@ -6,16 +6,17 @@ agree in all values of a band share a bucket. At similarity 0.8 a pair shares no
 with a probability of 5e-6.
 
 Documents with equal shingle sets form a class and go on as one. Links between classes are confirmed on their
-full sets; pairs whose signatures agree in under LEAST_AGREEING of their values (6 standard deviations below
+full sets; pairs whose signatures agree in under LEAST_AGREEING of their values (4.6 standard deviations below
 0.8) are not tried. No bucket's pairs are all emitted:
 
-1. In every bucket the smallest class is the pivot; each class tries the pivot it resembles most. Confirmed
-   links give components.
-2. In buckets that still hold several components, the classes outside the largest one are compared with all
-   others in blocks of at most BLOCK classes, and each tries the classes of other components that it resembles
-   most: 4, then 8 times as many in each round, until a round has nothing left to try.
+1. In every bucket the smallest class is the pivot; each class tries the pivot with which it shares most
+   bands. Confirmed links give trees, so a bucket of near copies takes as many tries as it has members.
+2. Buckets that still hold several components are compared in blocks of at most BLOCK by BLOCK classes: those
+   outside the largest component with all others. A block picks by signatures which of its classes may be linked
+   over components (a pair that shares several bands only in the first of them), gets the sets of those once,
+   and emits the links that join components: fewer rows than it has members.
 
-A bucket of near copies thus takes as many tries as it has members. Components are found with alternating
+Components are found with alternating
 large- and small-star steps. A hot bucket is dealt out by blocks, a hot pivot or class by skew joins.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a document's set has its distinct
@@ -38,7 +39,7 @@ from millrace.session import materialize
 
 PERMUTATIONS, BANDS = 120, 40
 ROWS = 2 * PERMUTATIONS // BANDS
-LEAST_AGREEING, BLOCK, FIRST_TRIES = 0.65, 1024, 4
+LEAST_AGREEING, BLOCK, PIVOT_BANDS, MOST_BROADCAST = 0.68, 512, 4, 1_000_000
 
 _A = (constants(11, PERMUTATIONS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (constants(12, PERMUTATIONS) >> np.uint64(32)).astype(np.uint32)
@@ -98,13 +99,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, schema: pa.Schema) -> I
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), lists.cast(schema.field(1).type)], schema=schema)
 
 
-def _agreement(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Pairs with the number of values in which their signatures agree."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a_sig", "b_sig"))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(axis=1), pa.int32())], schema=schema)
-
-
 def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """Successive rows that are equal in `by`, as one table each."""
     kept: list[pa.RecordBatch] = []
@@ -126,29 +120,70 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(kept)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], tries: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """In each block: the pairs of an outer class with the most similar classes of other components."""
-    a_keys: list[bytes] = []
-    b_keys: list[bytes] = []
-    for block in _runs(batches, ["band", "hash", "outer_block", "inner_block"]):
-        outer = block.filter(block.column("outer"))
-        inner = block.filter(block.column("inner"))
+_CELL = ["band", "hash", "outer_block", "inner_block"]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of signatures or bands as rows of numbers."""
+    if pa.types.is_list(column.type):
+        return np.asarray(pa.concat_arrays([c.flatten() for c in column.chunks])).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The classes of each block that take part in a pair to confirm; outer ones with their partners' keys.
+
+    A pair belongs to the block of the first band that it shares.
+    """
+    rows: list[tuple] = []
+    for block in _runs(batches, _CELL):
+        outer, inner = block.filter(block.column("outer")), block.filter(block.column("inner"))
         if not len(outer) or not len(inner):
             continue
-        (sx, sy), (nx, ny) = ([np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), -1) for t in (outer, inner)], [t.column("n").to_numpy() for t in (outer, inner)])
-        (cx, cy), (kx, ky) = ([np.array(t.column(c).to_pylist(), object) for t in (outer, inner)] for c in ("component", "key"))
+        cell = [block.column(c)[0].as_py() for c in _CELL]
+        (sx, sy), (bx, by) = ([_matrix(t.column(c)) for t in (outer, inner)] for c in ("sig", "bands"))
+        (nx, ny), (cx, cy), (kx, ky) = ([np.array(t.column(c).to_pylist(), object if c != "n" else np.int64) for t in (outer, inner)] for c in ("n", "component", "key"))
+        partners = set()
         for i in range(len(kx)):
-            ok = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= 80 * np.maximum(ny, nx[i])))
-            if len(ok):
-                agree = (sy[ok] == sx[i]).sum(axis=1)
-                best = np.argsort(-agree, kind="stable")
-                for j in ok[best[agree[best] >= LEAST_AGREEING * 2 * PERMUTATIONS][:tries]]:
-                    a_keys.append(min(kx[i], ky[j]))
-                    b_keys.append(max(kx[i], ky[j]))
-        if len(a_keys) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a_keys, pa.binary()), pa.array(b_keys, pa.binary())], schema=schema)
-            a_keys, b_keys = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a_keys, pa.binary()), pa.array(b_keys, pa.binary())], schema=schema)
+            ok = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= 80 * np.maximum(ny, nx[i])) & ((by == bx[i]).argmax(axis=1) == cell[0]))
+            agree = (sy[ok] == sx[i]).sum(axis=1)
+            best = np.argsort(-agree, kind="stable")
+            found = ok[best[agree[best] >= LEAST_AGREEING * 2 * PERMUTATIONS]]
+            if len(found):
+                rows.append((*cell, kx[i], cx[i], [ky[j] for j in found]))
+                partners.update(found.tolist())
+        rows += [(*cell, ky[j], cy[j], None) for j in sorted(partners)]
+        if len(rows) > 5000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _links(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of each block's candidates the links that are confirmed and join what no other of its links has joined."""
+    found: list[tuple[bytes, bytes]] = []
+    for block in _runs(batches, _CELL):
+        keys, parts, partners = (block.column(c).to_pylist() for c in ("key", "component", "partners"))
+        sets = {k: np.asarray(x.values) for k, x in zip(keys, block.column("shingles"), strict=True)}
+        component = dict(zip(keys, parts, strict=True))
+        root = {c: c for c in parts}
+
+        def top(c: bytes, root=root) -> bytes:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for a, others in zip(keys, partners, strict=True):
+            for b in others or ():
+                x, y = top(component[a]), top(component[b])
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    root[x] = y
+                    found.append((min(a, b), max(a, b)))
+    yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)], schema=schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,15 +193,14 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: each neighbour above a node points to the smallest neighbour.
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         # Small star: a node and its neighbours below it point to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
-        found = materialize(small.where("a <> b").distinct())
-        # Done once every node has one neighbour below it that is nobody's upper end.
-        left = found.join(found.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() + found.groupBy("a").count().where("count > 1").limit(1).count()
-        edges = found
-        if not left:
+        edges = materialize(small.where("a <> b").distinct())
+        # Done once every node has one neighbour below it that has none.
+        ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        if not ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").limit(1).count():
             break
     return edges.select(F.col("a").alias("key"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct())
 
@@ -188,46 +222,45 @@ def link(docs: DataFrame, *, width: int = 5) -> DataFrame:
     some = sketches.where("n > 0 and doc_id is not null")
     classes = materialize(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
 
-    banded = classes.select("key", "n", F.posexplode("bands").alias("band", "hash"))
+    # A bucket's rows: only of buckets with several classes.
+    banded = classes.select("key", F.posexplode("bands").alias("band", "hash"))
     pivots = banded.groupBy("band", "hash").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(banded.join(pivots, ["band", "hash"]).select("band", "hash", "pivot", "key", "n"))
-    sig = lambda c: classes.select(F.col("key").alias(c), F.col("sig").alias(f"{c}_sig"), F.col("n").alias(f"{c}_n"))
-    pairs = buckets.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    kind, arrow = row_type("a binary, b binary, agree int")
-    near = pairs.join(sig("b"), "b").join(sig("a"), "a").where("100 * least(a_n, b_n) >= 80 * greatest(a_n, b_n)").select("a", "b", "a_sig", "b_sig")
-    near = near.mapInArrow(lambda it: _agreement(it, arrow), kind).where(F.col("agree") >= LEAST_AGREEING * 2 * PERMUTATIONS)
-    tried = materialize(near.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("x")).select("x.a", "b"))
+    buckets = materialize(banded.join(pivots, ["band", "hash"]).select("band", "hash", "pivot", "key"))
+    shared = buckets.where("key <> pivot").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") >= PIVOT_BANDS)
+    pairs = materialize(shared.groupBy("key").agg(F.max(F.struct("bands", "pivot")).alias("x")).select(F.col("x.pivot").alias("a"), F.col("key").alias("b")))
 
     # Sets are made of the classes that share a bucket with another, from one text each.
-    wanted = classes.join(buckets.select("key").distinct(), "key", "left_semi").select("doc_id")
+    wanted = materialize(classes.join(buckets.select("key").distinct(), "key", "left_semi").select("doc_id"))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     kind, arrow = row_type("key binary, shingles array<long>")
     sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width, arrow), kind))
     if sets.count() != sets.select("key").distinct().count():  # repeated rows
         sets = materialize(sets.dropDuplicates(["key"]))
 
-    edges, tries, new = None, FIRST_TRIES, tried
-    kind, arrow = row_type("a binary, b binary")
-    while True:
-        found = _confirmed(new, sets)
-        edges = materialize(found if edges is None else edges.union(found))
-        labels = materialize(components(edges))
-        member = buckets.join(labels, "key", "left").select("band", "hash", "key", "n", F.coalesce("component", "key").alias("component"))
-        # The largest component of each bucket that has several is only compared with, by salted counts.
-        sizes = member.groupBy("band", "hash", "component").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("top")).where("parts > 1")
-        mixed = mixed.select("band", "hash", F.col("top.component").alias("most"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-        live = member.join(mixed, ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        live = live.join(classes.select("key", "sig"), "key")
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        outer = live.where("component <> most").select("*", F.col("own").alias("outer_block"), F.explode(every).alias("inner_block")).withColumn("outer", F.lit(True)).withColumn("inner", F.col("own") == F.col("inner_block"))
-        inner = live.select("*", F.explode(every).alias("outer_block"), F.col("own").alias("inner_block")).withColumn("outer", F.lit(False)).withColumn("inner", F.lit(True)).where("component = most or outer_block <> own")
-        cells = outer.unionByName(inner).select("band", "hash", "outer_block", "inner_block", "key", "n", "component", "sig", "outer", "inner")
-        cells = cells.repartition("band", "hash", "outer_block", "inner_block").sortWithinPartitions("band", "hash", "outer_block", "inner_block")
-        more = cells.mapInArrow(lambda it, t=tries: _compare(it, t, arrow), kind).distinct()
-        new = materialize(more.join(tried, ["a", "b"], "left_anti"))
-        if not new.limit(1).count():
-            break
-        tried, tries = materialize(tried.union(new)), 8 * tries
+    # Each class has one pivot at most, a smaller one: two jumps up these trees give components that will do here.
+    edges = materialize(_confirmed(pairs, sets))
+    labels = edges.select(F.col("b").alias("key"), F.col("a").alias("component"))
+    for _ in range(2):
+        above = labels.select(F.col("key").alias("component"), F.col("component").alias("top"))
+        labels = labels.join(above, "component", "left").select("key", F.coalesce("top", "component").alias("component"))
+    labels = materialize(labels)
+    member = buckets.join(labels, "key", "left").select("band", "hash", "key", F.coalesce("component", "key").alias("component"))
+    # The largest component of each bucket that has several is only compared with; counts are summed before the shuffle.
+    sizes = member.groupBy("band", "hash", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("top")).where("parts > 1")
+    mixed = mixed.select("band", "hash", F.col("top.component").alias("most"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    live = member.join(mixed, ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    live = live.join(classes.select("key", "n", "sig", F.col("bands").alias("all_bands")), "key")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    outer = live.where("component <> most").select("*", F.col("own").alias("outer_block"), F.explode(every).alias("inner_block")).withColumn("outer", F.lit(True)).withColumn("inner", F.col("own") == F.col("inner_block"))
+    inner = live.select("*", F.explode(every).alias("outer_block"), F.col("own").alias("inner_block")).withColumn("outer", F.lit(False)).withColumn("inner", F.lit(True)).where("component = most or outer_block <> own")
+    cells = outer.unionByName(inner).select(*_CELL, "key", "n", "component", "sig", F.col("all_bands").alias("bands"), "outer", "inner")
+    kind, arrow = row_type("band int, hash long, outer_block int, inner_block int, key binary, component binary, partners array<binary>")
+    found = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda it: _candidates(it, arrow), kind)
+    kind, pair = row_type("a binary, b binary")
+    checked = found.join(sets, "key").repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda it: _links(it, pair), kind)
+    labels = components(edges.union(checked.distinct()))
 
     roots = classes.select("key", "doc_id").join(labels, "key")
     least = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
