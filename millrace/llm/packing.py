@@ -30,6 +30,8 @@ from millrace.llm._text import IS_SPACED, SPACED, Words, row_type, words_of
 from millrace.session import materialize
 
 WINDOW = 2048
+#: Rows of (partition, source) offsets up to which they are broadcast, 40 MB at most.
+MOST_BROADCAST = 1_000_000
 #: Words a worker remembers with their ids; what it has not seen lately is encoded again.
 CACHED_WORDS = 800_000
 
@@ -249,6 +251,9 @@ def pack(docs: DataFrame, tokenizer: str, *, end_token: int = 1, window: int = W
     parts = sums.groupBy("queue", "pid").agg(F.sum("tokens").alias("tokens")).select("queue", "pid", F.coalesce(F.sum("tokens").over(over), F.lit(0)).alias("part_at"))
     at = sums.withColumn("source_at", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(parts, ["queue", "pid"]).select("pid", "source", "queue", (F.col("part_at") + F.col("source_at")).alias("queue_at"))
 
+    at = materialize(at)
+    if at.count() <= MOST_BROADCAST:  # else both sides are shuffled
+        at = F.broadcast(at)
     placed = tokens.join(at, ["pid", "source"]).select("doc_id", "source", "queue", (F.col("queue_at") + F.col("before")).alias("begin"), "n", "ids")
     result, cut_arrow = row_type("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", doc_id=id_type)
     wide = WordEncoder(tokenizer).kind.itemsize
