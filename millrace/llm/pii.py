@@ -39,17 +39,18 @@ FIRST = {
 SYLLABLES = {"latin": "bar den fel gor han jas kel lor mar nev por ros sel tor van wes".split(), "cyrillic": "бар ден фел гор хан яс кел лор мар нев пор рос сел тор ван вес".split()}
 
 _NAME = r"(?:\p{Lu}[\p{L}'-]+)(?: \p{Lu}[\p{L}'-]+)?"
-#: One alternative for each type, in this order; texts are searched once from left to right.
+#: The types. All begin with a letter, a digit or _ that none comes before; of a phone number the national part counts.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:{TITLES['m']}|{TITLES['f']})\.? {_NAME}",
+    "email": r"[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "phone": r"\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<!\d-)\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
+    "name": rf"(?:{TITLES['m']}|{TITLES['f']})\.? {_NAME}",
 }
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Texts are searched once from left to right; only where a word begins, and by its first character, a type is tried.
+_ANY = r"(?<![\p{L}\p{N}_])(?:%(email)s|(?=\d)(?:%(ip)s|%(phone)s|%(ssn)s|%(card)s)|(?=[0-9A-Fa-f])%(secret)s|(?=\p{Lu})%(name)s)" % PATTERNS
 _HEX = "0123456789abcdef"
 
 
