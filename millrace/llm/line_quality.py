@@ -48,11 +48,11 @@ def line_fails(line: str) -> str | None:
         return None
     if low.upper() == low:
         return "letters"
-    if len(_symbols.findall(line)) > 0.4 * n and n > 2:
-        return "symbols"
     bars = len(_bars.findall(line))
     if bars > 2 and bars > 0.2 * n or n <= NAVIGATION_WORDS and _navigation.match(low):
         return "navigation"
+    if len(_symbols.findall(line)) > 0.4 * n and n > 2:
+        return "symbols"
     if n <= BOILERPLATE_WORDS and _boilerplate.search(low):
         return "boilerplate"
     if n >= 5 and line == line.upper():
