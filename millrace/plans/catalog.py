@@ -371,10 +371,9 @@ def text_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of at most 500 characters: their lengths add up to the text's, and together they are the text."""
     ends = docs_functions.column(lambda t: docs_functions.chunk_offsets(t, 500), "array<int>")
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", ends("text").alias("ends"))
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.element_at("ends", i))
-    chunks = F.transform("ends", lambda e, i: F.substring(F.col("text"), begin(i) + 1, e - begin(i)))
-    return rows.select("doc_id", F.aggregate(chunks, F.lit(0).cast("long"), lambda n, c: n + F.length(c)).alias("chars"), (F.array_join(chunks, "") == F.col("text")).cast("int").alias("whole"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", docs_functions.sliced("text", ends("text")).alias("chunks"))
+    chars = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.length(c))
+    return rows.select("doc_id", chars.alias("chars"), (F.array_join("chunks", "") == F.col("text")).cast("int").alias("whole"))
 
 
 @query("SELECT page_id, url, TRUE AS same FROM pages")

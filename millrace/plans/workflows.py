@@ -27,8 +27,7 @@ def normalize(data: Dataset, *, most: int = 2000, tag: str | None = None) -> int
 
 def chunks(rows: DataFrame) -> DataFrame:
     """(uris, n, text): the chunks of normalized rows."""
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.element_at("chunk_offsets", i))
-    parts = F.transform("chunk_offsets", lambda e, i: F.substring(F.col("captions")[0], begin(i) + 1, e - begin(i)))
+    parts = df.sliced(F.col("captions")[0], "chunk_offsets")
     return rows.select("uris", F.posexplode(parts).alias("n", "text"))
 
 
