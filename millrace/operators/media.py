@@ -246,3 +246,24 @@ def layer_class(layer: Column) -> Column:
     for condition, label in rules:
         found = found.when(condition, label)
     return found.otherwise(name)
+
+
+def layer_features(pixels: DataFrame, by: str) -> DataFrame:
+    """(by, coverage, saturation, entropy) of layers' pixels (by, r, g, b, a; 0 to 255).
+
+    Coverage is the share of pixels whose alpha is above 10; the other two are of those. Entropy is that of the
+    colours' codes of 4 bits a channel in at most 256 bins of equal width between the least and the greatest code.
+    Counts are summed before the shuffle: a layer gives at most 4097 rows.
+    """
+    seen = F.col("a") > 10
+    top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    code = F.floor(F.col("r") / 16) * 256 + F.floor(F.col("g") / 16) * 16 + F.floor(F.col("b") / 16)
+    rows = pixels.select(by, F.when(seen, code).alias("code"), F.when(seen, F.when(top > 0, (top - low) / top).otherwise(0.0)).alias("saturation"))
+    counted = rows.groupBy(by, "code").agg(F.count(F.lit(1)).alias("n"), F.sum("saturation").alias("saturation"))
+    layers = counted.groupBy(by).agg(F.sum("n").alias("every"), F.coalesce(F.sum(F.when(F.col("code").isNotNull(), F.col("n"))), F.lit(0)).alias("visible"), F.sum("saturation").alias("saturation"), F.min("code").alias("least"), F.max("code").alias("most"))
+    bins = F.least(F.lit(256), F.col("visible"))
+    at = F.when(F.col("most") > F.col("least"), F.least(bins - 1, F.floor((F.col("code") - F.col("least")) * bins / (F.col("most") - F.col("least"))))).otherwise(0)
+    binned = counted.where("code is not null").join(layers.select(by, "visible", "least", "most"), by).groupBy(by, "visible", at.alias("bin")).agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.col("visible")
+    entropy = binned.groupBy(by).agg(F.sum(-share * F.log2(share)).alias("entropy"))
+    return layers.join(entropy, by, "left").select(by, (F.col("visible") / F.col("every")).alias("coverage"), F.coalesce(F.col("saturation") / F.nullif(F.col("visible"), F.lit(0)), F.lit(0.0)).alias("saturation"), F.coalesce("entropy", F.lit(0.0)).alias("entropy"))

@@ -9,15 +9,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import schema
 from millrace.functions import documents as docs_functions
 from millrace.functions import text as tx
-from millrace.operators import answers, captions, media, tags
+from millrace.operators import answers, captions, media, outcomes, tags
 from millrace.session import read_table, shared_dir
-from millrace.sources import assets, versions
+from millrace.sources import assets, discovery, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,7 +276,7 @@ def directory_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Time lines, buckets, numbers
 
 
-@query("SELECT event_id, CASE WHEN value <= 10 THEN 10.0 WHEN value <= 25.5 THEN 25.5 WHEN value <= 40 THEN 40.0 ELSE 60.0 END AS bucket FROM events")
+@query("SELECT event_id, CASE WHEN value <= 10 THEN 10.0 WHEN value <= 25.5 THEN 25.5 WHEN value <= 40 THEN 40.0 ELSE 60.0 END::DOUBLE AS bucket FROM events")
 def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", media.bucket(F.col("value"), [40.0, 10.0, 25.5, 60.0]).alias("bucket"))
 
@@ -505,3 +505,162 @@ def provider_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(kind == "view", "audio/wav").otherwise("image/png").alias("mime"), F.when(kind == "click", "EYES").when(kind == "purchase", "ears").alias("route"))
     known = spark.createDataFrame([("vision", ["eyes"], "image/", 5), ("any", None, "image/", 1), ("ears", [], "audio/", 9)], "name string, aliases array<string>, prefix string, priority int")
     return answers.routed(jobs, known).select(F.col("id").alias("event_id"), "provider")
+
+
+# Outcomes
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'srt ' || event_id WHEN event_type = 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'said' ELSE 'long' END ELSE CASE WHEN event_id % 3 = 0 THEN 'short' ELSE 'No description available' END END AS shown FROM events""")
+def structured_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, n = F.col("event_type"), F.col("event_id")
+    shown = outcomes.structured_text(
+        F.when(kind == "click", " AST "), F.lit(None).cast("string"), F.when((kind == "view") & (n % 2 == 0), ".srt"),
+        translation_srt=F.when(kind == "click", F.concat(F.lit("srt "), n.cast("string"))).otherwise(""), transcript=F.when(kind == "view", "said"),
+        long_description=F.when(kind == "view", "long"), short_description=F.when((n % 3 == 0), "short"))
+    return read_table(spark, sf_dir, "events").select("event_id", shown.alias("shown"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN left(text, 20) END AS short, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 3 = 1 THEN 'long' ELSE coalesce(source, 'x') END END AS long FROM documents""")
+def caption_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, none = F.col("doc_id"), F.lit(None).cast("string")
+    mode = F.when(n % 3 == 0, "short").when(n % 3 == 1, "long").otherwise("all")
+    left = outcomes.descriptions(mode, F.left("text", F.lit(20)), none, F.when(n % 3 == 1, "long"), none, F.coalesce("source", F.lit("x")))
+    return read_table(spark, sf_dir, "documents").select("doc_id", left["short_description"].alias("short"), left["long_description"].alias("long"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 <> 0 THEN 'text ' || event_id END AS description, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END END::DOUBLE AS average FROM events""")
+def displayed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    shown = outcomes.displayed(F.when(F.col("event_type") == "click", "image").otherwise("video"), F.lit(True), F.lit(False), n % 2 == 0, F.when(n % 5 == 0, " ").otherwise(F.concat(F.lit(" text "), n.cast("string"))), F.lit(""), F.when(n % 7 == 0, "none").otherwise(F.col("value").cast("string")))
+    return read_table(spark, sf_dir, "events").select("event_id", shown["description"].alias("description"), shown["average_score"].alias("average"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'ast' ELSE 'transcribe' END AS task_kind, CASE WHEN role = 'user' OR turn % 4 = 1 THEN '.srt' ELSE '.txt' END AS extension, CASE WHEN role = 'user' OR turn % 4 = 1 THEN 'srt' ELSE '' END AS format FROM conversations WHERE trim(text) <> ''""")
+def audio_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.when((F.col("turn") % 4 == 1) & (F.trim("text") != ""), F.concat(F.lit("0 --> 1\n"), "text")).otherwise(F.col("text"))
+    out = outcomes.audio_outcome(answer, F.lit("audio/wav"), F.when(F.col("role") == "user", "AST").otherwise("transcribe"))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", out.alias("o")).where("o is not null")
+    return rows.select("conv_id", "turn", F.col("o.task_kind").alias("task_kind"), F.col("o.caption_extension").alias("extension"), F.col("o.subtitle_format").alias("format"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'a' || chr(10) || chr(10) || role WHEN turn % 3 = 1 THEN role END AS transcript FROM conversations""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn") % 3
+    answer = F.when(turn == 0, F.concat(F.lit("<think>x\ny</think>a\n\n\n\n"), "role", F.lit("\n"))).when(turn == 1, F.concat(F.lit("Here:\n```text\n"), "role", F.lit("\n```\nDone"))).otherwise("<think>only</think> \n")
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", outcomes.transcript(answer).alias("transcript"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN '1' || chr(10) || '<font color=''green''>' || role || '</font>' END AS subtitles FROM conversations""")
+def subtitle_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn") % 3
+    answer = F.concat(F.when(turn == 0, "```srt\n").when(turn == 1, "So:\n```markdown\n").otherwise("```text\n"), F.lit("1\n[green]"), "role", F.lit("[/green]\n```"))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", outcomes.subtitle_answer(answer).alias("subtitles"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name WHEN p_partkey % 4 IN (1, 2) THEN 'From 0.5 to ' || p_size || '.0.' ELSE '' END AS description, CASE WHEN p_partkey % 4 = 1 OR p_partkey % 4 = 2 THEN p_size::DOUBLE END AS until,
+'Scene: ' || p_brand || chr(10) || 'Events:' || chr(10) || '<0.5 - ' || p_size || '.0> one' || chr(10) || 'two' AS scene FROM part""")
+def grounded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    span = F.when(n.isin(1, 2), F.array(F.lit("0.5"), size)).when(n == 3, F.array(F.lit("soon"), size))
+    event = lambda a, b, t: F.struct(F.lit(a).alias("start"), b.alias("end"), F.lit(t).alias("description"))
+    events = F.array(event("0.5", size, " one "), event("late", size, "two"), event("1", size, " "))
+    out = outcomes.grounded(F.when(n == 0, F.col("p_name")).when(n == 2, "<think>?</think>"), span)
+    return read_table(spark, sf_dir, "part").select("p_partkey", out["description"].alias("description"), out["span"][1].alias("until"), outcomes.scene_text(F.col("p_brand"), events).alias("scene"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 59.0 WHEN 'view' THEN 2.0 WHEN 'purchase' THEN NULL WHEN 'signup' THEN NULL ELSE 2.0 END::DOUBLE AS wait FROM events""")
+def error_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    message = F.when(kind == "click", "HTTP 429: slow down").when(kind == "view", "502 Bad Gateway").when(kind == "purchase", "Error 401").when(kind == "signup", "Invalid parameters given").otherwise("port 4030 timed out")
+    rows = read_table(spark, sf_dir, "events").select("event_id", outcomes.error_wait(message, 2.0).alias("wait"))
+    return rows.where(F.coalesce(F.abs(outcomes.jittered(F.col("wait"), F.col("event_id")) / F.col("wait") - 1) < 0.2 + 1e-9, F.lit(True)))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60000 END::BIGINT AS direct_ms, o_orderkey % 3 = 1 AS bypass FROM orders WHERE o_orderkey % 100 > 0""")
+def segment_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    video = n % 3 == 0
+    rule = outcomes.segment_policy(F.when(video, "video/mp4").when(n % 3 == 1, "image/png").otherwise("audio/wav"), F.when(video & (n % 2 == 0), None).otherwise(n % 100), F.lit(60.0), F.array(F.lit("image/")))
+    return read_table(spark, sf_dir, "orders").where(n % 100 > 0).select("o_orderkey", rule["seconds"].alias("seconds"), rule["direct_ms"].alias("direct_ms"), rule["bypass"].alias("bypass"))
+
+
+@query("SELECT p_partkey, 'mood=0,light=' || p_size || ',extra=1.5' AS scores FROM part")
+def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.create_map(F.lit(" extra "), F.lit("1.5"), F.lit("light"), F.col("p_size").cast("string"), F.lit("mood"), F.lit("-3"), F.lit(" "), F.lit("9"))
+    entries = outcomes.ordered_scores(outcomes.score_map(raw), ("mood", "absent", "light"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), outcomes.compact(e["value"]))), ",").alias("scores"))
+
+
+@query("SELECT d.doc_id, 'Describe ' || d.doc_id || CASE WHEN l.doc_id IS NULL THEN '' ELSE chr(10) || 'Existing tags: q' || max(l.quality) || ', t' || max(l.toxic) END AS prompt FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id, l.doc_id")
+def tag_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Describe "), F.col("doc_id").cast("string")).alias("prompt")).distinct()
+    marks = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    one = lambda c: F.array(F.concat(F.lit(c), F.col(c).cast("string")))
+    return outcomes.with_tag_hints(prompts, marks.select("doc_id", F.create_map(F.lit("quality"), one("q"), F.lit("toxic"), one("t")).alias("tags")), "doc_id", "prompt")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, unnest([role, ' ', left(replace(trim(text), chr(10), '/'), 9)]) AS line, unnest([1, 2, 3]) AS k FROM conversations)
+SELECT conv_id, count(*) AS n_texts, string_agg(trim(line), chr(10) ORDER BY turn, k) FILTER (WHERE trim(line) <> '') AS content FROM x GROUP BY conv_id""")
+def recognized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.col("role"), F.lit(" "), F.left(F.replace(F.trim("text"), F.lit("\n"), F.lit("/")), F.lit(9))).alias("texts"), F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)).alias("scores"), F.lit(None).cast("array<array<int>>").alias("boxes"))
+    return outcomes.recognized(pages, "conv_id", "turn").select("conv_id", F.size("texts").cast("long").alias("n_texts"), "content")
+
+
+@query("""SELECT page_id, 'See ![a](img/one_' || page_id % 7 || '.png) and ![b](other.png), ![](img/two.png)' AS markdown FROM pages""")
+def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(F.lit("raw one.png"), F.concat(F.lit("one_"), (F.col("page_id") % 7).cast("string"), F.lit(".png")), F.lit("2.png"), F.lit("two.png"))
+    return read_table(spark, sf_dir, "pages").select("page_id", outcomes.image_links(F.lit("See ![a]( raw one.png) and ![b](other.png), ![](x\\y/2.png)"), "img", names).alias("markdown"))
+
+
+# Discovery
+
+
+@query("""SELECT path FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'in/' ELSE 'out/' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN '.WAV' ELSE '.txt' END AS path FROM part) WHERE path LIKE 'in/%.WAV'""")
+def audio_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = read_table(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_size") % 2 == 0, "in/").otherwise("out/"), "p_name", F.when(F.col("p_partkey") % 3 == 0, ".WAV").otherwise(".txt")).alias("path"))
+    return discovery.inputs(paths, schema.AUDIO, outside="out")
+
+
+@query("SELECT 'a/' || o.doc_id || '.png' AS path, 'b/' || l.doc_id || '.png' AS reference FROM documents o JOIN labels l USING (doc_id)")
+def same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path")
+    return discovery.same_name(read_table(spark, sf_dir, "documents").select(path("a")), read_table(spark, sf_dir, "labels").select(path("b")))
+
+
+@query("SELECT 'asked' AS asked, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'empty', doc_id FROM documents WHERE lang = 'de'")
+def rebuilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with rows is taken; a scan without rows gives way to the table."""
+    docs = read_table(spark, sf_dir, "documents")
+    some, table, none = (docs.where(c).select("doc_id") for c in ("lang = 'en'", "lang = 'de'", "lang = 'no such language'"))
+    return discovery.rebuilt_from(some, table).select(F.lit("asked").alias("asked"), "doc_id").union(discovery.rebuilt_from(none, table).select(F.lit("empty"), "doc_id"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN 3 * 8 * p_size * 10 * 25 ELSE 2 * 16 * 44100 END::BIGINT AS rate, CASE p_partkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'application' END AS class, p_partkey % 4 <> 0 AS decoded FROM part""")
+def asset_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    video = n % 2 == 0
+    either = lambda a, b: F.when(video, a).otherwise(b)
+    rate = discovery.bit_rate(either(F.col("p_size"), 0), either(10, 0), either(3, 2), either(8, 16), F.when(n % 5 == 0, 0).otherwise(1000), either(25.0, 44100.0))
+    path = F.concat(F.lit("x"), F.when(n % 3 == 0, ".MD").when(n % 3 == 1, ".pdf").otherwise(".psd"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", rate.alias("rate"), discovery.text_class(path).alias("class"), discovery.needs_pixels(n % 4 == 1, n % 4 == 2, n % 4 == 3).alias("decoded"))
+
+
+@query("""SELECT o_custkey AS base, CASE WHEN min(o_orderkey) % 4 = 0 THEN NULL ELSE min(o_orderkey) FILTER (WHERE o_orderkey % 4 IN (1, 3)) END AS place FROM orders GROUP BY o_custkey""")
+def output_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as folders: of each customer the first usable one, none where the first of all is another run's."""
+    n = F.col("o_orderkey")
+    first = F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("base"), F.when(n == first, 0).otherwise(n).alias("place"), n.cast("string").alias("path"), F.when(n % 4 == 0, "other").when(n % 4 == 1, "own").alias("settings"), F.when(n % 4 == 2, 5).otherwise(0).alias("files"))
+    return discovery.output_folder(rows, F.lit("own")).select("base", F.col("path").cast("long").alias("place"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id % 256 AS r, event_id // 3 % 256 AS g, event_id // 7 % 256 AS b, event_id % 40 > 10 AS seen FROM events),
+c AS (SELECT user_id, seen, r // 16 * 256 + g // 16 * 16 + b // 16 AS code, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END AS sat FROM p),
+l AS (SELECT user_id, count(*) FILTER (seen) / count(*) AS coverage, avg(sat) FILTER (seen) AS saturation, count(*) FILTER (seen) AS n, min(code) FILTER (seen) AS lo, max(code) FILTER (seen) AS hi FROM c GROUP BY user_id),
+b AS (SELECT user_id, n, CASE WHEN hi > lo THEN least(least(256, n) - 1, floor((code - lo) * least(256, n) / (hi - lo))) ELSE 0 END AS bin, count(*) AS k FROM c JOIN l USING (user_id) WHERE seen GROUP BY ALL),
+e AS (SELECT user_id, sum(-(k / n) * log2(k / n)) AS entropy FROM b GROUP BY user_id)
+SELECT user_id, round(coverage, 6) AS coverage, round(coalesce(saturation, 0), 6) AS saturation, round(coalesce(entropy, 0), 6) AS entropy FROM l LEFT JOIN e USING (user_id)""")
+def layer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    pixels = read_table(spark, sf_dir, "events").select("user_id", (n % 256).alias("r"), (F.floor(n / 3) % 256).alias("g"), (F.floor(n / 7) % 256).alias("b"), (n % 40).alias("a"))
+    return media.layer_features(pixels, "user_id").select("user_id", *(F.round(c, 6).alias(c) for c in ("coverage", "saturation", "entropy")))
