@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import string
 import uuid
 
@@ -113,10 +115,54 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def _op9_sql() -> str:
+    rows = []
+    for k, (text, label) in enumerate([*licenses.PHRASES, *licenses.TEMPLATES]):
+        words = re.findall("[0-9a-z]+", text.lower())
+        rows += [f"({k}, '{label}', {k < len(licenses.PHRASES)}, {len(words) - 1}, {i}, '{a} {b}')" for i, (a, b) in enumerate(itertools.pairwise(words))]
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws FROM documents),
+p AS (SELECT row, k - 1 AS place, ws[k] || ' ' || ws[k + 1] AS pair FROM (SELECT row, ws, unnest(range(1, len(ws))) AS k FROM w)),
+t AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(template, label, base, pairs, own, pair)),
+v AS (SELECT row, template, label, base, pairs, place - own AS diagonal, count(*) AS votes, min(place) AS first, max(place) AS last FROM p JOIN t USING (pair) GROUP BY ALL),
+d AS (SELECT *, CASE WHEN base THEN 1 ELSE (coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {licenses.NEIGHBOURS}, true))::INT END AS apart FROM v WHERE CASE WHEN base THEN votes = pairs ELSE votes >= least(2, pairs) END),
+s AS (SELECT *, sum(apart) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM d),
+f AS (SELECT row, label, base, least(1.0, sum(votes) / pairs) AS coverage, min(first) AS begin, max(last) + 2 AS until, pairs FROM s GROUP BY row, template, label, base, pairs, span),
+g AS (SELECT * FROM f WHERE base OR coverage >= {licenses.MIN_COVERAGE} AND until - begin <= 2 * (pairs + 1)),
+o AS (SELECT row, count(*) FILTER (base) AS n_base, min(begin) FILTER (base) AS first_word, max(begin) FILTER (base) AS last_word, list_distinct(list(label) FILTER (base)) AS base_labels, list_distinct(list(label)) AS labels, max(coverage) AS score FROM g GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base_labels, [])), ',') AS base_labels, array_to_string(list_sort(coalesce(labels, [])), ',') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM w LEFT JOIN o USING (row)
+"""
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def _op10_sql() -> str:
+    space = r"[\x09-\x0D\x1C-\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    word = rf"[^{space[1:]}+"
+    any_of = lambda words: "|".join(words)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM t),
+g AS (SELECT row, unnest(range(1, len(ws) - 1)) AS k, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) AS gram FROM w),
+r AS (SELECT row, count(DISTINCT place) AS n_repeat_words FROM (SELECT row, unnest([k, k + 1, k + 2]) AS place FROM (SELECT row, k FROM g QUALIFY count(*) OVER (PARTITION BY row, gram) > 1)) GROUP BY row),
+l AS (SELECT row, unnest(range(len(x))) AS place, unnest(x) AS line FROM (SELECT row, string_split(text, chr(10)) AS x FROM t)),
+b AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+m AS (SELECT *, lower(line) AS low, regexp_extract_all(line, '{word}') AS words, regexp_replace(regexp_replace(line, '^{space}+', ''), '{space}+$', '') AS bare, len(regexp_extract_all(line, '[|»›•·]')) AS bars, len(regexp_extract_all(line, '[#*$%&|<>{{}}=~^\\]')) AS symbols FROM l),
+j AS (SELECT *, len(words) AS n, row_number() OVER (PARTITION BY row, bare ORDER BY place) > 1 AS again FROM m),
+q AS (SELECT row, line, n > 0 AND (again OR upper(low) = low OR bars > 2 AND 5 * bars > n
+  OR n <= {line_quality.NAVIGATION_WORDS} AND regexp_matches(low, '^[^\pL\pN_]*(?:{any_of(line_quality.NAVIGATION)})(?:[^\pL\pN_]|$)')
+  OR n > 2 AND 5 * symbols > 2 * n OR n <= {line_quality.BOILERPLATE_WORDS} AND regexp_matches(low, '{any_of(line_quality.BOILERPLATE)}')
+  OR n >= 5 AND line = upper(line) OR n >= 12 AND NOT regexp_matches(line, '[.!?;…。！？]') OR n >= 20 AND 10 * len(list_distinct(list_transform(words, lambda x: lower(x)))) < 3 * n) AS fails FROM j),
+k AS (SELECT row, count(*) FILTER (fails) AS lines_removed, greatest(coalesce(sum(length(line) + 1) FILTER (NOT fails), 0) - 1, 0) AS n_left FROM q GROUP BY row),
+o AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed, lines_removed, 2 * n_left >= length(text) AS enough FROM t JOIN w USING (row) JOIN k USING (row) LEFT JOIN r USING (row) LEFT JOIN b USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lines_removed, NOT base_failed AND enough AS kept FROM o
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -130,4 +176,4 @@ QUERIES = {
     "op10_line_quality": op10_line_quality,
 }
 
-ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": _op9_sql(), "op10_line_quality": _op10_sql()}
