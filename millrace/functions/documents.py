@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,8 +91,14 @@ def _cut_at(text: str, lo: int, most: int, hi: int) -> int:
 
 def _split(text: str, lo: int, hi: int, most: int) -> Iterator[int]:
     """Ends of pieces of text[lo:hi]: at sentences, and within longer ones wherever it goes."""
-    guarded = [(m.start() + lo, m.end() + lo) for m in _GUARDED.finditer(text[lo:hi])]
-    ends = [m.end() + lo for m in _SENTENCE_END.finditer(text[lo:hi]) if not any(a <= m.start() + lo < b for a, b in guarded)]
+    part = text[lo:hi]
+    # Both lists are in order and disjoint; only texts with a slash or backslash can hold what is guarded.
+    guarded = [m.span() for m in _GUARDED.finditer(part)] if "/" in part or "\\" in part else []
+    begins, ends = [a for a, _ in guarded], []
+    for m in _SENTENCE_END.finditer(part):
+        before = bisect_right(begins, m.start()) - 1 if begins else -1
+        if before < 0 or m.start() >= guarded[before][1]:
+            ends.append(m.end() + lo)
     at = lo
     for end in [*ends, hi]:
         while end - at > most:
