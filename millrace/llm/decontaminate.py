@@ -9,7 +9,8 @@ after all terms is an exact occurrence. A proximity match lets terms stand up to
 and a fifth of them be missing, but not the rarest.
 
 The benchmark is the stated query set. It is read in blocks of at most `BLOCK_WORDS` words; each block goes to
-the tasks whole, and the results of several blocks are joined by document.
+the tasks whole (some 55 MB for a block of windows of 10 words), and the results of several blocks are joined by
+document.
 
 Defined results: null and empty texts have no words and no hits; items without words never occur; equal
 windows of several items count for each of them; items with one id count once; repeated rows and doc_ids are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm._text import ALNUM, IS_ALNUM, row_type, word_hashes, words_of
 from millrace.session import materialize
 
-WINDOW, SLACK, BLOCK_WORDS = 10, 3, 4_000_000
+WINDOW, SLACK, BLOCK_WORDS = 10, 3, 1_000_000
 
 
 def _segments(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -54,7 +55,7 @@ class Windows:
         self.vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.uint64)
         rows: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, (_, hashes) in enumerate(items):
-            terms = np.searchsorted(self.vocabulary, hashes).astype(np.int64)
+            terms = np.searchsorted(self.vocabulary, hashes).astype(np.int32)
             n = min(window, len(terms))
             rows.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(terms, n), k))
         self.groups = []
@@ -69,8 +70,8 @@ class Windows:
         """Plan each window's lookups from its rarest term on."""
         plans = []
         for n, windows, pairs in self.groups:
-            order = np.argsort(frequency[windows], axis=1, kind="stable")
-            rarest = np.take_along_axis(windows, order[:, :1], 1).ravel()
+            order = np.argsort(frequency[windows], axis=1, kind="stable").astype(np.min_scalar_type(n))
+            rarest = np.take_along_axis(windows, order[:, :1].astype(np.int64), 1).ravel()
             by = np.argsort(rarest, kind="stable")
             plans.append((n, windows[by], order[by], rarest[by], [pairs, np.argsort(by, kind="stable")]))
         self.plans = [(n, w, o, r, self._owners(p, inverse, len(w))) for n, w, o, r, (p, inverse) in plans]
@@ -100,20 +101,21 @@ def intersect(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, firs
         return (start >= 0) & (own >= 0) & (own < len(first) - 1) & (start + n <= first[np.clip(own + 1, 0, len(first) - 1)])
 
     for n, spec, order, rarest, (owner_at, owner) in windows.plans:
-        lo, hi = np.searchsorted(rarest, terms), np.searchsorted(rarest, terms, side="right")
+        own_terms = terms.astype(rarest.dtype)
+        lo, hi = np.searchsorted(rarest, own_terms), np.searchsorted(rarest, own_terms, side="right")
         has = hi > lo
         window, own = _spread(lo[has], hi[has])
         if not len(window):
             continue
         posting, pick = _spread((ends - counts)[has][own], ends[has][own])
         window = window[pick]
-        start = positions[posting].astype(np.int64) - order[window, 0]
+        start = positions[posting].astype(np.int64) - order[window, 0].astype(np.int64)
         missed, whole = np.zeros(len(start), np.int64), documents(start, n)
         start, window, missed, strict = start[whole], window[whole], missed[whole], np.ones(int(whole.sum()), bool)
         for level in range(1, n):
             if not len(start):
                 break
-            offset = order[window, level]
+            offset = order[window, level].astype(np.int64)
             key = (spec[window, offset].astype(np.int64) << 32) | (start + offset)
             at = np.minimum(np.searchsorted(postings, key), len(postings) - 1)
             here = postings[at] == key
