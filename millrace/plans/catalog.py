@@ -576,12 +576,12 @@ def error_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.coalesce(F.abs(outcomes.jittered(F.col("wait"), F.col("event_id")) / F.col("wait") - 1) < 0.2 + 1e-9, F.lit(True)))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60000 END::BIGINT AS direct_ms, o_orderkey % 3 = 1 AS bypass FROM orders WHERE o_orderkey % 100 > 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60.0 END::DOUBLE AS direct_seconds, o_orderkey % 3 = 1 AS bypass FROM orders WHERE o_orderkey % 100 > 0""")
 def segment_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey")
     video = n % 3 == 0
     rule = outcomes.segment_policy(F.when(video, "video/mp4").when(n % 3 == 1, "image/png").otherwise("audio/wav"), F.when(video & (n % 2 == 0), None).otherwise(n % 100), F.lit(60.0), F.array(F.lit("image/")))
-    return read_table(spark, sf_dir, "orders").where(n % 100 > 0).select("o_orderkey", rule["seconds"].alias("seconds"), rule["direct_ms"].alias("direct_ms"), rule["bypass"].alias("bypass"))
+    return read_table(spark, sf_dir, "orders").where(n % 100 > 0).select("o_orderkey", rule["seconds"].alias("seconds"), (rule["direct_ms"] / 1000).alias("direct_seconds"), rule["bypass"].alias("bypass"))
 
 
 @query("SELECT p_partkey, 'mood=0,light=' || p_size || ',extra=1.5' AS scores FROM part")
@@ -645,13 +645,13 @@ def asset_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select("p_partkey", rate.alias("rate"), discovery.text_class(path).alias("class"), discovery.needs_pixels(n % 4 == 1, n % 4 == 2, n % 4 == 3).alias("decoded"))
 
 
-@query("""SELECT o_custkey AS base, CASE WHEN min(o_orderkey) % 4 = 0 THEN NULL ELSE min(o_orderkey) FILTER (WHERE o_orderkey % 4 IN (1, 3)) END AS place FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS base, CASE WHEN min(o_orderkey) % 4 = 0 THEN NULL ELSE min(o_orderkey) FILTER (WHERE o_orderkey % 4 IN (1, 3)) END::VARCHAR AS path FROM orders GROUP BY o_custkey""")
 def output_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as folders: of each customer the first usable one, none where the first of all is another run's."""
     n = F.col("o_orderkey")
     first = F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
     rows = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("base"), F.when(n == first, 0).otherwise(n).alias("place"), n.cast("string").alias("path"), F.when(n % 4 == 0, "other").when(n % 4 == 1, "own").alias("settings"), F.when(n % 4 == 2, 5).otherwise(0).alias("files"))
-    return discovery.output_folder(rows, F.lit("own")).select("base", F.col("path").cast("long").alias("place"))
+    return discovery.output_folder(rows, F.lit("own")).select("base", "path")
 
 
 @query("""WITH p AS (SELECT user_id, event_id % 256 AS r, event_id // 3 % 256 AS g, event_id // 7 % 256 AS b, event_id % 40 > 10 AS seen FROM events),
