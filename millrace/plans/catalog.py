@@ -337,11 +337,16 @@ def fitted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("s", media.fit(F.col("w"), F.col("h"), long_edge=1024)).select("p_partkey", "s.width", "s.height", media.floored(F.col("w")).alias("floor_width"))
 
 
+@query("SELECT l_orderkey, l_linenumber, [trunc(l_quantity * 0.5)::INT, (l_partkey * 2.0)::INT]::VARCHAR AS box FROM lineitem")
+def rescaled_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = media.rescale(F.array(F.col("l_quantity"), F.col("l_partkey").cast("double")), F.lit(100), F.lit(100), F.lit(50), F.lit(200))
+    return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(F.transform(box, lambda v: v.cast("string")), ", "), F.lit("]")).alias("box"))
+
+
 @query("SELECT l_orderkey, l_linenumber, [trunc(l_quantity * 0.5)::INT, (l_partkey * 2.0)::INT]::VARCHAR AS box FROM lineitem WHERE l_orderkey < 1000")
 def rescaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "lineitem").where("l_orderkey < 1000")
-    box = media.rescale(F.array(F.col("l_quantity"), F.col("l_partkey").cast("double")), F.lit(100), F.lit(100), F.lit(50), F.lit(200))
-    return rows.select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(F.transform(box, lambda v: v.cast("string")), ", "), F.lit("]")).alias("box"))
+    """The first orders' part of `rescaled_boxes_all`, as its SQL states it."""
+    return rescaled_boxes_all(spark, sf_dir).where("l_orderkey < 1000")
 
 
 @query("""SELECT o_orderkey, (s // 60)::VARCHAR || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS short, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS long
