@@ -4,8 +4,9 @@ Each stage gets what its predecessor kept, with all columns of documents. Toxic
 near-duplicates the one with the smallest id stays; documents that hold a passage of the benchmark go; personal
 data are replaced by surrogates, and `n_chars` follows the text; the rest is packed.
 
-A document without an id is judged for toxicity and otherwise kept. Rows that share an id share their fate,
-and of equal rows one stays.
+Every row is judged by its own text, whether or not it has an id or shares one: rows go by id and text together.
+Of a group of near-duplicates exactly one row stays; one without an id only if no other has one. Texts without
+words are near-duplicates of nothing.
 """
 
 from __future__ import annotations
@@ -26,16 +27,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, into=score).where(F.col(score) < 0.5).select(*(f"`{c}`" for c in docs.columns))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key by id (none last) and text, and its name; it is the same whenever a row is read again."""
+    own, kind = F.col("doc_id"), docs.schema["doc_id"].dataType
+    none = F.lit("").cast(kind) if kind.typeName() == "string" else F.lit(0).cast(kind)
+    key = f"key_{uuid.uuid4().hex}"
+    return docs.withColumn(key, F.struct(own.isNull().alias("none"), F.coalesce(own, none).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))), key
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.link(docs)
-    left = docs.join(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null")) if again else left
+    rows, key = keyed(docs)
+    found = near_dedup.link(rows.select(F.col(key).alias("doc_id"), "text"))
+    left = rows.join(found.where("not kept").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    again = rows.groupBy(key).count().where("count > 1").limit(1).count()
+    if again:  # rows of one id and text
+        words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+        left = left.where(words).dropDuplicates([key]).unionByName(left.where(~words))
+    return left.select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.digest(decontaminate.find(docs, read_table(spark, sf_dir, "benchmark")))
-    return docs.join(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    rows, key = keyed(docs)
+    found = decontaminate.digest(decontaminate.find(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")))
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,21 @@ def test_run_equals_a_plain_pipeline(spark, of):
             ids = tokenizer.encode(docs[r["doc_id"]], add_special_tokens=False).ids + [1]
             assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(struct.pack(f"<{r['length']}I", *ids[r["start"] : r["start"] + r["length"]]))
     assert all(covered[r["doc_id"]] == r["doc_tokens"] for r in rows)
+
+
+def test_each_row_is_judged_by_its_own_text(spark, small):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"term{rng.randrange(10**6)}" for _ in range(80))
+    stage = dict(corpus_pipeline.STAGES)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)
+    left = lambda name, rows: sorted(r["place"] for r in stage[name](spark, frame(rows), small).collect())
+    a, b, c, d, e = (text() for _ in range(5))
+    copies = [(None, a, 1), (None, a, 2), (None, a + " more", 3)]
+    near = [(7, b, 4), (7, b + " more", 5), (8, b, 6)]
+    shared = [(9, d, 7), (9, c, 8), (3, c, 9), (None, c, 10)]
+    alone = [(None, e, 11), (None, None, 12), (None, "", 13), (None, " ", 14), (5, None, 15), (5, None, 16)]
+    kept = left("near-dedup", copies + near + shared + alone + [(3, c, 9)])
+    assert len([k for k in kept if k in (1, 2, 3)]) == 1 and len([k for k in kept if k in (4, 5, 6)]) == 1 and 6 not in kept
+    assert [k for k in kept if k > 6] == [7, 9, 11, 12, 13, 14, 15, 16]
+    item = read_table(spark, small, "benchmark").first()["text"]
+    assert left("decontamination", [(None, f"{a} {item}", 1), (None, a, 2), (4, f"{b} {item}", 3), (4, c, 4), (None, None, 5), (None, "", 6)]) == [2, 4, 5, 6]
