@@ -6,7 +6,8 @@ document is rejected if it loses more than half of its text, or if it is short o
 One pass, no shuffle: a document's verdict needs no other document.
 
 Defined results: null and empty texts have no words and are rejected; repeated rows and doc_ids are judged
-once per row; an empty table gives no rows; other columns are ignored.
+once per row; an empty table gives no rows; other columns are ignored. Letters without case are letters, and
+lines of them do not shout; words are parted by white space in all scripts.
 """
 
 from __future__ import annotations
@@ -33,20 +34,29 @@ _boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _navigation = re.compile(rf"\W*(?:{'|'.join(map(re.escape, NAVIGATION))})\b")
 _symbols = re.compile(r"[#*$%&|<>{}=~^\\]")
 _bars = re.compile(r"[|»›•·]")
-_stops = re.compile(r"[.!?;…。！？]")
+#: Sentence marks of Latin, Cyrillic and Greek, CJK, Arabic and Urdu, Hebrew, Indic, Armenian, Ethiopic, Khmer, Burmese and Tibetan script.
+_stops = re.compile("[.!?;…。！？．｡；؟؛۔׃।॥։።፧៖។៕။།༎]")
+#: Scripts that end sentences without a mark: Thai and Lao.
+_unmarked = re.compile("[\u0e01-\u0e30\u0e81-\u0eb0]")
 _SAME, _SYMBOL = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _IN_LINE = np.ones(256, bool)
 _IN_LINE[10] = False
 
 
+def _mostly_cased(line: str) -> bool:
+    """Whether more than half of a line's letters have case; most scripts have none, so their lines cannot shout."""
+    letters = [c for c in line if c.isalpha()]
+    return 2 * sum(c.lower() != c.upper() for c in letters) > len(letters)
+
+
 def line_fails(line: str) -> str | None:
     """The name of the rule that a line fails, if any."""
     words = line.split()
     n, low = len(words), line.lower()
     if not n:
         return None
-    if low.upper() == low:
+    if low.upper() == low and not any(map(str.isalpha, line)):
         return "letters"
     bars = len(_bars.findall(line))
     if bars > 2 and bars > 0.2 * n or n <= NAVIGATION_WORDS and _navigation.match(low):
@@ -55,9 +65,9 @@ def line_fails(line: str) -> str | None:
         return "symbols"
     if n <= BOILERPLATE_WORDS and _boilerplate.search(low):
         return "boilerplate"
-    if n >= 5 and line == line.upper():
+    if n >= 5 and line == line.upper() and _mostly_cased(line):
         return "shouting"
-    if n >= 12 and not _stops.search(line):
+    if n >= 12 and not _stops.search(line) and (not _unmarked.search(line) or _mostly_cased(line)):
         return "punctuation"
     if n >= 20 and len({w.lower() for w in words}) < 0.3 * n:
         return "monotony"

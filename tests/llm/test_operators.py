@@ -368,5 +368,20 @@ def test_line_rules():
     assert [line_quality.line_fails(x) for x in ("Plain words that end with a stop.", "", "1234 - 56", "a*** b%%% c### d.", "Home | News | Sport | More", "Click here to go on", "THIS IS ALL IN CAPITAL LETTERS.", "la " * 30 + "end.")] == [None, None, "letters", "symbols", "navigation", "boilerplate", "shouting", "monotony"]
 
 
+def test_line_quality_in_scripts_without_case(spark):
+    prose = {
+        "arabic": ("ذهب الولد إلى المدرسة في الصباح الباكر وقابل صديقه القديم عند الباب رقم", "عاد؟"),
+        "urdu": ("لڑکا صبح سویرے اسکول گیا اور دروازے پر اپنے پرانے دوست سے ملا نمبر", "آیا۔"),
+        "hindi": ("लड़का सुबह जल्दी विद्यालय गया और द्वार पर अपने पुराने मित्र GPS से मिला क्रमांक", "लौटा।"),
+        "korean": ("소년은 아침 일찍 학교에 가서 문 앞에서 오랜 친구를 만나 이야기를 했다 번호", "돌아왔다."),
+        "thai": ("เด็กชาย ไป โรงเรียน ตอน เช้า และ พบ เพื่อน เก่า ที่ ประตู หมายเลข", "บ้าน"),
+    }
+    told = lambda a, b, i: " ".join(f"{w} {i}" if k % 2 else w for k, w in enumerate(a.split())) + f" {i} {b}"
+    rows = [(k, "\n".join(told(a, b, i) for i in range(8))) for k, (a, b) in prose.items()]
+    found = {r["doc_id"]: (r["base_failed"], r["lines_removed"], r["kept"]) for r in line_quality.judge(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == dict.fromkeys(prose, (False, 0, True))
+    assert [line_quality.line_fails(x) for x in ("汉字", "日本語の文。", "שלום עולם.", "١٢٣ - ٤٥", "١٢٣ हिन्दी", "A B C D E ह")] == [None, None, None, "letters", None, "shouting"]
+
+
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
