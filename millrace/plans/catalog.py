@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import schema
@@ -525,14 +525,24 @@ def structured_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", shown.alias("shown"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN left(text, 20) END AS short, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 3 = 1 THEN 'long' ELSE coalesce(source, 'x') END END AS long FROM documents""")
-def caption_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _caption_modes(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     n, none = F.col("doc_id"), F.lit(None).cast("string")
     mode = F.when(n % 3 == 0, "short").when(n % 3 == 1, "long").otherwise("all")
-    left = outcomes.descriptions(mode, F.left("text", F.lit(20)), none, F.when(n % 3 == 1, "long"), none, F.coalesce("source", F.lit("x")))
+    left = outcomes.descriptions(mode, text, none, F.when(n % 3 == 1, "long"), none, F.coalesce("source", F.lit("x")))
     return read_table(spark, sf_dir, "documents").select("doc_id", left["short_description"].alias("short"), left["long_description"].alias("long"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN text END AS short, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 3 = 1 THEN 'long' ELSE coalesce(source, 'x') END END AS long FROM documents""")
+def caption_modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _caption_modes(spark, sf_dir, F.col("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN left(text, 20) END AS short, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 3 = 1 THEN 'long' ELSE coalesce(source, 'x') END END AS long FROM documents""")
+def caption_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`caption_modes_whole` of the first characters, as its SQL states it."""
+    return _caption_modes(spark, sf_dir, F.left("text", F.lit(20)))
+
+
 @query("""SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 <> 0 THEN 'text ' || event_id END AS description, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END END::DOUBLE AS average FROM events""")
 def displayed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
@@ -604,11 +614,22 @@ def tag_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.with_tag_hints(prompts, marks.select("doc_id", F.create_map(F.lit("quality"), one("q"), F.lit("toxic"), one("t")).alias("tags")), "doc_id", "prompt")
 
 
+def _recognized_pages(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    pages = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.col("role"), F.lit(" "), text).alias("texts"), F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)).alias("scores"), F.lit(None).cast("array<array<int>>").alias("boxes"))
+    return outcomes.recognized(pages, "conv_id", "turn").select("conv_id", F.size("texts").cast("long").alias("n_texts"), "content")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, unnest([role, ' ', replace(trim(text), chr(10), '/')]) AS line, unnest([1, 2, 3]) AS k FROM conversations)
+SELECT conv_id, count(*) AS n_texts, string_agg(trim(line), chr(10) ORDER BY turn, k) FILTER (WHERE trim(line) <> '') AS content FROM x GROUP BY conv_id""")
+def recognized_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recognized_pages(spark, sf_dir, F.replace(F.trim("text"), F.lit("\n"), F.lit("/")))
+
+
 @query("""WITH x AS (SELECT conv_id, turn, unnest([role, ' ', left(replace(trim(text), chr(10), '/'), 9)]) AS line, unnest([1, 2, 3]) AS k FROM conversations)
 SELECT conv_id, count(*) AS n_texts, string_agg(trim(line), chr(10) ORDER BY turn, k) FILTER (WHERE trim(line) <> '') AS content FROM x GROUP BY conv_id""")
 def recognized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.col("role"), F.lit(" "), F.left(F.replace(F.trim("text"), F.lit("\n"), F.lit("/")), F.lit(9))).alias("texts"), F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)).alias("scores"), F.lit(None).cast("array<array<int>>").alias("boxes"))
-    return outcomes.recognized(pages, "conv_id", "turn").select("conv_id", F.size("texts").cast("long").alias("n_texts"), "content")
+    """`recognized_pages_whole` of the first characters, as its SQL states it."""
+    return _recognized_pages(spark, sf_dir, F.left(F.replace(F.trim("text"), F.lit("\n"), F.lit("/")), F.lit(9)))
 
 
 @query("""SELECT page_id, 'See ![a](img/one_' || page_id % 7 || '.png) and ![b](other.png), ![](img/two.png)' AS markdown FROM pages""")
