@@ -591,12 +591,18 @@ def error_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.coalesce(F.abs(outcomes.jittered(F.col("wait"), F.col("event_id")) / F.col("wait") - 1) < 0.2 + 1e-9, F.lit(True)))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60.0 END::DOUBLE AS direct_seconds, o_orderkey % 3 = 1 AS bypass FROM orders WHERE o_orderkey % 100 > 0""")
-def segment_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60.0 END::DOUBLE AS direct_seconds, o_orderkey % 3 = 1 AS bypass FROM orders""")
+def segment_policies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey")
     video = n % 3 == 0
     rule = outcomes.segment_policy(F.when(video, "video/mp4").when(n % 3 == 1, "image/png").otherwise("audio/wav"), F.when(video & (n % 2 == 0), None).otherwise(n % 100), F.lit(60.0), F.array(F.lit("image/")))
-    return read_table(spark, sf_dir, "orders").where(n % 100 > 0).select("o_orderkey", rule["seconds"].alias("seconds"), (rule["direct_ms"] / 1000).alias("direct_seconds"), rule["bypass"].alias("bypass"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", rule["seconds"].alias("seconds"), (rule["direct_ms"] / 1000).alias("direct_seconds"), rule["bypass"].alias("bypass"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60.0 END::DOUBLE AS direct_seconds, o_orderkey % 3 = 1 AS bypass FROM orders WHERE o_orderkey % 100 > 0""")
+def segment_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of `segment_policies_all` that its SQL states."""
+    return segment_policies_all(spark, sf_dir).where("o_orderkey % 100 > 0")
 
 
 @query("SELECT p_partkey, 'mood=0,light=' || p_size || ',extra=1.5' AS scores FROM part")

@@ -56,3 +56,8 @@ def test_folders(spark):
 def test_layers_that_show_nothing(spark):
     pixels = spark.createDataFrame([("clear", 9, 9, 9, 10), ("black", 0, 0, 0, 255), ("two", 0, 0, 0, 255), ("two", 255, 0, 0, 255)], "layer string, r int, g int, b int, a int")
     assert {tuple(r) for r in media.layer_features(pixels, "layer").collect()} == {("clear", 0.0, 0.0, 0.0), ("black", 1.0, 0.0, 0.0), ("two", 1.0, 0.5, 1.0)}
+
+
+def test_segments_of_no_length(spark):
+    seconds = lambda mime, n: one(spark, outcomes.segment_policy(F.lit(mime), F.lit(n), F.lit(60.0), F.array(F.lit("image/")))["seconds"])[0]
+    assert [seconds("video/mp4", n) for n in (0, -1, 1, 90)] == [59, 59, 1, 59] and seconds("audio/wav", 0) == 0
