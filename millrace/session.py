@@ -14,19 +14,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, else one of our own (tests only)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where there is but this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-", dir=os.environ.get("TMPDIR", "/tmp")))
         found = sc.getCheckpointDir()
     return found
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark deletes it once the frame is unreachable."""
+    """Cut the lineage with a reliable checkpoint."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a folder of our own, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
