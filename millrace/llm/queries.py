@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, licenses, line_quality, near_dedup, packing, pii, token_counts, toxicity, url_rules, warc
-from millrace.session import read_table, shared_dir
+from millrace.session import materialize, read_table, remove, shared_dir
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(pages, place)
     back = warc.read(spark, place, with_payload=False)
     kind = pages.schema["page_id"].dataType
-    return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    found = back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    found = materialize(found)
+    remove(spark, place)
+    return found
 
 
 OP8_SQL = """

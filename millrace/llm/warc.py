@@ -6,18 +6,24 @@ than `SEGMENT` characters is cut into a first record and continuation records th
 origin. Spark's text sink writes the records, so every file is committed or absent, on any file system. A file
 holds at most `RECORDS_PER_FILE` records, and a record at most a segment, which bounds what a reader holds.
 
-Reading: files are parsed record by record by their Content-Length; segments are grouped by the identifier of
-their origin, ordered by segment number in a distributed sort, their total length is verified, the transfer
-framing is decoded, and the payload's digest is compared with the one in the header.
+What tells which payloads are shared is found on ids and digests alone; the pages themselves are not shuffled as
+long as the shared digests are few enough to be broadcast (`MOST_BROADCAST`), and beyond that they are.
+
+Reading: files are parsed record by record by their Content-Length. Records that are whole become pages where they
+lie. Segments, which may lie in different files, are grouped by the identifier of their origin and ordered by segment
+number in a distributed sort, and their total length is verified. The transfer framing is decoded, and the payload's
+digest is compared with the one in the header. Records of other types (warcinfo, request, metadata) are passed over.
 
 Defined results: null html is the empty payload; null urls have no target; rows with a null page_id are stored
-without one and come back with null; repeated rows that are the smallest of their payload are all responses; an
-empty table gives no rows; other columns are ignored.
+without one and come back with null; repeated rows that are the smallest of their payload are all responses; a
+payload of any length is stored whole, in as many segments as it takes; an empty table gives an archive without
+records and no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._text import row_type
+from millrace.session import materialize
 
-LEAST_SHARED, SEGMENT, CHUNK, RECORDS_PER_FILE = 100, 48_000, 16_000, 8_000
+LEAST_SHARED, SEGMENT, CHUNK, RECORDS_PER_FILE, MOST_BROADCAST = 100, 48_000, 16_000, 8_000, 500_000
 _END, _DATE = "\r\n\r\n", "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -92,7 +99,10 @@ def write(pages: DataFrame, path: str) -> None:
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     shared = F.col("bytes") >= LEAST_SHARED
-    first = pages.select("page_id", "digest", "bytes").where(shared).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    groups = pages.select("page_id", "digest", "bytes").where(shared).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(groups.select("digest", "first"))
+    if first.count() <= MOST_BROADCAST:
+        first = F.broadcast(first)
     refers = F.when(shared & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     kind, arrow = row_type("record string")
     found = pages.join(first, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).otherwise("").alias("html"), "digest", "bytes", refers.alias("refers_to"))
@@ -137,23 +147,40 @@ def _inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
         raw = z.unused_data + raw[at:]
 
 
+_PAGES, _NUMBER = ("response", "revisit", "continuation"), "warc-segment-number"
 _FIELDS = ("warc-type", "x-page-id", "warc-target-uri", "warc-payload-digest", "x-refers-to-page")
 _ROW = "origin string, segment int, total long, type string, page string, url string, digest string, refers_to string, block binary"
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("content"):
-            rows, size = [], 0
-            for head, block in parse(_inflated(raw.as_py())):
+def _parsed(contents: pa.Array) -> Iterator[tuple[bool, tuple]]:
+    """(whether it is a segment, its row) of each record of pages in archives."""
+    for raw in contents:
+        for head, block in parse(_inflated(raw.as_py())):
+            if head.get("warc-type") in _PAGES:
                 total = head.get("warc-segment-total-length")
-                rows.append((head.get("warc-segment-origin-id", head["warc-record-id"]), int(head.get("warc-segment-number", 1)), None if total is None else int(total), *(head.get(f) for f in _FIELDS), block))
-                size += len(block)
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield _NUMBER in head, (head.get("warc-segment-origin-id", head["warc-record-id"]), int(head.get(_NUMBER, 1)), None if total is None else int(total), *(head.get(f) for f in _FIELDS), block)
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of some 4 MB; a batch holds one row at least."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 100 + sum(len(v) for v in row if isinstance(v, bytes))
+        if size > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    yield from _batched((row for batch in batches for segment, row in _parsed(batch.column("content")) if segment), schema)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], with_payload: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    pages = (_page([row]) for batch in batches for segment, row in _parsed(batch.column("content")) if not segment)
+    yield from _batched((p if with_payload else p[:-1] for p in pages), schema)
 
 
 def _page(segments: list[tuple]) -> tuple:
@@ -175,32 +202,24 @@ def _page(segments: list[tuple]) -> tuple:
 
 def _assembled(batches: Iterator[pa.RecordBatch], with_payload: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Pages from segments sorted by origin and number; holds one page's segments at a time."""
-    held: list[tuple] = []
-    out, size = [], 0
 
-    def ready() -> pa.RecordBatch:
-        rows = [p if with_payload else p[:-1] for p in out]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(schema.types)], schema=schema)
+    def pages() -> Iterator[tuple]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, own in itertools.groupby(rows, key=lambda row: row[0]):
+            page = _page(list(own))
+            yield page if with_payload else page[:-1]
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                out.append(_page(held))
-                size += len(out[-1][-1] or b"") if with_payload else 100
-                held = []
-            held.append(row)
-            if size > 1 << 22:
-                yield ready()
-                out, size = [], 0
-    if held:
-        out.append(_page(held))
-    yield ready()
+    yield from _batched(pages(), schema)
 
 
 def read(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """page_id (a string), url, payload_bytes, payload_digest, record_type, refers_to and (with_payload) payload of each page."""
-    kind, arrow = row_type(_ROW)
+    """page_id (a string), url, payload_bytes, payload_digest, record_type, refers_to and (with_payload) payload of each page.
+
+    The archives are inflated twice, for records that are whole and for segments: that is less than a shuffle of all.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    segments = files.mapInArrow(lambda it: _parsed(it, arrow), kind).repartition("origin").sortWithinPartitions("origin", "segment")
     kind, pages = row_type("page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload)
-    return segments.mapInArrow(lambda it: _assembled(it, with_payload, pages), kind)
+    stored, arrow = row_type(_ROW)
+    whole = files.mapInArrow(lambda it: _whole(it, with_payload, pages), kind)
+    segments = files.mapInArrow(lambda it: _segments(it, arrow), stored).repartition("origin").sortWithinPartitions("origin", "segment")
+    return whole.unionByName(segments.mapInArrow(lambda it: _assembled(it, with_payload, pages), kind))

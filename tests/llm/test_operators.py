@@ -327,6 +327,21 @@ def test_warc_round_trip(spark, tmp_path):
         warc._page([("o", 1, None, "response", "1", None, "sha256:", None, b"a\r\n\r\n0\r\n\r\n"), ("o", 3, 9, "continuation", None, None, None, None, b"b")])
 
 
+def test_warc_of_odd_tables(spark, tmp_path, monkeypatch):
+    html = [f"page {i % 7} " * (20 + 9000 * (i % 3 == 0)) for i in range(60)] + [None, "", "tail"]
+    clashing = "cast(id as string) as page_id, url, html, 1 as digest, 2 as bytes, 3 as first, 4 as refers_to, 5 as n, 6 as record, 7 as origin, 8 as segment"
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", h) for i, h in enumerate(html)], "id long, url string, html string").selectExpr(*clashing.split(", "))
+    warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+    found = []
+    for most in (warc.MOST_BROADCAST, 0):  # shared digests are broadcast, and shuffled
+        monkeypatch.setattr(warc, "MOST_BROADCAST", most)
+        warc.write(pages, f"file://{tmp_path}/w{most}")
+        found.append(sorted(tuple(r) for r in warc.read(spark, f"file://{tmp_path}/w{most}", with_payload=False).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(html)
+    assert {r[0]: r[2] for r in found[0]} == {str(i): len((h or "").encode()) for i, h in enumerate(html)}
+
+
 def test_licenses(spark, docs):
     rows = licenses.scan(docs).collect()
     expected = Counter()
