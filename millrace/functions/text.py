@@ -123,10 +123,34 @@ def caption_suffix(family: Column, override: Column | None = None) -> Column:
     return F.when(F.coalesce(override, F.lit("")) == "", own).otherwise(F.lower(dotted))
 
 
+def is_object(c: Column) -> Column:
+    """Whether a text is a JSON object."""
+    bare = strip(c)
+    return F.coalesce(F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}")) & F.try_parse_json(bare).isNotNull(), F.lit(False))
+
+
+def json_objects(lines: Column) -> Column:
+    """The lines that are JSON objects, stripped."""
+    return F.filter(F.transform(F.coalesce(lines, F.array().cast("array<string>")), strip), is_object)
+
+
+def described(payload: Column) -> Column:
+    """The description that a JSON object tells: the long one, else the plain, else the short, else ''."""
+    one = lambda k: F.nullif(F.get_json_object(payload, f"$.{k}"), F.lit(""))
+    return F.coalesce(one("long_description"), one("description"), one("short_description"), F.lit(""))
+
+
 def caption_body(suffix: Column, captions: Column) -> Column:
-    """What a caption file holds: .srt by line, .md as it is, else a line each without green font tags."""
-    plain = F.transform(captions, lambda x: F.regexp_replace(x, r"(?i)<font color=\"?green\"?>|</font>", ""))
-    return F.when(suffix == ".srt", F.array_join(captions, "\n")).when(suffix == ".md", F.array_join(captions, "")).otherwise(F.array_join(plain, "\n"))
+    """What a caption file holds: .srt by line, .md as it is, else a line each, stripped and without green font tags.
+
+    Of a line that is a JSON object the description is written, without a line feed; blank lines go.
+    """
+
+    def plain(x: Column) -> Column:
+        bare = strip(F.regexp_replace(x, r"(?i)<font color=[\"']?green[\"']?>|</font>", ""))
+        return F.when(F.coalesce(bare, F.lit("")) == "", "").when(is_object(bare), described(bare)).otherwise(F.concat(bare, F.lit("\n")))
+
+    return F.when(suffix == ".srt", F.array_join(captions, "\n")).when(suffix == ".md", F.array_join(captions, "")).otherwise(F.array_join(F.transform(captions, plain), ""))
 
 
 def leaf_name(c: Column, default: str = "file") -> Column:
@@ -135,12 +159,20 @@ def leaf_name(c: Column, default: str = "file") -> Column:
     return F.when(leaf.isin("", ".", "..") | leaf.isNull(), default).otherwise(leaf)
 
 
+#: Families of stems with the words that tell them; the first family with a word that a name holds counts.
+STEM_FAMILIES = (
+    ("vocals", ("vocal", "voice")),
+    ("drums", ("drum", "percussion")),
+    ("bass", ("bass",)),
+    ("guitar", ("guitar",)),
+    ("piano", ("piano", "keyboard", "keys")),
+)
+
+
 def stem_family(c: Column) -> Column:
-    """A separated stem's family by the first word that its name holds."""
-    low, found = F.lower(c), F.when(F.lit(False), "")
-    for word, name in (("instrumental", "other"), ("vocal", "vocals"), ("voice", "vocals"), ("drum", "drums"), ("bass", "bass"), ("guitar", "guitar"), ("piano", "piano")):
-        found = found.when(F.contains(low, F.lit(word)), name)
-    return found.otherwise("other")
+    """A separated stem's family by its name, else `other`."""
+    holds = lambda words: F.regexp_like(F.lower(c), F.lit("|".join(words)))
+    return F.coalesce(*(F.when(holds(words), family) for family, words in STEM_FAMILIES), F.lit("other"))
 
 
 def note_name(pitch: Column) -> Column:

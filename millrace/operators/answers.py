@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 
@@ -59,11 +63,33 @@ def layout_markdown(cells: Column) -> Column:
 
 
 def image_names(images: DataFrame, key: str, place: str, name: str) -> DataFrame:
-    """`images` with `own_name`: leaf names, of those of a document that are alike but for case the later ones with _2, _3 ..."""
-    leaf = tx.leaf_name(F.col(name), "image.png")
-    nth = F.row_number().over(Window.partitionBy(key, F.lower(leaf)).orderBy(place))
-    numbered = F.concat(F.regexp_replace(leaf, r"\.[^.]*$", ""), F.lit("_"), nth.cast("string"), F.regexp_extract(leaf, r"(\.[^.]*)?$", 0))
-    return images.withColumn("own_name", F.when(nth == 1, leaf).otherwise(numbered))
+    """`images` with `own_name`: leaf names, of which those that are taken in their document get the next free _2, _3 ...
+
+    Names that differ but for case are the same. A name depends on all before it, numbered ones included, so a
+    document's images are read in order; what is held is the names of one document.
+    """
+    kind = T.StructType([*images.drop("own_name").schema.fields, T.StructField("own_name", T.StringType())])
+    rows = images.withColumn("own_name", tx.leaf_name(F.col(name), "image.png")).select(*(f"`{f.name}`" for f in kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, taken, last = object(), set(), {}
+        for batch in batches:
+            given = []
+            for own, leaf in zip(batch.column(key).to_pylist(), batch.column("own_name").to_pylist(), strict=True):
+                if own != document:
+                    document, taken, last = own, set(), {}
+                stem, dot, suffix = leaf.rpartition(".")
+                stem, suffix = (stem, dot + suffix) if stem else (leaf, "")
+                made, n = leaf, last.get(leaf.lower(), 1)
+                while made.lower() in taken:
+                    n += 1
+                    made = f"{stem}_{n}{suffix}"
+                last[leaf.lower()] = n
+                taken.add(made.lower())
+                given.append(made)
+            yield batch.set_column(batch.num_columns - 1, "own_name", pa.array(given, batch.schema.field("own_name").type))
+
+    return rows.repartition(F.col(f"`{key}`")).sortWithinPartitions(f"`{key}`", f"`{place}`").mapInArrow(run, kind)
 
 
 def scores(text: Column) -> Column:
@@ -74,18 +100,22 @@ def scores(text: Column) -> Column:
     return F.map_from_entries(F.array_distinct(F.transform(lines, lambda x: F.struct(label(x).alias("label"), value(x).alias("score")))))
 
 
+#: What words are worth in the name of a stem that may be the vocals (the first found counts), and
+#: the words that cost points, once.
+VOCAL_WORDS = (("vocals", 5), ("vocal", 4), ("voice", 3), ("lead", 1))
+OTHER_WORDS, OTHER_COST = ("instrumental", "karaoke", "other", "bass", "drum", "guitar", "piano", "inst"), 6
+
+
 def vocal_rank(name: Column) -> Column:
-    """How much a stem's name speaks for its being the vocals."""
-    low, rank = F.lower(name), F.lit(0)
-    for words, points in ((("vocals",), 5), (("vocal",), 4), (("voice",), 3), (("lead",), 1), (("instrumental", "no_vocals", "drums", "bass"), -6)):
-        for w in words:
-            rank = rank + F.when(F.contains(low, F.lit(w)), points).otherwise(0)
-    return rank
+    """How much a stem's name speaks for its being the vocals; only ranks above 0 do."""
+    low = F.lower(name)
+    worth = F.coalesce(*(F.when(F.contains(low, F.lit(w)), points) for w, points in VOCAL_WORDS), F.lit(0))
+    return worth - F.when(F.regexp_like(low, F.lit("|".join(OTHER_WORDS))), OTHER_COST).otherwise(0)
 
 
 def best_vocals(stems: DataFrame, key: str, name: str, place: str) -> DataFrame:
-    """(key, name) of each work's stem of the highest rank, of equals the first."""
-    return stems.groupBy(key).agg(F.max_by(name, F.struct(vocal_rank(F.col(name)).alias("rank"), (-F.col(place)).alias("place"))).alias(name))
+    """(key, name) of each work's stem of the highest rank, of equals the first; works without vocals have none."""
+    return stems.where(vocal_rank(F.col(name)) > 0).groupBy(key).agg(F.max_by(name, F.struct(vocal_rank(F.col(name)).alias("rank"), (-F.col(place)).alias("place"))).alias(name))
 
 
 def routed(jobs: DataFrame, providers: DataFrame) -> DataFrame:

@@ -30,6 +30,22 @@ def description(p: Column, mode: Column | None = None) -> Column:
     return F.when(mode.isin("ast", "srt"), F.coalesce(_full(p["translation_srt"]), _full(p["transcript"]), plain)).otherwise(plain)
 
 
+def candidates(assets: DataFrame, files: DataFrame, *, overwrite: bool = False, append: bool = False, extension: str = ".txt") -> DataFrame:
+    """The images of `assets` (uris, mime, captions) that are to be captioned.
+
+    Those without captions (null or an empty list) that have no caption file beside them among `files` (path,
+    size; empty files do not count); with `append` caption files do not matter, with `overwrite` all images go.
+    """
+    images = assets.where(F.startswith("mime", F.lit("image/")))
+    if overwrite:
+        return images
+    bare = images.where(F.coalesce(F.size("captions"), F.lit(0)) <= 0)
+    if append:
+        return bare
+    full = files.where("size > 0").select(F.col("path").alias("__file")).distinct()
+    return bare.join(full, F.regexp_replace("uris", r"\.[^./\\]*$", extension) == F.col("__file"), "left_anti")
+
+
 def persistable(status: Column, *contents: Column) -> Column:
     """Whether a result is stored: a success with some content that is not blank."""
     some = F.lit(False)

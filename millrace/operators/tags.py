@@ -94,10 +94,30 @@ def by_category(tags: DataFrame) -> DataFrame:
     return lists.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "list")))).alias("tags"))
 
 
-def highlight_rate(text: Column, tags: Column, flags: int = 0) -> Column:
-    """Percent of tags that a text names, with bonus flags, longest tags first; 0 without tags."""
-    held = F.filter(tags, lambda t: (t != "") & F.contains(F.lower(text), F.lower(t)))
-    return F.when(F.size(tags) > 0, F.least(F.lit(100.0), 100.0 * (F.size(held) + flags) / F.size(tags))).otherwise(0.0)
+#: Colours of rates, from the lowest.
+RATE_COLOURS = ("red", "orange", "yellow", "green", "cyan", "blue", "magenta")
+
+
+def named_tags(text: Column, tags: Column) -> Column:
+    """The different tags that a text names as whole words, lower-cased; where several begin, the longest is named."""
+    some = F.filter(F.transform(tags, F.trim), lambda t: t != "")
+    longest = F.transform(F.array_sort(F.transform(some, lambda t: F.struct((-F.length(t)).alias("less"), t.alias("tag")))), lambda r: r["tag"])
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)(?:"), F.array_join(F.transform(longest, lambda t: F.regexp_replace(t, r"([\\^$.|?*+()\[\]{}])", r"\\$1")), "|"), F.lit(r")(?!\w)"))
+    return F.when(F.size(some) > 0, F.array_distinct(F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.lower))).otherwise(F.array().cast("array<string>"))
+
+
+def highlight_rate(text: Column, tags: Column) -> Column:
+    """Percent of the tags that a text names; a <name> and a (series) in it count as one more each; 0 without tags."""
+    marks = F.regexp_like(text, F.lit("<[^>]+>")).cast("int") + F.regexp_like(text, F.lit(r"\([^)]+\)")).cast("int")
+    n = F.size(F.filter(tags, lambda t: F.trim(t) != ""))
+    return F.when(n > 0, 100.0 * (F.size(named_tags(text, tags)) + marks) / n).otherwise(0.0)
+
+
+def rate_style(rate: Column) -> Column:
+    """A rate's colour, bold above 50."""
+    n = len(RATE_COLOURS)
+    colour = F.element_at(F.array(*map(F.lit, RATE_COLOURS)), F.least(F.floor(rate / (100 / n)), F.lit(n - 1)).cast("int") + 1)
+    return F.concat(colour, F.when(rate > 50, " bold").otherwise(""))
 
 
 def name_series(names: Column, excluded: tuple[str, ...] = ()) -> Column:

@@ -17,7 +17,7 @@ from millrace.functions import documents as docs_functions
 from millrace.functions import text as tx
 from millrace.operators import answers, captions, media, outcomes, tags
 from millrace.session import read_table, shared_dir
-from millrace.sources import assets, discovery, versions
+from millrace.sources import assets, discovery, sinks, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,9 +267,9 @@ def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").select("o_orderkey", score.alias("score"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'It shows <' || regexp_extract(url, '([^/]+)/[^/]+$', 1) || '>.' END AS context FROM pages WHERE regexp_matches(url, '^https?://[^/()]+/[^/()]+/[^/()]+$')""")
+@query(r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE CASE WHEN f = '' THEN '' WHEN regexp_matches(f, '^.*[^ ].* *\([^()]*\)$') THEN 'It shows <' || trim(regexp_extract(f, '^(.*?) *\(([^()]*)\)$', 1)) || '> from (' || regexp_extract(f, '^(.*?) *\(([^()]*)\)$', 2) || ').' ELSE 'It shows <' || f || '>.' END END AS context FROM (SELECT page_id, coalesce(string_split_regex(url, '[/\\]')[-2], '') AS f FROM pages)""")
 def directory_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").where(F.regexp_like("url", F.lit(r"^https?://[^/()]+/[^/()]+/[^/()]+$")))
+    pages = read_table(spark, sf_dir, "pages")
     return pages.select("page_id", captions.directory_context(F.col("url"), F.when(F.col("page_id") % 2 == 0, "text/plain").otherwise("image/png")).alias("context"))
 
 
@@ -338,17 +338,11 @@ def fitted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT l_orderkey, l_linenumber, [trunc(l_quantity * 0.5)::INT, (l_partkey * 2.0)::INT]::VARCHAR AS box FROM lineitem")
-def rescaled_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rescaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = media.rescale(F.array(F.col("l_quantity"), F.col("l_partkey").cast("double")), F.lit(100), F.lit(100), F.lit(50), F.lit(200))
     return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(F.transform(box, lambda v: v.cast("string")), ", "), F.lit("]")).alias("box"))
 
 
-@query("SELECT l_orderkey, l_linenumber, [trunc(l_quantity * 0.5)::INT, (l_partkey * 2.0)::INT]::VARCHAR AS box FROM lineitem WHERE l_orderkey < 1000")
-def rescaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first orders' part of `rescaled_boxes_all`, as its SQL states it."""
-    return rescaled_boxes_all(spark, sf_dir).where("l_orderkey < 1000")
-
-
 @query("""SELECT o_orderkey, (s // 60)::VARCHAR || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS short, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS long
 FROM (SELECT o_orderkey, floor(o_totalprice / 10)::BIGINT AS s FROM orders)""")
 def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,6 +506,100 @@ def provider_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.routed(jobs, known).select(F.col("id").alias("event_id"), "provider")
 
 
+#: Names of stems that reach every rule on them.
+_STEMS = ("Lead Vocals", "karaoke vocals", "vocal", "voice", "lead", "vocals instrumental", "percussion", "drum kit", "bass", "acoustic guitar", "keys", "keyboard", "piano", "inst", "strings", "no lead", "other voice")
+
+
+@query("""WITH s AS (SELECT p_partkey, ['Lead Vocals', 'karaoke vocals', 'vocal', 'voice', 'lead', 'vocals instrumental', 'percussion', 'drum kit', 'bass', 'acoustic guitar', 'keys', 'keyboard', 'piano', 'inst', 'strings', 'no lead', 'other voice'][1 + p_partkey % 17] AS name, p_partkey % 17 AS k FROM part)
+SELECT p_partkey, name, [5, -1, 4, 3, 1, -1, 0, -6, -6, -6, 0, 0, -6, -6, 0, 1, -3][1 + k] AS rank, ['vocals', 'vocals', 'vocals', 'vocals', 'other', 'vocals', 'drums', 'drums', 'bass', 'guitar', 'piano', 'piano', 'piano', 'other', 'other', 'other', 'vocals'][1 + k] AS family FROM s""")
+def stem_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, _STEMS)), (F.col("p_partkey") % len(_STEMS) + 1).cast("int"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), answers.vocal_rank(name).alias("rank"), tx.stem_family(name).alias("family"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE -1 END END AS points FROM conversations)
+SELECT conv_id, arg_min(turn, 10000 * (10 - points) + turn) AS turn FROM r WHERE points > 0 GROUP BY conv_id""")
+def vocals_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third work has no vocals and no row."""
+    kind = F.when(F.col("conv_id") % 3 == 0, "drums bass").when(F.col("turn") % 3 == 0, "lead").when(F.col("turn") % 3 == 1, "Vocals").otherwise("karaoke vocals")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(kind, F.lit(" "), F.col("turn").cast("string")).alias("name"))
+    return answers.best_vocals(rows, "conv_id", "name", "turn").select("conv_id", F.substring_index("name", " ", -1).cast("long").alias("turn"))
+
+
+@query("""SELECT page_id, ['a.png', 'a_2.png', 'A.png', 'a.png', 'image', 'IMAGE', 'a.b.png'][1 + page_id % 7] AS name, ['a.png', 'a_2.png', 'A_3.png', 'a_4.png', 'image', 'IMAGE_2', 'a.b.png'][1 + page_id % 7] AS own_name FROM pages""")
+def image_names_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered names that are taken themselves."""
+    name = F.element_at(F.array(*map(F.lit, ("a.png", "a_2.png", "A.png", "a.png", "image", "IMAGE", "a.b.png"))), (F.col("page_id") % 7 + 1).cast("int"))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 7).alias("doc"), name.alias("name"))
+    return answers.image_names(rows, "doc", "page_id", "name").select("page_id", "name", "own_name")
+
+
+@query("""WITH t AS (SELECT p_partkey, p_partkey % 3 AS k, p_size FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 50.0 WHEN 1 THEN 100.0 ELSE 0.0 END::DOUBLE AS rate, CASE k WHEN 0 THEN 'green' WHEN 1 THEN 'magenta bold' ELSE 'red' END AS style FROM t""")
+def highlight_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole words only, the longest tag where several begin, marks of names and series as one more each."""
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, "A category of cars: red car, Red Car").when(k == 1, "a <cat> (of b), red hat").otherwise("categories")
+    more = F.array(*map(F.lit, ("cat", "red car", " car ", "red hat", "")))  # the empty one is none
+    rate = tags.highlight_rate(text, F.when(k == 0, F.array(F.lit("cat"), F.lit("red car"))).otherwise(more))
+    return read_table(spark, sf_dir, "part").select("p_partkey", rate.alias("rate"), tags.rate_style(rate).alias("style"))
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS page, 'page_' || (turn + 1) AS name, role || ' ![a](p' || turn || '.png) and again ' || chr(10) || '![c](q.png)' AS body FROM conversations")
+def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages put together and cut again; images move beside the page and stand once."""
+    t = F.col("turn").cast("string")
+    body = F.concat("role", F.lit(" ![a](img/p"), t, F.lit(".png) and again ![b](img/p"), t, F.lit(".png)\n![c](x/q.png)"))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("text"))
+    return sinks.pages(sinks.assembled_pages(rows, "conv_id", "turn", "text"), "conv_id", "text")
+
+
+@query("""SELECT doc_id, unnest(['page_3', 'page_9']) AS name, unnest(['three', lang]) AS body FROM documents WHERE doc_id % 3 = 0 UNION ALL
+SELECT doc_id, unnest(['One_head_1', 'A_heading_of_more_th']), unnest(['# One: head-1' || chr(10) || 'text', '### A heading of more than twenty' || chr(10) || lang]) FROM documents WHERE doc_id % 3 = 1 UNION ALL
+SELECT doc_id, 'whole', 'no heads in ' || lang FROM documents WHERE doc_id % 3 = 2""")
+def cut_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At page headers (one without a footer), else at headings, else whole."""
+    header = lambda n: F.lit(sinks.PAGE_HEADER.format(n))
+    by_page = F.concat(F.lit("before "), header(3), F.lit("three\n\n"), F.lit(sinks.PAGE_FOOTER.format(3) + "after " + sinks.PAGE_BREAK), header(9), F.col("lang"))
+    by_heading = F.concat(F.lit("# One: head-1\ntext\n### A heading of more than twenty\n"), "lang")
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, by_page).when(k == 1, by_heading).otherwise(F.concat(F.lit("no heads in "), "lang"))
+    return sinks.pages(read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text").select("doc_id", "name", "body")
+
+
+@query("""SELECT 'd/' || doc_id || '.txt' AS path, 'long of ' || lang || 'plain' || chr(10) AS body FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'd/' || doc_id || '.json', '{"description":"d","long_description":"long of ' || lang || '"}' FROM documents WHERE doc_id % 3 = 0 UNION ALL
+SELECT 'd/' || doc_id || '.srt', '{"caption_extension":"srt"}' || chr(10) || lang FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT 'd/' || doc_id || '.txt', 'green' || chr(10) || '{not json}' || chr(10) FROM documents WHERE doc_id % 3 = 2""")
+def structured_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON captions as a description and a file of their own; one names the extension."""
+    k = F.col("doc_id") % 3
+    first = F.concat(F.lit('{"description":"d","long_description":"long of '), "lang", F.lit('"}'))
+    lines = F.when(k == 0, F.array(first, F.lit(" plain "))).when(k == 1, F.array(F.lit('{"caption_extension":"srt"}'), F.col("lang"))).otherwise(F.array(F.lit("<font color='green'>green</font>"), F.lit(" "), F.lit("{not json}")))
+    rows = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("uris"), lines.alias("captions"))
+    return sinks.caption_files(rows)
+
+
+@query("""WITH a AS (SELECT DISTINCT d.doc_id, d.lang, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)), f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
+SELECT 'overwrite' AS mode, doc_id FROM a WHERE lang <> 'de' UNION ALL SELECT 'append', doc_id FROM a WHERE lang <> 'de' AND coalesce(toxic, 0) = 0 UNION ALL
+SELECT 'usual', doc_id FROM a WHERE lang <> 'de' AND coalesce(toxic, 0) = 0 AND doc_id NOT IN (SELECT doc_id FROM f)""")
+def caption_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images: toxic ones have captions, others an empty list or none; good ones a full caption file, the rest an empty one."""
+    labels = read_table(spark, sf_dir, "labels")
+    path = lambda e: F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(e))
+    lists = F.when(F.col("toxic") == 1, F.array(F.lit("x"))).when(F.col("toxic") == 0, F.array().cast("array<string>"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left").select("doc_id", "lang", "toxic").distinct()
+    assets_of = docs.select("doc_id", path(".png").alias("uris"), F.when(F.col("lang") == "de", "video/mp4").otherwise("image/png").alias("mime"), lists.alias("captions"))
+    files = labels.select(path(".txt").alias("path"), (F.col("quality") * 5).alias("size"))
+    modes = {"overwrite": {"overwrite": True}, "append": {"append": True}, "usual": {}}
+    made = [captions.candidates(assets_of, files, **how).select(F.lit(mode).alias("mode"), "doc_id") for mode, how in modes.items()]
+    return made[0].union(made[1]).union(made[2])
+
+
+@query("SELECT a.place, d.text AS text FROM (VALUES (0, 5), (1, 3), (2, -1), (3, 5), (4, 0)) AS a(place, doc_id) LEFT JOIN (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id) d USING (doc_id)")
+def texts_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By one selector, in the order asked for, null where there is none."""
+    return versions.taken(read_table(spark, sf_dir, "documents"), "text", doc_id=[5, 3, -1, 5, 0])
+
+
 # Outcomes
 
 
@@ -533,14 +621,8 @@ def _caption_modes(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN text END AS short, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 3 = 1 THEN 'long' ELSE coalesce(source, 'x') END END AS long FROM documents""")
-def caption_modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _caption_modes(spark, sf_dir, F.col("text"))
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN left(text, 20) END AS short, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 3 = 1 THEN 'long' ELSE coalesce(source, 'x') END END AS long FROM documents""")
 def caption_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`caption_modes_whole` of the first characters, as its SQL states it."""
-    return _caption_modes(spark, sf_dir, F.left("text", F.lit(20)))
+    return _caption_modes(spark, sf_dir, F.col("text"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 <> 0 THEN 'text ' || event_id END AS description, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END END::DOUBLE AS average FROM events""")
@@ -592,19 +674,13 @@ def error_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60.0 END::DOUBLE AS direct_seconds, o_orderkey % 3 = 1 AS bypass FROM orders""")
-def segment_policies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segment_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey")
     video = n % 3 == 0
     rule = outcomes.segment_policy(F.when(video, "video/mp4").when(n % 3 == 1, "image/png").otherwise("audio/wav"), F.when(video & (n % 2 == 0), None).otherwise(n % 100), F.lit(60.0), F.array(F.lit("image/")))
     return read_table(spark, sf_dir, "orders").select("o_orderkey", rule["seconds"].alias("seconds"), (rule["direct_ms"] / 1000).alias("direct_seconds"), rule["bypass"].alias("bypass"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 59 ELSE least(o_orderkey % 100, 59) END ELSE o_orderkey % 100 END::INT AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN 60.0 END::DOUBLE AS direct_seconds, o_orderkey % 3 = 1 AS bypass FROM orders WHERE o_orderkey % 100 > 0""")
-def segment_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders of `segment_policies_all` that its SQL states."""
-    return segment_policies_all(spark, sf_dir).where("o_orderkey % 100 > 0")
-
-
 @query("SELECT p_partkey, 'mood=0,light=' || p_size || ',extra=1.5' AS scores FROM part")
 def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.create_map(F.lit(" extra "), F.lit("1.5"), F.lit("light"), F.col("p_size").cast("string"), F.lit("mood"), F.lit("-3"), F.lit(" "), F.lit("9"))
@@ -627,15 +703,8 @@ def _recognized_pages(spark: SparkSession, sf_dir: str, text: Column) -> DataFra
 
 @query("""WITH x AS (SELECT conv_id, turn, unnest([role, ' ', replace(trim(text), chr(10), '/')]) AS line, unnest([1, 2, 3]) AS k FROM conversations)
 SELECT conv_id, count(*) AS n_texts, string_agg(trim(line), chr(10) ORDER BY turn, k) FILTER (WHERE trim(line) <> '') AS content FROM x GROUP BY conv_id""")
-def recognized_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recognized_pages(spark, sf_dir, F.replace(F.trim("text"), F.lit("\n"), F.lit("/")))
-
-
-@query("""WITH x AS (SELECT conv_id, turn, unnest([role, ' ', left(replace(trim(text), chr(10), '/'), 9)]) AS line, unnest([1, 2, 3]) AS k FROM conversations)
-SELECT conv_id, count(*) AS n_texts, string_agg(trim(line), chr(10) ORDER BY turn, k) FILTER (WHERE trim(line) <> '') AS content FROM x GROUP BY conv_id""")
 def recognized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`recognized_pages_whole` of the first characters, as its SQL states it."""
-    return _recognized_pages(spark, sf_dir, F.left(F.replace(F.trim("text"), F.lit("\n"), F.lit("/")), F.lit(9)))
+    return _recognized_pages(spark, sf_dir, F.replace(F.trim("text"), F.lit("\n"), F.lit("/")))
 
 
 @query("""SELECT page_id, 'See ![a](img/one_' || page_id % 7 || '.png) and ![b](other.png), ![](img/two.png)' AS markdown FROM pages""")

@@ -10,7 +10,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import schema
@@ -32,11 +32,18 @@ def caption_path(uri: Column, family: Column, suffix: str = "", override: Column
 
 
 def caption_files(assets: DataFrame, families: tuple[str, ...] = ("image", "animation", "video", "audio", "text", "application"), suffix: str = "") -> DataFrame:
-    """(path, body) of the captions of assets (uris, captions) that have some and are of an allowed family."""
-    kind = schema.family(F.col("uris"), schema.EXPORT_ORDER)
-    rows = assets.withColumn("family", kind).where(F.col("family").isin(*families) & (F.coalesce(F.size("captions"), F.lit(0)) > 0))
-    path = caption_path(F.col("uris"), F.col("family"), suffix)
-    return rows.select(path.alias("path"), tx.caption_body(schema.extension(path), F.col("captions")).alias("body")).where("body <> ''")
+    """(path, body) of the captions of assets (uris, captions) that have some and are of an allowed family.
+
+    A JSON object among the captions can name the file's extension (`caption_extension`). Where its description is
+    what the file holds, the last such object is a file of its own beside it, ending in .json.
+    """
+    kind, objects = schema.family(F.col("uris"), schema.EXPORT_ORDER), tx.json_objects(F.col("captions"))
+    rows = assets.select("uris", "captions", kind.alias("family"), objects.alias("objects")).where(F.col("family").isin(*families) & F.exists("captions", lambda x: tx.strip(x) != ""))
+    asked = F.get_json_object(F.try_element_at("objects", F.lit(1)), "$.caption_extension")
+    rows = rows.withColumn("path", caption_path(F.col("uris"), F.col("family"), suffix, asked))
+    texts = rows.select("path", tx.caption_body(schema.extension(F.col("path")), F.col("captions")).alias("body"))
+    twins = rows.where((F.size("objects") > 0) & ~schema.extension(F.col("path")).isin(".srt", ".md"))
+    return texts.unionByName(twins.select(F.regexp_replace("path", r"\.[^./\\]*$", ".json").alias("path"), F.element_at("objects", -1).alias("body")))
 
 
 def safe_under(base: str, name: Column) -> Column:
@@ -66,30 +73,57 @@ def write_buckets(rows: DataFrame, path: str, bucket: str = "bucket") -> None:
     rows.repartition(F.col(bucket), F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.partitionBy(bucket).mode("overwrite").parquet(path)
 
 
+#: What stands before and after each page of a document that was put together of pages.
+PAGE_HEADER = '<header style="background-color: #f5f5f5; padding: 8px; margin-bottom: 20px; text-align: center; border-bottom: 1px solid #ddd;">\n<strong> Page {} </strong>\n</header>\n\n'
+PAGE_FOOTER = '<footer style="background-color: #f5f5f5; padding: 8px; margin-top: 20px; text-align: center; border-top: 1px solid #ddd;">\n<strong> Page {} </strong>\n</footer>\n\n'
+PAGE_BREAK = '<div style="page-break-after: always;"></div>\n\n'
+_HEADER_BEGIN = '<header style="background-color: #f5f5f5;'
+_HEADER, _FOOTER, _BREAK = rf"(?s){_HEADER_BEGIN}.*?</header>", r'(?s)<footer\s+style="[^"]*">.*?</footer>', r'(?s)<div style="page-break-after: always;">\s*</div>'
+_IMAGE = r"!\[([^\]]*)\]\([^/()]+/([^/()]+)\)"
+
+
+def own_images(body: Column) -> Column:
+    """A page with its images beside it instead of in a folder, each where it first stands only."""
+    of = lambda group: F.regexp_extract_all(body, F.lit(_IMAGE), F.lit(group))
+
+    def piece(text: Column, i: Column) -> Column:
+        name = F.get(of(2), i)
+        return F.concat(text, F.when(F.array_position(of(2), name) == i + 1, F.concat(F.lit("!["), F.get(of(1), i), F.lit("]("), name, F.lit(")"))).otherwise(""))
+
+    return F.array_join(F.transform(F.split(body, _IMAGE, -1), piece), "")
+
+
 def pages(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, page, name, body): documents at their page headers, else at their headings, else whole.
 
-    A page header is a line `<!-- page N -->`; a page ends where its first footer `<!-- /page N -->` ends, else
-    where the next header begins.
+    A page begins at its header and ends with the footer of its number, else before the next header; headers,
+    footers and page breaks go, and what stands before the first header. A section is named by the first 20
+    characters of its heading.
     """
-    header = r"(?m)^<!-- page (\d+) -->\s*$"
-    by_page, by_heading = F.regexp_like(text, F.lit(header)), F.regexp_like(text, F.lit(r"(?m)^#{1,6}\s"))
-    cut = F.when(by_page, F.split(text, r"(?m)(?=^<!-- page \d+ -->\s*$)", -1)).when(by_heading, F.split(text, r"(?m)(?=^#{1,6}\s)", -1)).otherwise(F.array(text))
-    parts = documents.select(key, by_page.alias("numbered"), F.posexplode(F.filter(cut, lambda p: F.trim(p) != "")).alias("page", "body"))
-    number = F.regexp_extract("body", header, 1)
-    body = F.regexp_replace("body", r"(?m)^<!-- page \d+ -->\s*$", "")
-    body = F.when(F.col("numbered"), F.split(body, r"(?m)^<!-- /page \d+ -->\s*$", 2)[0]).otherwise(body)
-    title = F.regexp_replace(F.regexp_extract("body", r"(?m)^#{1,6}\s+(.*)$", 1), r"[^\w -]", "")
-    name = F.when(F.col("numbered") & (number != ""), F.concat(F.lit("page_"), number)).when(title != "", tx.slug(title)).otherwise(F.concat(F.lit("part_"), (F.col("page") + 1).cast("string")))
-    return parts.select(key, "page", name.alias("name"), tx.strip(body).alias("body"))
+    by_page = F.regexp_like(text, F.lit(rf"{_HEADER_BEGIN}(?s:.*?)<strong> Page \d+ </strong>"))
+    by_heading = F.regexp_like(text, F.lit(r"(?m)^#{1,6}\s+\S"))
+    cut = F.when(by_page, F.split(text, f"(?={_HEADER_BEGIN})", -1)).when(by_heading, F.split(text, r"(?m)(?=^#{1,6}\s+\S)", -1)).otherwise(F.array(text))
+    parts = documents.select(key, F.when(by_page, "page").when(by_heading, "section").otherwise("whole").alias("kind"), F.posexplode(cut).alias("place", "body"))
+    number, heading = F.regexp_extract("body", r"(?s)\A.*?<strong> Page (\d+) </strong>", 1), F.regexp_extract("body", r"\A#{1,6}\s+(.*)", 1)
+    parts = parts.withColumn("title", F.when(F.col("kind") == "page", number).when(F.col("kind") == "section", heading).otherwise("whole")).where("title <> ''")
+    own_footer = F.concat(F.lit(r'(?s)\A(.*?<footer\s+style="[^"]*">\s*<strong>\s*Page\s+'), "title", F.lit(r"\s*</strong>.*?</footer>)"))
+    body = F.coalesce(F.try_element_at(F.regexp_extract_all(F.col("body"), own_footer, F.lit(1)), F.lit(1)), "body")
+    for gone in (_BREAK, _HEADER, _FOOTER):
+        body = F.regexp_replace(body, gone, "")
+    body = F.when(F.col("kind") == "page", own_images(F.regexp_replace(body, "\n{3,}", "\n\n"))).otherwise(F.col("body"))
+    section = F.regexp_replace(tx.strip(F.left(F.regexp_replace("title", r"(?U)[^\w\s-]", ""), F.lit(20))), r"[-\s]+", "_")
+    name = F.when(F.col("kind") == "page", F.concat(F.lit("page_"), "title")).when(F.col("kind") == "section", section).otherwise("whole")
+    page = F.row_number().over(Window.partitionBy(key).orderBy("place")) - 1
+    return parts.select(key, page.alias("page"), name.alias("name"), tx.strip(body).alias("body"))
 
 
 def assembled_pages(parts: DataFrame, key: str, page: str, text: str, *, headers: bool = True) -> DataFrame:
-    """(key, text): pages in order (0-based), each between its header and footer, which `pages` cuts again."""
+    """(key, text): pages in order (0-based), each between its header and footer, which `pages` cuts again; else by line."""
     number = (F.col(page) + 1).cast("string")
-    body = F.concat(F.lit("<!-- page "), number, F.lit(" -->\n"), text, F.lit("\n<!-- /page "), number, F.lit(" -->")) if headers else F.col(text)
+    framed = lambda frame: F.concat(*(F.lit(x) if k == 0 else F.concat(number, F.lit(x)) for k, x in enumerate(frame.split("{}"))))
+    body = F.concat(framed(PAGE_HEADER), text, F.lit("\n\n"), framed(PAGE_FOOTER), F.lit(PAGE_BREAK)) if headers else F.col(text)
     rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), body.alias("body")))).alias("rows"))
-    return rows.select(key, F.array_join(F.transform("rows", lambda r: r["body"]), "\n\n").alias(text))
+    return rows.select(key, F.array_join(F.transform("rows", lambda r: r["body"]), "" if headers else "\n").alias(text))
 
 
 def write_notes(notes: DataFrame, path: str, separator: str = ",") -> None:

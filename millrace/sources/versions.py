@@ -1,16 +1,21 @@
 """A versioned dataset on plain Parquet: a folder for each version, small tables of versions and tags.
 
-`root/data/v=N` holds version N; `root/log` has a row for each commit and `root/tags` one for each time a tag
-was set, so the last row counts. All paths go through Spark, so any Hadoop file system serves.
+Each commit writes its data to a folder of its own below `root/data` and then claims the next number by creating
+`root/log/<number>.json`, which a file system lets only one writer do; `root/tags` has a row for each time a tag was
+set, so the last row counts. All paths go through Hadoop, so any of its file systems serves.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE = r"[^0-9A-Za-z._-]+"
 
@@ -35,13 +40,20 @@ class Dataset:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _rows(self, name: str, ddl: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], ddl)
+        path = self._path(name)
+        return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}") if self._files(path).exists(path) else self.spark.createDataFrame([], ddl)
 
     def versions(self) -> DataFrame:
-        return self._rows("log", "version long, operation string")
+        path = self._path("log")
+        ddl = "version long, operation string, folder string"
+        return self.spark.read.schema(ddl).json(f"{self.root}/log") if self._files(path).exists(path) else self.spark.createDataFrame([], ddl)
 
     def latest(self) -> int:
         """The newest version, or 0 of a dataset without any."""
@@ -69,24 +81,66 @@ class Dataset:
 
     def read(self, version: int | str | None = None) -> DataFrame:
         """The newest version, or the one that a number or tag names."""
-        return self.spark.read.parquet(f"{self.root}/data/v={self.resolve(version)}")
-
-    def write(self, frame: DataFrame, operation: str = "overwrite", tag: str | None = None) -> int:
-        """Commit `frame` as the next version: the data first, then its log row, so a failed write leaves no version."""
+        number = self.resolve(version)
+        found = self.versions().where(F.col("version") == number).first()
+        if found is None:
+            raise KeyError(number)
+        return self.spark.read.parquet(f"{self.root}/data/{found['folder']}")
+
+    def write(self, frame: DataFrame, operation: str = "overwrite", tag: str | None = None, *, after: int | None = None) -> int:
+        """Commit `frame` as the next version: the data first, then its number, so a failed write leaves no version.
+
+        after: the version that `frame` was made of. If another writer has committed since, that is an error, and
+        so it is for `create`; other writes take the next free number.
+        """
         version = self.latest() + 1
         if operation == "create" and version > 1:
             raise FileExistsError(self.root)
-        frame.write.mode("overwrite").parquet(f"{self.root}/data/v={version}")
-        self.spark.createDataFrame([(version, operation)], "version long, operation string").write.mode("append").parquet(f"{self.root}/log")
+        folder = uuid.uuid4().hex
+        frame.write.parquet(f"{self.root}/data/{folder}")
+        version = self._claim(version if after is None else after + 1, operation, folder, wait=operation != "create" and after is None)
         if tag:
             self.tag(tag, version)
         return version
 
+    def _claim(self, version: int, operation: str, folder: str, *, wait: bool) -> int:
+        while True:
+            path = self._path(f"log/{version:012d}.json")
+            try:
+                out = self._files(path).create(path, False)
+            except Py4JJavaError as e:
+                if not self._files(path).exists(path):
+                    raise
+                if not wait:
+                    raise FileExistsError(f"version {version} of {self.root} was committed by another writer") from e
+                version += 1
+                continue
+            out.write(bytearray(json.dumps({"version": version, "operation": operation, "folder": folder}).encode()))
+            out.close()
+            return version
+
     def update(self, updates: DataFrame, key: str, tag: str | None = None) -> int | None:
         """Keyed update, see `updated`; without updates no version is made."""
         if not updates.limit(1).count():
             return None
-        return self.write(updated(self.read(), updates, key), "update", tag)
+        base = self.latest()
+        return self.write(updated(self.read(base), updates, key), "update", tag, after=base)
+
+    def take(self, column: str, **selector: Sequence) -> DataFrame:
+        """(place, column) for the values of exactly one key column, in their order; null where there is none."""
+        return taken(self.read(), column, **selector)
+
+
+def taken(table: DataFrame, column: str, **selector: Sequence) -> DataFrame:
+    """(place, column): what `table` holds for each value asked for, at its place; see `Dataset.take`."""
+    given = {c: v for c, v in selector.items() if v is not None}
+    if len(given) != 1:
+        raise ValueError(f"exactly one selector must be given, not {sorted(given)}")
+    ((key, values),) = given.items()
+    kind = T.StructType([T.StructField("place", T.LongType()), T.StructField("__key", table.schema[key].dataType)])
+    asked = table.sparkSession.createDataFrame(list(enumerate(values)), kind)
+    held = table.select(F.col(key).alias("__key"), column).join(F.broadcast(asked.select("__key").distinct()), "__key", "left_semi").groupBy("__key").agg(F.first(column, ignorenulls=True).alias(column))
+    return asked.join(held, "__key", "left").select("place", column).orderBy("place")
 
 
 def update_faults(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:

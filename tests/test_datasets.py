@@ -121,13 +121,13 @@ def test_vocabularies(spark, tmp_path):
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([(f"{tmp_path}/a.mp4", ["1", "2"]), (f"{tmp_path}/b.gif", ['<font color="green">x</font>', "y"]), (f"{tmp_path}/c.pdf", ["p", "q"]), (f"{tmp_path}/d.png", []), (f"{tmp_path}/e.png", None)], "uris string, captions array<string>")
     sinks.write_files(sinks.caption_files(rows)).collect()
-    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"a.srt": "1\n2", "b.txt": "x\ny", "c.md": "pq"}
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"a.srt": "1\n2", "b.txt": "x\ny\n", "c.md": "pq"}
     again = sinks.write_files(sinks.caption_files(rows), overwrite=False).collect()
     assert not any(r["written"] for r in again)
     assert values(spark, sinks.safe_under("/base", F.lit("../../etc/passwd"))) == "/base/passwd" and values(spark, sinks.safe_under("/base/", F.lit(".."))) == "/base/file"
     parts = spark.createDataFrame([(1, 1, "second"), (1, 0, "first"), (2, 0, "# A\nx\n## B\ny"), (3, 0, "plain")], "doc int, page int, text string")
     whole = sinks.assembled_pages(parts.where("doc = 1"), "doc", "page", "text").unionByName(parts.where("doc > 1").select("doc", "text"))
-    assert [tuple(r) for r in sinks.pages(whole, "doc", "text").orderBy("doc", "page").collect()] == [(1, 0, "page_1", "first"), (1, 1, "page_2", "second"), (2, 0, "a", "# A\nx"), (2, 1, "b", "## B\ny"), (3, 0, "part_1", "plain")]
+    assert [tuple(r) for r in sinks.pages(whole, "doc", "text").orderBy("doc", "page").collect()] == [(1, 0, "page_1", "first"), (1, 1, "page_2", "second"), (2, 0, "A", "# A\nx"), (2, 1, "B", "## B\ny"), (3, 0, "whole", "plain")]
     sinks.write_buckets(spark.createDataFrame([(1, 5.0), (2, 7.5)], "id int, bucket double"), f"file://{tmp_path}/buckets")
     assert {r["id"]: r["bucket"] for r in spark.read.parquet(f"file://{tmp_path}/buckets").collect()} == {1: 5.0, 2: 7.5}
 
@@ -177,6 +177,62 @@ def test_documents():
     assert [df.decode(x) for x in (b"\xef\xbb\xbfa", "漢".encode("gb18030"), None)] == ["a", "漢", ""]
 
 
+def test_repeated_tails_of_a_plain_version():
+    rng = random.Random(8)
+
+    def plain(text, least, longest, chars, times):
+        if len(text) < max(least, 2):
+            return None
+        for p in range(1, min(longest, len(text) - 1) + 1):
+            n = p
+            while n < len(text) and text[len(text) - 1 - n] == text[len(text) - 1 - n + p]:
+                n += 1
+            if n > p and n >= chars and n // p >= times:
+                return p, n
+        return None
+
+    for _ in range(400):
+        unit = "".join(rng.choice("ab \n") for _ in range(rng.randint(1, 12)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20))) + unit * rng.randint(0, 12) + unit[: rng.randint(0, len(unit))]
+        limits = {"least": rng.choice([0, 30]), "longest": rng.choice([3, 20]), "chars": rng.choice([1, 25]), "times": rng.choice([2, 5])}
+        assert df.repeated_tail(text, **limits) == plain(text, **limits), (text, limits)
+
+
+def test_html_blocks():
+    cases = {
+        "a\r\nb": "a\nb", "x < y": "x < y", "<b>x</b> &lt;i&gt; &amp;nbsp;&nbsp;y": "x <i> &nbsp; y", "a<br/>b<br>c": "a\nb\nc", "<p>a</p><p>b</p>": "a\n\nb",
+        '<div class="pseudocode">if x\n```y</div>': "```\nif x\ny\n```", '<div class="big chart">graph\n%% note\nA-->B</div>': "```mermaid\ngraph\n\nA-->B\n```",
+        '<div class="chart">mermaid\nA</div>': "```mermaid\nA\n```", '<div class="music">X:1\nZ: who\n\nabc </div>': "```abc\nX:1\nabc\n```", '<div class="code"></div>z': "z",
+        '<div class="table"><div>in</div>side</div>out': "in\nside\n\nout", '<div class="code">open': "```code\nopen\n```", "</div></p>x": "x", '<div class="code">a &lt;b&gt;</div>': "```code\na <b>\n```",
+    }
+    assert {k: df.html_to_markdown(k) for k in cases} == cases and df.html_to_markdown(None) == ""
+
+
+def test_chunks_of_every_kind_of_block():
+    text = "# Title\n\n> quoted\n\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\nx = 1\n```\n\nLast words.\n"
+    parts = df.slices(text, df.chunk_offsets(text, 30))
+    assert "".join(parts) == text and [p.strip() for p in parts] == ["# Title\n\n> quoted", "- one\n- two", "| a | b |\n|---|---|\n| 1 | 2 |", "```py\nx = 1\n```\n\nLast words."]
+    long = "One two three. " * 3 + "See http://a.b/c.d?e. f or C:\\a. b\\c! Next\nline of words without any mark at all goes on and on"
+    assert df.slices(long, df.chunk_offsets(long, 40)) == ["One two three. ", "One two three. ", "One two three. ", "See http://a.b/c.d?e. f or C:\\a. b\\c! ", "Next\nline of words without any mark at ", "all goes on and on"]
+    held = ("`a`", "`b`", "~~~d\n`e~~~", "./x/y", "\\\\srv\\z", "C:\\q/")
+    assert df.protect("`a``b` ``` c ~~~d\n`e~~~ (see ./x/y) \\\\srv\\z] C:\\q/ end") == ("__QLP_0____QLP_1__ ``` c __QLP_2__ (see __QLP_3__) __QLP_4__] __QLP_5__ end", [*held])
+
+
+def test_versions_are_claimed_once(spark, data):
+    other = versions.Dataset(spark, data.root)
+    base, frame = data.latest(), data.read()
+    assert other.write(frame.limit(1)) == base + 1
+    with pytest.raises(FileExistsError, match="another writer"):
+        data.write(frame, "update", after=base)
+    assert data.latest() == base + 1 and data.read().count() == 1
+    assert data.write(frame.limit(0)) == base + 2
+    with pytest.raises(ValueError, match="exactly one"):
+        data.take("uris")
+    with pytest.raises(ValueError, match="exactly one"):
+        versions.taken(frame, "blob", uris=["a"], count=[1])
+    assert [r["blob"] and bytes(r["blob"]) for r in versions.taken(frame, "blob", uris=["b", "zz", "a", "b"]).collect()] == [b"2", None, b"1", b"2"]
+
+
 def test_text_functions(spark):
     v = lambda c: values(spark, c)
     assert v(tx.finalize(F.lit(" a\r\nb\0 "))) == "a\nb\n" and v(tx.finalize(F.lit(" "))) == ""
