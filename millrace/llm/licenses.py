@@ -3,19 +3,25 @@
 Every document gives the hashes of all its word pairs with their positions; templates give theirs. A Spark join
 of the two on the hash yields votes, summed by diagonal (position in the document less position in the
 template). A phrase stands where all its pairs vote for one diagonal. For longer templates neighbouring
-diagonals are merged, which bridges inserted and left-out words, and the merged span is verified: it must
-cover `MIN_COVERAGE` of the template's pairs over a stretch of at most twice its length.
-
-Templates are a parameter of at most `MOST_TEMPLATE_WORDS` words together; up to that size they are broadcast.
-One scan: a document also emits one header row, which meets a header template, so that documents without
-any vote return too. Votes are summed before the shuffle.
-
-Defined results: null and empty texts have no words and no labels; equal phrases count once for each place;
-repeated rows and doc_ids are scanned once per row; an empty table gives no rows; other columns are ignored.
+diagonals are merged, which bridges inserted and left-out words, and the merged span is verified by its words:
+it must hold `MIN_PAIRS` of the template's pairs and `MIN_WORDS` of its words, each counted once however often it
+stands there, over a stretch of at most twice the template's length; and of the words that tell the template from
+those that it resembles, one at least. Of overlapping spans of different labels the best stays: the one with the
+larger share of its template's pairs, then the longer, then the earlier template. A score is the share of its words.
+
+Templates are a parameter; those of up to `MOST_TEMPLATE_WORDS` words together are broadcast, beyond that they are
+shuffled. One scan: a document also emits one header row, which passes the join by a key of its own, so that
+documents without any vote return too. Votes are summed before the shuffle.
+
+Defined results: null and empty texts have no words and no labels; texts of any length are scanned whole; equal
+phrases count once for each place; repeated rows and doc_ids are scanned once per row; an empty table gives no rows;
+other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._text import ALNUM, IS_ALNUM, Words, row_type, words_of
+from millrace.llm._text import ALNUM, IS_ALNUM, Words, mix64, row_type, words_of
 
-PAIR, MIN_COVERAGE, NEIGHBOURS, MOST_TEMPLATE_WORDS = 2, 0.6, 3, 100_000
+PAIR, MIN_PAIRS, MIN_WORDS, NEIGHBOURS, MOST_TEMPLATE_WORDS = 2, 0.6, 0.75, 3, 100_000
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = (
@@ -36,15 +42,16 @@ TEMPLATES = (
     ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl"),
+    ("Licensed under CC BY 4.0", "cc-by"),
     ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
     ("This is free and unencumbered software released into the public domain", "unlicense"),
 )
-_HEADER, _HEADER_HASH = -1, -(1 << 63)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A header (its place is the number of words, its hash one of its own) and all pairs of each document."""
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
         for lo, hi, words in words_of(batch.column("text"), IS_ALNUM, ALNUM):
@@ -52,21 +59,38 @@ def _pairs(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
             hashes, at = words.grams(PAIR)
             owner = np.searchsorted(words.first, at, side="right") - 1
             n = pa.array(np.concatenate([words.counts(), at - words.first[owner]]), pa.int64())
-            key = pa.array(np.concatenate([np.full(docs, _HEADER_HASH), hashes.view(np.int64)]), pa.int64())
+            key = pa.array(np.concatenate([mix64(np.arange(uid, uid + docs, dtype=np.uint64)), hashes]).view(np.int64), pa.int64())
             ids = pa.concat_arrays([batch.column("doc_id")[lo:hi], pa.nulls(len(at), batch.column("doc_id").type)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.arange(docs), owner]) + uid, pa.int64()), ids, n, key], schema=schema)
+            header = pa.array(np.arange(docs + len(at)) < docs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.arange(docs), owner]) + uid, pa.int64()), ids, header, n, key], schema=schema)
             uid += docs
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def telling(templates) -> list[set[str]]:
+    """For each template the words that no template of another label has which holds half of its pairs."""
+    words = [template_words(text) for text, _ in templates]
+    pairs = [set(itertools.pairwise(w)) for w in words]
+    alike = lambda k, j: templates[j][1] != templates[k][1] and 2 * len(pairs[k] & pairs[j]) >= len(pairs[k])
+    found = []
+    for k in range(len(templates)):
+        near = [set(words[j]) for j in range(len(templates)) if alike(k, j)]
+        found.append(set(words[k]).difference(*near) if near else set())
+    return found
+
+
 def _template_rows(phrases, templates) -> list[tuple]:
-    """(template, its label, whether a phrase, its pairs, pair's place, hash), with one for the header."""
-    rows: list[tuple] = [(_HEADER, "", False, 1, 0, _HEADER_HASH)]
-    for k, (text, label) in enumerate([*phrases, *templates]):
-        raw = np.frombuffer(text.encode(), np.uint8)
+    """(template, its label, whether a phrase, its pairs, whether some of its words tell it, pair's place, whether one is in the pair, hash)."""
+    rows: list[tuple] = []
+    for k, ((text, label), tells) in enumerate(zip([*phrases, *templates], [set()] * len(phrases) + telling(templates), strict=True)):
+        raw, words = np.frombuffer(text.encode(), np.uint8), template_words(text)
         hashes, at = Words(raw, np.array([0, len(raw)]), IS_ALNUM, ALNUM).grams(PAIR)
         if not len(at):
             raise ValueError(f"a template needs {PAIR} words at least: {text!r}")
-        rows += [(k, label, k < len(phrases), len(at), int(p), int(h)) for p, h in zip(at, hashes.view(np.int64), strict=True)]
+        rows += [(k, label, k < len(phrases), len(at), bool(tells), int(p), bool(tells & set(words[p : p + PAIR])), int(h)) for p, h in zip(at, hashes.view(np.int64), strict=True)]
     return rows
 
 
@@ -75,33 +99,38 @@ def scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
 
     phrases: the base, (words, label); templates: the method's own, (text, label).
     """
-    spark = docs.sparkSession
     rows = _template_rows(phrases, templates)
-    known = spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, place long, hash long")
+    known = docs.sparkSession.createDataFrame(rows, "template int, label string, base boolean, pairs int, needs boolean, place long, tells boolean, hash long").withColumn("header", F.lit(False))
     if len(rows) <= MOST_TEMPLATE_WORDS:
         known = F.broadcast(known)
-    kind, arrow = row_type("uid long, doc_id long, at long, hash long", doc_id=docs.schema["doc_id"].dataType)
+    kind, arrow = row_type("uid long, doc_id long, header boolean, at long, hash long", doc_id=docs.schema["doc_id"].dataType)
     pairs = docs.select("doc_id", "text").mapInArrow(lambda it: _pairs(it, arrow), kind)
 
-    by = ["uid", "template", "label", "base", "pairs"]
-    votes = pairs.join(known, "hash").withColumn("diagonal", F.col("at") - F.col("place"))
-    summed = votes.groupBy(*by, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("begin"), F.max("at").alias("end"), F.first("doc_id", ignorenulls=True).alias("doc_id"))
-    header, base = F.col("template") == _HEADER, F.col("base")
-    summed = summed.where(header | base & (F.col("votes") == F.col("pairs")) | ~base & (F.col("votes") >= F.least(F.lit(2), "pairs")))
+    by = ["uid", "header", "template", "label", "base", "pairs", "needs"]
+    votes = pairs.join(known, ["hash", "header"], "left").where("header or template is not null").withColumn("diagonal", F.col("at") - F.col("place"))
+    summed = votes.groupBy(*by, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("begin"), F.max("at").alias("end"), F.collect_set("place").alias("places"), F.bool_or("tells").alias("tells"), F.first("doc_id", ignorenulls=True).alias("doc_id"))
+    summed = summed.where("header or base and votes = pairs or not base and votes >= least(2, pairs)")
 
     row = Window.partitionBy("uid", "template").orderBy("diagonal")
-    apart = (base | header | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(row) > NEIGHBOURS, F.lit(True))).cast("int")
+    apart = (F.col("header") | F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(row) > NEIGHBOURS, F.lit(True))).cast("int")
     spans = summed.withColumn("apart", apart).withColumn("span", F.sum("apart").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy(*by, "span").agg(F.min("diagonal").alias("diagonal"), F.sum("votes").alias("votes"), F.min("begin").alias("begin"), (F.max("end") + PAIR).alias("end"), F.first("doc_id", ignorenulls=True).alias("doc_id"))
-    coverage = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
-    found = ~header & (base | (coverage >= MIN_COVERAGE) & (F.col("end") - F.col("begin") <= 2 * (F.col("pairs") + 1)))
-
-    only = lambda c, v: F.when(c, v)
-    place = only(base & ~header, F.col("begin"))
-    labels = lambda c: F.array_join(F.array_sort(F.collect_set(only(c, F.col("label")))), ",")
-    return spans.groupBy("uid").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max(only(header, F.col("begin"))).alias("n_words"),
+    spans = spans.groupBy(*by, "span").agg(F.min("begin").alias("begin"), (F.max("end") + PAIR).alias("end"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.bool_or("tells").alias("tells"), F.first("doc_id", ignorenulls=True).alias("doc_id"))
+    held = F.size(F.array_union("places", F.transform("places", lambda p: p + 1)))
+    spans = spans.withColumn("share", F.when(F.col("base"), 1.0).otherwise(held / (F.col("pairs") + 1)))
+    verified = (F.size("places") >= MIN_PAIRS * F.col("pairs")) & (F.col("share") >= MIN_WORDS) & (F.col("end") - F.col("begin") <= 2 * (F.col("pairs") + 1)) & (F.col("tells") | ~F.col("needs"))
+
+    header, base = F.col("header"), F.col("base") & ~F.col("header")
+    place = F.when(base, F.col("begin"))
+    span = F.struct("begin", "end", "label", "share", (F.size("places") / F.col("pairs")).alias("close"), "pairs", "template")
+    found = spans.groupBy("uid").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max(F.when(header, F.col("begin"))).alias("n_words"),
         F.count(place).alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),
-        labels(base & ~header).alias("base_labels"), labels(found).alias("labels"), F.coalesce(F.max(only(found, coverage)), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(only(found, F.struct("begin", "end", "label")))).alias("spans"),
-    ).drop("uid")
+        F.array_sort(F.collect_list(F.when(base, span))).alias("base_spans"), F.array_sort(F.collect_list(F.when(~header & ~F.col("base") & verified, span))).alias("own"),
+    )
+    rank = lambda x: F.struct(x["close"], x["pairs"], -x["template"])
+    beaten = lambda x: F.exists("own", lambda y: (y["label"] != x["label"]) & (y["begin"] < x["end"]) & (x["begin"] < y["end"]) & (rank(y) > rank(x)))
+    found = found.withColumn("spans", F.array_sort(F.concat("base_spans", F.filter("own", lambda x: ~beaten(x)))))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ",")
+    score = F.coalesce(F.array_max(F.transform("spans", lambda x: x["share"])), F.lit(0.0))
+    out = F.transform("spans", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["label"].alias("label")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", labels("base_spans").alias("base_labels"), labels("spans").alias("labels"), score.alias("score"), out.alias("spans"))

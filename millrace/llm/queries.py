@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 import string
 import uuid
@@ -119,22 +118,31 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    rows = []
-    for k, (text, label) in enumerate([*licenses.PHRASES, *licenses.TEMPLATES]):
+    """The rule of the scan in SQL: words and places, not hashes."""
+    rows, needs = [], []
+    for k, (text, label) in enumerate(licenses.PHRASES):
+        rows += [(k, label, "true", len(text.split()), i, w, "false") for i, w in enumerate(text.split())]
+    for k, ((text, label), tells) in enumerate(zip(licenses.TEMPLATES, licenses.telling(licenses.TEMPLATES), strict=True), len(licenses.PHRASES)):
         words = re.findall("[0-9a-z]+", text.lower())
-        rows += [f"({k}, '{label}', {k < len(licenses.PHRASES)}, {len(words) - 1}, {i}, '{a} {b}')" for i, (a, b) in enumerate(itertools.pairwise(words))]
+        rows += [(k, label, "false", len(words), i, w, str(w in tells).lower()) for i, w in enumerate(words)]
+        needs += [str(k)] * bool(tells)
+    values = ", ".join(f"({k}, '{label}', {base}, {n}, {i}, '{w}', {tells})" for k, label, base, n, i, w, tells in rows)
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws FROM documents),
-p AS (SELECT row, k - 1 AS place, ws[k] || ' ' || ws[k + 1] AS pair FROM (SELECT row, ws, unnest(range(1, len(ws))) AS k FROM w)),
-t AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(template, label, base, pairs, own, pair)),
-v AS (SELECT row, template, label, base, pairs, place - own AS diagonal, count(*) AS votes, min(place) AS first, max(place) AS last FROM p JOIN t USING (pair) GROUP BY ALL),
-d AS (SELECT *, CASE WHEN base THEN 1 ELSE (coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {licenses.NEIGHBOURS}, true))::INT END AS apart FROM v WHERE CASE WHEN base THEN votes = pairs ELSE votes >= least(2, pairs) END),
-s AS (SELECT *, sum(apart) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM d),
-f AS (SELECT row, label, base, least(1.0, sum(votes) / pairs) AS coverage, min(first) AS begin, max(last) + 2 AS until, pairs FROM s GROUP BY row, template, label, base, pairs, span),
-g AS (SELECT * FROM f WHERE base OR coverage >= {licenses.MIN_COVERAGE} AND until - begin <= 2 * (pairs + 1)),
-o AS (SELECT row, count(*) FILTER (base) AS n_base, min(begin) FILTER (base) AS first_word, max(begin) FILTER (base) AS last_word, list_distinct(list(label) FILTER (base)) AS base_labels, list_distinct(list(label)) AS labels, max(coverage) AS score FROM g GROUP BY row)
+p AS (SELECT row, k - 1 AS place, ws[k] AS a, ws[k + 1] AS b FROM (SELECT row, ws, unnest(range(1, len(ws))) AS k FROM w)),
+e AS (SELECT * FROM (VALUES {values}) AS v(template, label, base, words, i, word, tells)),
+t AS (SELECT x.template, x.label, x.base, x.words, x.i, x.word AS a, y.word AS b, x.tells OR y.tells AS tells FROM e x JOIN e y ON x.template = y.template AND y.i = x.i + 1),
+v AS (SELECT row, template, label, base, words, tells, place, i, place - i AS diagonal, count(*) OVER (PARTITION BY row, template, place - i) AS votes FROM p JOIN t USING (a, b)),
+d AS (SELECT DISTINCT row, template, diagonal FROM v WHERE CASE WHEN base THEN votes = words - 1 ELSE votes >= least(2, words - 1) END),
+g AS (SELECT *, lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) AS before FROM d),
+n AS (SELECT *, sum(CASE WHEN diagonal - before <= {licenses.NEIGHBOURS} THEN 0 ELSE 1 END) OVER (PARTITION BY row, template ORDER BY diagonal) AS island FROM g),
+s AS (SELECT row, template, label, base, words, CASE WHEN base THEN diagonal ELSE island END AS span, min(place) AS first, max(place) + 2 AS until, count(DISTINCT i) AS pairs, bool_or(tells) AS tells, list_distinct(list_concat(list(i), list(i + 1))) AS held FROM v JOIN n USING (row, template, diagonal) GROUP BY ALL),
+o AS (SELECT row, template, label, words, first, until, len(held) / words AS share, pairs / (words - 1) AS close FROM s WHERE NOT base AND pairs >= {licenses.MIN_PAIRS} * (words - 1) AND len(held) >= {licenses.MIN_WORDS} * words AND until - first <= 2 * words AND (tells OR template NOT IN ({", ".join(needs)}))),
+k AS (SELECT row, label, share FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.row = x.row AND y.label <> x.label AND y.first < x.until AND x.first < y.until AND (y.close > x.close OR y.close = x.close AND (y.words > x.words OR y.words = x.words AND y.template < x.template)))),
+b AS (SELECT row, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, list_distinct(list(label)) AS base_labels FROM s WHERE base GROUP BY row),
+l AS (SELECT row, list_distinct(list(label)) AS labels, max(share) AS score FROM (SELECT row, label, share FROM k UNION ALL SELECT row, label, 1.0 FROM s WHERE base) GROUP BY row)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base_labels, [])), ',') AS base_labels, array_to_string(list_sort(coalesce(labels, [])), ',') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM w LEFT JOIN o USING (row)
+FROM w LEFT JOIN b USING (row) LEFT JOIN l USING (row)
 """
 
 

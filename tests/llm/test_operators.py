@@ -418,6 +418,28 @@ def test_licenses(spark, docs):
     assert row["labels"] == "bsd" and row["base_labels"] == "" and 0.6 <= row["score"] < 1
 
 
+def test_license_labels_tell_like_notices_apart(spark):
+    by = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    cases = {
+        by: "cc-by", by.replace("Attribution", "Attribution-NonCommercial"): "cc-by-nc", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by-nc", "licensed under CC licensed under CC": "", "licensed under CC " * 9: "",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "gpl,lgpl",  # gpl by its phrase
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License": "apache", f"{by} x y z Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "the terms of the software and the documentation files of this work": "", "THIS IS FREE AND unencumbered software, released into the public domain": "unlicense",
+    }
+    clashing = "text as doc_id, text, 1 as uid, 2 as header, 3 as template, 4 as label, 5 as base, 6 as hash, 7 as places, 8 as at"
+    rows = licenses.scan(spark.createDataFrame([(c,) for c in cases], "text string").selectExpr(*clashing.split(", "))).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == cases
+    spans = {r["doc_id"]: [(s["begin"], s["end"], s["label"]) for s in r["spans"]] for r in rows}
+    assert spans[by] == [(0, 13, "cc-by")]
+
+
+def test_licenses_with_shuffled_templates(spark, docs, monkeypatch):
+    usual = Counter(str(r) for r in licenses.scan(docs).collect())
+    monkeypatch.setattr(licenses, "MOST_TEMPLATE_WORDS", 0)
+    assert Counter(str(r) for r in licenses.scan(docs).collect()) == usual
+
+
 def test_line_quality(docs):
     by = defaultdict(list)
     for r in line_quality.judge(docs).collect():
