@@ -6,8 +6,9 @@ document is rejected if it loses more than half of its text, or if it is short o
 One pass, no shuffle: a document's verdict needs no other document.
 
 Defined results: null and empty texts have no words and are rejected; repeated rows and doc_ids are judged
-once per row; an empty table gives no rows; other columns are ignored. Letters without case are letters, and
-lines of them do not shout; words are parted by white space in all scripts.
+once per row; texts of any length are judged whole; an empty table gives no rows; other columns, of whatever name,
+are ignored. Letters without case are letters, and lines of them do not shout; words are parted by white space in
+all scripts.
 """
 
 from __future__ import annotations
@@ -23,21 +24,42 @@ from millrace.llm._text import IS_SPACED, Words, constants, mix64, row_type, sli
 
 MIN_WORDS, MOST_REPEATED, MOST_LOST = 50, 0.5, 0.5
 
-#: Lines of up to this many words that contain one of these go.
-BOILERPLATE_WORDS = 30
-BOILERPLATE = ("all rights reserved", "privacy policy", "terms of service", "terms of use", "accept cookies", "uses cookies", "cookie policy", "enable javascript", "click here", "sign in", "sign up", "log in", "subscribe to", "share on", "follow us", "skip to content", "back to top", "powered by", "lorem ipsum")
-#: Lines of few words that begin with one of these are navigation.
+#: Of lines of up to this many words, phrases such as these go if they make up a quarter of the words; by language.
+BOILERPLATE_WORDS, BOILERPLATE_SHARE = 30, 0.25
+BOILERPLATE = {
+    "en": ("all rights reserved", "privacy policy", "terms of service", "terms of use", "accept cookies", "uses cookies", "cookie policy", "enable javascript", "click here", "sign in", "sign up", "log in", "subscribe to", "share on", "follow us", "skip to content", "back to top", "powered by", "lorem ipsum"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "verwendet cookies", "javascript aktivieren", "hier klicken", "jetzt anmelden", "newsletter abonnieren", "folgen sie uns", "nach oben", "weiterlesen"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies", "utilise des cookies", "cliquez ici", "se connecter", "abonnez-vous", "suivez-nous", "haut de page", "lire la suite"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies", "utiliza cookies", "haga clic aquí", "iniciar sesión", "suscríbete", "síguenos", "volver arriba", "leer más"),
+}
+#: Lines of few words that begin with one of these and do not end as a sentence does are navigation.
 NAVIGATION_WORDS = 6
-NAVIGATION = ("home", "menu", "search", "next", "previous", "login", "contact", "sitemap", "read more")
+NAVIGATION = {
+    "en": ("home", "menu", "search", "next", "previous", "login", "contact", "sitemap", "read more"),
+    "de": ("startseite", "menü", "suche", "weiter", "zurück", "kontakt", "impressum"),
+    "fr": ("accueil", "recherche", "suivant", "précédent", "plan du site"),
+    "es": ("inicio", "menú", "buscar", "siguiente", "anterior", "contacto"),
+}
+#: Sentence marks of Latin, Cyrillic and Greek, CJK, Arabic and Urdu, Hebrew, Indic, Armenian, Ethiopic, Khmer, Burmese and
+#: Tibetan script, and what may follow them.
+STOPS, CLOSERS = ".!?;…。！？．｡；؟؛۔׃।॥։።፧៖។៕။།༎", "\"'”’»)]"
+#: Scripts that end sentences without a mark: Thai and Lao.
+UNMARKED = "\u0e01-\u0e30\u0e81-\u0eb0"
+
+_no_word = re.compile(r"\W+")
+
 
-_boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)))
-_navigation = re.compile(rf"\W*(?:{'|'.join(map(re.escape, NAVIGATION))})\b")
+def phrases(lists: dict[str, tuple[str, ...]]) -> str:
+    """A pattern for whole phrases of all languages in a line whose words are each between two single spaces."""
+    every = dict.fromkeys(p for own in lists.values() for p in own)
+    return " (?:" + "|".join(_no_word.sub("  ", p) for p in every) + ") "
+
+
+_boilerplate, _navigation = re.compile(phrases(BOILERPLATE)), re.compile(phrases(NAVIGATION))
 _symbols = re.compile(r"[#*$%&|<>{}=~^\\]")
 _bars = re.compile(r"[|»›•·]")
-#: Sentence marks of Latin, Cyrillic and Greek, CJK, Arabic and Urdu, Hebrew, Indic, Armenian, Ethiopic, Khmer, Burmese and Tibetan script.
-_stops = re.compile("[.!?;…。！？．｡；؟؛۔׃।॥։።፧៖។៕။།༎]")
-#: Scripts that end sentences without a mark: Thai and Lao.
-_unmarked = re.compile("[\u0e01-\u0e30\u0e81-\u0eb0]")
+_stops, _ended = re.compile(f"[{STOPS}]"), re.compile(rf"[{STOPS}][{re.escape(CLOSERS)}]*\s*$")
+_unmarked = re.compile(f"[{UNMARKED}]")
 _SAME, _SYMBOL = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _IN_LINE = np.ones(256, bool)
@@ -56,14 +78,14 @@ def line_fails(line: str) -> str | None:
     n, low = len(words), line.lower()
     if not n:
         return None
-    if low.upper() == low and not any(map(str.isalpha, line)):
+    if not any(map(str.isalpha, line)):
         return "letters"
-    bars = len(_bars.findall(line))
-    if bars > 2 and bars > 0.2 * n or n <= NAVIGATION_WORDS and _navigation.match(low):
+    bars, plain = len(_bars.findall(line)), f" {_no_word.sub('  ', low).strip()} "
+    if bars > 2 and bars > 0.2 * n or n <= NAVIGATION_WORDS and _navigation.match(plain) and not _ended.search(line):
         return "navigation"
     if len(_symbols.findall(line)) > 0.4 * n and n > 2:
         return "symbols"
-    if n <= BOILERPLATE_WORDS and _boilerplate.search(low):
+    if n <= BOILERPLATE_WORDS and sum(len(p.split()) for p in _boilerplate.findall(plain)) >= max(1, BOILERPLATE_SHARE * n):
         return "boilerplate"
     if n >= 5 and line == line.upper() and _mostly_cased(line):
         return "shouting"

@@ -153,7 +153,10 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op10_sql() -> str:
     space = r"[\x09-\x0D\x1C-\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
     word = rf"[^{space[1:]}+"
-    any_of = lambda words: "|".join(words)
+    line = line_quality
+    quoted = lambda pattern: pattern.replace("'", "''")
+    ended = quoted(rf"[{line.STOPS}][{re.escape(line.CLOSERS)}]*{space}*$")
+    cased = "2 * len(list_filter(regexp_extract_all(line, '\\pL'), lambda x: lower(x) <> upper(x))) > len(regexp_extract_all(line, '\\pL'))"
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM t),
@@ -162,11 +165,13 @@ r AS (SELECT row, count(DISTINCT place) AS n_repeat_words FROM (SELECT row, unne
 l AS (SELECT row, unnest(range(len(x))) AS place, unnest(x) AS line FROM (SELECT row, string_split(text, chr(10)) AS x FROM t)),
 b AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
 m AS (SELECT *, lower(line) AS low, regexp_extract_all(line, '{word}') AS words, regexp_replace(regexp_replace(line, '^{space}+', ''), '{space}+$', '') AS bare, len(regexp_extract_all(line, '[|»›•·]')) AS bars, len(regexp_extract_all(line, '[#*$%&|<>{{}}=~^\\]')) AS symbols FROM l),
-j AS (SELECT *, len(words) AS n, row_number() OVER (PARTITION BY row, bare ORDER BY place) > 1 AS again FROM m),
-q AS (SELECT row, line, n > 0 AND (again OR upper(low) = low OR bars > 2 AND 5 * bars > n
-  OR n <= {line_quality.NAVIGATION_WORDS} AND regexp_matches(low, '^[^\pL\pN_]*(?:{any_of(line_quality.NAVIGATION)})(?:[^\pL\pN_]|$)')
-  OR n > 2 AND 5 * symbols > 2 * n OR n <= {line_quality.BOILERPLATE_WORDS} AND regexp_matches(low, '{any_of(line_quality.BOILERPLATE)}')
-  OR n >= 5 AND line = upper(line) OR n >= 12 AND NOT regexp_matches(line, '[.!?;…。！？]') OR n >= 20 AND 10 * len(list_distinct(list_transform(words, lambda x: lower(x)))) < 3 * n) AS fails FROM j),
+j AS (SELECT *, len(words) AS n, row_number() OVER (PARTITION BY row, bare ORDER BY place) > 1 AS again, ' ' || trim(regexp_replace(low, '[^\pL\pN_]+', '  ', 'g')) || ' ' AS plain FROM m),
+q AS (SELECT row, line, n > 0 AND (again OR NOT regexp_matches(line, '\pL') OR bars > 2 AND 5 * bars > n
+  OR n <= {line.NAVIGATION_WORDS} AND regexp_matches(plain, '^{line.phrases(line.NAVIGATION)}') AND NOT regexp_matches(line, '{ended}')
+  OR n > 2 AND 5 * symbols > 2 * n
+  OR n <= {line.BOILERPLATE_WORDS} AND coalesce(list_sum(list_transform(regexp_extract_all(plain, '{line.phrases(line.BOILERPLATE)}'), lambda x: len(string_split(trim(x), '  ')))), 0) >= greatest(1, {line.BOILERPLATE_SHARE} * n)
+  OR n >= 5 AND line = upper(line) AND {cased} OR n >= 12 AND NOT regexp_matches(line, '[{line.STOPS}]') AND (NOT regexp_matches(line, '[{line.UNMARKED}]') OR {cased})
+  OR n >= 20 AND 10 * len(list_distinct(list_transform(words, lambda x: lower(x)))) < 3 * n) AS fails FROM j),
 k AS (SELECT row, count(*) FILTER (fails) AS lines_removed, greatest(coalesce(sum(length(line) + 1) FILTER (NOT fails), 0) - 1, 0) AS n_left FROM q GROUP BY row),
 o AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed, lines_removed, 2 * n_left >= length(text) AS enough FROM t JOIN w USING (row) JOIN k USING (row) LEFT JOIN r USING (row) LEFT JOIN b USING (row))

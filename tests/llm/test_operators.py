@@ -464,6 +464,13 @@ def test_line_rules():
     assert [line_quality.line_fails(x) for x in ("Plain words that end with a stop.", "", "1234 - 56", "a*** b%%% c### d.", "Home | News | Sport | More", "Click here to go on", "THIS IS ALL IN CAPITAL LETTERS.", "la " * 30 + "end.")] == [None, None, "letters", "symbols", "navigation", "boilerplate", "shouting", "monotony"]
 
 
+def test_prose_is_no_navigation_or_boilerplate():
+    prose = ("Home is where we live.", "Next came the rain.", "Search parties went out.", "The sign in the window was red and we had to blog in peace.", "He said: \u201cMenu first!\u201d", "Homes were built", "Weiter ging es nicht.", "We log in the forest every winter and sell the timber in spring.")
+    assert {x: line_quality.line_fails(x) for x in prose} == dict.fromkeys(prose)
+    gone = {"Home": "navigation", "\u00bb Next page": "navigation", "Read more about us": "navigation", "Startseite Kontakt": "navigation", "\u00a9 2020 All rights reserved.": "boilerplate", "sign in sign up": "boilerplate", "Tous droits r\u00e9serv\u00e9s.": "boilerplate", "Conditions d'utilisation": "boilerplate", "By using this site you agree to our privacy policy and terms of use.": "boilerplate"}
+    assert {x: line_quality.line_fails(x) for x in gone} == gone
+
+
 def test_line_quality_in_scripts_without_case(spark):
     prose = {
         "arabic": ("ذهب الولد إلى المدرسة في الصباح الباكر وقابل صديقه القديم عند الباب رقم", "عاد؟"),
@@ -473,6 +480,14 @@ def test_line_quality_in_scripts_without_case(spark):
         "thai": ("เด็กชาย ไป โรงเรียน ตอน เช้า และ พบ เพื่อน เก่า ที่ ประตู หมายเลข", "บ้าน"),
     }
     told = lambda a, b, i: " ".join(f"{w} {i}" if k % 2 else w for k, w in enumerate(a.split())) + f" {i} {b}"
+    prose |= {
+        "hebrew": ("הילד הלך לבית הספר מוקדם בבוקר ופגש חבר ותיק ליד השער ודיבר איתו מספר", "חזר."),
+        "greek": ("Το αγόρι πήγε νωρίς το πρωί στο σχολείο και βρήκε έναν παλιό φίλο αριθμό", "γύρισε."),
+        "russian": ("Мальчик рано утром пошёл в школу и встретил у ворот старого друга номер", "вернулся."),
+        "armenian": ("Տղան վաղ առավոտյան գնաց դպրոց և դռան մոտ հանդիպեց իր հին ընկերոջը համար", "վերադարձավ։"),
+        "amharic": ("ልጁ በማለዳ ወደ ትምህርት ቤት ሄዶ በሩ ላይ የድሮ ጓደኛውን አገኘ ቁጥር", "ተመለሰ።"),
+        "english": ("The boy went to school early in the morning and met an old friend number", "then."),
+    }
     rows = [(k, "\n".join(told(a, b, i) for i in range(8))) for k, (a, b) in prose.items()]
     found = {r["doc_id"]: (r["base_failed"], r["lines_removed"], r["kept"]) for r in line_quality.judge(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert found == dict.fromkeys(prose, (False, 0, True))
