@@ -1,20 +1,24 @@
 """Operator 6: benchmark decontamination with a distributed positional inverted index.
 
-The corpus is indexed once: each segment of documents stores, for the terms that occur in the benchmark, the
-sorted positions at which they stand (term -> positions), next to its documents' ids and word counts. Segments
-hold whole documents, so the lists of a window's terms meet without a shuffle. Term frequencies come from the
-stored index. A search takes each window's terms from the rarest on: the positions of the rarest, less its
-offset, are candidate starts, and each further term keeps those at whose offset it has a posting. What is left
-after all terms is an exact occurrence. A proximity match lets terms stand up to `slack` words from their place
-and a fifth of them be missing, but not the rarest.
-
-The benchmark is the stated query set. It is read in blocks of at most `BLOCK_WORDS` words; each block goes to
-the tasks whole (some 55 MB for a block of windows of 10 words), and the results of several blocks are joined by
-document.
+The corpus is indexed once, whatever the benchmark: each segment of documents stores for every term that occurs in
+it (as a 64-bit hash) the sorted positions at which it stands, delta-coded and compressed, next to its documents' ids
+and word counts. The index lies in the shared folder and serves any number of blocks of windows. Segments hold whole
+documents, so the lists of a window's terms meet without a shuffle. Term frequencies come from the stored index.
+
+A search takes each window's terms from the rarest on: the positions of the rarest, less its offset, are candidate
+starts, and each further term keeps those at whose offset it has a posting. What is left after all terms is an exact
+occurrence. A proximity match is a place of a window in a document at which all but a fifth of its terms stand within
+`slack` words of their offset. Of the missing and the one next to them in rarity at least one must stand there, so the
+postings of these few rarest terms lead to all matches; they are tried with twice the slack before each shift is.
+
+The benchmark is the stated query set. Its items are hashed in tasks, long ones in overlapping pieces, and dealt into
+blocks of about `BLOCK_WORDS` words, which are read one at a time; each goes to the tasks whole (some 55 MB for a block
+of windows of 10 words), and the results of several blocks are joined by document.
 
 Defined results: null and empty texts have no words and no hits; items without words never occur; equal
-windows of several items count for each of them; items with one id count once; repeated rows and doc_ids are
-searched once per row; an empty corpus gives no rows, an empty benchmark no hits; other columns are ignored.
+windows of several items count for each of them; items with one id count once; documents and items of any length are
+searched whole; repeated rows and doc_ids are searched once per row; an empty corpus gives no rows, an empty benchmark
+no hits; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -23,28 +27,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm._text import ALNUM, IS_ALNUM, row_type, word_hashes, words_of
 from millrace.session import materialize
 
-WINDOW, SLACK, BLOCK_WORDS = 10, 3, 1_000_000
+WINDOW, SLACK, BLOCK_WORDS, PIECE_WORDS = 10, 3, 1_000_000, 100_000
+_CODEC = "zstd"
+
+
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    return pa.compress(values.astype(kind).tobytes(), codec=_CODEC, asbytes=True)
+
+
+def _unpacked(value: pa.Scalar, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(value.as_buffer(), decompressed_size=n * np.dtype(kind).itemsize, codec=_CODEC), kind)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    keys = [f.name for f in schema if f.name in ("doc_id", "uid")]
+def _segments(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    uid = TaskContext.get().partitionId() << 40
     for batch in batches:
         for lo, hi, words in words_of(batch.column("text"), IS_ALNUM, ALNUM):
-            term = np.searchsorted(vocabulary, words.hash)
-            at = np.flatnonzero(vocabulary[np.minimum(term, len(vocabulary) - 1)] == words.hash) if len(vocabulary) else np.zeros(0, np.int64)
-            term = term[at]
-            order = np.argsort(term, kind="stable")
-            terms, counts = np.unique(term, return_counts=True)
-            lists = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(k)[lo:hi]) for k in keys]
-            row = [pa.array([x], pa.binary()) for x in (words.first.astype("<u4").tobytes(), at[order].astype("<u4").tobytes())]
-            row += [pa.array([terms.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(lists + row, schema.types, strict=True)], schema=schema)
+            at = np.argsort(words.hash, kind="stable")
+            terms, begin, counts = np.unique(words.hash[at], return_index=True, return_counts=True)
+            steps = np.diff(at, prepend=0)
+            steps[begin] = at[begin]
+            uids = pa.array(np.arange(uid, uid + hi - lo), pa.int64())
+            uid += hi - lo
+            lists = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), c) for c in (batch.column("doc_id")[lo:hi], uids)]
+            packed = [pa.array([_packed(v, k)], pa.binary()) for v, k in ((words.first, "<u4"), (terms, "<u8"), (counts, "<u4"), (steps, "<u4"))]
+            yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip([*lists, pa.array([len(at)]), pa.array([len(terms)]), *packed], schema.types, strict=True)], schema=schema)
+
+
+def _known(batch: pa.RecordBatch, row: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a segment's terms those of a vocabulary: their place in it, their place in the segment, and all terms' counts."""
+    n = batch.column("n_terms")[row].as_py()
+    terms, counts = _unpacked(batch.column("terms")[row], n, "<u8"), _unpacked(batch.column("counts")[row], n, "<u4").astype(np.int64)
+    if not n or not len(vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), counts
+    at = np.minimum(np.searchsorted(terms, vocabulary), n - 1)
+    known = np.flatnonzero(terms[at] == vocabulary)
+    return known, at[known], counts
+
+
+def _postings(batch: pa.RecordBatch, row: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, counts, positions) of the terms of a vocabulary in a segment."""
+    known, at, counts = _known(batch, row, vocabulary)
+    steps = _unpacked(batch.column("steps")[row], batch.column("n_words")[row].as_py(), "<u4").astype(np.int64)
+    begin = np.cumsum(counts) - counts
+    places, own = _spread(begin[at], (begin + counts)[at])
+    if not len(places):
+        return known, counts[at], places
+    total = np.cumsum(steps)
+    base = (total - steps)[begin[at]]
+    return known, counts[at], total[places] - base[own]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(len(vocabulary), np.int64)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            known, at, counts = _known(batch, row, vocabulary)
+            n[known] += counts[at]
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], schema=schema)
 
 
 class Windows:
@@ -67,14 +116,16 @@ class Windows:
             self.groups.append((n, distinct, pairs))
 
     def order_by_rarity(self, frequency: np.ndarray) -> None:
-        """Plan each window's lookups from its rarest term on."""
-        plans = []
+        """Plan each window's lookups from its rarest term on; find windows by each of their rarest terms."""
+        self.plans = []
         for n, windows, pairs in self.groups:
             order = np.argsort(frequency[windows], axis=1, kind="stable").astype(np.min_scalar_type(n))
-            rarest = np.take_along_axis(windows, order[:, :1].astype(np.int64), 1).ravel()
-            by = np.argsort(rarest, kind="stable")
-            plans.append((n, windows[by], order[by], rarest[by], [pairs, np.argsort(by, kind="stable")]))
-        self.plans = [(n, w, o, r, self._owners(p, inverse, len(w))) for n, w, o, r, (p, inverse) in plans]
+            by_term = []
+            for level in range(min(n // 5 + 1, n)):
+                own = np.take_along_axis(windows, order[:, level : level + 1].astype(np.int64), 1).ravel()
+                by = np.argsort(own, kind="stable")
+                by_term.append((by, own[by]))
+            self.plans.append((n, windows, order, by_term, self._owners(pairs, np.arange(len(windows)), len(windows))))
 
     @staticmethod
     def _owners(pairs: np.ndarray, inverse: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,53 +147,99 @@ def intersect(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, firs
     ends = np.cumsum(counts)
     exact, near = [], []
 
-    def documents(start: np.ndarray, n: int) -> np.ndarray:
-        own = np.searchsorted(first, start, side="right") - 1
-        return (start >= 0) & (own >= 0) & (own < len(first) - 1) & (start + n <= first[np.clip(own + 1, 0, len(first) - 1)])
-
-    for n, spec, order, rarest, (owner_at, owner) in windows.plans:
-        own_terms = terms.astype(rarest.dtype)
-        lo, hi = np.searchsorted(rarest, own_terms), np.searchsorted(rarest, own_terms, side="right")
-        has = hi > lo
-        window, own = _spread(lo[has], hi[has])
-        if not len(window):
-            continue
-        posting, pick = _spread((ends - counts)[has][own], ends[has][own])
-        window = window[pick]
-        start = positions[posting].astype(np.int64) - order[window, 0].astype(np.int64)
-        missed, whole = np.zeros(len(start), np.int64), documents(start, n)
-        start, window, missed, strict = start[whole], window[whole], missed[whole], np.ones(int(whole.sum()), bool)
+    def documents(start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether windows lie within a document, and its bounds."""
+        own = np.clip(np.searchsorted(first, start, side="right") - 1, 0, len(first) - 2)
+        return (start >= first[own]) & (start + n <= first[own + 1]), first[own], first[own + 1]
+
+    def held(term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether terms have a posting from low to high."""
+        low, high = (term << 32) | low, (term << 32) | high
+        at = np.minimum(np.searchsorted(postings, low), len(postings) - 1)
+        return (postings[at] >= low) & (postings[at] <= high)
+
+    def owners(start: np.ndarray, window: np.ndarray, owner_at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        item, pick = _spread(owner_at[window], owner_at[window + 1])
+        return start[pick], owner[item]
+
+    for n, spec, order, by_term, (owner_at, owner) in windows.plans:
+
+        def anchored(level: int, by_term=by_term, order=order) -> tuple[np.ndarray, np.ndarray]:
+            """(window, start) for all postings of the windows' terms of a rank of rarity."""
+            by, sorted_terms = by_term[level]
+            own_terms = terms.astype(sorted_terms.dtype)
+            lo, hi = np.searchsorted(sorted_terms, own_terms), np.searchsorted(sorted_terms, own_terms, side="right")
+            has = hi > lo
+            place, own = _spread(lo[has], hi[has])
+            posting, pick = _spread((ends - counts)[has][own], ends[has][own])
+            window = by[place][pick]
+            return window, positions[posting].astype(np.int64) - order[window, level].astype(np.int64)
+
+        window, start = anchored(0)
+        whole = documents(start, n)[0] if len(start) else np.zeros(0, bool)
+        window, start = window[whole], start[whole]
         for level in range(1, n):
             if not len(start):
                 break
             offset = order[window, level].astype(np.int64)
-            key = (spec[window, offset].astype(np.int64) << 32) | (start + offset)
-            at = np.minimum(np.searchsorted(postings, key), len(postings) - 1)
-            here = postings[at] == key
-            strict &= here
-            if slack:
-                low = key - np.minimum(slack, start + offset)
-                at = np.minimum(np.searchsorted(postings, low), len(postings) - 1)
-                missed += ~((postings[at] >= low) & (postings[at] <= key + slack))
+            at = start + offset
+            left = held(spec[window, offset].astype(np.int64), at, at)
+            window, start = window[left], start[left]
+        exact.append((*owners(start, window, owner_at, owner), n))
+
+        def spared(window: np.ndarray, start: np.ndarray, width: int, n=n, spec=spec, order=order) -> tuple[np.ndarray, np.ndarray]:
+            """Places at which at most a fifth of the terms do not stand within `width` words of their offset."""
+            missed = np.zeros(len(start), np.int64)
+            for level in range(n):
+                if not len(start):
+                    break
+                _, begin, end = documents(np.clip(start, first[0], first[-1] - 1), 1)
+                offset = order[window, level].astype(np.int64)
+                low, high = np.maximum(start + offset - width, begin), np.minimum(start + offset + width, end - 1)
+                missed = missed + ~((low <= high) & held(spec[window, offset].astype(np.int64), low, np.maximum(high, low)))
                 left = missed <= n // 5
-            else:
-                left = strict
-            start, window, missed, strict = start[left], window[left], missed[left], strict[left]
-        for into, which in ((exact, strict), (near, ~strict)):
-            item, pick = _spread(owner_at[window[which]], owner_at[window[which] + 1])
-            into.append((start[which][pick], owner[item], n))
-    return exact, [(s, i) for s, i, _ in near]
+                window, start, missed = window[left], start[left], missed[left]
+            return window, start
+
+        if slack:
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for level in range(min(n // 5 + 1, n)):
+                window, start = anchored(level)
+                # A window's place is held by the document of the posting that leads to it.
+                anchor = start + order[window, level].astype(np.int64)
+                _, begin, end = documents(anchor, 1) if len(anchor) else (None, anchor, anchor)
+                shift = np.arange(-slack, slack + 1)
+                window, start, begin, end = _coarse(window, start, begin, end, n, spec, order, held, 2 * slack)
+                moved = (start[:, None] + shift).ravel()
+                window, begin, end = (np.repeat(x, len(shift)) for x in (window, begin, end))
+                whole = (moved >= begin) & (moved + n <= end)
+                found.append(spared(window[whole], moved[whole], slack))
+            pairs = np.unique(np.column_stack([np.concatenate([w for w, _ in found]), np.concatenate([s for _, s in found])]).astype(np.int64), axis=0)
+            near.append(owners(pairs[:, 1], pairs[:, 0], owner_at, owner))
+    return exact, near
+
+
+def _coarse(window, start, begin, end, n, spec, order, held, width):
+    """Postings around which, with a wider slack, at most a fifth of the terms are missing; bounds are the document's."""
+    missed = np.zeros(len(start), np.int64)
+    for level in range(n):
+        if not len(start):
+            break
+        offset = order[window, level].astype(np.int64)
+        low, high = np.maximum(start + offset - width, begin), np.minimum(start + offset + width, end - 1)
+        missed = missed + ~((low <= high) & held(spec[window, offset].astype(np.int64), np.minimum(low, high), high))
+        left = missed <= n // 5
+        window, start, missed, begin, end = window[left], start[left], missed[left], begin[left], end[left]
+    return window, start, begin, end
 
 
 def _search(batches: Iterator[pa.RecordBatch], windows: Windows, slack: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    keys = [f.name for f in schema if f.name in ("doc_id", "uid")]
     for batch in batches:
         for row in range(batch.num_rows):
-            first = np.frombuffer(batch.column("first")[row].as_buffer(), "<u4").astype(np.int64)
-            positions = np.frombuffer(batch.column("positions")[row].as_buffer(), "<u4")
-            terms, counts = (np.asarray(batch.column(c)[row].values, np.int64) for c in ("terms", "counts"))
+            first = _unpacked(batch.column("first")[row], len(batch.column("uid")[row]) + 1, "<u4").astype(np.int64)
+            terms, counts, positions = _postings(batch, row, windows.vocabulary)
             docs = len(first) - 1
-            exact, near = intersect(terms, counts, positions, first, windows, slack)
+            exact, near = intersect(terms, counts, positions, first, windows, slack) if len(positions) else ([], [])
             change, items, close = np.zeros(int(first[-1]) + 1, np.int64), [set() for _ in range(docs)], [set() for _ in range(docs)]
             for start, item, n in exact:
                 np.add.at(change, start, 1)
@@ -159,20 +256,35 @@ def _search(batches: Iterator[pa.RecordBatch], windows: Windows, slack: int, sch
             end = np.flatnonzero(hit & ~(np.concatenate([hit[1:], [False]]) & ~np.concatenate([edge[1:], [True]]))) + 1
             owner = np.searchsorted(first, begin, side="right") - 1
             runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(docs + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(begin - first[owner], pa.int64()), pa.array(end - first[owner], pa.int64())], ["begin", "end"]))
-            made = [*(batch.column(k)[row].values for k in keys), pa.array(np.diff(first), pa.int64()), runs, pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([sorted(x - y) for x, y in zip(close, items, strict=True)], pa.list_(pa.string()))]
+            made = [*(batch.column(k)[row].values for k in ("doc_id", "uid")), pa.array(np.diff(first), pa.int64()), runs, pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([sorted(x - y) for x, y in zip(close, items, strict=True)], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(made, schema.types, strict=True)], schema=schema)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
-    block, n = [], 0
-    for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
-        hashes = word_hashes(text or "", IS_ALNUM, ALNUM)
-        if n and n + len(hashes) > BLOCK_WORDS:
-            yield block
-            block, n = [], 0
-        if len(hashes):
-            block, n = [*block, (item, hashes)], n + len(hashes)
-    yield block
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Items as hashes of their words, in pieces that share a window less a word; each with the words before it in its task."""
+    task, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            hashes = word_hashes(text or "", IS_ALNUM, ALNUM)
+            for lo in range(0, max(len(hashes) - window + 1, min(len(hashes), 1)), PIECE_WORDS):
+                piece = hashes[lo : lo + PIECE_WORDS + window - 1]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((task, before, len(piece), item, piece.astype("<u8").tobytes()), schema.types, strict=True)], schema=schema)
+                before += len(piece)
+
+
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """The benchmark's pieces in blocks; the driver holds one block, and a number for each task that made pieces."""
+    kind, arrow = row_type("task long, before long, n long, item_id string, hashes binary")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    pieces = materialize(items.mapInArrow(lambda it: _pieces(it, window, arrow), kind))
+    sums = sorted((r["task"], r["n"]) for r in pieces.groupBy("task").agg(F.sum("n").alias("n")).collect())
+    ends = np.cumsum([n for _, n in sums])
+    spark = benchmark.sparkSession
+    starts = spark.createDataFrame([(task, int(end - n)) for (task, n), end in zip(sums, ends, strict=True)], "task long, base long")
+    dealt = pieces.join(F.broadcast(starts), "task").withColumn("block", F.floor((F.col("base") + F.col("before")) / BLOCK_WORDS))
+    for k in range(int(ends[-1] - 1) // BLOCK_WORDS + 1 if len(ends) else 1):
+        rows = dealt.where(F.col("block") == k).select("item_id", "hashes").collect()
+        yield [(r["item_id"], np.frombuffer(r["hashes"], "<u8")) for r in rows]
 
 
 def _merged(runs: Column) -> Column:
@@ -192,26 +304,21 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slack:
 
     benchmark: item_id, text. runs and items are of exact occurrences; near_items have proximity matches only.
     """
-    id_type, blocks = docs.schema["doc_id"].dataType, list(_blocks(benchmark))
-    docs = docs.select("doc_id", "text")
-    uid = ""
-    if len(blocks) > 1:  # rows must keep their numbers over several searches
-        docs, uid = materialize(docs.withColumn("uid", F.monotonically_increasing_id())), ", uid long"
+    id_type = docs.schema["doc_id"].dataType
+    kind, stored = row_type("doc_id array<long>, uid array<long>, n_words long, n_terms long, first binary, terms binary, counts binary, steps binary", doc_id=T.ArrayType(id_type))
+    index = materialize(docs.select("doc_id", "text").mapInArrow(lambda it: _segments(it, stored), kind))
     results = []
-    for block in blocks:
+    for block in _blocks(benchmark, window):
         windows = Windows(block, window)
-        kind, stored = row_type("doc_id array<long>" + uid.replace("long", "array<long>") + ", first binary, positions binary, terms array<int>, counts array<int>", doc_id=_array_of(id_type))
-        vocabulary = windows.vocabulary
-        index = materialize(docs.mapInArrow(lambda it, v=vocabulary, s=stored: _segments(it, v, s), kind))
-        frequency = np.zeros(len(vocabulary), np.int64)
-        counted = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-        for term, n in counted.collect():  # at most a row for each term of the block
-            frequency[term] = n
+        vocabulary, frequency = windows.vocabulary, np.zeros(len(windows.vocabulary), np.int64)
+        kind, counted = row_type("term int, n long")
+        for r in index.mapInArrow(lambda it, v=vocabulary, s=counted: _frequencies(it, v, s), kind).groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row for each term of the block
+            frequency[r["term"]] = r["n"]
         windows.order_by_rarity(frequency)
-        kind, arrow = row_type(f"doc_id long{uid}, n_words long, runs array<struct<begin:bigint,end:bigint>>, items array<string>, near_items array<string>", doc_id=id_type)
+        kind, arrow = row_type("doc_id long, uid long, n_words long, runs array<struct<begin:bigint,end:bigint>>, items array<string>, near_items array<string>", doc_id=id_type)
         results.append(index.mapInArrow(lambda it, w=windows, s=arrow: _search(it, w, slack, s), kind))
     if len(results) == 1:
-        return results[0]
+        return results[0].drop("uid")
     every = results[0]
     for r in results[1:]:
         every = every.unionByName(r)
@@ -221,12 +328,6 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slack:
     return every.select("doc_id", "n_words", _merged(F.col("runs")).alias("runs"), items.alias("items"), F.array_except("near_items", items).alias("near_items"))
 
 
-def _array_of(kind):
-    from pyspark.sql.types import ArrayType
-
-    return ArrayType(kind)
-
-
 def digest(found: DataFrame) -> DataFrame:
     """Counts of what `find` returns."""
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])

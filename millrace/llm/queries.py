@@ -70,7 +70,7 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = componen
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return decontaminate.digest(found).drop("n_near_items")
+    return decontaminate.digest(found)
 
 
 _WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -81,9 +81,17 @@ d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 g AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS t FROM (SELECT d.doc_id, d.ws, l.n, unnest(range(1, len(d.ws) - l.n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM v) l)),
 m AS (SELECT g.doc_id, g.k, g.n, v.item_id FROM g JOIN v USING (n, t)),
 h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM m) GROUP BY doc_id),
-o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
+e AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM e GROUP BY doc_id),
+dp AS (SELECT doc_id, len(ws) AS n_words, unnest(range(len(ws))) AS place, unnest(ws) AS word FROM d),
+f AS (SELECT word, count(*) AS times FROM dp GROUP BY word),
+wt AS (SELECT n, t, unnest(range(n)) AS j, unnest(string_split(t, ' ')) AS word FROM (SELECT DISTINCT n, t FROM v)),
+wr AS (SELECT wt.*, row_number() OVER (PARTITION BY n, t ORDER BY coalesce(times, 0), j) AS rarity FROM wt LEFT JOIN f USING (word)),
+c AS (SELECT DISTINCT doc_id, n, t, place - j + shift AS start FROM dp JOIN wr USING (word), (SELECT unnest(range(-3, 4)) AS shift) WHERE rarity <= n // 5 + 1 AND place - j + shift BETWEEN 0 AND n_words - n),
+r AS (SELECT c.doc_id, c.n, c.t, c.start FROM c JOIN wt USING (n, t) JOIN dp ON dp.doc_id = c.doc_id AND dp.word = wt.word AND dp.place BETWEEN c.start + wt.j - 3 AND c.start + wt.j + 3 GROUP BY ALL HAVING count(DISTINCT wt.j) >= c.n - c.n // 5),
+x AS (SELECT doc_id, count(*) AS n_near_items FROM (SELECT DISTINCT r.doc_id, v.item_id::VARCHAR AS item FROM r JOIN v USING (n, t) ANTI JOIN e ON e.doc_id = r.doc_id AND e.item = v.item_id::VARCHAR) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN x USING (doc_id)
 """
 
 

@@ -342,6 +342,37 @@ def test_proximity(spark):
     assert {r["doc_id"]: (r["items"], r["near_items"]) for r in found} == {1: ([], ["7"]), 2: (["7"], []), 3: ([], [])}
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_proximity_of_a_plain_version(spark, blocks, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(14)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([2, 5, 9, 10, 13, 40])))) for i in range(12)]
+    made = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 12, 40])))) for i in range(40)]
+    for i, t in items:  # bent a little
+        own = t.split()
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(own))
+            own[k : k + 1] = rng.choice([[], [own[k], "x"], ["y"]])
+        made.append((100 + i, " ".join(["a"] * rng.randint(0, 2) + own)))
+    if blocks:
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (set(r["items"]), set(r["near_items"])) for r in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    windows = plain_windows(items)
+    for d, t in made:
+        own, exact, near = t.split(), set(), set()
+        for w, owners in windows.items():
+            n = len(w)
+            for s in range(len(own) - n + 1):
+                held = sum(w[j] in own[max(0, s + j - 3) : s + j + 4] for j in range(n))
+                if tuple(own[s : s + n]) == w:
+                    exact |= owners
+                elif held >= n - n // 5:
+                    near |= owners
+        assert got[d] == ({str(i) for i in exact}, {str(i) for i in near - exact}), d
+
+
 def test_toxicity_is_learned_from_other_rows(spark):
     medium = "/root/testdata/sf0.1"
     docs, labels = read_table(spark, medium, "documents").where("doc_id < 6000"), read_table(spark, medium, "labels").where("doc_id < 6000")
