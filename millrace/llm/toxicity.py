@@ -5,25 +5,29 @@ searched once with an Aho-Corasick automaton of lexicon words and exception phra
 exception phrase does not count. The weights of the words found, also as a rate by the text's length, go
 through a logistic function.
 
-The lexicon is learned: on one part of a bounded sample of labelled documents (at most `MOST_LABELLED`,
-taken by a hash of the id) each word gets the smoothed log-odds of toxic against other documents that hold
-it, and words with enough support and significance stay, at most `MOST_WORDS` of them. The logistic function
-is fitted on the rest of the sample. Scoring covers all rows and needs no shuffle.
-
-Defined results: null and empty texts are scored like a text without lexicon words; labels that are null are
-not learned from, of two labels of a document the toxic one counts; without usable labels the built-in
-weights hold and nothing is learned; repeated rows are scored once per row; an empty table gives no rows;
-other columns are ignored, and `lang`, `source` and the id are never inputs of a score.
+The lexicon is learned; none is built in. On one part of a bounded sample of labelled documents (at most
+`MOST_LABELLED`, taken by a hash of the id) each word gets the smoothed log-odds of toxic against other documents that
+hold it, and all words with enough support and significance stay. Exception phrases are learned too: two words that
+hold one of the lexicon and stand in as many other documents as toxic ones, by rate. The logistic function is fitted on
+the rest of the sample. Scoring covers all rows and needs no shuffle.
+
+Defined results: null and empty texts are scored like a text without lexicon words; texts of any length are scored
+whole; labels that are null are not learned from, of two labels of a document the toxic one counts; without usable
+labels there is no lexicon and all texts have one score below 0.5; repeated rows are scored once per row; an empty
+table gives no rows; other columns, of whatever name, are ignored, and `lang`, `source` and the id are never inputs of
+a score.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm._text import row_type, slices, utf8
 
-MOST_LABELLED, MOST_WORDS, MIN_SUPPORT, MIN_LOG_ODDS, MIN_G2 = 20_000, 5_000, 3, 1.0, 10.0
+MOST_LABELLED, MIN_SUPPORT, MIN_LOG_ODDS, MIN_G2 = 20_000, 3, 1.0, 10.0
 
-#: Phrases in which a word of the lexicon is harmless.
+#: Phrases in which a word of the lexicon is harmless, besides those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof", "scum bucket filter")
 #: Look-alike letters of other scripts, and digits that stand for letters.
 FOLD = dict(zip("аеорсухіѕјԁһӏԛԝвкмнтοαειντυχκρ", "aeopcyxisjdhlqwbkmhtoaeivtuxkp", strict=True)) | dict(zip("0134578", "oieastb", strict=True)) | {"ı": "i", "ł": "l", "ø": "o"}
@@ -76,8 +80,10 @@ class Matcher:
         hits, shields = [], []
         for end, (w, x, n) in self.automaton.iter(folded) if len(self.automaton) else ():
             (hits if w else shields).append((end + 1 - n, end, w, x))
-        if shields:
-            hits = [h for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in shields)]
+        if shields:  # for each start the farthest end of the shields that begin up to it
+            shields.sort()
+            begins, ends = [s[0] for s in shields], list(accumulate((s[1] for s in shields), max))
+            hits = [h for h in hits if not (k := bisect_right(begins, h[0])) or ends[k - 1] < h[1]]
         if not hits:
             return 0.0, 0.0, 0.0, 0
         distinct = {w: x for _, _, w, x in hits}
@@ -91,15 +97,21 @@ class Matcher:
         return 1 / (1 + np.exp(-np.clip(self.design(folded) @ np.array(self.model.logistic), -30, 30)))
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Words with the documents of either label that hold them, summed over a slice."""
+def _terms(folded: str, around: dict[str, float] | None) -> set[str]:
+    """The different words of a text, or the pairs of words that hold one of `around`."""
+    words = folded.split()
+    return set(words) if around is None else {f"{a} {b}" for a, b in pairwise(words) if a in around or b in around}
+
+
+def _document_frequencies(batches: Iterator[pa.RecordBatch], schema: pa.Schema, around: dict[str, float] | None = None) -> Iterator[pa.RecordBatch]:
+    """Terms with the documents of either label that hold them, summed over a slice."""
     for batch in batches:
         at, data = utf8(batch.column("text"))
         toxic = batch.column("toxic").to_pylist()
         for lo, hi in slices(at, 4 << 20):
             n: tuple[Counter, Counter] = (Counter(), Counter())
             for i in range(lo, hi):
-                n[toxic[i]].update(set(fold(data[at[i] : at[i + 1]].tobytes().decode()).split()))
+                n[toxic[i]].update(_terms(fold(data[at[i] : at[i + 1]].tobytes().decode()), around))
             words = sorted(n[0].keys() | n[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, schema.field(0).type), pa.array([n[1][w] for w in words], pa.int64()), pa.array([n[0][w] for w in words], pa.int64())], schema=schema)
 
@@ -148,9 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED) -> Mod
     both = a + b
     g2 = 2 * reduce(lambda x, y: x + y, [term(a, both, n1), term(b, both, n0), term(n1 - a, n1 + n0 - both, n1), term(n0 - b, n1 + n0 - both, n0)])
     kept = counted.where((a >= MIN_SUPPORT) & (odds >= MIN_LOG_ODDS) & (g2 >= MIN_G2)).select("word", odds.alias("weight"), g2.alias("g2"))
-    rows = kept.orderBy(F.desc("g2"), "word").limit(MOST_WORDS).collect()
+    rows = kept.orderBy("word").collect()  # words of at most `most` documents
     model = Model({r["word"]: float(min(r["weight"], 8.0)) for r in rows})
 
+    kind, arrow = row_type("phrase string, toxic long, other long")
+    weights = model.weights
+    phrases = sample.where(part).select("text", "toxic").mapInArrow(lambda it: _document_frequencies(it, arrow, weights), kind).groupBy("phrase").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    harmless = phrases.where((b >= MIN_SUPPORT) & (odds <= 0)).orderBy("phrase").collect()
+    model.exceptions = (*EXCEPTIONS, *(r["phrase"] for r in harmless))
+
     kind, arrow = row_type("toxic int, f0 double, f1 double, f2 double, f3 double, f4 double")
     seen = sample.where(~part).select("text", "toxic").mapInArrow(lambda it: _design(it, model, arrow), kind).collect()  # at most `most` rows of six numbers
     if len({r[0] for r in seen}) == 2:

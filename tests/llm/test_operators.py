@@ -1,6 +1,7 @@
 """Each operator against a plain version of it on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -383,6 +384,40 @@ def test_toxicity_is_learned_from_other_rows(spark):
     assert auc > 0.9 and sum(m >= 0.5 for m in miss) < 0.02 * len(miss)
 
 
+def test_toxicity_scores_of_a_plain_version(spark, docs):
+    """Features from lists of words, by comparing phrases at every place."""
+    model = toxicity.fit(read_table(spark, "/root/testdata/sf0.01", "documents"), read_table(spark, "/root/testdata/sf0.01", "labels"))
+    some = [w for _, t in texts(docs)[:60] for w in toxicity.fold(t).split()[:3]]
+    model.weights |= {w: 0.1 * (i % 7) for i, w in enumerate(some)}  # more words, so that most texts hold some
+    model.exceptions += tuple(f"{a} {b}" for a, b in zip(some[:40], some[1:41]))
+    shields = [toxicity.fold(e).split() for e in model.exceptions]
+
+    def plain(text):
+        words = toxicity.fold(text).split()
+        spared = {i + j for s in shields for i in range(len(words) - len(s) + 1) if words[i : i + len(s)] == s for j in range(len(s))}
+        hits = [(w, model.weights[w]) for i, w in enumerate(words) if w in model.weights and i not in spared]
+        each = dict(hits).values()
+        x = (1, min(sum(each), 50), max(each, default=0), min(100 * sum(v for _, v in hits) / max(len(words), 1), 50), min(len(each), 20))
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.logistic))))))
+
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(docs.select("doc_id", "text"), model).collect())
+    assert got == Counter((d, round(plain(t), 9)) for d, t in texts(docs))
+
+
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(3)
+    filler = lambda: " ".join(rng.choice("red blue green tall small old new".split()) for _ in range(12))
+    rows = [(i, f"{filler()} you are a scoundrel {filler()}", 1) for i in range(60)] + [(100 + i, f"{filler()} the scoundrel beetle {filler()}", 0) for i in range(12)] + [(200 + i, filler(), 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert "scoundrel" in model.weights and "scoundrel beetle" in model.exceptions
+    matcher = toxicity.Matcher(model)
+    with_it, spared, bare = (matcher.features(toxicity.fold(x))[3] for x in ("tall scoundrel new", "tall scoundrel beetle new", "tall new"))
+    assert with_it == bare + 1 and spared == bare
+    none = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic").limit(0))
+    assert not none.weights and len({r["score"] for r in toxicity.score(docs.select("doc_id", "text"), none).collect()}) == 1
+
+
 def test_toxicity_folds_and_exempts(spark):
     model = toxicity.Model({"idiot": 5.0, "trash": 4.0}, (-3.0, 1.0, 0.0, 0.0, 0.0))
     matcher = toxicity.Matcher(model)

@@ -87,3 +87,17 @@ def test_each_row_is_judged_by_its_own_text(spark, small):
     assert [k for k in kept if k > 6] == [7, 9, 11, 12, 13, 14, 15, 16]
     item = read_table(spark, small, "benchmark").first()["text"]
     assert left("decontamination", [(None, f"{a} {item}", 1), (None, a, 2), (4, f"{b} {item}", 3), (4, c, 4), (None, None, 5), (None, "", 6)]) == [2, 4, 5, 6]
+
+
+def test_empty_tables_and_odd_texts(spark, small, tmp_path, monkeypatch):
+    docs = read_table(spark, small, "documents")
+    odd = spark.createDataFrame([(None, None), (9001, None), (9002, ""), (9003, " \n"), (9004, "x " * 200_000), (9004, "x " * 200_000), (9005, "a" * 300_000)], "doc_id long, text string")
+    for name, table in (("none", docs.limit(0)), ("odd", odd.selectExpr("doc_id", "text", "'en' as lang", "'src' as source", "1L as n_chars", "2 as key", "3 as file", "4 as row", "5 as _metadata"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            read_table(spark, small, other).write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    for most in (corpus_pipeline.MOST_BROADCAST, 0):
+        monkeypatch.setattr(corpus_pipeline, "MOST_BROADCAST", most)
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+        assert Counter(r["doc_id"] for r in rows if not r["start"]) == Counter({None: 1, 9001: 1, 9002: 1, 9003: 1, 9004: 1, 9005: 1})
