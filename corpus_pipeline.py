@@ -1,12 +1,18 @@
 """The training-corpus pipeline over `documents`: what it keeps is packed into windows.
 
 Each stage gets what its predecessor kept, with all columns of documents. Toxic documents go; of each group of
-near-duplicates the one with the smallest id stays; documents that hold a passage of the benchmark go; personal
-data are replaced by surrogates, and `n_chars` follows the text; the rest is packed.
-
-Every row is judged by its own text, whether or not it has an id or shares one: rows go by id and text together.
-Of a group of near-duplicates exactly one row stays; one without an id only if no other has one. Texts without
-words are near-duplicates of nothing.
+near-duplicates (shingles of five words, the library's default; `op5_near_duplicates` has four by its contract) the
+one with the smallest id stays; documents that hold a passage of the benchmark go; personal data are replaced by
+surrogates, and `n_chars` follows the text; the rest is packed.
+
+Every row is judged by its own text, whether or not it has an id or shares one: rows go by where they lie in their
+file. Which rows go is told by their keys alone; up to `MOST_BROADCAST` of them are broadcast, so that texts are not
+shuffled to drop some, and beyond that they are.
+
+Defined results: of a group of near-duplicates exactly one row stays, one without an id only if no other has one;
+null and empty texts, and texts without words, are near-duplicates of nothing, hold no passage and pass all stages;
+texts of any length are judged whole; repeated rows are near-duplicates; an empty table gives no pieces; columns of
+whatever name are kept to the last stage.
 """
 
 from __future__ import annotations
@@ -14,12 +20,13 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, near_dedup, packing, pii, toxicity
 from millrace.llm.queries import pii_key
-from millrace.session import read_table, shared_dir
+from millrace.session import materialize, read_table, remove, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,29 +34,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, into=score).where(F.col(score) < 0.5).select(*(f"`{c}`" for c in docs.columns))
 
 
+#: Keys of rows to drop that are sent to all tasks, of some 50 bytes each.
+MOST_BROADCAST = 500_000
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key by id (none last) and text, and its name; it is the same whenever a row is read again."""
+    """docs with a key by id (none last) and place, and the key's name; it is the same whenever a row is read again.
+
+    The place is a row's number in its file. Rows that come from no file are stored with a number first.
+    """
     own, kind = F.col("doc_id"), docs.schema["doc_id"].dataType
     none = F.lit("").cast(kind) if kind.typeName() == "string" else F.lit(0).cast(kind)
     key = f"key_{uuid.uuid4().hex}"
-    return docs.withColumn(key, F.struct(own.isNull().alias("none"), F.coalesce(own, none).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))), key
+    made = lambda file, row: F.struct(own.isNull().alias("none"), F.coalesce(own, none).alias("id"), file.alias("file"), row.alias("row"))
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*", made(F.xxhash64(place["file_path"]), place["row_index"]).alias(key)), key
+    except AnalysisException:
+        return materialize(docs.select("*", made(F.lit(0).cast("long"), F.monotonically_increasing_id()).alias(key))), key
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """rows but those whose key is in `gone` (doc_id), without the key."""
+    gone = materialize(gone.select(F.col("doc_id").alias(key)))
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
-    found = near_dedup.link(rows.select(F.col(key).alias("doc_id"), "text"))
-    left = rows.join(found.where("not kept").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
-    again = rows.groupBy(key).count().where("count > 1").limit(1).count()
-    if again:  # rows of one id and text
-        words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-        left = left.where(words).dropDuplicates([key]).unionByName(left.where(~words))
-    return left.select(*(f"`{c}`" for c in docs.columns))
+    return without(rows, key, near_dedup.link(rows.select(F.col(key).alias("doc_id"), "text")).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
-    found = decontaminate.digest(decontaminate.find(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")))
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    found = decontaminate.find(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"), slack=0)
+    return without(rows, key, decontaminate.digest(found).where("contaminated"))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,4 +95,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            remove(spark, f"{place}/{k - 1}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # has stored its tokens, and reads no documents again
+    remove(spark, place)
+    return packed
