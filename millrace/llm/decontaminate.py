@@ -51,10 +51,13 @@ def _segments(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
         for lo, hi, words in words_of(batch.column("text"), IS_ALNUM, ALNUM):
-            at = np.argsort(words.hash, kind="stable")
-            terms, begin, counts = np.unique(words.hash[at], return_index=True, return_counts=True)
-            steps = np.diff(at, prepend=0)
+            at = np.argsort(words.hash, kind="stable").astype(np.uint32)
+            ordered = words.hash[at]
+            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(at) else np.zeros(0, np.int64)
+            terms, counts = ordered[begin], np.diff(begin, append=len(at))
+            steps = np.diff(at, prepend=np.uint32(0))  # modulo 2^32
             steps[begin] = at[begin]
+            del ordered
             uids = pa.array(np.arange(uid, uid + hi - lo), pa.int64())
             uid += hi - lo
             lists = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), c) for c in (batch.column("doc_id")[lo:hi], uids)]
@@ -76,14 +79,14 @@ def _known(batch: pa.RecordBatch, row: int, vocabulary: np.ndarray) -> tuple[np.
 def _postings(batch: pa.RecordBatch, row: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(terms, counts, positions) of the terms of a vocabulary in a segment."""
     known, at, counts = _known(batch, row, vocabulary)
-    steps = _unpacked(batch.column("steps")[row], batch.column("n_words")[row].as_py(), "<u4").astype(np.int64)
+    steps = _unpacked(batch.column("steps")[row], batch.column("n_words")[row].as_py(), "<u4")
     begin = np.cumsum(counts) - counts
     places, own = _spread(begin[at], (begin + counts)[at])
     if not len(places):
         return known, counts[at], places
-    total = np.cumsum(steps)
-    base = (total - steps)[begin[at]]
-    return known, counts[at], total[places] - base[own]
+    total = np.cumsum(steps, dtype=np.uint32)
+    base = total[begin[at]] - steps[begin[at]]
+    return known, counts[at], (total[places] - base[own]).astype(np.int64)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
