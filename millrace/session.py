@@ -34,6 +34,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of rows that go to a Python worker at once, where the session does not say so itself.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow in batches of about `BATCH_BYTES`, whatever the length of rows; a longer row goes alone.
+
+    The bound holds for the session from then on. Spark's own is 64 MB, which each task holds several times over.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def remove(spark: SparkSession, place: str) -> None:
     """Delete a folder of our own, on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
