@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Bytes whose powers are held at once while words are hashed.
+HASH_BYTES = 1 << 18
 
 U64 = np.uint64
 
@@ -70,7 +72,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(n, _BASE), np.full(n, U64(inverse))
         up[0] = down[0] = 1
         up, down = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-        if n > 4 * SLICE_BYTES:
+        if n > 4 * HASH_BYTES:
             return up, down
         _powers.update(up=up, down=down)
     return _powers["up"][:n], _powers["down"][:n]
@@ -121,7 +123,7 @@ class Words:
         out, k = np.empty(len(self.start), U64), 0
         while k < len(self.start):
             base = int(self.start[k])
-            m = max(k + 1, int(np.searchsorted(self.end, base + SLICE_BYTES, side="right")))
+            m = max(k + 1, int(np.searchsorted(self.end, base + HASH_BYTES, side="right")))
             up, down = _power(int(self.end[m - 1]) - base + 1)
             total = np.zeros(int(self.end[m - 1]) - base + 1, U64)
             np.cumsum(_BYTES[table[self.data[base : self.end[m - 1]]]] * up[:-1], out=total[1:])

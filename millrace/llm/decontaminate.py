@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm._text import ALNUM, IS_ALNUM, row_type, word_hashes, words_of
-from millrace.session import materialize
+from millrace.session import in_batches, materialize
 
 WINDOW, SLACK, BLOCK_WORDS, PIECE_WORDS = 10, 3, 1_000_000, 100_000
 _CODEC = "zstd"
@@ -279,7 +279,7 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple[str, np.nd
     """The benchmark's pieces in blocks; the driver holds one block, and a number for each task that made pieces."""
     kind, arrow = row_type("task long, before long, n long, item_id string, hashes binary")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    pieces = materialize(items.mapInArrow(lambda it: _pieces(it, window, arrow), kind))
+    pieces = materialize(items.transform(in_batches, lambda it: _pieces(it, window, arrow), kind))
     sums = sorted((r["task"], r["n"]) for r in pieces.groupBy("task").agg(F.sum("n").alias("n")).collect())
     ends = np.cumsum([n for _, n in sums])
     spark = benchmark.sparkSession
@@ -309,17 +309,17 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slack:
     """
     id_type = docs.schema["doc_id"].dataType
     kind, stored = row_type("doc_id array<long>, uid array<long>, n_words long, n_terms long, first binary, terms binary, counts binary, steps binary", doc_id=T.ArrayType(id_type))
-    index = materialize(docs.select("doc_id", "text").mapInArrow(lambda it: _segments(it, stored), kind))
+    index = materialize(docs.select("doc_id", "text").transform(in_batches, lambda it: _segments(it, stored), kind))
     results = []
     for block in _blocks(benchmark, window):
         windows = Windows(block, window)
         vocabulary, frequency = windows.vocabulary, np.zeros(len(windows.vocabulary), np.int64)
         kind, counted = row_type("term int, n long")
-        for r in index.mapInArrow(lambda it, v=vocabulary, s=counted: _frequencies(it, v, s), kind).groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row for each term of the block
+        for r in index.transform(in_batches, lambda it, v=vocabulary, s=counted: _frequencies(it, v, s), kind).groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row for each term of the block
             frequency[r["term"]] = r["n"]
         windows.order_by_rarity(frequency)
         kind, arrow = row_type("doc_id long, uid long, n_words long, runs array<struct<begin:bigint,end:bigint>>, items array<string>, near_items array<string>", doc_id=id_type)
-        results.append(index.mapInArrow(lambda it, w=windows, s=arrow: _search(it, w, slack, s), kind))
+        results.append(index.transform(in_batches, lambda it, w=windows, s=arrow: _search(it, w, slack, s), kind))
     if len(results) == 1:
         return results[0].drop("uid")
     every = results[0]

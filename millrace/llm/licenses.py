@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._text import ALNUM, IS_ALNUM, Words, mix64, row_type, words_of
+from millrace.session import in_batches
 
 PAIR, MIN_PAIRS, MIN_WORDS, NEIGHBOURS, MOST_TEMPLATE_WORDS = 2, 0.6, 0.75, 3, 100_000
 
@@ -104,7 +105,7 @@ def scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     if len(rows) <= MOST_TEMPLATE_WORDS:
         known = F.broadcast(known)
     kind, arrow = row_type("uid long, doc_id long, header boolean, at long, hash long", doc_id=docs.schema["doc_id"].dataType)
-    pairs = docs.select("doc_id", "text").mapInArrow(lambda it: _pairs(it, arrow), kind)
+    pairs = docs.select("doc_id", "text").transform(in_batches, lambda it: _pairs(it, arrow), kind)
 
     by = ["uid", "header", "template", "label", "base", "pairs", "needs"]
     votes = pairs.join(known, ["hash", "header"], "left").where("header or template is not null").withColumn("diagonal", F.col("at") - F.col("place"))

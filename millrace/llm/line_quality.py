@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm._text import IS_SPACED, Words, constants, mix64, row_type, slices, utf8
+from millrace.session import in_batches
 
 MIN_WORDS, MOST_REPEATED, MOST_LOST = 50, 0.5, 0.5
 
@@ -163,4 +164,4 @@ def _judge(batches: Iterator[pa.RecordBatch], with_text: bool, schema: pa.Schema
 def judge(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
     """doc_id, the counts, base_failed, lines_removed, kept and (with_text) the cleaned text of each document."""
     kind, arrow = row_type("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines_removed long, kept boolean" + ", cleaned string" * with_text, doc_id=docs.schema["doc_id"].dataType)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _judge(it, with_text, arrow), kind)
+    return docs.select("doc_id", "text").transform(in_batches, lambda it: _judge(it, with_text, arrow), kind)

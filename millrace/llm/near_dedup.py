@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._text import IS_SPACED, SPACED, Words, constants, mix64, row_type, words_of
-from millrace.session import materialize
+from millrace.session import in_batches, materialize
 
 PERMUTATIONS, BANDS = 120, 40
 ROWS = 2 * PERMUTATIONS // BANDS
@@ -220,7 +220,7 @@ def link(docs: DataFrame, *, width: int = 5) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", "text")
     kind, arrow = row_type("doc_id long, key binary, n long, bands array<long>, sig binary", doc_id=id_type)
-    sketches = materialize(docs.mapInArrow(lambda it: _sketch(it, width, arrow), kind))
+    sketches = materialize(docs.transform(in_batches, lambda it: _sketch(it, width, arrow), kind))
     some = sketches.where("n > 0 and doc_id is not null")
     classes = materialize(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
 
@@ -236,7 +236,7 @@ def link(docs: DataFrame, *, width: int = 5) -> DataFrame:
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     kind, arrow = row_type("key binary, shingles array<long>")
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width, arrow), kind))
+    sets = materialize(docs.join(wanted, "doc_id", "left_semi").transform(in_batches, lambda it: _sets(it, width, arrow), kind))
     if sets.count() != sets.select("key").distinct().count():  # repeated rows
         sets = materialize(sets.dropDuplicates(["key"]))
 
@@ -259,9 +259,9 @@ def link(docs: DataFrame, *, width: int = 5) -> DataFrame:
     inner = live.select("*", F.explode(every).alias("outer_block"), F.col("own").alias("inner_block")).withColumn("outer", F.lit(False)).withColumn("inner", F.lit(True)).where("component = most or outer_block <> own")
     cells = outer.unionByName(inner).select(*_CELL, "key", "n", "component", "sig", F.col("all_bands").alias("bands"), "outer", "inner")
     kind, arrow = row_type("band int, hash long, outer_block int, inner_block int, key binary, component binary, partners array<binary>")
-    found = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda it: _candidates(it, arrow), kind)
+    found = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).transform(in_batches, lambda it: _candidates(it, arrow), kind)
     kind, pair = row_type("a binary, b binary")
-    checked = found.join(sets, "key").repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda it: _links(it, pair), kind)
+    checked = found.join(sets, "key").repartition(*_CELL).sortWithinPartitions(*_CELL).transform(in_batches, lambda it: _links(it, pair), kind)
     labels = components(edges.union(checked.distinct()))
 
     roots = classes.select("key", "doc_id").join(labels, "key")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._text import IS_SPACED, SPACED, Words, row_type, words_of
-from millrace.session import materialize
+from millrace.session import in_batches, materialize
 
 WINDOW = 2048
 #: Rows of (partition, source) offsets up to which they are broadcast, 40 MB at most.
@@ -231,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_token: int = 1, window: int = W
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     kind, arrow = row_type("pid int, source string, doc_id long, before long, n long, ids binary", doc_id=id_type)
     texts = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
-    tokens = materialize(texts.mapInArrow(lambda it: _encode(it, tokenizer, end_token, arrow), kind))
+    tokens = materialize(texts.transform(in_batches, lambda it: _encode(it, tokenizer, end_token, arrow), kind))
 
     sums = tokens.groupBy("pid", "source").agg(F.sum("n").alias("tokens"))
     by_source = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -257,4 +257,4 @@ def pack(docs: DataFrame, tokenizer: str, *, end_token: int = 1, window: int = W
     placed = tokens.join(at, ["pid", "source"]).select("doc_id", "source", "queue", (F.col("queue_at") + F.col("before")).alias("begin"), "n", "ids")
     result, cut_arrow = row_type("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", doc_id=id_type)
     wide = WordEncoder(tokenizer).kind.itemsize
-    return placed.mapInArrow(lambda it: _cut(it, phases, window, wide, cut_arrow), result)
+    return placed.transform(in_batches, lambda it: _cut(it, phases, window, wide, cut_arrow), result)

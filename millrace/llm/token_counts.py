@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._text import row_type, slices, utf8
+from millrace.session import in_batches
 
 RULES = ("first", "majority", "share")
 _encoders: dict[str, tuple] = {}
@@ -87,5 +88,5 @@ def attribute(docs: DataFrame, vocabulary: str, pattern: str, *, rule: str = "ma
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     kind, arrow = row_type("doc_id long, section long, begin long, end long, n_tokens double, n_crossing long", doc_id=docs.schema["doc_id"].dataType)
-    out = docs.select("doc_id", "text").mapInArrow(lambda it: _count(it, vocabulary, pattern, rule, arrow), kind)
+    out = docs.select("doc_id", "text").transform(in_batches, lambda it: _count(it, vocabulary, pattern, rule, arrow), kind)
     return out if rule == "share" else out.withColumn("n_tokens", F.col("n_tokens").cast("long"))

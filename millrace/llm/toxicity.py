@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm._text import row_type, slices, utf8
+from millrace.session import in_batches
 
 MOST_LABELLED, MIN_SUPPORT, MIN_LOG_ODDS, MIN_G2 = 20_000, 3, 1.0, 10.0
 
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED) -> Mod
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model()
-    counted = sample.where(part).select("text", "toxic").mapInArrow(lambda it: _document_frequencies(it, arrow), kind).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    counted = sample.where(part).select("text", "toxic").transform(in_batches, lambda it: _document_frequencies(it, arrow), kind).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.1) / (n1 - a + 0.1)) - F.log((b + 0.1 * n0 / n1) / (n0 - b + 0.1))
     term = lambda seen, total, of: F.when(seen > 0, seen * F.log(seen * (n1 + n0) / (total * of))).otherwise(0)
@@ -165,12 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED) -> Mod
 
     kind, arrow = row_type("phrase string, toxic long, other long")
     weights = model.weights
-    phrases = sample.where(part).select("text", "toxic").mapInArrow(lambda it: _document_frequencies(it, arrow, weights), kind).groupBy("phrase").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    phrases = sample.where(part).select("text", "toxic").transform(in_batches, lambda it: _document_frequencies(it, arrow, weights), kind).groupBy("phrase").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     harmless = phrases.where((b >= MIN_SUPPORT) & (odds <= 0)).orderBy("phrase").collect()
     model.exceptions = (*EXCEPTIONS, *(r["phrase"] for r in harmless))
 
     kind, arrow = row_type("toxic int, f0 double, f1 double, f2 double, f3 double, f4 double")
-    seen = sample.where(~part).select("text", "toxic").mapInArrow(lambda it: _design(it, model, arrow), kind).collect()  # at most `most` rows of six numbers
+    seen = sample.where(~part).select("text", "toxic").transform(in_batches, lambda it: _design(it, model, arrow), kind).collect()  # at most `most` rows of six numbers
     if len({r[0] for r in seen}) == 2:
         x = np.array(seen, float)
         x = x[np.lexsort(x.T)]
@@ -193,4 +194,4 @@ def score(docs: DataFrame, model: Model, *, into: str = "score") -> DataFrame:
     docs = docs.drop(into)
     kind = T.StructType([T.StructField(into, T.DoubleType()), *docs.schema.fields])
     arrow = to_arrow_schema(kind)
-    return docs.mapInArrow(lambda it: _score(it, model, arrow), kind)
+    return docs.transform(in_batches, lambda it: _score(it, model, arrow), kind)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._text import row_type
-from millrace.session import materialize
+from millrace.session import in_batches, materialize
 
 LEAST_SHARED, SEGMENT, CHUNK, RECORDS_PER_FILE, MOST_BROADCAST = 100, 48_000, 16_000, 8_000, 500_000
 _END, _DATE = "\r\n\r\n", "2024-01-01T00:00:00Z"
@@ -106,7 +106,7 @@ def write(pages: DataFrame, path: str) -> None:
     refers = F.when(shared & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     kind, arrow = row_type("record string")
     found = pages.join(first, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).otherwise("").alias("html"), "digest", "bytes", refers.alias("refers_to"))
-    found.mapInArrow(lambda it: _write(it, arrow), kind).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    found.transform(in_batches, lambda it: _write(it, arrow), kind).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -220,6 +220,6 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFr
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     kind, pages = row_type("page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload)
     stored, arrow = row_type(_ROW)
-    whole = files.mapInArrow(lambda it: _whole(it, with_payload, pages), kind)
-    segments = files.mapInArrow(lambda it: _segments(it, arrow), stored).repartition("origin").sortWithinPartitions("origin", "segment")
-    return whole.unionByName(segments.mapInArrow(lambda it: _assembled(it, with_payload, pages), kind))
+    whole = files.transform(in_batches, lambda it: _whole(it, with_payload, pages), kind)
+    segments = files.transform(in_batches, lambda it: _segments(it, arrow), stored).repartition("origin").sortWithinPartitions("origin", "segment")
+    return whole.unionByName(segments.transform(in_batches, lambda it: _assembled(it, with_payload, pages), kind))
