@@ -4,7 +4,7 @@ Of each of PERMUTATIONS permutations of a document's shingles both the smallest
 so a signature of 2 * PERMUTATIONS values costs half the hash evaluations. Signatures are banded: documents that
 agree in all values of a band share a bucket. At similarity 0.8 a pair of large sets shares none of the 40 bands of 6
 values with a probability of 5e-6; of small sets minima and maxima agree together more often, which makes that 6e-5 for
-sets of 5 and 4 shingles. The README has measured shares by set size.
+sets of 5 and 4 shingles. These shares are computed, not measured.
 
 Documents with equal shingle sets form a class and go on as one. Links between classes are confirmed on their
 full sets; pairs whose signatures agree in under LEAST_AGREEING of their values (4.6 standard deviations below
