@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as tx
+from millrace.operators.responses import last_by_label
 
 _CUE = r"(?s)^\s*(?:\d+\s*\n)?\s*(\d+):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d+):(\d{2}):(\d{2})[,.](\d{3})[^\n]*\n?(.*)$"
 
@@ -93,11 +94,11 @@ def image_names(images: DataFrame, key: str, place: str, name: str) -> DataFrame
 
 
 def scores(text: Column) -> Column:
-    """Labels and numbers of lines such as `1. **Label** 7` or `Label: 7.5/10`, as a map by the label's letters and digits."""
+    """Labels and numbers of lines such as `1. **Label** 7` or `Label: 7.5/10`, as a map by the label's letters and digits; of one label the last."""
     lines = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:\d+[.)]\s*)?\**([^\n*:\d][^\n*:]*?)\**\s*[: ]\s*\**\s*(\d+(?:\.\d+)?)(?:\s*/\s*10)?\**\s*$"), F.lit(0))
     label = lambda x: tx.score_key(F.regexp_replace(F.regexp_replace(x, r"^\s*\d+[.)]\s*", ""), r"[\d./\s]*\**\s*$", ""))
     value = lambda x: F.regexp_extract(x, r"(\d+(?:\.\d+)?)(?:\s*/\s*10)?\**\s*$", 1).try_cast("double")
-    return F.map_from_entries(F.array_distinct(F.transform(lines, lambda x: F.struct(label(x).alias("label"), value(x).alias("score")))))
+    return F.map_from_entries(last_by_label(F.transform(lines, lambda x: F.struct(label(x).alias("label"), value(x).alias("score")))))
 
 
 #: What words are worth in the name of a stem that may be the vocals (the first found counts), and
