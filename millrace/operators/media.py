@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,46 +136,59 @@ def snap_cues(cues: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
     """Cues (by, number, begin, end) moved to scene boundaries.
 
     A begin more than 100 ms off the adjusted end before it moves there. An end moves to the boundary nearest to
-    it if that is within 1000 ms, else to 0.7 of itself and 0.3 of the boundary. The state is one number, so it
-    is a fold over each medium's cues; boundaries are found beforehand.
+    it if that is within 1000 ms, else to 0.7 of itself and 0.3 of the boundary. The state is one number, so the
+    cues of a medium stream through one task in order; boundaries are found beforehand. Cues without times go.
     """
     marks = blocks.select(by, F.explode(F.array("begin", "end")).alias("mark")).distinct()
     near = nearest(cues, marks, by, "end", "mark")
     kind = f"{by} {cues.schema[by].dataType.simpleString()}, number long, begin long, end long"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], None
-        for r in rows.sort_values("number").itertuples():
-            begin, end = int(r.begin), int(r.end)
-            if before is not None and abs(begin - before) > 100:
-                begin = before
-            if pd.notna(r.nearest):
-                mark = int(r.nearest)
-                end = mark if abs(mark - end) <= 1000 else int(0.7 * end + 0.3 * mark)
-            before = end = max(end, begin)
-            out.append((getattr(r, by), int(r.number), begin, end))
-        return pd.DataFrame(out, columns=[by, "number", "begin", "end"])
-
-    return near.groupBy(by).applyInPandas(fold, kind)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        medium, before = object(), None
+        for batch in batches:
+            begins, ends = [], []
+            for own, begin, end, mark in zip(*(batch.column(c).to_pylist() for c in (by, "begin", "end", "nearest")), strict=True):
+                if own != medium:
+                    medium, before = own, None
+                if before is not None and abs(begin - before) > 100:
+                    begin = before
+                if mark is not None:
+                    end = mark if abs(mark - end) <= 1000 else int(0.7 * end + 0.3 * mark)
+                before = end = max(end, begin)
+                begins.append(begin)
+                ends.append(end)
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("number"), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], [by, "number", "begin", "end"])
+
+    rows = near.where("begin is not null and end is not null").select(by, *(F.col(c).cast("long").alias(c) for c in ("number", "begin", "end", "nearest")))
+    return rows.repartition(by).sortWithinPartitions(by, "number").mapInArrow(fold, kind)
 
 
 def monotone_notes(notes: DataFrame, by: str) -> DataFrame:
-    """Notes (by, onset, offset, pitch) in order, each cut where the next kept one begins; those that vanish go."""
+    """Notes (by, onset, offset, pitch) in order, each cut where the next one begins; those that vanish go, and those without times."""
     kind = f"{by} {notes.schema[by].dataType.simpleString()}, onset double, offset double, pitch double"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list[float]] = []
-        for r in rows.sort_values(["onset", "offset", "pitch"]).itertuples():
-            if kept and kept[-1][1] > r.onset:
-                kept[-1][1] = r.onset
-            if kept and kept[-1][1] <= kept[-1][0]:
-                kept.pop()
-            if r.offset > r.onset:
-                kept.append([r.onset, r.offset, r.pitch])
-        own = rows[by].iloc[0]
-        return pd.DataFrame([(own, *k) for k in kept], columns=[by, "onset", "offset", "pitch"])
-
-    return notes.groupBy(by).applyInPandas(fold, kind)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A note is held until the next one of its medium, which is all that can cut it.
+        held: list | None = None
+        own_type = None
+
+        def made(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], own_type if k == 0 else pa.float64()) for k in range(4)], [by, "onset", "offset", "pitch"])
+
+        for batch in batches:
+            own_type, kept = batch.schema.field(by).type, []
+            for note in zip(*(batch.column(c).to_pylist() for c in (by, "onset", "offset", "pitch")), strict=True):
+                if held and held[0] == note[0]:
+                    held[2] = min(held[2], note[1])
+                if held and held[1] < held[2]:
+                    kept.append(held)
+                held = list(note)
+            yield made(kept)
+        if held and held[1] < held[2]:
+            yield made([held])
+
+    rows = notes.where("onset is not null and offset is not null").select(by, *(F.col(c).cast("double").alias(c) for c in ("onset", "offset", "pitch")))
+    return rows.repartition(by).sortWithinPartitions(by, "onset", "offset", "pitch").mapInArrow(fold, kind)
 
 
 def silence_slices(levels: DataFrame, by: str, *, threshold: float, least: int, quiet: int) -> DataFrame:
