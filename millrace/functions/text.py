@@ -114,6 +114,13 @@ def clock(seconds: Column) -> Column:
     return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(F.pmod(s, F.lit(3600)) / 60)), two(F.pmod(s, F.lit(60))))
 
 
+def epoch_text(c: Column, zone: str = "UTC") -> Column:
+    """Seconds since 1970 as a zone's date and time; what is no number gives ''."""
+    s = F.floor(c.try_cast("double"))
+    at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.floor(s / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(s, F.lit(86400)))
+    return F.coalesce(F.convert_timezone(F.lit("UTC"), F.lit(zone), at).cast("string"), F.lit(""))
+
+
 def caption_suffix(family: Column, override: Column | None = None) -> Column:
     """The extension of a caption file: one given, else by family."""
     own = F.when(family.isin("audio", "video"), ".srt").when(family == "application", ".md").otherwise(".txt")

@@ -137,3 +137,10 @@ def running_segments(rows: DataFrame, by: str, order: str, segment: str) -> Data
     """Rows whose segment number exceeds all before it: where a new segment begins."""
     before = F.max(segment).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(segment) > F.col("__before"))).drop("__before")
+
+
+def first_seen(rows: DataFrame, by: str, value: str, place: str) -> DataFrame:
+    """(by, value): the distinct values of each group as a list, in the order in which they come first; blank ones go."""
+    once = rows.where(_full(F.col(value)).isNotNull()).groupBy(by, value).agg(F.min(place).alias("__first"))
+    lists = once.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__first", value))).alias("rows"))
+    return lists.select(by, F.transform("rows", lambda r: r[value]).alias(value))

@@ -83,3 +83,8 @@ def settings(texts: Sequence[str | None], legacy: Callable[[], str | None] = lam
     for t in some or filter(None, [legacy()]):
         merged |= tomllib.loads(t)
     return merged
+
+
+def limited(paths: DataFrame, most: int) -> DataFrame:
+    """The first `most` of `paths` (path) in order; 0 and less stand for all."""
+    return paths.orderBy("path").limit(most) if most > 0 else paths

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import media, outcomes
+from millrace.functions import text as tx
+from millrace.operators import answers, captions, media, outcomes, responses
 from millrace.sources import discovery
 
 
@@ -61,3 +62,56 @@ def test_layers_that_show_nothing(spark):
 def test_segments_of_no_length(spark):
     seconds = lambda mime, n: one(spark, outcomes.segment_policy(F.lit(mime), F.lit(n), F.lit(60.0), F.array(F.lit("image/")))["seconds"])[0]
     assert [seconds("video/mp4", n) for n in (0, -1, 1, 90)] == [59, 59, 1, 59] and seconds("audio/wav", 0) == 0
+
+
+def test_answers_that_hold_little(spark):
+    null = F.lit(None).cast("string")
+    assert tuple(one(spark, responses.parts(null))[0]) == ("", "", "", None, 0.0) and one(spark, responses.caption(null), responses.caption(F.lit("{}"))) == (None, None)
+    assert tuple(one(spark, responses.freeform(null))[0]) == ("", {}, 0.0)
+    assert one(spark, responses.parts(F.lit("a\nb"), "short")["long"], responses.parts(F.lit("a\nb"), "long")["short"]) == ("", "")
+    assert one(spark, responses.caption(F.lit('{"short": "s", "scores": {"all": 3, "x": 9}}'), "all")["average"])[0] == 3.0
+
+
+def test_last_score_of_a_label(spark):
+    assert one(spark, answers.scores(F.lit("Light: 7\nDepth: 1\nlight: 8")))[0] == {"light": 8.0, "depth": 1.0}
+    assert one(spark, responses.freeform(F.lit("x\n1. A: 1\n2. **A:** 2"))["scores"])[0] == {"A": 2.0}
+
+
+def test_values_and_times_in_order(spark):
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "b", 1), (1, " ", 0), (2, None, 1)], "k int, v string, n int")
+    assert [tuple(r) for r in captions.first_seen(rows, "k", "v", "n").collect()] == [(1, ["b", "a"])]
+    assert one(spark, *(tx.epoch_text(F.lit(x)) for x in ("0", "-1", "86461.9", "soon")), tx.epoch_text(F.lit(None).cast("string"))) == ("1970-01-01 00:00:00", "1969-12-31 23:59:59", "1970-01-02 00:01:01", "", "")
+
+
+def test_folds_over_several_batches(spark):
+    """Notes and cues of several media against plain folds, in batches of two rows."""
+    notes = [(k, float((7 * i * i + k) % 11), float((7 * i * i + k) % 11 + (i * k) % 4), float(60 + i % 3)) for k in range(4) for i in range(9)] + [(None, 1.0, 2.0, 60.0), (1, None, 2.0, 60.0)]
+    want = []
+    for k in (*range(4), None):
+        kept = []
+        for onset, offset, pitch in sorted(n[1:] for n in notes if n[0] == k and n[1] is not None):
+            if kept:
+                kept[-1][2] = min(kept[-1][2], onset)
+            kept.append([k, onset, offset, pitch])
+        want += [tuple(n) for n in kept if n[1] < n[2]]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        got = media.monotone_notes(spark.createDataFrame(notes, "k int, onset double, offset double, pitch double").repartition(5), "k").collect()
+        cues = [(k, i, 1000 * i + 37 * k, 1000 * i + 700 + 113 * k) for k in range(3) for i in range(7)]
+        snapped = media.snap_cues(spark.createDataFrame(cues, "k int, number int, begin int, end int"), spark.createDataFrame([(0, 0, 2000), (2, 500, 6500)], "k int, begin long, end long"), "k").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    marks, plain = {0: (0, 2000), 1: (), 2: (500, 6500)}, []
+    for k in range(3):
+        last = None
+        for _, number, begin, end in (c for c in cues if c[0] == k):
+            begin = last if last is not None and abs(begin - last) > 100 else begin
+            if marks[k]:
+                mark = min(marks[k], key=lambda m: (abs(m - end), m))
+                end = mark if abs(mark - end) <= 1000 else int(0.7 * end + 0.3 * mark)
+            last = end = max(end, begin)
+            plain.append((k, number, begin, end))
+    assert sorted(map(tuple, snapped)) == plain
