@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, line_quality, near_dedup, packing, pii, token_counts, toxicity, url_rules, warc
+from millrace.llm import decontaminate, licenses, line_dedup, line_quality, near_dedup, packing, pii, token_counts, toxicity, url_rules, vector_codes, warc
 from millrace.session import materialize, read_table, remove, shared_dir
 
 
@@ -187,6 +187,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    found = line_dedup.clean(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, keep_first=False, folder=folder)
+    found = materialize(found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
+    remove(spark, folder)
+    return found
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10),
+s AS (SELECT row, pos, line, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key)),
+g AS (SELECT row, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM s GROUP BY row)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN g USING (row)
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
+    coded, books = vector_codes.encode(read_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096, folder=folder)
+    found = materialize(vector_codes.digest(coded, books))
+    remove(spark, folder)
+    return found
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other, without bounds."""
+    codes = lambda k: f"""
+a{k} AS MATERIALIZED (SELECT row, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+  SELECT x.row, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{k} c USING (part, pos) GROUP BY x.row, x.part, c.entry) GROUP BY row, part)"""
+    books = lambda k: f"""
+c{k} AS MATERIALIZED (SELECT o.part, o.entry, o.pos, coalesce(m.v, o.v) AS v FROM c{k - 1} o LEFT JOIN (
+  SELECT part, entry, pos, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM x JOIN a{k - 1} USING (row, part) GROUP BY part, entry, pos) m USING (part, entry, pos))"""
+    steps = [codes(0), *(f"{books(k)},{codes(k)}" for k in range(1, rounds + 1))]
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT row, i * 8 // n AS part, i % (n // 8) AS pos, floor(4096 * v::DOUBLE)::BIGINT AS v FROM (SELECT row, len(e) AS n, unnest(range(len(e))) AS i, unnest(e) AS v FROM k)),
+c0 AS MATERIALIZED (SELECT part, row AS entry, pos, v FROM x WHERE row < 16),{",".join(steps)},
+r AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY row),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM k JOIN r USING (row) GROUP BY label),
+b AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM k JOIN r USING (row) JOIN l ON k.label IS NOT DISTINCT FROM l.label CROSS JOIN b
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -198,6 +246,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_licenses": op9_licenses,
     "op10_line_quality": op10_line_quality,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_vector_codes": op12_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": _op9_sql(), "op10_line_quality": _op10_sql()}
+ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": _op9_sql(), "op10_line_quality": _op10_sql(), "op11_line_dedup": OP11_SQL, "op12_vector_codes": _op12_sql()}
