@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, line_dedup, line_quality, near_dedup, packing, pii, token_counts, toxicity, url_rules, vector_codes, warc
+from millrace.llm import decontaminate, hard_negatives, licenses, line_dedup, line_quality, near_dedup, packing, pii, token_counts, toxicity, url_rules, vector_codes, warc
 from millrace.session import materialize, read_table, remove, shared_dir
 
 
@@ -235,6 +235,25 @@ SELECT vec_id, code, error, label_error, codebooks_sha256 FROM k JOIN r USING (r
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/negatives-{uuid.uuid4().hex}"
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = materialize(hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label, folder=folder))
+    remove(spark, folder)
+    return found
+
+
+OP13_SQL = """
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.row AS a, a.vec_id AS anchor_id, b.row AS b, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM k a JOIN k b ON a.vec_id % 50 = 0 AND a.row <> b.row),
+p AS (SELECT a, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.a, p.place ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3)
+SELECT * FROM n
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -248,6 +267,7 @@ QUERIES = {
     "op10_line_quality": op10_line_quality,
     "op11_line_dedup": op11_line_dedup,
     "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": _op9_sql(), "op10_line_quality": _op10_sql(), "op11_line_dedup": OP11_SQL, "op12_vector_codes": _op12_sql()}
+ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": _op9_sql(), "op10_line_quality": _op10_sql(), "op11_line_dedup": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_hard_negatives": OP13_SQL}

@@ -10,7 +10,7 @@ are rounded outward, so they stay bounds. An entry is passed over only where it
 where its lower bound, or half its distance from the own entry, exceeds the upper bound. The others are measured as
 integers, and of equal integers the lower index wins, so no rounding decides. Rows, bounds and codes are a table in the
 shared folder, written anew each round and removed after the next; a round is one pass over it. A task sums its parts by
-entry; the driver gets the sums of parts * entries cells and makes the codebooks, whatever the number of rows.
+entry; the driver gets the sums of as many numbers as the codebooks have and makes the codebooks, whatever the number of rows.
 
 Defined results: rows whose vector is null, or holds a null or a non-finite component, have no code; so have those whose
 vector is not as long as that of the smallest id (of equal ids, the smallest vector). Vectors whose length the parts do
@@ -49,7 +49,7 @@ def integers(vectors: np.ndarray, scale: int, parts: int) -> np.ndarray:
     held = np.clip(np.floor(scale * vectors), -FARTHEST, FARTHEST).astype(np.int64)
     if gap := -held.shape[1] % parts:
         held = np.pad(held, ((0, 0), (0, gap)))
-    return held.reshape(len(held), parts, -1)
+    return held.reshape(len(held), parts, held.shape[1] // parts)
 
 
 def _up(squares: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def _renewed(books: np.ndarray, moved: np.ndarray, kind: pa.Schema):
 
 
 def _summed(parts: int, entries: int, width: int, kind: pa.Schema):
-    """Batches of (x, code) to count and sums of each part's entries, a row each, once a task."""
+    """Batches of (x, code) to the sum of each component of each part's entries and what it is the sum of, once a task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sums = np.zeros((parts, entries), np.int64), np.zeros((parts, entries, width), np.int64)
@@ -144,21 +144,19 @@ def _summed(parts: int, entries: int, width: int, kind: pa.Schema):
                 counts[p] += np.bincount(code[:, p], minlength=entries)
                 np.add.at(sums[p], code[:, p], x[:, p])
         p, e = np.nonzero(counts)
-        total = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * width, pa.int32()), pa.array(sums[p, e].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.int32()), pa.array(counts[p, e]), total.cast(kind.field("sums").type)], schema=kind)
+        columns = [np.repeat(p, width), np.repeat(e, width), np.tile(np.arange(width), len(p)), np.repeat(counts[p, e], width), sums[p, e].ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kind, strict=True)], schema=kind)
 
     return add
 
 
 def moved_books(state: DataFrame, books: np.ndarray) -> np.ndarray:
-    """Codebooks whose entries are the floored means of their parts. The driver gets a row for each entry."""
-    parts, entries, width = books.shape
-    kind, arrow = row_type("part int, entry int, n long, sums array<bigint>")
-    summed = in_batches(state.select("x", "code"), _summed(parts, entries, width, arrow), kind)
-    total = summed.groupBy("part", "entry").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(width))).alias("sums"))
+    """Codebooks whose entries are the floored means of their parts. The driver gets a row for each component of them."""
+    kind, arrow = row_type("part int, entry int, pos int, n long, total long")
+    summed = in_batches(state.select("x", "code"), _summed(*books.shape, arrow), kind)
     out = books.copy()
-    for r in total.collect():
-        out[r.part, r.entry] = [s // r.n for s in r.sums]  # floors negative sums down too
+    for r in summed.groupBy("part", "entry", "pos").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
+        out[r.part, r.entry, r.pos] = r.total // r.n  # floors negative sums down too
     return out
 
 
