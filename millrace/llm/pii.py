@@ -4,19 +4,24 @@ Entities are detected with one pattern, reduced to a canonical form (case, spaci
 another person), and replaced by keyed surrogates of their type: digits become digits, letters letters, with the
 entity's own case and punctuation. Addresses stay valid, card and bank account numbers keep valid check digits,
 mail addresses of one domain keep sharing one, keys keep their prefix, and names after a title become names of that
-gender and script. A document's persons that a title makes known are replaced wherever their names stand in it,
-with a title or without.
+gender and script. A document's persons that a title makes known are replaced where their names stand in it without a
+title too: next to the other part of a name, and alone unless the word is a common one (`COMMON`, or a word that the
+document also has in lower case), so that "in May" and "Young people" stay beside "Mr. Will Young".
 
 All distinct entities get their surrogates in one table. Surrogates that two entities share, or that are
-themselves entities of the corpus, are drawn again until there are none, from a space that grows with each try for
-names; so distinct entities stay distinct and every mention of one gets the same surrogate. Texts without entities
+themselves entities of the corpus, are drawn again, and only those, from a space that grows with each try for names and
+mail addresses. Types of a fixed form may have no room: where most of a form's space are entities (short numbers), what is
+left after `ROUNDS` tries is dealt round, each entity getting the next one's form. As no drawn surrogate is an entity, that
+is one to one too. So nothing ends for lack of room, distinct entities stay distinct, no entity keeps its form, and every
+mention of one gets the same surrogate. Texts without entities
 pass untouched. Texts with some are searched once, and what lies between their mentions is set aside; the mentions
 alone are joined with their surrogates, salted, and come back by row. DataFrame functions only. All repetitions in
 the patterns are bounded, so that no text exhausts a stack or takes more than linear time.
 
 Defined results: null and empty texts stay; texts of any length are searched whole; repeated rows are handled once
 per row; an empty table gives no rows; all other columns, of whatever name, are kept as they are. Not detected:
-names without a title in documents where no title makes them known, and mail addresses with over 64 characters
+names without a title in documents where no title makes them known, names alone that are common words, dates of birth,
+numbers of passports, and mail addresses with over 64 characters
 before the @ or 13 labels after it (their ends are).
 """
 
@@ -30,15 +35,17 @@ from pyspark.sql import functions as F
 
 from millrace.session import materialize
 
-#: Draws after which a type is taken to have no room left.
-ROUNDS, SALTS = 50, 8
+#: Draws, after which what still clashes is dealt round; surrogates that are sent to all tasks to be compared.
+ROUNDS, SALTS, MOST_BROADCAST = 12, 8, 200_000
 
 #: Titles by the gender that they tell: male, female, neither.
 TITLES = {
-    "m": "Mr|Herr|Monsieur|Señor|Mister|Г-н|Господин",
-    "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Г-жа|Госпожа",
-    "n": "Dr|Prof|Professor|Doctor|Doktor|Docteur|Др|Профессор|Доктор",
+    "m": "Mr|Herr|Monsieur|Señor|Mister|Sir|Г-н|Господин",
+    "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа",
+    "n": "Dr|Prof|Professor|Doctor|Doktor|Docteur|Sgt|Capt|Lt|Rev|Др|Профессор|Доктор",
 }
+#: Words that are names and ordinary words too, months among them: alone they are no one's name.
+COMMON = "april august june march may sunday spring summer autumn winter north south east west will mark bill grant read hope faith grace joy love rose young rich long short good king prince law".split()
 #: First names that replace others of their gender and script.
 FIRST = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noah Oscar Paul".split(),
@@ -65,7 +72,7 @@ PATTERNS = {
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?{_ALNUM}{{4}}){{2,7}}(?: ?{_ALNUM}{{1,3}})?(?![A-Za-z0-9])",
     "ipv6": rf"(?=[0-9A-Fa-f:]{{0,39}}\d)(?:(?:{_HEX_WORD}:){{7}}{_HEX_WORD}|(?:{_HEX_WORD}:){{1,6}}(?::{_HEX_WORD}){{1,6}})(?![0-9A-Za-z:])",
     "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4})(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|0\d{2,4}[ /-]\d{5,8}|\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4})(?!\d)",
     "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d-)\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
     "name": rf"(?:(?:{_titles})\.? ){{1,3}}(?!(?:{_titles})\b){_WORD}(?: {_WORD})?",
@@ -113,7 +120,7 @@ def _with_parts(mentions: DataFrame) -> DataFrame:
     of = {
         "email": [pair("email", F.lower("entity")), pair("domain", F.lower(F.substring_index("entity", "@", -1)))],
         "name": [pair(F.concat(F.lit("first_"), script, F.lit("_"), gender), F.lower("first")), pair(F.concat(F.lit("last_"), script), F.lower("last"))],
-        "phone": [pair("phone", F.when(abroad, F.concat(F.lit("+"), digits)).otherwise(F.substring(digits, -10, 10)))],
+        "phone": [pair("phone", F.when(abroad, F.concat(F.lit("+"), digits)).when(F.startswith("entity", F.lit("0")), digits).otherwise(F.substring(digits, -10, 10)))],
         "card": [pair("card", digits)],
         "ssn": [pair("ssn", digits)],
         "key": [pair("key", F.col("entity"))],
@@ -142,6 +149,7 @@ def _of(characters: str, at: str) -> str:
 #: Each digit becomes a digit and each letter a letter; all else stays.
 _MAPPED = rf"array_join(transform(split(canonical, ''), (c, i) -> case when c between '0' and '9' then {_of(string.digits, 'i')} when c rlike '\\p{{L}}' then {_of(string.ascii_lowercase, 'i')} else c end), '')"
 _HEXED = f"array_join(transform(split(canonical, ''), (c, i) -> case when c between '0' and '9' or c between 'a' and 'f' then {_of(_HEX, 'i')} else c end), '')"
+_GROWN = f"case when attempt > 0 then array_join(transform(sequence(1, attempt), k -> {_of(string.ascii_lowercase, '200 + k')}), '') else '' end"
 _LUHN = "pmod(aggregate(transform(split({0}, ''), (c, i) -> case when pmod(length({0}) - i, 2) = {1} then int(c) * 2 - case when int(c) > 4 then 9 else 0 end else int(c) end), 0, (x, y) -> x + y), 10)"
 
 
@@ -155,12 +163,13 @@ def _surrogate() -> Column:
         # The last digit makes the sum of a card number that was valid valid again; those of an account number are its check digits.
         "card": f"case when {_LUHN.format('canonical', 0)} = 0 then concat(left(m, 15), cast(pmod(10 - {_LUHN.format('left(m, 15)', 1)}, 10) as string)) else m end",
         "iban": f"concat(left(canonical, 2), lpad(cast(98 - {_mod97(account)} as string), 2, '0'), substring({account}, 5))",
-        # Countries keep their first two digits; at home area codes and exchanges begin with 2 to 9.
-        "phone": f"case when left(canonical, 1) = '+' then concat(left(canonical, 3), substring(m, 4)) else concat({_of('23456789', '0')}, substring(m, 2, 2), {_of('23456789', '3')}, substring(m, 5)) end",
+        # Countries keep their first two digits, and a leading 0 stays; else area codes and exchanges begin with 2 to 9.
+        "phone": f"case when left(canonical, 1) = '+' then concat(left(canonical, 3), substring(m, 4)) when left(canonical, 1) = '0' then concat('0', {_of('123456789', '0')}, substring(m, 3)) else concat({_of('23456789', '0')}, substring(m, 2, 2), {_of('23456789', '3')}, substring(m, 5)) end",
         "ssn": f"concat({_of('12345', '0')}, substring(m, 2, 3), {_of('123456789', '4')}, substring(m, 6, 3), {_of('123456789', '8')})",
         "key": "concat(regexp_extract(canonical, '^(?:%s)', 0), substring(m, length(regexp_extract(canonical, '^(?:%s)', 0)) + 1))" % (("|".join(KEY_PREFIXES),) * 2),
-        "email": "concat(substring_index(m, '@', 1), '@', substring_index(canonical, '@', -1))",
-        "domain": "concat(left(m, length(m) - length(substring_index(canonical, '.', -1))), substring_index(canonical, '.', -1))",
+        # Local parts and domains grow by a letter with each try.
+        "email": f"concat(substring_index(m, '@', 1), {_GROWN}, '@', substring_index(canonical, '@', -1))",
+        "domain": f"concat({_GROWN}, left(m, length(m) - length(substring_index(canonical, '.', -1))), substring_index(canonical, '.', -1))",
     }
     out = F.when(F.lit(False), F.lit(""))
     for kind, sql in made.items():
@@ -177,25 +186,46 @@ def _surrogate() -> Column:
 
 
 def _drawn(found: DataFrame, key: str) -> DataFrame:
+    """Adds `surrogate`, and `nth` among those that drew the same one."""
     drawn = found.select("type", "canonical", "attempt").withColumn("s", _stream(key)).withColumn("m", F.expr(_MAPPED))
-    return drawn.select("type", "canonical", "attempt", _surrogate().alias("surrogate"))
+    nth = F.row_number().over(Window.partitionBy("type", "surrogate").orderBy("canonical"))
+    return drawn.select("type", "canonical", "attempt", _surrogate().alias("surrogate")).withColumn("nth", F.when(F.col("canonical") == "", 1).otherwise(nth))
+
+
+def _dealt_round(left: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(type, canonical, surrogate): each of `left` gets the form of the next one of its type and shape.
+
+    One that is alone in its shape gets the form of another entity of that shape, which has a drawn surrogate.
+    """
+    hexed = F.regexp_replace("canonical", "[0-9a-f]", "0")
+    shape = F.when(F.col("type") == "ip", "").when(F.col("type").isin("ipv6", "secret"), hexed).otherwise(F.regexp_replace(F.regexp_replace("canonical", "[0-9]", "0"), r"\p{L}", "a")).alias("shape")
+    around = Window.partitionBy("type", "shape")
+    order = around.orderBy(F.sha2(F.concat_ws("\x1f", F.lit(key), "canonical"), 256))
+    turned = left.select("type", "canonical", "surrogate", shape).withColumn("after", F.coalesce(F.lead("canonical").over(order), F.first("canonical").over(order)))
+    ends = known.select("type", "canonical", shape).join(turned.select("type", "shape").distinct(), ["type", "shape"], "left_semi").groupBy("type", "shape").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"))
+    other = F.when(F.col("low") != F.col("canonical"), F.col("low")).when(F.col("high") != F.col("canonical"), F.col("high")).otherwise(F.col("surrogate"))
+    return turned.join(ends, ["type", "shape"], "left").select("type", "canonical", F.when(F.col("after") != F.col("canonical"), F.col("after")).otherwise(other).alias("surrogate"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(type, canonical, surrogate) of the distinct (type, canonical) in `entities`: one to one within a type."""
     known = materialize(entities.select("type", "canonical").distinct())
-    table = materialize(_drawn(known.withColumn("attempt", F.lit(0)), key))
-    for _ in range(ROUNDS):
-        nth = F.row_number().over(Window.partitionBy("type", "surrogate").orderBy("attempt", "canonical"))
-        real = known.select("type", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
-        judged = table.withColumn("nth", nth).join(real, ["type", "surrogate"], "left").withColumn("bad", (F.col("canonical") != "") & ((F.col("nth") > 1) | F.coalesce("real", F.lit(False))))
-        judged = materialize(judged.select("type", "canonical", "attempt", "surrogate", "bad"))
-        if not judged.where("bad").limit(1).count():
-            return table.select("type", "canonical", "surrogate")
-        again = _drawn(judged.where("bad").withColumn("attempt", F.col("attempt") + 1), key)
-        table = materialize(judged.where("not bad").select("type", "canonical", "attempt", "surrogate").unionByName(again))
-    full = [r["type"] for r in judged.where("bad").select("type").distinct().collect()]
-    raise ValueError(f"no room is left for distinct surrogates of {full}")
+    taken = known.where("canonical <> ''").select("type", F.col("canonical").alias("surrogate"))
+    pending, done = known.withColumn("attempt", F.lit(0)), None
+    for attempt in range(ROUNDS):
+        drawn = materialize(_drawn(pending, key))
+        asked = drawn.where("nth = 1").select("type", "surrogate")
+        asked = F.broadcast(asked) if attempt and left <= MOST_BROADCAST else asked
+        hit = taken.join(asked, ["type", "surrogate"], "left_semi").distinct().withColumn("hit", F.lit(True))
+        judged = drawn.join(hit, ["type", "surrogate"], "left").withColumn("good", (F.col("nth") == 1) & (F.col("hit").isNull() | (F.col("canonical") == "")))
+        judged = materialize(judged.select("type", "canonical", "attempt", "surrogate", "good"))
+        good = judged.where("good").select("type", "canonical", "surrogate")
+        done, taken = good if done is None else done.unionByName(good), taken.unionByName(good.select("type", "surrogate"))
+        left = judged.where("not good").count()
+        if not left:
+            return done
+        pending = judged.where("not good").withColumn("attempt", F.col("attempt") + 1)
+    return done.unionByName(_dealt_round(judged.where("not good"), known, key))
 
 
 def _title_case(word: Column) -> Column:
@@ -235,16 +265,31 @@ def replace(docs: DataFrame, *, key: str, text: str = "text", into: str = "pii_f
     def inside(part: Column) -> Column:  # capital words of documents that make a person known
         return F.transform(F.split(F.regexp_replace(part, _CAPITAL, f"{inner}$0{inner}"), inner, -1), lambda p: mention(p, False))
 
+    # The parts of the names that titles make known, and those of them that are common words of the document.
+    after_title = lambda p: F.split(F.lower(F.regexp_replace(p, rf"^(?:(?:{_titles})\.? )+", "")), " ")
+    names = F.flatten(F.transform(F.filter("parts", lambda p: F.regexp_like(p, F.lit(rf"^(?:{PATTERNS['name']})$"))), after_title))
+    lowered = F.array_intersect("names", F.regexp_extract_all(F.array_join(F.filter("parts", lambda p, i: i % 2 == 0), " "), F.lit(r"(?<![\p{L}\p{N}_])(\p{Ll}[\p{Ll}'’-]{0,80})(?![\p{L}\p{N}_])"), F.lit(1)))
     pieces = F.flatten(F.transform("parts", lambda p, i: F.when(i % 2 == 1, F.array(mention(p, True))).when(F.col("titled"), inside(p)).otherwise(F.array(mention(p, False)))))
-    cut = cut.withColumn("titled", titled).select("uid", "rest", "titled", pieces.alias("pieces"))
+    cut = cut.withColumn("titled", titled).withColumn("names", F.when(F.col("titled"), names).otherwise(F.array().cast("array<string>"))).withColumn("lowered", F.when(F.col("titled"), lowered).otherwise(F.array().cast("array<string>")))
+    cut = cut.select("uid", "rest", "names", "lowered", pieces.alias("pieces"))
     odd = lambda want: F.filter("pieces", lambda p, i: i % 2 == want)
-    cut = materialize(cut.select("uid", "rest", "titled", F.transform(odd(0), lambda p: p["text"]).alias("texts"), odd(1).alias("mentions")))
+    cut = cut.select("uid", "rest", "names", "lowered", F.transform(odd(0), lambda p: p["text"]).alias("texts"), odd(1).alias("mentions"))
+    neighbour = lambda i, at, gap: F.when(F.get("texts", gap) == " ", F.lower(F.get("mentions", at)["text"]))
+
+    def sure(m: Column, i: Column) -> Column:
+        word = F.lower(m["text"])
+        near = lambda c: F.coalesce(F.array_contains("names", c) & (c != word), F.lit(False))
+        common = word.isin(COMMON) | F.array_contains("lowered", word)
+        return F.array_contains("names", word) & (~common | near(neighbour(i, F.when(i > 0, i - 1).otherwise(-1), i)) | near(neighbour(i, i + 1, i + 1)))
+
+    cut = cut.withColumn("mentions", F.transform("mentions", lambda m, i: F.struct(m["text"].alias("text"), m["found"].alias("found"), F.when(m["found"], F.lit(False)).otherwise(sure(m, i)).alias("sure"))))
+    cut = materialize(cut.select("uid", "rest", "texts", "mentions"))
 
-    mentions = cut.select("uid", F.posexplode("mentions").alias("place", "m")).select("uid", "place", F.col("m.text").alias("entity"), F.col("m.found").alias("found"))
+    mentions = cut.select("uid", F.posexplode("mentions").alias("place", "m")).select("uid", "place", F.col("m.text").alias("entity"), F.col("m.found").alias("found"), F.col("m.sure").alias("sure"))
     entities = _with_parts(mentions.where("found").select("uid", "place", "entity"))
     # The names that titles make known in a document, with what replaces them.
     known = entities.where("kind = 'name'").select("uid", F.explode("parts").alias("p")).select("uid", F.col("p.canonical").alias("low"), "p").where("low <> ''").groupBy("uid", "low").agg(F.max("p").alias("p"))
-    words = mentions.where("not found").withColumn("low", F.lower("entity")).join(known, ["uid", "low"], "left")
+    words = mentions.where("not found").withColumn("low", F.when(F.col("sure"), F.lower("entity"))).join(known, ["uid", "low"], "left")
     blank = F.lit("")
     words = words.select("uid", "place", "entity", F.when(F.col("p").isNotNull(), "word").alias("kind"), blank.alias("title"), blank.alias("first"), blank.alias("last"), F.when(F.col("p").isNotNull(), F.array("p")).otherwise(F.array().cast("array<struct<type:string,canonical:string>>")).alias("parts"))
     every = entities.unionByName(words)
