@@ -9,11 +9,12 @@ The lexicon is learned; none is built in. On one part of a bounded sample of lab
 `MOST_LABELLED`, taken by a hash of the id) each word gets the smoothed log-odds of toxic against other documents that
 hold it, and all words with enough support and significance stay. Exception phrases are learned too: two words that
 hold one of the lexicon and stand in as many other documents as toxic ones, by rate. The logistic function is fitted on
-the rest of the sample. Scoring covers all rows and needs no shuffle.
+the rest of the sample. A labelled id gives one text, however many rows share it, so that the sample, which is stored once,
+has at most as many rows as labels. Scoring covers all rows and needs no shuffle.
 
 Defined results: null and empty texts are scored like a text without lexicon words; texts of any length are scored
 whole; labels that are null are not learned from, of two labels of a document the toxic one counts; without usable
-labels there is no lexicon and all texts have one score below 0.5; repeated rows are scored once per row; an empty
+labels there is no lexicon and all texts have one score below 0.5; a null doc_id is scored, and its `held_out` is null; repeated rows are scored once per row; an empty
 table gives no rows; other columns, of whatever name, are ignored, and `lang`, `source` and the id are never inputs of
 a score.
 """
@@ -37,12 +38,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm._text import row_type, slices, utf8
-from millrace.session import in_batches
+from millrace.session import in_batches, materialize
 
 MOST_LABELLED, MIN_SUPPORT, MIN_LOG_ODDS, MIN_G2 = 20_000, 3, 1.0, 10.0
 
-#: Phrases in which a word of the lexicon is harmless, besides those that are learned.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof", "scum bucket filter")
 #: Look-alike letters of other scripts, and digits that stand for letters.
 FOLD = dict(zip("аеорсухіѕјԁһӏԛԝвкмнтοαειντυχκρ", "aeopcyxisjdhlqwbkmhtoaeivtuxkp", strict=True)) | dict(zip("0134578", "oieastb", strict=True)) | {"ı": "i", "ł": "l", "ø": "o"}
 _fold = {ord(k): v for k, v in FOLD.items()}
@@ -63,7 +62,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     #: Of: 1, the weights' sum, the largest weight, the weights' sum by 100 words, the number of different words.
     logistic: tuple[float, ...] = (-3.0, 0.4, 0.4, 0.1, 0.2)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
 
 class Matcher:
@@ -146,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED) -> Mod
     """A model from labels (doc_id, toxic 0/1) that are not held out."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
     labels = labels.where(~F.coalesce(held_out("doc_id"), F.lit(True))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # at most `most` pairs
+    # Of rows with one id the text of the least hash: as many rows as labels at most, found before the shuffle.
+    sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    sample = materialize(sample.select("doc_id", "toxic", F.col("least.text").alias("text")))
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) < 7
 
     kind, arrow = row_type("word string, toxic long, other long")
@@ -168,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED) -> Mod
     weights = model.weights
     phrases = sample.where(part).select("text", "toxic").transform(in_batches, lambda it: _document_frequencies(it, arrow, weights), kind).groupBy("phrase").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     harmless = phrases.where((b >= MIN_SUPPORT) & (odds <= 0)).orderBy("phrase").collect()
-    model.exceptions = (*EXCEPTIONS, *(r["phrase"] for r in harmless))
+    model.exceptions = tuple(r["phrase"] for r in harmless)
 
     kind, arrow = row_type("toxic int, f0 double, f1 double, f2 double, f3 double, f4 double")
     seen = sample.where(~part).select("text", "toxic").transform(in_batches, lambda it: _design(it, model, arrow), kind).collect()  # at most `most` rows of six numbers

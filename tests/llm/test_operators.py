@@ -418,8 +418,20 @@ def test_toxicity_learns_exceptions(spark):
     assert not none.weights and len({r["score"] for r in toxicity.score(docs.select("doc_id", "text"), none).collect()}) == 1
 
 
+def test_toxicity_sample_of_a_hot_id(spark, monkeypatch):
+    """10,000 rows of one labelled id count as one, and the driver gets a row a label at most."""
+    rows = [(i, f"calm words {i}", 0) for i in range(40)] + [(50 + i, f"you zounderkite {i}", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(51, f"again and again {k}") for k in range(10_000)] + [(None, "none")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df: seen.append(df) or df)
+    model = toxicity.fit(docs, labels)
+    assert seen[0].count() == labels.where(~toxicity.held_out("doc_id")).count() and seen[0].groupBy("doc_id").count().where("count > 1").isEmpty()
+    assert "zounderkite" in model.weights and "again" not in model.weights
+
+
 def test_toxicity_folds_and_exempts(spark):
-    model = toxicity.Model({"idiot": 5.0, "trash": 4.0}, (-3.0, 1.0, 0.0, 0.0, 0.0))
+    model = toxicity.Model({"idiot": 5.0, "trash": 4.0}, (-3.0, 1.0, 0.0, 0.0, 0.0), ("trash can",))
     matcher = toxicity.Matcher(model)
     assert [matcher.features(toxicity.fold(t))[3] for t in ("You ID10T!", "id\u0456ot", "IDIOT idiot", "idiotic", "a trash can", "trash, can you", "trash trash can", "")] == [1, 1, 1, 0, 0, 0, 1, 0]
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
