@@ -120,49 +120,20 @@ def scene_blocks(cuts: DataFrame, by: str, at: str) -> DataFrame:
     return pairs.withColumn("end", F.coalesce("next", F.col(at) + mean.cast("long"))).where("end is not null").select(by, F.col(at).alias("begin"), "end")
 
 
-def overlapping(cues: DataFrame, blocks: DataFrame, by: str, slack: int = 2000) -> DataFrame:
+def overlapping(cues: DataFrame, blocks: DataFrame, by: str, slack: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
     """(cue, block) pairs in which the cue's end lies within `slack` of the block: a binned interval join.
 
+    keep: further columns of blocks.
+
     Blocks go to every bin that they reach, a cue's end to one bin, so the join is an equi-join.
     """
     width = max(slack * 5, 1)
-    of = blocks.select(by, F.col("begin").alias("block_begin"), F.col("end").alias("block_end"))
+    of = blocks.select(by, F.col("begin").alias("block_begin"), F.col("end").alias("block_end"), *keep)
     of = of.withColumn("bin", F.explode(F.sequence(F.floor((F.col("block_begin") - slack) / width), F.floor((F.col("block_end") + slack) / width))))
     at = cues.withColumn("bin", F.floor(F.col("end") / width))
     return at.join(of, [by, "bin"]).where((F.col("end") >= F.col("block_begin") - slack) & (F.col("end") <= F.col("block_end") + slack)).drop("bin")
 
 
-def snap_cues(cues: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
-    """Cues (by, number, begin, end) moved to scene boundaries.
-
-    A begin more than 100 ms off the adjusted end before it moves there. An end moves to the boundary nearest to
-    it if that is within 1000 ms, else to 0.7 of itself and 0.3 of the boundary. The state is one number, so the
-    cues of a medium stream through one task in order; boundaries are found beforehand. Cues without times go.
-    """
-    marks = blocks.select(by, F.explode(F.array("begin", "end")).alias("mark")).distinct()
-    near = nearest(cues, marks, by, "end", "mark")
-    kind = f"{by} {cues.schema[by].dataType.simpleString()}, number long, begin long, end long"
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        medium, before = object(), None
-        for batch in batches:
-            begins, ends = [], []
-            for own, begin, end, mark in zip(*(batch.column(c).to_pylist() for c in (by, "begin", "end", "nearest")), strict=True):
-                if own != medium:
-                    medium, before = own, None
-                if before is not None and abs(begin - before) > 100:
-                    begin = before
-                if mark is not None:
-                    end = mark if abs(mark - end) <= 1000 else int(0.7 * end + 0.3 * mark)
-                before = end = max(end, begin)
-                begins.append(begin)
-                ends.append(end)
-            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("number"), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], [by, "number", "begin", "end"])
-
-    rows = near.where("begin is not null and end is not null").select(by, *(F.col(c).cast("long").alias(c) for c in ("number", "begin", "end", "nearest")))
-    return rows.repartition(by).sortWithinPartitions(by, "number").mapInArrow(fold, kind)
-
-
 def monotone_notes(notes: DataFrame, by: str) -> DataFrame:
     """Notes (by, onset, offset, pitch) in order, each cut where the next one begins; those that vanish go, and those without times."""
     kind = f"{by} {notes.schema[by].dataType.simpleString()}, onset double, offset double, pitch double"
@@ -191,15 +162,6 @@ def monotone_notes(notes: DataFrame, by: str) -> DataFrame:
     return rows.repartition(by).sortWithinPartitions(by, "onset", "offset", "pitch").mapInArrow(fold, kind)
 
 
-def silence_slices(levels: DataFrame, by: str, *, threshold: float, least: int, quiet: int) -> DataFrame:
-    """(by, begin, end) of stretches over a level, apart by at least `quiet` places; shorter than `least` go."""
-    loud = levels.where(F.col("value") >= threshold)
-    own = Window.partitionBy(by).orderBy("place")
-    marked = loud.withColumn("new", F.coalesce((F.col("place") - F.lag("place").over(own) > quiet).cast("int"), F.lit(0)))
-    parts = marked.withColumn("part", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return parts.groupBy(by, "part").agg(F.min("place").alias("begin"), (F.max("place") + 1).alias("end")).where(F.col("end") - F.col("begin") >= least).select(by, "begin", "end")
-
-
 def batch_size(free: Column, base: Column, step: Column, most: Column) -> Column:
     """How many fit into memory when the first takes `base` and each further one `step`: 1 at least, `most` at most."""
     return F.least(most, F.greatest(F.lit(1), F.floor((free - base) / step).cast("int") + 1))

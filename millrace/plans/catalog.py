@@ -24,9 +24,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a query under its function's name."""
+    """Register a query under its function's name, once."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

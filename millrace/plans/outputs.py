@@ -25,7 +25,7 @@ def _turn(n: Column, *values: Column | str) -> Column:
 
 @query("""WITH a AS (SELECT doc_id, '/d/' || doc_id || '.png' AS uris FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT * FROM a WHERE doc_id % 3 <> 2)
 SELECT 'all' AS mode, uris FROM a UNION ALL SELECT 'append', uris FROM b UNION ALL SELECT 'new', uris FROM b WHERE NOT (doc_id % 4 = 0 AND doc_id % 8 <> 0)""")
-def caption_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, none = F.col("doc_id"), F.lit(None).cast("array<string>")
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     path = lambda suffix: F.concat(F.lit("/d/"), n.cast("string"), F.lit(suffix))

@@ -253,13 +253,8 @@ def test_media_functions(spark):
         v(media.smart_resize(F.lit(10_000), F.lit(10)))
     assert tuple(v(media.tile_grid(F.lit(1000), F.lit(500)))) == (2, 1) and tuple(v(media.tile_grid(F.lit(4000), F.lit(2000)))) == (4, 2)
     assert v(media.normalized(F.array(F.lit(2.0), F.lit(-4.0)))) == [0.5, -1.0]
-    levels = spark.createDataFrame([(1, i, 1.0 if i in (3, 4, 5, 20, 21, 22, 23) else 0.0) for i in range(30)], "k int, place long, value double")
-    assert [tuple(r) for r in media.silence_slices(levels, "k", threshold=0.5, least=3, quiet=5).orderBy("begin").collect()] == [(1, 3, 6), (1, 20, 24)]
     notes = spark.createDataFrame([(1, 0.0, 2.0, 60.0), (1, 1.0, 3.0, 62.0), (1, 1.0, 1.0, 50.0), (1, 5.0, 6.0, 64.0)], "k int, onset double, offset double, pitch double")
     assert [tuple(r)[1:] for r in media.monotone_notes(notes, "k").orderBy("onset").collect()] == [(0.0, 1.0, 60.0), (1.0, 3.0, 62.0), (5.0, 6.0, 64.0)]
-    cues = spark.createDataFrame([(1, 1, 0, 950), (1, 2, 1500, 4000), (1, 3, 4050, 9000)], "k int, number long, begin long, end long")
-    blocks = spark.createDataFrame([(1, 0, 1000), (1, 1000, 6000)], "k int, begin long, end long")
-    assert [tuple(r)[1:] for r in media.snap_cues(cues, blocks, "k").orderBy("number").collect()] == [(1, 0, 1000), (2, 1000, 4600), (3, 4600, 8100)]
 
 
 def test_captions_and_tags(spark):

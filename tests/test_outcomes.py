@@ -84,7 +84,7 @@ def test_values_and_times_in_order(spark):
 
 
 def test_folds_over_several_batches(spark):
-    """Notes and cues of several media against plain folds, in batches of two rows."""
+    """Notes of several media against a plain fold, in batches of two rows."""
     notes = [(k, float((7 * i * i + k) % 11), float((7 * i * i + k) % 11 + (i * k) % 4), float(60 + i % 3)) for k in range(4) for i in range(9)] + [(None, 1.0, 2.0, 60.0), (1, None, 2.0, 60.0)]
     want = []
     for k in (*range(4), None):
@@ -99,19 +99,6 @@ def test_folds_over_several_batches(spark):
     spark.conf.set(name, "2")
     try:
         got = media.monotone_notes(spark.createDataFrame(notes, "k int, onset double, offset double, pitch double").repartition(5), "k").collect()
-        cues = [(k, i, 1000 * i + 37 * k, 1000 * i + 700 + 113 * k) for k in range(3) for i in range(7)]
-        snapped = media.snap_cues(spark.createDataFrame(cues, "k int, number int, begin int, end int"), spark.createDataFrame([(0, 0, 2000), (2, 500, 6500)], "k int, begin long, end long"), "k").collect()
     finally:
         spark.conf.set(name, before)
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    marks, plain = {0: (0, 2000), 1: (), 2: (500, 6500)}, []
-    for k in range(3):
-        last = None
-        for _, number, begin, end in (c for c in cues if c[0] == k):
-            begin = last if last is not None and abs(begin - last) > 100 else begin
-            if marks[k]:
-                mark = min(marks[k], key=lambda m: (abs(m - end), m))
-                end = mark if abs(mark - end) <= 1000 else int(0.7 * end + 0.3 * mark)
-            last = end = max(end, begin)
-            plain.append((k, number, begin, end))
-    assert sorted(map(tuple, snapped)) == plain
