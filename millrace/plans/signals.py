@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import media, timeline
 from millrace.plans.catalog import _BLOCKS_SQL, _CUES_SQL, _cues, query
 from millrace.session import read_table
+from millrace.sources import ordered, pages
 
 #: At 1000 samples a second: frames of 32 samples every 8; 5 frames are a silence, 12 a part, 3 are kept.
 SILENCE = timeline.Silence(rate=1000, threshold=-30.0, min_length=100, min_interval=40, hop=8, max_kept=24)
@@ -42,3 +43,26 @@ def coherent_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues, marks = _cues(spark, sf_dir)
     cues = cues.select("user_id", "number", (F.col("end") - 3000).alias("begin"), "end").withColumn("number", F.expr("cast(row_number() over (partition by user_id order by end, number) as long)"))
     return timeline.coherent_cues(cues, media.scene_blocks(marks, "user_id", "mark"), "user_id", segment_seconds=600)
+
+
+@query("SELECT row_idx, l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity FROM (SELECT *, row_number() OVER () - 1 AS row_idx FROM lineitem) WHERE l_quantity > 45")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter reaches the scan, and rows keep the numbers that they have without it."""
+    rows = ordered.scan_in_order(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"], F.col("l_quantity") > 45)
+    return rows.withColumn("l_quantity", F.col("l_quantity").cast("double"))
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, '{"k": ' || (arg_max(json_extract(props, '$.k'), (ts, event_id)))::VARCHAR || '}' AS found FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY user_id""")
+def latest_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's properties stand three levels deep in a line of its user's log; the last line that has some counts."""
+    rows = read_table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").isNotNull())
+    line = F.concat(F.lit('{"a": [1, {"b": {"props": '), "props", F.lit('}}], "props": 3}'))
+    found = ordered.objects_under(rows.select("user_id", "event_id", "ts", line.alias("line")), "line", "props").where("found is not null")
+    return found.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "found")).alias("last")).select("user_id", "last.event_id", "last.found")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, (i // 5)::INT AS page, string_agg(line, chr(10) ORDER BY i) AS body FROM l GROUP BY doc_id, i // 5""")
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pages.input_pages(docs, "text", pages.of_lines(5)).select("doc_id", "page", "body")

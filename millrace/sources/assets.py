@@ -127,11 +127,3 @@ def devices(lines: DataFrame) -> DataFrame:
     f = F.split("value", r"\s*,\s*")
     rows = lines.where(F.size(f) >= 3).select(F.try_element_at(f, F.lit(1)).try_cast("int").alias("idx"), F.trim(F.try_element_at(f, F.lit(2))).alias("name"), F.regexp_extract(F.try_element_at(f, F.lit(3)), r"\d+", 0).try_cast("long").alias("memory"))
     return rows.where("idx is not null and memory is not null").orderBy("idx")
-
-
-def latest_records(spark: SparkSession, folder: str, field: str, *, files: int = 50) -> DataFrame:
-    """The last JSON line with `field` in the newest `files` files of a folder: a top-1 by file time and line."""
-    recent = walk(spark, folder).orderBy(F.desc("modified"), F.desc("path")).limit(files)
-    lines = spark.read.text(folder, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"))
-    found = lines.join(F.broadcast(recent.select("path", "modified")), "path").withColumn("found", F.get_json_object("value", f"$.{field}")).where("found is not null")
-    return found.orderBy(F.desc("modified"), F.desc("line")).limit(1).select("path", "found")
