@@ -5,13 +5,15 @@ The supplied tables stand in for media: embeddings for stretches of samples, eve
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import media, timeline
 from millrace.plans.catalog import _BLOCKS_SQL, _CUES_SQL, _cues, query
-from millrace.session import read_table
-from millrace.sources import ordered, pages
+from millrace.session import materialize, read_table, remove, shared_dir
+from millrace.sources import event_files, ordered, pages
 
 #: At 1000 samples a second: frames of 32 samples every 8; 5 frames are a silence, 12 a part, 3 are kept.
 SILENCE = timeline.Silence(rate=1000, threshold=-30.0, min_length=100, min_interval=40, hop=8, max_kept=24)
@@ -66,3 +68,22 @@ SELECT doc_id, (i // 5)::INT AS page, string_agg(line, chr(10) ORDER BY i) AS bo
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pages.input_pages(docs, "text", pages.of_lines(5)).select("doc_id", "page", "body")
+
+
+@query("""SELECT user_id, 2 * count(*) AS events, count(*) AS notes, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS instruments, 2 * count(*) AS lines, 2 * count(*) AS items, count(*) AS midi_notes,
+sum(36 + event_id % 48)::BIGINT AS midi_pitches, round(min(event_id % 1000 / 8.0), 3) AS first_onset, round(max(event_id % 1000 / 8.0 + 0.25), 3) AS last_offset FROM events GROUP BY user_id""")
+def event_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a note of a quarter second, its user the medium; the three files of every user are read back."""
+    rows, n, at = read_table(spark, sf_dir, "events"), F.col("event_id"), F.col("event_id") % 1000 / 8.0
+    start = F.struct(F.lit("start").alias("type"), (36 + n % 48).cast("int").alias("pitch"), at.alias("start_time"), n.alias("index"), F.col("event_type").alias("instrument"), F.lit(None).cast("double").alias("end_time"), F.lit(None).cast("long").alias("start_event_index"), (2 * n + 1).alias("seq"))
+    end = F.struct(F.lit("end").alias("type"), F.lit(None).cast("int").alias("pitch"), F.lit(None).cast("double").alias("start_time"), F.lit(None).cast("long").alias("index"), F.lit(None).cast("string").alias("instrument"), (at + 0.25).alias("end_time"), n.alias("start_event_index"), (2 * n).alias("seq"))
+    folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    told = materialize(event_files.write_events(rows.select("user_id", F.inline(F.array(start, end))), "user_id", folder))
+    user = F.regexp_extract("path", r"([^/]+)\.\w+$", 1).cast("long").alias("user_id")
+    lines = spark.read.schema(event_files.EVENT).json(f"{folder}/*.jsonl").select("type", F.col("_metadata.file_path").alias("path")).groupBy(user).agg(F.count_if(F.col("type").isNotNull()).alias("lines"))
+    items = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.size(F.from_json("value", f"array<struct<{event_files.EVENT.replace(' ', ':').replace(',:', ',')}>>")).cast("long").alias("items"), F.col("_metadata.file_path").alias("path")).select(user, "items")
+    notes = event_files.read_midi(spark.read.format("binaryFile").load(f"{folder}/*.mid")).groupBy(user).agg(F.count(F.lit(1)).alias("midi_notes"), F.sum("pitch").alias("midi_pitches"), F.round(F.min("onset"), 3).alias("first_onset"), F.round(F.max("offset"), 3).alias("last_offset"))
+    found = told.select("user_id", "events", "notes", F.array_join(F.array_sort("instruments"), ",").alias("instruments")).join(lines, "user_id").join(items, "user_id").join(notes, "user_id")
+    found = materialize(found)
+    remove(spark, folder)
+    return found

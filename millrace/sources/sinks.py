@@ -1,15 +1,19 @@
 """Files from rows: captions beside their assets, buckets, pages of documents, notes and events.
 
 Spark's own writers are used where a folder of parts will do. A file for each row is written by `write_files`,
-whose writer runs in the tasks: to a temporary name, then renamed, so that a task that is run again does no harm.
+whose writer runs in the tasks: to a temporary name, then renamed, so that a task that is run again does no harm. Its paths
+go through pyarrow's file systems (file, hdfs, s3, gs). Files of note events are in `event_files`.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +21,24 @@ from millrace import schema
 from millrace.functions import text as tx
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and its path there."""
+    return fs.FileSystem.from_uri(path if re.match(r"\w[\w+.-]*://?", path) else os.path.abspath(path))
+
+
 def put(path: str, raw: bytes) -> None:
-    """Write a file on a mounted file system whole or not at all."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as f:
+    """Write a file whole or not at all."""
+    files, own = located(path)
+    files.create_dir(os.path.dirname(own), recursive=True)
+    part = f"{own}.{uuid.uuid4().hex}.part"
+    with files.open_output_stream(part) as f:
         f.write(raw)
-    os.replace(part, path)
+    files.move(part, own)
+
+
+def exists(path: str) -> bool:
+    files, own = located(path)
+    return files.get_file_info(own).type != fs.FileType.NotFound
 
 
 def caption_path(uri: Column, family: Column, suffix: str = "", override: Column | None = None) -> Column:
@@ -59,7 +74,7 @@ def write_files(files: DataFrame, *, overwrite: bool = True, write: Callable[[st
         for batch in batches:
             done = []
             for path, raw in zip(batch["path"], batch[body], strict=True):
-                new = raw is not None and (overwrite or not os.path.exists(path))
+                new = raw is not None and (overwrite or not exists(path))
                 if new:
                     write(path, raw.encode() if isinstance(raw, str) else bytes(raw))
                 done.append(new)
@@ -130,8 +145,3 @@ def write_notes(notes: DataFrame, path: str, separator: str = ",") -> None:
     """Notes as CSV or TSV, times with three decimals."""
     three = lambda c: F.format_string("%.3f", F.col(c)).alias(c)
     notes.select(three("onset"), three("offset"), "pitch").write.option("header", True).option("sep", separator).mode("overwrite").csv(path)
-
-
-def write_events(events: DataFrame, path: str) -> None:
-    """Events as JSON lines."""
-    events.write.mode("overwrite").json(path)
