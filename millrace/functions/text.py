@@ -196,3 +196,27 @@ def translation_prompt(text: Column, source: str, target: str, glossary: Column
     section = lambda title, c: F.when(F.coalesce(strip(c), F.lit("")) != "", F.concat(F.lit(f"[{title}]\n"), strip(c)))
     none = F.lit(None).cast("string")
     return F.concat_ws("\n\n", F.lit(f"Translate from {source} to {target}. Answer with the translation only."), section("Glossary", glossary if glossary is not None else none), section("Context", context if context is not None else none), section("Text", text))
+
+
+# What a formula's preamble is made of, and what tells that a text has formulas.
+PREAMBLE = r"(?i)\\documentclass\{[^}]+\}|\\usepackage\{[^}]+\}|\\usepackage\[[^\]]*\]\{[^}]+\}|\\begin\{document\}|\\end\{document\}"
+LATEX = r"(?s)\$\$.*?\$\$|\$[^$\n]+?\$|\\[a-zA-Z]+|\\\[.*?\\\]|\\\(.*?\\\)"
+
+
+def formula(c: Column) -> Column:
+    """A recognized formula as a Markdown block: delimiters of blocks are made $$ on lines of their own, a document's preamble
+    and backticks around it go. A text that has formulas inside, or none, stays."""
+    t = strip(F.coalesce(c, F.lit("")))
+    inner = strip(F.substring(t, F.lit(3), F.length(t) - 4))
+    block = lambda x: F.concat(F.lit("$$\n"), x, F.lit("\n$$"))
+    between = lambda a, b: F.startswith(t, F.lit(a)) & F.endswith(t, F.lit(b))
+    bare = F.when(F.contains(t, F.lit("usepackage")), F.regexp_replace(t, PREAMBLE, "")).otherwise(t)
+    bare = F.when(F.startswith(bare, F.lit("`")) & F.endswith(bare, F.lit("`")), F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+    out = F.when(between("$$", "$$"), F.when(F.contains(inner, F.lit("$")), t).otherwise(block(inner))).when(between("\\[", "\\]"), block(inner))
+    return out.when(F.regexp_like(t, F.lit(r"\\\[.*\\\]|\$[^$]+\$")) | ~F.regexp_like(t, F.lit(LATEX)), t).otherwise(block(bare))
+
+
+def recognized_text(c: Column) -> Column:
+    """A recognized text, stripped; an inline formula between backticks loses them."""
+    t = strip(F.coalesce(c, F.lit("")))
+    return F.when((F.left(t, F.lit(2)) == "`$") & (F.right(t, F.lit(2)) == "$`"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)

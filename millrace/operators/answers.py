@@ -51,15 +51,18 @@ def event_text(events: Column) -> Column:
     return F.array_join(F.transform(events, lambda e: F.concat(F.lit("<"), F.format_string("%.1f", e["start"]), F.lit(" - "), F.format_string("%.1f", e["end"]), F.lit("> "), e["text"])), "\n")
 
 
-def layout_markdown(cells: Column) -> Column:
-    """A page's cells (category, text), in order, as Markdown; page heads and feet and pictures without text go."""
+def layout_markdown(cells: Column, *, with_margins: bool = False, picture=None) -> Column:
+    """A page's cells (category, bbox, text), in order, as Markdown: formulas as blocks, other texts as they were recognized.
 
-    def one(c: Column) -> Column:
-        text, kind = tx.strip(c["text"]), c["category"]
-        formula = F.concat(F.lit("$$\n"), F.regexp_replace(text, r"^\$+|\$+$", ""), F.lit("\n$$"))
-        return F.when(kind == "Title", F.concat(F.lit("# "), text)).when(kind == "Section-header", F.concat(F.lit("## "), F.regexp_replace(text, "^#+ *", ""))).when(kind == "Formula", formula).when(kind == "List-item", F.concat(F.lit("- "), F.regexp_replace(text, r"^[-*•] *", ""))).otherwise(text)
+    Page heads and feet go unless `with_margins`. A picture with four corners becomes what `picture(cell, place)` gives: by
+    default a link to `picture_<place>.png`.
+    """
+    picture = picture or (lambda c, i: F.concat(F.lit("![](picture_"), i.cast("string"), F.lit(".png)")))
+    some = cells if with_margins else F.filter(cells, lambda c: ~F.coalesce(c["category"].isin("Page-header", "Page-footer"), F.lit(False)))
+
+    def one(c: Column, i: Column) -> Column:
+        return F.when((c["category"] == "Picture") & (F.size(c["bbox"]) == 4), picture(c, i)).when(c["category"] == "Formula", tx.formula(c["text"])).otherwise(tx.recognized_text(c["text"]))
 
-    some = F.filter(cells, lambda c: ~c["category"].isin("Page-header", "Page-footer") & (F.coalesce(tx.strip(c["text"]), F.lit("")) != ""))
     return F.array_join(F.transform(some, one), "\n\n")
 
 
@@ -131,8 +134,3 @@ def routed(jobs: DataFrame, providers: DataFrame) -> DataFrame:
     free = jobs.where(F.coalesce("route", F.lit("")) == "").withColumn("family", family("mime")).join(providers.withColumn("family", family("prefix")), "family").where(F.startswith("mime", F.col("prefix")))
     free = free.groupBy("id").agg(F.min_by("name", F.struct("priority", "name")).alias("provider"))
     return jobs.join(named.unionByName(free), "id", "left")
-
-
-def resolved_prompt(*levels: Column) -> Column:
-    """The most particular prompt that is set: levels from general to particular."""
-    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in reversed(levels)))

@@ -473,13 +473,6 @@ def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.image_names(read_table(spark, sf_dir, "pages").select("page_id", F.floor(page / 5).alias("doc"), name.alias("name")), "doc", "page_id", "name").select("page_id", "own_name")
 
 
-@query("""SELECT page_id, '# ' || page_id || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || '- item' || chr(10) || chr(10) || '$$' || chr(10) || 'x^2' || chr(10) || '$$' AS markdown FROM pages""")
-def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = lambda kind, text: F.struct(F.lit(kind).alias("category"), text.alias("text"))
-    cells = F.array(cell("Page-header", F.lit("head")), cell("Title", F.col("page_id").cast("string")), cell("Section-header", F.lit("## Part")), cell("Picture", F.lit(" ")), cell("List-item", F.lit("* item")), cell("Formula", F.lit("$x^2$")))
-    return read_table(spark, sf_dir, "pages").select("page_id", answers.layout_markdown(cells).alias("markdown"))
-
-
 @query("SELECT p_partkey, (p_size % 10)::DOUBLE AS light, 7.5 AS depth FROM part")
 def freeform_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("# Review\n1. **Light** "), (F.col("p_size") % 10).cast("string"), F.lit("\n2. Depth: 7.5/10\nplain words"))

@@ -10,10 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import media, timeline
+from millrace.operators import alignment, answers, media, prompts, timeline
 from millrace.plans.catalog import _BLOCKS_SQL, _CUES_SQL, _cues, query
 from millrace.session import materialize, read_table, remove, shared_dir
-from millrace.sources import event_files, ordered, pages
+from millrace.sources import event_files, ordered, pages, sinks
 
 #: At 1000 samples a second: frames of 32 samples every 8; 5 frames are a silence, 12 a part, 3 are kept.
 SILENCE = timeline.Silence(rate=1000, threshold=-30.0, min_length=100, min_interval=40, hop=8, max_kept=24)
@@ -87,3 +87,87 @@ def event_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(found)
     remove(spark, folder)
     return found
+
+
+#: The texts that stand around a part's name, by its key modulo their number: delimiters, preambles and plain texts.
+AROUND = (("$$ ", " $$"), ("\\[", "\\]"), ("", ""), ("\\frac{", "}{2}"), ("`\\alpha ", "`"), ("\\documentclass{article}\\usepackage[utf8]{inputenc}\\usepackage{amsmath}\\begin{document}", "\\end{document}"), ("so $x = ", "$ holds"), ("see \\[", "\\] there"), ("$$ a $", "$ b $$"), ("\\(", "\\)"), ("  ", " \n"), ("`$", "$`"), ("\\begin{a}\n", "\n\\end{a}"))
+
+
+def _layout_sql() -> str:
+    """The rule of formulas, stated over any text."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    around = "CASE p_partkey % {} {} END".format(len(AROUND), " ".join(f"WHEN {i} THEN {quoted(a)} || p_name || {quoted(b)}" for i, (a, b) in enumerate(AROUND)))
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""WITH t AS (SELECT p_partkey, p_name, {around} AS raw FROM part), s AS (SELECT *, trim(raw, {white}) AS t, trim(substr(trim(raw, {white}), 3, greatest(length(trim(raw, {white})) - 4, 0)), {white}) AS inner_text FROM t),
+p AS (SELECT *, CASE WHEN contains(t, 'usepackage') THEN regexp_replace(t, '(?i)\\documentclass\{{[^}}]+\}}|\\usepackage\{{[^}}]+\}}|\\usepackage\[[^\]]*\]\{{[^}}]+\}}|\\begin\{{document\}}|\\end\{{document\}}', '', 'g') ELSE t END AS bare FROM s),
+b AS (SELECT *, '$$' || chr(10) || CASE WHEN bare LIKE '`%`' THEN substr(bare, 2, length(bare) - 2) ELSE bare END || chr(10) || '$$' AS whole FROM p),
+f AS (SELECT *, CASE WHEN starts_with(t, '$$') AND suffix(t, '$$') THEN CASE WHEN contains(inner_text, '$') THEN t ELSE '$$' || chr(10) || inner_text || chr(10) || '$$' END WHEN starts_with(t, '\[') AND suffix(t, '\]') THEN '$$' || chr(10) || inner_text || chr(10) || '$$'
+  WHEN regexp_matches(t, '\\\[.*\\\]') OR regexp_matches(t, '\$[^$]+\$') OR NOT regexp_matches(t, '(?s)\$\$.*?\$\$|\\[a-zA-Z]+|\\\[.*?\\\]|\\\(.*?\\\)') THEN t ELSE whole END AS formula FROM b)
+SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || '![](picture_1.png)' || chr(10) || chr(10) || formula || chr(10) || chr(10) || CASE WHEN starts_with(t, '`$') AND suffix(t, '$`') THEN substr(t, 2, length(t) - 2) ELSE t END AS markdown FROM f"""
+
+
+@query(_layout_sql())
+def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages: each name is a title, a formula in one of the ways of `AROUND`, and the same as a text."""
+    n, cell = F.col("p_partkey"), lambda kind, text, box=None: F.struct(F.lit(kind).alias("category"), (F.array(*map(F.lit, box)) if box else F.lit(None)).cast("array<int>").alias("bbox"), text.alias("text"))
+    raw = F.element_at(F.array(*(F.concat(F.lit(a), "p_name", F.lit(b)) for a, b in AROUND)), F.pmod(n, F.lit(len(AROUND))).cast("int") + 1)
+    cells = F.array(cell("Page-header", F.lit("head")), cell("Title", F.concat(F.lit("# "), "p_name")), cell("Picture", F.lit(""), (0, 0, 5, 5)), cell("Formula", raw), cell("Text", raw), cell("Page-footer", F.lit("foot")))
+    return read_table(spark, sf_dir, "part").select("p_partkey", answers.layout_markdown(cells).alias("markdown"))
+
+
+#: layer, family, provider, template, field, rank, text; '' where a layer names nothing.
+RULES = (
+    ("base", "", "", "", "system", 0, "base system"), ("base", "", "", "", "user", 0, "base user"),
+    ("family", "image", "", "", "system", 0, "image system"), ("family", "image", "", "", "user", 0, "image user"), ("family", "video", "", "", "user", 0, "video user"), ("family", "audio", "", "", "system", 0, "audio system"), ("family", "text", "", "", "user", 0, "never"),
+    ("fallback", "image", "p1", "", "user", 0, "p1 fallback image"), ("fallback", "video", "p1", "", "user", 0, "p1 fallback video"), ("fallback", "audio", "p2", "", "system", 0, "p2 fallback audio"), ("fallback", "audio", "p3", "", "user", 0, "p3 fallback audio"),
+    ("provider", "image", "p0", "", "system", 0, "p0 image system"), ("provider", "image", "p0", "", "user", 0, "p0 image"), ("provider", "image", "p1", "", "user", 1, "p1 image by alias"), ("provider", "image", "p1", "", "user", 0, "p1 image"), ("provider", "image", "p2", "", "system", 2, "p2 image by alias"),
+    ("provider", "video", "p0", "", "user", 0, "p0 video"), ("provider", "video", "p2", "", "system", 0, "p2 video system"), ("provider", "video", "p3", "", "user", 0, "p3 video"), ("provider", "audio", "p0", "", "user", 0, "p0 audio"), ("provider", "audio", "p2", "", "user", 0, "p2 audio"), ("provider", "audio", "p4", "", "system", 0, "p4 audio system"),
+    ("template", "", "", "t1", "system", 0, "t1 system"), ("template", "", "", "t1", "user", 0, "t1 user"), ("template", "", "", "t2", "system", 0, "t2 system"), ("template", "", "", "t3", "user", 0, "t3 user"), ("template", "", "", "custom", "user", 0, "never"), ("template", "", "", "t2", "other", 0, "never"),
+    ("pair", "", "", "", "system", 1, "pair system by its other name"), ("pair", "", "", "", "user", 0, "pair user"),
+)
+TASK_TEMPLATES = {"change_a_to_b": "Turn every {a} into <b>; keep {a}.", "add_a_to_b": "put a onto b, an abacus stays", "sketch": "Sketch it."}
+
+
+def _prompts_sql() -> str:
+    rules = ", ".join("({})".format(", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r)) for r in RULES)
+    rule = lambda layer, field, on="true": f"(SELECT arg_min(text, rank) FROM r WHERE layer = '{layer}' AND field = '{field}' AND {on})"
+    same = "r.family = j.family AND r.provider = j.provider"
+    parts = lambda field: [("true", rule("base", field)), ("j.family <> ''", rule("family", field, "r.family = j.family")), ("j.family <> ''", rule("fallback", field, same)), ("j.family <> ''", rule("provider", field, same)), ("j.family = 'image'", rule("template", field, "r.template = j.template AND j.template <> 'custom'")), ("j.family = 'image' AND pair", rule("pair", field))]
+    layers = ", ".join(f"CASE WHEN {on} THEN {what} END AS {field[0]}{i}" for field in ("system", "user") for i, (on, what) in enumerate(parts(field)))
+    words = r"regexp_extract(task, '^\s*{0}\s+(.+?)\s+to\s+(.+?)\s*$', {1}, 'i')"
+    a, b, c, d = (words.format(verb, k) for verb in ("change", "add") for k in (1, 2))
+    return rf"""WITH r AS (SELECT * FROM (VALUES {rules}) v(layer, family, provider, template, field, rank, text)),
+j AS (SELECT doc_id, ['image', 'video', 'audio', ''][doc_id % 4 + 1] AS family, 'p' || doc_id % 5 AS provider, ['', 'custom', 't1', 't2', 't3', 'unknown', ''][doc_id % 7 + 1] AS template, doc_id % 3 = 0 AS pair, doc_id % 8 IN (4, 0) AND doc_id % 5 = 4 AS tasked,
+  ['change ' || lang || ' To ' || source, 'sketch', 'add ' || lang || ' to ' || source, 'paint ' || lang][doc_id // 4 % 4 + 1] AS task, CASE WHEN doc_id % 11 = 0 THEN '<' || source || '> ' ELSE '' END AS character FROM documents),
+l AS (SELECT j.*, {layers}, EXISTS (SELECT 1 FROM r WHERE layer = 'template' AND r.template = j.template AND j.template <> 'custom') AND j.family = 'image' AS templated FROM j)
+SELECT doc_id, coalesce(s5, s4, s3, s2, s1, s0, '') AS system, character || CASE WHEN tasked AND task IS NOT NULL THEN CASE WHEN regexp_matches(task, '^\s*change\s+(.+?)\s+to\s+(.+?)\s*$', 'i') THEN 'Turn every ' || {a} || ' into ' || {b} || '; keep ' || {a} || '.' WHEN regexp_matches(task, '^\s*add\s+(.+?)\s+to\s+(.+?)\s*$', 'i') THEN 'put ' || {c} || ' onto ' || {d} || ', an abacus stays'
+WHEN task = 'sketch' THEN 'Sketch it.' ELSE task END ELSE coalesce(u5, CASE WHEN templated THEN coalesce(u4, '') END, u3, u2, u1, u0, '') END AS "user" FROM l"""
+
+
+@query(_prompts_sql())
+def resolved_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as jobs of four families and five providers, against 30 rules."""
+    n, pick = F.col("doc_id"), lambda by, *values: F.element_at(F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values)), (by % len(values)).cast("int") + 1)
+    provider = F.concat(F.lit("p"), (n % 5).cast("string"))
+    words = lambda verb, between: F.concat(F.lit(verb), "lang", F.lit(between), "source")
+    jobs = read_table(spark, sf_dir, "documents").select("doc_id", pick(n, "image/png", "video/mp4", "audio/wav", "text/plain").alias("mime"), provider.alias("provider"), pick(n, "", "custom", "t1", "t2", "t3", "unknown", "").alias("template"), (n % 3 == 0).alias("pair"), pick(F.floor(n / 4), words("change ", " To "), "sketch", words("add ", " to "), F.concat(F.lit("paint "), "lang")).alias("task"), F.coalesce(F.when(n % 11 == 0, F.concat(F.lit("<"), "source", F.lit("> "))).otherwise("")).alias("character"))
+    rules = spark.createDataFrame(RULES, "layer string, family string, provider string, template string, field string, rank int, text string")
+    return prompts.resolved(jobs, rules, tasks=TASK_TEMPLATES, task_provider="p4").select("doc_id", "system", "user")
+
+
+@query("""SELECT '/out/' || source || '/' || doc_id || '_zh_CN.md' AS path, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents WHERE text IS NOT NULL AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
+def translated_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("file:/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("uris"), "text")
+    return sinks.translated_files(docs, "zh-CN", "/out/")
+
+
+@query("""WITH p AS (SELECT l_suppkey % 20 AS pair, count(*) AS points, count(*) FILTER (l_linenumber < 6) AS inliers FROM lineitem GROUP BY 1)
+SELECT pair, 'affine_partial' AS model, round(1 + pair / 10.0, 5)::DOUBLE AS a, round(pair / 50.0, 5)::DOUBLE AS b, (10.0 * pair)::DOUBLE AS x, (-3.0 * pair)::DOUBLE AS y, inliers, points FROM p""")
+def image_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as matched points of 20 pairs of images: prices and quantities turned, scaled and moved; those of lines 6 and 7 are false."""
+    pair, x, y = F.col("l_suppkey") % 20, F.col("l_extendedprice").cast("double") / 50, F.col("l_quantity").cast("double") * 20
+    a, b, false = 1 + pair / 10.0, pair / 50.0, F.col("l_linenumber") >= 6
+    u, v = a * x - b * y + 10.0 * pair + F.when(false, 4000 + 3 * y).otherwise(0), b * x + a * y - 3.0 * pair - F.when(false, 5000 + 2 * x).otherwise(0)
+    found = alignment.aligned(read_table(spark, sf_dir, "lineitem").select(pair.alias("pair"), x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v")), "pair")
+    at = lambda i: F.round(F.col("matrix")[i], 5) + 0.0  # noqa: E731  (no negative zero)
+    return found.select("pair", "model", at(0).alias("a"), at(3).alias("b"), at(2).alias("x"), at(5).alias("y"), "inliers", "points")

@@ -53,6 +53,18 @@ def translate(rows: DataFrame, translator: Callable[[], Callable[[str, str], str
     return whole.select("uris", F.array_join(F.transform("rows", lambda r: r["text"]), "").alias("text"))
 
 
-def merge_translations(data: Dataset, translations: DataFrame, tag: str) -> int | None:
-    """A keyed update of the captions."""
-    return data.update(translations.select("uris", F.array("text").alias("captions")), "uris", tag)
+def merge_translations(data: Dataset, translations: DataFrame, tag: str, *, saved: DataFrame | None = None, most: int = 2000) -> int | None:
+    """A keyed update of the captions, and of the ends of their chunks where the dataset has such a column.
+
+    translations: uris, text. An asset whose translation is blank takes the one saved before (uris, text), if any; what is
+    blank in both stays untranslated.
+    """
+    text = F.when(tx.strip(F.coalesce("text", F.lit(""))) != "", F.col("text"))
+    rows = translations.select("uris", text.alias("text"))
+    if saved is not None:
+        old = saved.select("uris", F.col("text").alias("old"))
+        rows = rows.join(old, "uris", "full").select("uris", F.coalesce("text", F.when(tx.strip(F.coalesce("old", F.lit(""))) != "", F.col("old"))).alias("text"))
+    rows, values = rows.where("text is not null"), [F.array("text").alias("captions")]
+    if "chunk_offsets" in data.read().columns:
+        values.append(df.column(lambda t: df.chunk_offsets(t, most), "array<int>")("text").alias("chunk_offsets"))
+    return data.update(rows.select("uris", *values), "uris", tag)

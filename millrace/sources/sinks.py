@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace import schema
 from millrace.functions import text as tx
+from millrace.sources.versions import tag_part
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -61,6 +62,17 @@ def caption_files(assets: DataFrame, families: tuple[str, ...] = ("image", "anim
     return texts.unionByName(twins.select(F.regexp_replace("path", r"\.[^./\\]*$", ".json").alias("path"), F.element_at("objects", -1).alias("body")))
 
 
+def translated_files(assets: DataFrame, language: str, root: str | None = None) -> DataFrame:
+    """(path, body) of translated Markdown: beside its asset (uris, text), or at the same place under `root`, named by language.
+
+    Blank translations have no file.
+    """
+    rows = assets.where(tx.strip(F.coalesce("text", F.lit(""))) != "")
+    base = F.col("uris") if root is None else F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("uris", r"^(?:\w[\w+.-]*:)?[/\\]*", ""))
+    suffix = F.concat(F.lit("_"), F.replace(tag_part(F.lit(language)), F.lit("-"), F.lit("_")), F.lit(".md"))
+    return rows.select(F.concat(F.regexp_replace(base, r"(?<=[^/\\])\.[^./\\]*$", ""), suffix).alias("path"), tx.caption_body(F.lit(".md"), F.array("text")).alias("body"))
+
+
 def safe_under(base: str, name: Column) -> Column:
     """A child of `base` by the leaf of an untrusted name."""
     return F.concat(F.lit(base.rstrip("/") + "/"), tx.leaf_name(name))

@@ -1,22 +1,25 @@
 """A versioned dataset on plain Parquet: a folder for each version, small tables of versions and tags.
 
-Each commit writes its data to a folder of its own below `root/data` and then claims the next number by creating
-`root/log/<number>.json`, which a file system lets only one writer do; `root/tags` has a row for each time a tag was
-set, so the last row counts. All paths go through Hadoop, so any of its file systems serves.
+Each commit writes its data to a folder of its own below `root/data` and then claims the next number: `root/log/<number>.json`
+is written under another name, whole, and then put in place, which only one writer can do: by a hard link on this machine's
+file systems, elsewhere by a rename that fails where the name is taken. That holds for file systems whose rename is atomic
+(HDFS, ABFS, mounted disks), not for object stores without one (S3). `root/tags` has a row for each time a tag was set, so the
+last row counts. All paths go through Hadoop.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
-from datetime import datetime
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import remove
+
 PIECE = r"[^0-9A-Za-z._-]+"
 
 
@@ -98,7 +101,11 @@ class Dataset:
             raise FileExistsError(self.root)
         folder = uuid.uuid4().hex
         frame.write.parquet(f"{self.root}/data/{folder}")
-        version = self._claim(version if after is None else after + 1, operation, folder, wait=operation != "create" and after is None)
+        try:
+            version = self._claim(version if after is None else after + 1, operation, folder, wait=operation != "create" and after is None)
+        except FileExistsError:
+            remove(self.spark, f"{self.root}/data/{folder}")
+            raise
         if tag:
             self.tag(tag, version)
         return version
@@ -106,18 +113,34 @@ class Dataset:
     def _claim(self, version: int, operation: str, folder: str, *, wait: bool) -> int:
         while True:
             path = self._path(f"log/{version:012d}.json")
-            try:
-                out = self._files(path).create(path, False)
-            except Py4JJavaError as e:
-                if not self._files(path).exists(path):
-                    raise
-                if not wait:
-                    raise FileExistsError(f"version {version} of {self.root} was committed by another writer") from e
-                version += 1
-                continue
-            out.write(bytearray(json.dumps({"version": version, "operation": operation, "folder": folder}).encode()))
-            out.close()
-            return version
+            if self._put_new(path, json.dumps({"version": version, "operation": operation, "folder": folder}).encode()):
+                return version
+            if not wait:
+                raise FileExistsError(f"version {version} of {self.root} was committed by another writer")
+            version += 1
+
+    def _put_new(self, path, raw: bytes) -> bool:
+        """Put a whole file where none is; False where there is one."""
+        jvm, files = self.spark._jvm, self._files(path)
+        part = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}.part")
+        out = files.create(part, False)
+        out.write(bytearray(raw))
+        out.close()
+        try:
+            if files.getScheme() == "file":
+                local = lambda p: jvm.java.io.File(files.makeQualified(p).toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(local(path), local(part))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(files.makeQualified(part), files.makeQualified(path), none)
+            return True
+        except Py4JJavaError:
+            if files.exists(path):
+                return False
+            raise
+        finally:
+            files.delete(part, False)
 
     def update(self, updates: DataFrame, key: str, tag: str | None = None) -> int | None:
         """Keyed update, see `updated`; without updates no version is made."""
@@ -173,10 +196,6 @@ def updated(table: DataFrame, updates: DataFrame, key: str, owned: dict[str, str
     return joined.select(*(F.when(own(c), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns))
 
 
-def stamp(now: datetime) -> str:
-    return now.strftime("%Y%m%d_%H%M%S")
-
-
 def newest(frame: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in an order: last-wins and first-seen dedups."""
     row = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -198,3 +217,23 @@ def find(spark: SparkSession, folder: str, name: str | None = None) -> Dataset |
     if there:
         raise ValueError(f"several datasets in {folder}: {sorted(there)}")
     return None
+
+
+def load_or_create(spark: SparkSession, folder: str, name: str, import_rows: Callable[[], DataFrame], *, tag: str | None = None, force: bool = False) -> tuple[Dataset, bool]:
+    """The dataset of a folder, and whether this call made its first version or, with `force`, a new one.
+
+    The folder itself, the dataset called `name` or its only one is taken as it is; several without that name are an error.
+    Else, or with `force`, what `import_rows()` gives is committed. Of callers that import at once one makes the first
+    version, and the others get that: their own rows are removed.
+    """
+    if not force and (found := find(spark, folder, name)):
+        return found, False
+    data = Dataset(spark, f"{folder.rstrip('/')}/{name}")
+    if force:
+        data.write(import_rows(), "overwrite", tag)
+        return data, True
+    try:
+        data.write(import_rows(), "create", tag)
+    except FileExistsError:
+        return data, False
+    return data, True
