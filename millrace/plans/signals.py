@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.operators import alignment, answers, media, prompts, timeline
 from millrace.plans.catalog import _BLOCKS_SQL, _CUES_SQL, _cues, query
 from millrace.session import materialize, read_table, remove, shared_dir
-from millrace.sources import event_files, ordered, pages, sinks
+from millrace.sources import assets, event_files, ordered, pages, sinks
 
 #: At 1000 samples a second: frames of 32 samples every 8; 5 frames are a silence, 12 a part, 3 are kept.
 SILENCE = timeline.Silence(rate=1000, threshold=-30.0, min_length=100, min_interval=40, hop=8, max_kept=24)
@@ -171,3 +171,29 @@ def image_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.aligned(read_table(spark, sf_dir, "lineitem").select(pair.alias("pair"), x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v")), "pair")
     at = lambda i: F.round(F.col("matrix")[i], 5) + 0.0  # noqa: E731  (no negative zero)
     return found.select("pair", "model", at(0).alias("a"), at(3).alias("b"), at(2).alias("x"), at(5).alias("y"), "inliers", "points")
+
+
+def _waves(batches):
+    """Rows (path, rate, values) as 16-bit WAVE files."""
+    import struct
+
+    import pandas as pd
+
+    for batch in batches:
+        raw = []
+        for rate, values in zip(batch["rate"], batch["values"], strict=True):
+            data = struct.pack(f"<{len(values)}h", *(int(32767 * max(-1.0, min(1.0, x))) for x in values))
+            raw.append(b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(data)) + data)
+        yield pd.DataFrame({"path": batch["path"], "content": raw})
+
+
+@query("SELECT vec_id, 'audio/x-wav' AS mime, 0 AS width, 1 AS channels, 16 AS depth, (44 + 2 * len(embedding))::BIGINT AS size, floor(1000.0 * len(embedding) / (100 + coalesce(label, 0)))::DOUBLE AS duration, len(embedding)::INT AS num_frames, (100 + coalesce(label, 0))::DOUBLE AS frame_rate FROM embeddings")
+def imported_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is written as a WAVE file whose rate is 100 and its label, and imported as an asset."""
+    folder = f"{shared_dir(spark)}/waves-{uuid.uuid4().hex}"
+    rows = read_table(spark, sf_dir, "embeddings").select(F.concat(F.lit(f"{folder}/"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), (100 + F.coalesce("label", F.lit(0))).alias("rate"), F.col("embedding").alias("values"))
+    sinks.write_files(rows.mapInPandas(_waves, "path string, content binary")).write.format("noop").mode("overwrite").save()
+    found = assets.import_media(assets.walk(spark, folder, content=True))
+    found = materialize(found.select(F.regexp_extract("uris", r"(\d+)\.wav$", 1).cast("long").alias("vec_id"), "mime", "width", "channels", "depth", "size", F.col("duration").cast("double").alias("duration"), "num_frames", F.col("frame_rate").cast("double").alias("frame_rate")))
+    remove(spark, folder)
+    return found

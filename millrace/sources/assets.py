@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import schema
+from millrace.sources import media_heads
 
 #: Sidecars in the order in which they are looked for.
 SIDECARS = (".txt", ".md", ".srt")
@@ -80,24 +81,11 @@ def probe_media(files: DataFrame, probe) -> DataFrame:
     return files.select("path", "content").mapInPandas(lambda it: _probed(it, probe), kind)
 
 
-def png_size(path: str, raw: bytes) -> tuple | None:
-    """A probe for PNG files, by their header."""
-    if raw[:8] != b"\x89PNG\r\n\x1a\n" or len(raw) < 29:
-        return None
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(raw[25])
-    return n and (int.from_bytes(raw[16:20], "big"), int.from_bytes(raw[20:24], "big"), n, raw[24], 0, 1, 0.0)
-
-
-def wav_length(path: str, raw: bytes) -> tuple | None:
-    """A probe for PCM WAVE files."""
-    import io
-    import wave
-
-    try:
-        with wave.open(io.BytesIO(raw)) as w:
-            return 0, 0, w.getnchannels(), 8 * w.getsampwidth(), 1000 * w.getnframes() // max(w.getframerate(), 1), w.getnframes(), float(w.getframerate())
-    except (wave.Error, EOFError):
-        return None
+def import_media(files: DataFrame) -> DataFrame:
+    """Asset rows of images, audio and video (path, size, content), by their heads; what cannot be read has none."""
+    found = media_heads.probed(files.select("path", "size"))
+    rows = files.select("path", "size", F.sha2("content", 256).alias("hash"), mime_type(F.col("path")).alias("mime")).join(found, "path")
+    return schema.with_defaults(schema.conform(rows.withColumnRenamed("path", "uris")))
 
 
 def numbered_extras(paths: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Versions, keyed updates, sources, sinks, streams and workflows."""
 
+import hashlib
 import random
 
 import pytest
@@ -101,10 +102,15 @@ def test_media_probe(spark, tmp_path):
         w.setparams((2, 2, 8000, 0, "NONE", ""))
         w.writeframes(b"\0" * 4 * 12_000)
     files = assets.walk(spark, f"file://{tmp_path}", content=True)
-    (png,) = assets.probe_media(files.where("path like '%.png'"), assets.png_size).collect()
-    assert (png["width"], png["height"], png["channels"], png["depth"]) == (640, 480, 4, 8)
-    (wav,) = assets.probe_media(files.where("path like '%.wav'"), assets.wav_length).collect()
-    assert (wav["duration"], wav["channels"], wav["num_frames"], wav["frame_rate"]) == (1500, 2, 12_000, 8000.0)
+    rows = {r["uris"].rsplit("/", 1)[1]: r for r in assets.import_media(files).collect()}
+    assert set(rows) == {"a.png", "c.wav"}
+    png, wav = rows["a.png"], rows["c.wav"]
+    assert (png["width"], png["height"], png["channels"], png["depth"], png["mime"], png["has_audio"]) == (640, 480, 4, 8, "image/png", False)
+    assert (wav["duration"], wav["channels"], wav["num_frames"], wav["frame_rate"], wav["has_audio"], wav["size"]) == (1500, 2, 12_000, 8000.0, True, 48_044)
+    assert wav["hash"] == hashlib.sha256((tmp_path / "c.wav").read_bytes()).hexdigest()
+    plugin = lambda path, raw: (len(raw), 1, 1, 8, 0, 1, 0.0) if path.endswith("b.png") else None
+    (own,) = assets.probe_media(files, plugin).collect()
+    assert own["width"] == 6
 
 
 def test_vocabularies(spark, tmp_path):
