@@ -4,10 +4,10 @@ Every document gives the hashes of all its word pairs with their positions; temp
 of the two on the hash yields votes, summed by diagonal (position in the document less position in the
 template). A phrase stands where all its pairs vote for one diagonal. For longer templates neighbouring
 diagonals are merged, which bridges inserted and left-out words, and the merged span is verified by its words:
-it must hold `MIN_PAIRS` of the template's pairs and `MIN_WORDS` of its words, each counted once however often it
-stands there, over a stretch of at most twice the template's length; and of the words that tell the template from
+it must hold `MIN_PAIRS` of the template's pairs, and the template's words that it holds, each counted once however often
+it stands there, must be `MIN_WORDS` of the template's and of its own, so inserted words count against it; and of the words that tell the template from
 those that it resembles, one at least. Of overlapping spans of different labels the best stays: the one with the
-larger share of its template's pairs, then the longer, then the earlier template. A score is the share of its words.
+larger share of its template's pairs, then the longer, then the earlier template. A score is that share of words.
 
 Templates are a parameter; those of up to `MOST_TEMPLATE_WORDS` words together are broadcast, beyond that they are
 shuffled. One scan: a document also emits one header row, which passes the join by a key of its own, so that
@@ -36,19 +36,42 @@ from millrace.session import in_batches
 PAIR, MIN_PAIRS, MIN_WORDS, NEIGHBOURS, MOST_TEMPLATE_WORDS = 2, 0.6, 0.75, 3, 100_000
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+# Public license texts and notices, and their labels.
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+WARRANTY = "AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
+MIT_WHOLE = f"""{MIT} (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED {WARRANTY}. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+BSD_TWO = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+GNU = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation"
+APACHE = """Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"""
+APACHE_WHOLE = f"""{APACHE}. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+APACHE_GRANT = """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to
+reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"""
+CREATIVE = {"cc-by": "Attribution", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nd": "Attribution-NoDerivatives", "cc-by-nc": "Attribution-NonCommercial", "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike", "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+SPDX = {
+    "mit": "MIT", "apache": "Apache-2.0", "isc": "ISC", "0bsd": "0BSD", "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause", "gpl": "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later", "lgpl": "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later",
+    "agpl": "AGPL-3.0-only AGPL-3.0-or-later", "mpl": "MPL-2.0", "epl": "EPL-1.0 EPL-2.0", "unlicense": "Unlicense", "cc0": "CC0-1.0", **{k: f"{k.upper()}-4.0" for k in CREATIVE},
+}
 TEMPLATES = (
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "apache"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
-    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl"),
-    ("Licensed under CC BY 4.0", "cc-by"),
-    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
-    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
-    ("This is free and unencumbered software released into the public domain", "unlicense"),
-)
+    (MIT, "mit"), (MIT_WHOLE, "mit"), (APACHE, "apache"), (APACHE_WHOLE, "apache"), (APACHE_GRANT, "apache"),
+    (f"{ISC}, provided that the above copyright notice and this permission notice appear in all copies.", "isc"), (f"{ISC}. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES", "0bsd"),
+    (BSD, "bsd"), (f"{BSD}: 1. {BSD_TWO} {BSD_DISCLAIMER}", "bsd-2-clause"), (f"{BSD}: 1. {BSD_TWO} {BSD_THIRD} {BSD_DISCLAIMER}", "bsd-3-clause"),
+    (GNU.format(""), "gpl"), (GNU.format("Lesser"), "lgpl"), (GNU.format("Library"), "lgpl"), (GNU.format("Affero"), "agpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl"), ("This program and the accompanying materials are made available under the terms of the Eclipse Public License", "epl"),
+    ("This is free and unencumbered software released into the public domain", "unlicense"), ("the person who associated a work with this deed has dedicated the work to the public domain", "cc0"),
+    *((f"Licensed under {k.upper().replace('CC-', 'CC ')} 4.0", k) for k in CREATIVE),
+    *((f"This work is licensed under a Creative Commons {name} 4.0 International License", k) for k, name in CREATIVE.items()),
+    *((f"SPDX-License-Identifier: {name}", k) for k, names in SPDX.items() for name in names.split()),
+)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -117,8 +140,8 @@ def scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     spans = summed.withColumn("apart", apart).withColumn("span", F.sum("apart").over(row.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy(*by, "span").agg(F.min("begin").alias("begin"), (F.max("end") + PAIR).alias("end"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.bool_or("tells").alias("tells"), F.first("doc_id", ignorenulls=True).alias("doc_id"))
     held = F.size(F.array_union("places", F.transform("places", lambda p: p + 1)))
-    spans = spans.withColumn("share", F.when(F.col("base"), 1.0).otherwise(held / (F.col("pairs") + 1)))
-    verified = (F.size("places") >= MIN_PAIRS * F.col("pairs")) & (F.col("share") >= MIN_WORDS) & (F.col("end") - F.col("begin") <= 2 * (F.col("pairs") + 1)) & (F.col("tells") | ~F.col("needs"))
+    spans = spans.withColumn("share", F.when(F.col("base"), 1.0).otherwise(held / F.greatest(F.col("pairs") + 1, F.col("end") - F.col("begin"))))
+    verified = (F.size("places") >= MIN_PAIRS * F.col("pairs")) & (F.col("share") >= MIN_WORDS) & (F.col("tells") | ~F.col("needs"))
 
     header, base = F.col("header"), F.col("base") & ~F.col("header")
     place = F.when(base, F.col("begin"))

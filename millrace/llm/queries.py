@@ -145,7 +145,7 @@ d AS (SELECT DISTINCT row, template, diagonal FROM v WHERE CASE WHEN base THEN v
 g AS (SELECT *, lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) AS before FROM d),
 n AS (SELECT *, sum(CASE WHEN diagonal - before <= {licenses.NEIGHBOURS} THEN 0 ELSE 1 END) OVER (PARTITION BY row, template ORDER BY diagonal) AS island FROM g),
 s AS (SELECT row, template, label, base, words, CASE WHEN base THEN diagonal ELSE island END AS span, min(place) AS first, max(place) + 2 AS until, count(DISTINCT i) AS pairs, bool_or(tells) AS tells, list_distinct(list_concat(list(i), list(i + 1))) AS held FROM v JOIN n USING (row, template, diagonal) GROUP BY ALL),
-o AS (SELECT row, template, label, words, first, until, len(held) / words AS share, pairs / (words - 1) AS close FROM s WHERE NOT base AND pairs >= {licenses.MIN_PAIRS} * (words - 1) AND len(held) >= {licenses.MIN_WORDS} * words AND until - first <= 2 * words AND (tells OR template NOT IN ({", ".join(needs)}))),
+o AS (SELECT row, template, label, words, first, until, len(held) / greatest(words, until - first) AS share, pairs / (words - 1) AS close FROM s WHERE NOT base AND pairs >= {licenses.MIN_PAIRS} * (words - 1) AND len(held) >= {licenses.MIN_WORDS} * greatest(words, until - first) AND (tells OR template NOT IN ({", ".join(needs)}))),
 k AS (SELECT row, label, share FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.row = x.row AND y.label <> x.label AND y.first < x.until AND x.first < y.until AND (y.close > x.close OR y.close = x.close AND (y.words > x.words OR y.words = x.words AND y.template < x.template)))),
 b AS (SELECT row, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, list_distinct(list(label)) AS base_labels FROM s WHERE base GROUP BY row),
 l AS (SELECT row, list_distinct(list(label)) AS labels, max(share) AS score FROM (SELECT row, label, share FROM k UNION ALL SELECT row, label, 1.0 FROM s WHERE base) GROUP BY row)

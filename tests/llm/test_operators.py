@@ -491,7 +491,7 @@ def test_licenses(spark, docs):
     for r in rows:
         assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     assert licenses.scan(empty(docs)).count() == 0
-    text = "x " * 50 + licenses.TEMPLATES[4][0].replace("binary forms", "any binary forms").replace("with or without", "with")
+    text = "x " * 50 + licenses.BSD.replace("binary forms", "any binary forms").replace("with or without", "with")
     (row,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert row["labels"] == "bsd" and row["base_labels"] == "" and 0.6 <= row["score"] < 1
 
