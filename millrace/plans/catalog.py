@@ -368,32 +368,59 @@ def text_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", made.alias("markdown"), tx.finalize(made).alias("final"))
 
 
-@query("SELECT doc_id, length(text) AS chars, 1 AS whole FROM documents")
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS t FROM documents WHERE text <> ''),
+x AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]+(?:\n[^\n]+)*\n*') AS x FROM d),
+b AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS k, unnest(list_transform(x, lambda v, i: list_sum(list_transform(x[1:i], lambda w: length(w))) - length(v)))::BIGINT AS lo, unnest(x) AS v FROM x),
+f AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS s, 0::BIGINT AS cut FROM d UNION ALL
+  SELECT f.doc_id, b.k, CASE WHEN length(v) > 500 THEN lo + length(v) WHEN lo + length(v) - s > 500 AND lo > s THEN lo ELSE s END, CASE WHEN length(v) > 500 OR lo + length(v) - s > 500 AND lo > s THEN lo ELSE 0 END
+  FROM f JOIN b ON b.doc_id = f.doc_id AND b.k = f.k + 1),
+m AS (SELECT doc_id, lo, regexp_extract_all(v, '(?s).*?(?:[。！？.!?]+["'')\]]*(?:\s+|$)|$)') AS m FROM b WHERE length(v) > 500),
+n AS (SELECT doc_id, lo + unnest(list_transform(m, lambda v, i: list_sum(list_transform(m[1:i], lambda w: length(w))) - length(v)))::BIGINT AS a, unnest(m) AS v FROM m),
+p AS (SELECT doc_id, a, v, length(v) <= 500 AS whole FROM n WHERE v <> '' UNION ALL
+  SELECT doc_id, a + j, substring(v, j + 1), false FROM (SELECT *, CASE WHEN nl >= 252 THEN nl WHEN length(v) > 500 AND sp >= 252 THEN sp ELSE least(500, length(v)) END AS j
+    FROM (SELECT *, coalesce(500 - nullif(strpos(reverse(rpad(left(v, 500), 500, 'x')), chr(10)), 0) + 1, 0) AS nl, coalesce(500 - nullif(strpos(reverse(rpad(left(v, 500), 500, 'x')), ' '), 0) + 1, 0) AS sp FROM p WHERE NOT whole AND v <> '')) WHERE j < length(v)),
+c AS (SELECT doc_id, cut AS e FROM f UNION SELECT doc_id, a FROM p UNION SELECT doc_id, a + length(v) FROM n UNION SELECT doc_id, length(t) FROM d),
+g AS (SELECT doc_id, lag(e) OVER (PARTITION BY doc_id ORDER BY e) AS e0, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS k FROM c)
+SELECT g.doc_id, (k - 2)::INT AS place, substring(t, e0 + 1, e - e0) AS chunk FROM g JOIN d USING (doc_id) WHERE k > 1""")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of at most 500 characters: their lengths add up to the text's, and together they are the text."""
+    """Chunks of at most 500 characters: whole paragraphs (in every second text each line is one), or parts of long ones."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
     ends = docs_functions.column(lambda t: docs_functions.chunk_offsets(t, 500), "array<int>")
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", docs_functions.sliced("text", ends("text")).alias("chunks"))
-    chars = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.length(c))
-    return rows.select("doc_id", chars.alias("chars"), (F.array_join("chunks", "") == F.col("text")).cast("int").alias("whole"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    return rows.select("doc_id", F.posexplode(docs_functions.sliced("t", ends("t"))).alias("place", "chunk"))
 
 
-@query("SELECT page_id, url, TRUE AS same FROM pages")
+@query(r"""WITH t AS (SELECT page_id, coalesce(html, '') || ' see `' || page_id || ' and` ' || url || ' or C:\data\' || page_id || ')' AS t FROM pages),
+x AS (SELECT page_id, t, regexp_split_to_array(t, p) AS x, regexp_extract_all(t, p) AS held FROM t, (SELECT '`[^`\n]+`|(?:https?://|\\\\|\.\.?/|/|[A-Za-z]:\\)[^\s)>\]]+' AS p))
+SELECT page_id, array_to_string(list_transform(x, lambda v, i: v || CASE WHEN i < len(x) THEN '__QLP_' || (i - 1) || '__' ELSE '' END), '') AS bare, array_to_string(held, chr(10)) AS held, t AS restored FROM x""")
 def text_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is protected comes back: a round trip over urls."""
-    trip = docs_functions.column(lambda t: docs_functions.restore(*docs_functions.protect(t)), "string")
-    held = docs_functions.column(lambda t: docs_functions.protect(t)[0], "string")
-    pages = read_table(spark, sf_dir, "pages").withColumn("t", F.concat(F.lit("see "), "url", F.lit(" and `code`.")))
-    return pages.select("page_id", "url", ((trip("t") == F.col("t")) & ~F.contains(held("t"), F.col("url"))).alias("same"))
+    """Code, urls and paths of pages as placeholders, what is held, and the text with all of it back."""
 
+    def trip(text: str) -> list[str]:
+        bare, held = docs_functions.protect(text)
+        return [bare, "\n".join(held), docs_functions.restore(bare, held)]
 
-@query()
+    page = F.col("page_id").cast("string")
+    text = F.concat(F.coalesce("html", F.lit("")), F.lit(" see `"), page, F.lit(" and` "), "url", F.lit(" or C:\\data\\"), page, F.lit(")"))
+    made = read_table(spark, sf_dir, "pages").select("page_id", docs_functions.column(trip, "array<string>")(text).alias("x"))
+    return made.select("page_id", F.col("x")[0].alias("bare"), F.col("x")[1].alias("held"), F.col("x")[2].alias("restored"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || repeat('1' || chr(10), 300) ELSE text || repeat(left(text, 1 + doc_id % 60), 4 + doc_id % 40) || left(text, doc_id % 3) END AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+e AS (SELECT doc_id, t, length(t) AS n, right(t, 1000) AS e FROM t WHERE length(t) >= 500),
+p AS (SELECT doc_id, min(p) AS p FROM (SELECT doc_id, p, greatest(100, 5 * p) AS l, e FROM e, range(1, 201) AS r(p)) WHERE l <= length(e) AND right(e, l - p) = left(right(e, l), l - p) GROUP BY doc_id),
+s AS (SELECT doc_id, t, n, p, string_split(t, '') AS c FROM e JOIN p USING (doc_id)),
+z AS (SELECT doc_id, t, n, p, coalesce(list_position(list_transform(range(n - p, 0, -1), lambda i: c[i] <> c[i + p]), true) - 1, n - p) + p AS z FROM s)
+SELECT t.doc_id, CASE WHEN z IS NULL THEN t.t WHEN substring(t.t, n - z + 1, p) IN (chr(10) || '1', '1' || chr(10)) THEN regexp_replace(left(t.t, n - z), '\s+$', '') ELSE left(t.t, n - z + p) || right(t.t, z % p) END AS kept FROM t LEFT JOIN z ON z.doc_id = t.doc_id""")
 def text_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose repeated end is collapsed."""
+    """Texts that end as a model's loop does, with their own first characters or numbered lines over and over, collapsed."""
+    looped = F.expr("concat(text, repeat(left(text, int(1 + doc_id % 60)), int(4 + doc_id % 40)), left(text, int(doc_id % 3)))")
+    text = F.when(F.col("doc_id") % 5 == 0, F.col("text")).when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("\n" + "1\n" * 300))).otherwise(looped)
     cut = docs_functions.column(lambda t: docs_functions.collapse_tail(t, least=500), "string")
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("before"), F.length(cut("text")).alias("after"))
+    return read_table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", cut(text).alias("kept"))
 
 
-@query()
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(list_reduce([['</p>', chr(1)], ['"', '&quot;'], ['·', '&middot;'], ['©', '&copy;'], ['&', '&amp;']], lambda t, e: [replace(t[1], e[2], e[1])], [regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(<script>[^<]*)</p>([^<]*</script>)', '\1' || chr(1) || '\2', 'g'), '<(?:!--.*?--|!DOCTYPE html)>', '', 'g'), '<(?:br|/?(?:span|div|p|section|article|main|body|html))(?: [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')])[1], '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM pages""")
 def pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = docs_functions.column(docs_functions.html_to_markdown, "string")
     return read_table(spark, sf_dir, "pages").select("page_id", made("html").alias("markdown"))
