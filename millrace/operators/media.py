@@ -96,18 +96,31 @@ def bucket(score: Column, thresholds: list[float]) -> Column:
     return F.coalesce(F.try_element_at(F.filter(ordered, lambda t: score <= t), F.lit(1)), F.element_at(ordered, -1))
 
 
-def nearest(points: DataFrame, marks: DataFrame, by: str, at: str, mark: str) -> DataFrame:
+def nearest(points: DataFrame, marks: DataFrame, by: str, at: str, mark: str, width: int = 600_000) -> DataFrame:
     """`points` (by, at) with the nearest of the `marks` (by, mark) of its group; of equals the earlier.
 
-    A union swept both ways in order of time: the last mark before and the first one after are the candidates, so
-    rows go through two window passes and are never paired with all marks.
+    Time is cut into ranges of `width`, so that a group with many rows is swept by as many tasks as it has ranges. A
+    range takes along the last mark before it and the first one after it; only one row a range is looked at to find
+    them. Within a range two sweeps in order of time give the marks on both sides, so rows are never paired with all
+    marks. A point without a time gets its group's first mark, one of a group without marks none.
     """
-    both = points.select(by, F.col(at).alias("t"), F.struct(*points.columns).alias("row"), F.lit(None).cast(marks.schema[mark].dataType).alias("m")).unionByName(
-        marks.select(by, F.col(mark).alias("t"), F.lit(None).cast(points.select(F.struct(*points.columns).alias("r")).schema["r"].dataType).alias("row"), F.col(mark).alias("m")))
-    order = Window.partitionBy(by).orderBy("t", F.col("m").isNull())
-    down = F.last("m", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    up = F.first("m", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("down", down).withColumn("up", up).where("row is not null")
+    none = lambda df, c: F.lit(None).cast(df.select(c).schema[0].dataType)
+    row = F.struct(*points.columns).alias("row")
+    own = points.select(by, F.col(at).alias("t"), row, none(marks, mark).alias("m"))
+    theirs = marks.select(by, F.col(mark).alias("t"), none(points, row).alias("row"), F.col(mark).alias("m")).where("m is not null")
+    both = own.unionByName(theirs).withColumn("range", F.floor(F.col("t") / width))
+
+    ends = both.groupBy(by, "range").agg(F.min("m").alias("low"), F.max("m").alias("high"))
+    ranges = Window.partitionBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("high", ignorenulls=True).over(ranges.orderBy("range")).alias("before")
+    after = F.last("low", ignorenulls=True).over(ranges.orderBy(F.desc("range"))).alias("after")
+    edges = ends.select(by, "range", before, after).select(by, "range", F.explode(F.array("before", "after")).alias("m")).where("m is not null")
+    both = both.unionByName(edges.select(by, F.col("m").alias("t"), none(points, row).alias("row"), "m", "range"))
+
+    sweep = Window.partitionBy(by, "range").rowsBetween(Window.unboundedPreceding, 0)
+    down = F.last("m", ignorenulls=True).over(sweep.orderBy("t", F.col("m").isNull())).alias("down")
+    up = F.last("m", ignorenulls=True).over(sweep.orderBy(F.desc("t"), F.col("m").isNull())).alias("up")
+    found = both.select("row", "t", down, up).where("row is not null")
     near = F.when(F.col("down").isNull(), F.col("up")).when(F.col("up").isNull() | (F.col("t") - F.col("down") <= F.col("up") - F.col("t")), F.col("down")).otherwise(F.col("up"))
     return found.select(*(F.col(f"row.{c}").alias(c) for c in points.columns), near.alias("nearest"))
 

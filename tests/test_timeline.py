@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 import pytest
 
-from millrace.operators import timeline
+from millrace.operators import media, timeline
 from millrace.plans import catalog, signals
 
 
@@ -153,3 +153,14 @@ def test_coherent_subtitles_query(spark, small):
         want += [(user, *c) for c in plain_cues([(i, end - 3000, end) for i, (end, _) in enumerate(sorted(ends), 1)], own, 600)]
     got = signals.coherent_subtitles(spark, small).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_nearest_marks_over_ranges(spark):
+    rng = random.Random(5)
+    points = [("a" if rng.random() < 0.7 else rng.choice("bcd"), rng.randrange(-3000, 9000), k) for k in range(600)] + [("a", None, 600), ("d", None, 601), (None, 70, 602)]
+    marks = [(rng.choice("aab"), rng.randrange(0, 40) * 190) for _ in range(60)] + [(None, 20), (None, 121), ("c", 8999), ("a", None)]
+    of = lambda by: sorted(m for b, m in marks if b == by and m is not None)
+    plain = {k: (of(by)[:1] or [None])[0] if t is None else min(of(by), key=lambda m: (abs(m - t), m), default=None) for by, t, k in points}
+    for width in (50, 1000, 10**6):
+        found = media.nearest(spark.createDataFrame(points, "medium string, at long, k int"), spark.createDataFrame(marks, "medium string, mark long"), "medium", "at", "mark", width).collect()
+        assert {r["k"]: r["nearest"] for r in found} == plain and len(found) == len(points)
