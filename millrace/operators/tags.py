@@ -1,7 +1,12 @@
-"""Tag operators over long rows (uri, category, idx, tag, confidence)."""
+"""Tag operators over long rows (uri, category, idx, tag, confidence), and over one row a uri with an array of such tags.
+
+Where a uri's tags come as one row, as a model's vector does, the functions on arrays need no shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +23,39 @@ def scores(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(key, F.posexplode(vector).alias("idx", "x")).select(key, "idx", sigmoid(F.col("x").cast("double")).alias("confidence"))
 
 
+def _limit(category: Column, thresholds: dict[str, float]) -> Column:
+    limit = F.lit(0.5)
+    for name, t in thresholds.items():
+        limit = F.when(category == name, t).otherwise(limit)
+    return limit
+
+
 def above(tags: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """Tags with at least their category's threshold; of single-valued categories the best, of equals the first.
 
     Both are decided in one aggregation by (uri, category), which combines before the shuffle.
     """
-    limit = F.lit(0.5)
-    for category, t in thresholds.items():
-        limit = F.when(F.col("category") == category, t).otherwise(limit)
+    limit = _limit(F.col("category"), thresholds)
     single = F.col("category").isin(*SINGLE)
     best = tags.where(single).groupBy("uri", "category").agg(F.max(F.struct("confidence", -F.col("idx"), "tag")).alias("b"))
     best = best.select("uri", "category", (-F.col("b.col2")).cast("int").alias("idx"), F.col("b.tag").alias("tag"), F.col("b.confidence").alias("confidence"))
     return tags.where(~single & (F.col("confidence") >= limit)).select(best.columns).unionByName(best)
 
 
+def scored(vector: Column, category: Callable[[Column], Column], name: Callable[[Column], Column]) -> Column:
+    """A vector of logits as an array of tags (category, idx, tag, confidence); category and name by place."""
+    tag = lambda x, i: F.struct(category(i).alias("category"), i.alias("idx"), name(i).alias("tag"), sigmoid(x.cast("double")).alias("confidence"))
+    return F.transform(vector, tag)
+
+
+def above_in(tags: str, thresholds: dict[str, float]) -> Column:
+    """As `above`, of the array in column `tags`."""
+    many = F.filter(tags, lambda t: ~t["category"].isin(*SINGLE) & (t["confidence"] >= _limit(t["category"], thresholds)))
+    key = lambda t: F.struct(t["confidence"].alias("confidence"), (-t["idx"]).alias("less"), t.alias("own"))
+    best = lambda category: F.array_max(F.transform(F.filter(tags, lambda t: t["category"] == category), key))["own"]
+    return F.concat(many, F.array_compact(F.array(*map(best, SINGLE))))
+
+
 def prepared(name: Column, category: Column, *, undesired: tuple[str, ...] = (), replacements: dict[str, str] | None = None, underscores: bool = False, expand: bool = False) -> Column:
     """A vocabulary name as it is written: unwanted ones are '', then replacements, spaces, and characters without (series)."""
     out = F.when(name.isin(*undesired), "").otherwise(name) if undesired else name
@@ -52,6 +76,18 @@ def without_parents(tags: DataFrame, implications: DataFrame) -> DataFrame:
     return tags.join(implied, ["uri", "tag"], "left_anti")
 
 
+def without_parents_in(tags: str, implications: dict[str, list[str]]) -> Column:
+    """As `without_parents`, of the array in column `tags`; implications: a child's parents, part of the plan.
+
+    For vocabularies of some thousand pairs, whatever the number of rows; larger ones are tables, as for `without_parents`.
+    """
+    if not implications:
+        return F.col(tags)
+    parents = F.create_map(*(x for child, of in sorted(implications.items()) for x in (F.lit(child), F.array(*map(F.lit, of)))))
+    implied = F.flatten(F.array_compact(F.transform(tags, lambda t: F.try_element_at(parents, t["tag"]))))
+    return F.filter(tags, lambda t: ~F.array_contains(implied, t["tag"]))
+
+
 def order_of(category: Column, *, ratings: str = "first", characters_first: bool = False) -> Column:
     """A category's place in the written list; ratings are first, last or (None) left out before."""
     rank = F.lit(50)
@@ -63,18 +99,31 @@ def order_of(category: Column, *, ratings: str = "first", characters_first: bool
     return rank
 
 
+def _listed(tag: Callable[[str], Column], pinned: tuple[str, ...], ratings: str, characters_first: bool, by_confidence: bool, with_confidence: bool) -> tuple[Column, Column]:
+    """Whether a tag is written, and the struct that orders it and holds its text."""
+    keep = ~tag("category").isin("unknown", *(() if ratings else RATING_RELATED)) & (tag("tag") != "")
+    pin = F.array_position(F.array(*map(F.lit, pinned)), tag("tag")) if pinned else F.lit(0)
+    pin = F.when(pin > 0, pin).otherwise(len(pinned) + 1)
+    text = F.concat(tag("tag"), F.lit(":"), F.format_number(tag("confidence"), 2)) if with_confidence else tag("tag")
+    first = F.when(F.lit(by_confidence), -tag("confidence")).otherwise(0.0)
+    rank = order_of(tag("category"), ratings=ratings or "first", characters_first=characters_first)
+    return keep, F.struct(pin.alias("pin"), first.alias("first"), rank.alias("rank"), tag("category").alias("category"), (-tag("confidence")).alias("less"), tag("idx").alias("idx"), text.alias("text"))
+
+
 def assembled(tags: DataFrame, *, pinned: tuple[str, ...] = (), ratings: str = "first", characters_first: bool = False, by_confidence: bool = False, with_confidence: bool = False) -> DataFrame:
     """(uri, tags): the list as written; of equal confidence the earlier stays earlier, pinned tags lead in their own order."""
-    keep = ~F.col("category").isin("unknown", *(() if ratings else RATING_RELATED)) & (F.col("tag") != "")
-    pin = F.array_position(F.array(*map(F.lit, pinned)), F.col("tag")) if pinned else F.lit(0)
-    pin = F.when(pin > 0, pin).otherwise(len(pinned) + 1)
-    text = F.concat(F.col("tag"), F.lit(":"), F.format_number("confidence", 2)) if with_confidence else F.col("tag")
-    first = F.when(F.lit(by_confidence), -F.col("confidence")).otherwise(0.0)
-    row = F.struct(pin.alias("pin"), first.alias("first"), order_of(F.col("category"), ratings=ratings or "first", characters_first=characters_first).alias("rank"), "category", (-F.col("confidence")).alias("less"), "idx", text.alias("text"))
+    keep, row = _listed(F.col, pinned, ratings, characters_first, by_confidence, with_confidence)
     rows = tags.where(keep).groupBy("uri").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return rows.select("uri", F.transform("rows", lambda r: r["text"]).alias("tags"))
 
 
+def assembled_in(tags: str, *, pinned: tuple[str, ...] = (), ratings: str = "first", characters_first: bool = False, by_confidence: bool = False, with_confidence: bool = False) -> Column:
+    """As `assembled`, of the array in column `tags`; empty where no tag is written."""
+    of = lambda t: _listed(lambda c: t[c], pinned, ratings, characters_first, by_confidence, with_confidence)
+    rows = F.array_sort(F.transform(F.filter(tags, lambda t: of(t)[0]), lambda t: of(t)[1]))
+    return F.transform(rows, lambda r: r["text"])
+
+
 def noun_roots(tags: Column) -> Column:
     """A tag list without single words that are the last word of another tag too."""
     root = lambda t: F.element_at(F.split(F.trim(t), r"\s+"), -1)

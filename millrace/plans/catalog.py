@@ -140,10 +140,13 @@ _TAGS_SQL = """x AS (SELECT vec_id AS uri, unnest(embedding)::DOUBLE AS v, gener
 t AS (SELECT uri, idx, CASE WHEN idx < 4 THEN 'rating' WHEN idx < 8 THEN 'character' ELSE 'general' END AS category, 'tag_' || idx AS tag, 1 / (1 + exp(-least(greatest(20 * v, -30), 30))) AS confidence FROM x)"""
 
 
-def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tags.scores(read_table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: 20 * v.cast("double")).alias("v")), "vec_id", "v")
-    kind = F.when(F.col("idx") < 4, "rating").when(F.col("idx") < 8, "character").otherwise("general")
-    return rows.select(F.col("vec_id").alias("uri"), "idx", kind.alias("category"), F.concat(F.lit("tag_"), F.col("idx").cast("string")).alias("tag"), "confidence")
+def _picked_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uri, tags): the tags of a vector of logits that reach their thresholds, as an array."""
+    kind = lambda i: F.when(i < 4, "rating").when(i < 8, "character").otherwise("general")
+    name = lambda i: F.concat(F.lit("tag_"), i.cast("string"))
+    logits = F.transform("embedding", lambda v: 20 * v.cast("double"))
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uri"), tags.scored(logits, kind, name).alias("tags"))
+    return rows.select("uri", tags.above_in("tags", {"character": 0.9, "general": 0.8}).alias("tags"))
 
 
 _PICKED_SQL = f"""WITH {_TAGS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY uri, category ORDER BY confidence DESC, idx) AS n FROM t),
@@ -151,7 +154,7 @@ k AS (SELECT uri, category, idx, tag, confidence FROM r WHERE CASE WHEN category
 
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tags.above(_tags(spark, sf_dir), {"character": 0.9, "general": 0.8})
+    return _picked_in(spark, sf_dir).select("uri", F.inline("tags"))
 
 
 @query(_PICKED_SQL + " SELECT uri, category, idx::INT AS idx, tag, round(confidence, 6) AS confidence FROM k")
@@ -162,16 +165,17 @@ def tag_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PICKED_SQL + """, w AS (SELECT uri, replace(tag, '_', ' ') AS tag, CASE category WHEN 'rating' THEN 0 WHEN 'general' THEN 10 ELSE 11 END AS rank, confidence, idx FROM k WHERE tag <> 'tag_9')
 SELECT uri, string_agg(CASE WHEN tag = 'tag 20' THEN 'twenty' ELSE tag END, ', ' ORDER BY (tag <> 'tag 12')::INT, rank, confidence DESC, idx) AS tags FROM w GROUP BY uri""")
 def tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _picked(spark, sf_dir)
-    name = tags.prepared(F.col("tag"), F.col("category"), undesired=("tag_9",), replacements={"tag_20": "twenty"})
-    return tags.assembled(rows.withColumn("tag", name), pinned=("tag 12",)).select("uri", F.array_join("tags", ", ").alias("tags"))
+    name = lambda t: tags.prepared(t["tag"], t["category"], undesired=("tag_9",), replacements={"tag_20": "twenty"})
+    rows = _picked_in(spark, sf_dir).withColumn("tags", F.transform("tags", lambda t: t.withField("tag", name(t))))
+    lists = rows.select("uri", tags.assembled_in("tags", pinned=("tag 12",)).alias("tags"))
+    return lists.where(F.size("tags") > 0).select("uri", F.array_join("tags", ", ").alias("tags"))
 
 
 @query(_PICKED_SQL + """, i AS (SELECT * FROM (VALUES ('tag_10', 'tag_11'), ('tag_10', 'tag_12'), ('tag_13', 'tag_14')) AS v(parent, child))
 SELECT uri, tag FROM k WHERE NOT EXISTS (SELECT 1 FROM i JOIN k c ON c.tag = i.child WHERE i.parent = k.tag AND c.uri = k.uri)""")
 def tag_parents_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("tag_10", "tag_11"), ("tag_10", "tag_12"), ("tag_13", "tag_14")], "parent string, child string")
-    return tags.without_parents(_picked(spark, sf_dir), known).select("uri", "tag")
+    known = {"tag_11": ["tag_10"], "tag_12": ["tag_10"], "tag_14": ["tag_13"]}
+    return _picked_in(spark, sf_dir).select("uri", F.inline(tags.without_parents_in("tags", known))).select("uri", "tag")
 
 
 @query(_PICKED_SQL + " SELECT tag, count(*) AS n FROM k GROUP BY tag")

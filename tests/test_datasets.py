@@ -273,6 +273,17 @@ def test_captions_and_tags(spark):
     rows = spark.createDataFrame([("u", "rating", 0, "a", 0.4), ("u", "rating", 1, "b", 0.4), ("u", "general", 5, "c", 0.5), ("u", "general", 6, "d", 0.4)], "uri string, category string, idx int, tag string, confidence double")
     assert sorted(r["tag"] for r in tags.above(rows, {"general": 0.5}).collect()) == ["a", "c"]
     assert tags.assembled(tags.above(rows, {}), with_confidence=True).first()["tags"] == ["a:0.40", "c:0.50"]
+    implied = spark.createDataFrame([("d", "c"), ("a", "a")], "parent string, child string")
+    lists = rows.groupBy("uri").agg(F.collect_list(F.struct("category", "idx", "tag", "confidence")).alias("tags"))
+    kept = lists.select("uri", tags.above_in("tags", {"general": 0.3}).alias("tags"))
+    long = tags.above(rows, {"general": 0.3})
+    assert sorted(kept.select(F.inline("tags")).select("tag").collect()) == sorted(long.select("tag").collect()) == [("a",), ("c",), ("d",)]
+    assert sorted(r["tag"] for r in kept.select(F.inline(tags.without_parents_in("tags", {"c": ["d"], "a": ["a"]}))).collect()) == sorted(r["tag"] for r in tags.without_parents(long, implied).collect()) == ["c"]
+    assert kept.select(tags.without_parents_in("tags", {})).first()[0] == kept.first()["tags"]
+    for options in ({}, {"by_confidence": True, "with_confidence": True}, {"pinned": ("d", "c"), "ratings": None}):
+        assert kept.select(tags.assembled_in("tags", **options).alias("tags")).first()["tags"] == tags.assembled(long, **options).first()["tags"]
+    empty = spark.createDataFrame([("u", [])], "uri string, tags array<struct<category:string,idx:int,tag:string,confidence:double>>")
+    assert empty.select(tags.above_in("tags", {}).alias("tags")).select(tags.assembled_in("tags")).first()[0] == []
     assert v(schema.family(F.lit("X.GIF"))) == "animation" and v(schema.family(F.lit("X.GIF"), schema.EXPORT_ORDER)) == "image"
     assert v(schema.stem(F.lit("d/.hidden"))) == ".hidden" and v(schema.extension(F.lit("a.b/c"))) == ""
 
