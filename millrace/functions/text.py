@@ -115,10 +115,11 @@ def clock(seconds: Column) -> Column:
 
 
 def epoch_text(c: Column, zone: str = "UTC") -> Column:
-    """Seconds since 1970 as a zone's date and time; what is no number gives ''."""
+    """Seconds since 1970 as a zone's date and time; what is no number gives ''. Years over 9999 have no sign."""
     s = F.floor(c.try_cast("double"))
     at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.floor(s / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(s, F.lit(86400)))
-    return F.coalesce(F.convert_timezone(F.lit("UTC"), F.lit(zone), at).cast("string"), F.lit(""))
+    told = F.convert_timezone(F.lit("UTC"), F.lit(zone), at).cast("string")
+    return F.coalesce(F.when(F.startswith(told, F.lit("+")), F.substr(told, F.lit(2))).otherwise(told), F.lit(""))
 
 
 def caption_suffix(family: Column, override: Column | None = None) -> Column:

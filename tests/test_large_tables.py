@@ -15,3 +15,22 @@ def test_references_without_a_semicolon():
     assert df.html_to_markdown(page, closed=True) == "a && b&ampp{}&ampx © A &#65 &quot\n&"
     assert df.html_to_markdown(page) == 'a && b&p{}&x © A A "\n&'
     assert df.html_to_markdown('<script>x("&amp") && y</script>', closed=True) == 'x("&amp") && y'
+
+
+def test_years_of_five_digits(spark):
+    told = ("253402300799", "253402300800", "2507383500000", "soon")
+    row = spark.range(1).select(*(tx.epoch_text(F.lit(x)).alias(f"t{i}") for i, x in enumerate(told))).first()
+    assert tuple(row) == ("9999-12-31 23:59:59", "10000-01-01 00:00:00", "81425-10-27 08:40:00", "")
+
+
+def test_reset_times_of_large_keys(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import catalog, outputs
+
+    keys = [0, 1, 2_900_001, 6_667_253, 6_667_254, 6_667_257, 8_999_999, 36_000_001]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    with duckdb.connect() as own:
+        own.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        want = sorted(own.sql(catalog.ORACLES["reset_times"]).fetchall())
+    assert sorted(map(tuple, outputs.reset_times(spark, str(tmp_path)).collect())) == want
