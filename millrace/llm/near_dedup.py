@@ -12,10 +12,10 @@ full sets; pairs whose signatures agree in under LEAST_AGREEING of their values
 
 1. In every bucket the smallest class is the pivot; each class tries the pivot with which it shares most
    bands. Confirmed links give trees, so a bucket of near copies takes as many tries as it has members.
-2. Buckets that still hold several components are compared in blocks of at most BLOCK by BLOCK classes: those
-   outside the largest component with all others. A block picks by signatures which of its classes may be linked
-   over components (a pair that shares several bands only in the first of them), gets the sets of those once,
-   and emits the links that join components: fewer rows than it has members.
+2. Buckets that still hold several components are compared in blocks of about BLOCK by BLOCK classes: those
+   outside the largest component with all others, two of them once. A block picks by signatures which of its classes
+   may be linked over components (a pair that shares several bands only in the first of them), gets the sets of those
+   once, and emits the links that join components: fewer rows than it has members.
 
 Components are found with alternating
 large- and small-star steps. A hot bucket is dealt out by blocks, a hot pivot or class by skew joins.
@@ -132,10 +132,30 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def _cells(live: DataFrame) -> DataFrame:
+    """Classes of buckets, each in the blocks that it belongs to: outer by inner ones, in one pass over the classes.
+
+    A class of the bucket's largest component is only inner; a small one is outer too.
+    """
+    small, own = F.col("component") != F.col("most"), lambda blocks: F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int")
+    at = lambda i, j, outer, inner: F.struct(i.alias("outer_block"), j.alias("inner_block"), outer.alias("outer"), inner.alias("inner"))
+    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    outer = F.when(small, F.transform(every("inner_blocks"), lambda j: at(own("outer_blocks"), j, F.lit(True), j == own("inner_blocks")))).otherwise(F.array())
+    inner = F.transform(F.filter(every("outer_blocks"), lambda i: ~small | (i != own("outer_blocks"))), lambda i: at(i, own("inner_blocks"), F.lit(False), F.lit(True)))
+    return live.select("band", "hash", "key", "n", "component", small.alias("small"), "sig", F.col("all_bands").alias("bands"), F.inline(F.concat(outer, inner)))
+
+
+def _places(*lists: np.ndarray) -> list[np.ndarray]:
+    """Lists of keys as their places among all of them."""
+    place = {k: i for i, k in enumerate(sorted({k for keys in lists for k in keys}))}
+    return [np.array([place[k] for k in keys], np.int64) for keys in lists]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The classes of each block that take part in a pair to confirm; outer ones with their partners' keys.
+    """The classes of each block that take part in a pair to confirm, each once; outer ones with their partners' keys.
 
-    A pair belongs to the block of the first band that it shares.
+    A pair belongs to the block of the first band that it shares, and of two classes that are both `small` (outside the
+    bucket's largest component) to that in which the smaller is outer.
     """
     rows: list[tuple] = []
     for block in _runs(batches, _CELL):
@@ -145,16 +165,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
         cell = [block.column(c)[0].as_py() for c in _CELL]
         (sx, sy), (bx, by) = ([_matrix(t.column(c)) for t in (outer, inner)] for c in ("sig", "bands"))
         (nx, ny), (cx, cy), (kx, ky) = ([np.array(t.column(c).to_pylist(), object if c != "n" else np.int64) for t in (outer, inner)] for c in ("n", "component", "key"))
-        partners = set()
+        small = np.array(inner.column("small").to_pylist(), bool)
+        (px, py), (gx, gy) = _places(kx, ky), _places(cx, cy)  # numpy takes bytes that end in NUL for shorter ones
+        partners, told = set(), set()
         for i in range(len(kx)):
-            ok = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= 80 * np.maximum(ny, nx[i])) & ((by == bx[i]).argmax(axis=1) == cell[0]))
+            ok = np.flatnonzero((gy != gx[i]) & (~small | (py > px[i])) & (100 * np.minimum(ny, nx[i]) >= 80 * np.maximum(ny, nx[i])) & ((by == bx[i]).argmax(axis=1) == cell[0]))
             agree = (sy[ok] == sx[i]).sum(axis=1)
             best = np.argsort(-agree, kind="stable")
             found = ok[best[agree[best] >= LEAST_AGREEING * 2 * PERMUTATIONS]]
             if len(found):
                 rows.append((*cell, kx[i], cx[i], [ky[j] for j in found]))
                 partners.update(found.tolist())
-        rows += [(*cell, ky[j], cy[j], None) for j in sorted(partners)]
+                told.add(kx[i])
+        rows += [(*cell, ky[j], cy[j], None) for j in sorted(partners) if ky[j] not in told]
         if len(rows) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
             rows = []
@@ -251,13 +274,10 @@ def link(docs: DataFrame, *, width: int = 5) -> DataFrame:
     # The largest component of each bucket that has several is only compared with; counts are summed before the shuffle.
     sizes = member.groupBy("band", "hash", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("top")).where("parts > 1")
-    mixed = mixed.select("band", "hash", F.col("top.component").alias("most"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    live = member.join(mixed, ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    live = live.join(classes.select("key", "n", "sig", F.col("bands").alias("all_bands")), "key")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    outer = live.where("component <> most").select("*", F.col("own").alias("outer_block"), F.explode(every).alias("inner_block")).withColumn("outer", F.lit(True)).withColumn("inner", F.col("own") == F.col("inner_block"))
-    inner = live.select("*", F.explode(every).alias("outer_block"), F.col("own").alias("inner_block")).withColumn("outer", F.lit(False)).withColumn("inner", F.lit(True)).where("component = most or outer_block <> own")
-    cells = outer.unionByName(inner).select(*_CELL, "key", "n", "component", "sig", F.col("all_bands").alias("bands"), "outer", "inner")
+    blocks = lambda size: F.ceil(size / BLOCK).cast("int")
+    mixed = mixed.select("band", "hash", F.col("top.component").alias("most"), blocks(F.col("total") - F.col("top.size")).alias("outer_blocks"), blocks(F.col("total")).alias("inner_blocks"))
+    live = member.join(mixed, ["band", "hash"]).join(classes.select("key", "n", "sig", F.col("bands").alias("all_bands")), "key")
+    cells = _cells(live)
     kind, arrow = row_type("band int, hash long, outer_block int, inner_block int, key binary, component binary, partners array<binary>")
     found = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).transform(in_batches, lambda it: _candidates(it, arrow), kind)
     kind, pair = row_type("a binary, b binary")

@@ -34,3 +34,26 @@ def test_reset_times_of_large_keys(spark, tmp_path):
         own.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
         want = sorted(own.sql(catalog.ORACLES["reset_times"]).fetchall())
     assert sorted(map(tuple, outputs.reset_times(spark, str(tmp_path)).collect())) == want
+
+
+def test_blocks_of_near_copies(spark):
+    """A class is in each of its blocks once and, among those of its block's pairs, reported once; pairs of small classes meet once."""
+    near_dedup = pytest.importorskip("millrace.llm.near_dedup")
+    pa, np = pytest.importorskip("pyarrow"), pytest.importorskip("numpy")
+    from millrace.llm._text import row_type
+
+    n, bands = 6, near_dedup.BANDS
+    rows = [(0, 7, bytes([k]), bytes([k]), b"most", 1, 1, 100, bytes(2 * near_dedup.PERMUTATIONS), [9] * bands) for k in range(n)]
+    rows += [(0, 7, bytes([n + k]), b"most", b"most", 1, 1, 100, bytes(2 * near_dedup.PERMUTATIONS), [9] * bands) for k in range(3)]
+    live = spark.createDataFrame(rows, "band int, hash long, key binary, component binary, most binary, outer_blocks int, inner_blocks int, n long, sig binary, all_bands array<long>")
+    cells = near_dedup._cells(live)
+    assert cells.count() == n + 3 and "Union" not in cells._jdf.queryExecution().toString()
+    schema = row_type("band int, hash long, outer_block int, inner_block int, key binary, component binary, partners array<binary>")[1]
+    found = [r for b in near_dedup._candidates(iter(cells.toArrow().to_batches()), schema) for r in b.to_pylist()]
+    assert sorted(r["key"] for r in found) == [bytes([k]) for k in range(n + 3)]
+    pairs = {(r["key"], p) for r in found for p in r["partners"] or ()}
+    assert pairs == {(bytes([a]), bytes([b])) for a in range(n) for b in range(a + 1, n + 3)}
+    many = near_dedup._cells(live.withColumn("outer_blocks", F.lit(2)).withColumn("inner_blocks", F.lit(3))).collect()
+    met = {(bytes(x["key"]), bytes(y["key"])) for x in many if x["outer"] for y in many if y["inner"] and (x["outer_block"], x["inner_block"]) == (y["outer_block"], y["inner_block"])}
+    assert met == {(bytes([a]), bytes([b])) for a in range(n) for b in range(n + 3)}
+    assert np.unique([(r["outer_block"], r["inner_block"], r["key"][0]) for r in many], axis=0).shape[0] == len(many) and pa is not None
