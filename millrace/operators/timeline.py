@@ -275,7 +275,7 @@ def coherent_cues(cues: DataFrame, blocks: DataFrame, by: str, *, segment_second
     times = cues.where("begin is not null and end is not null").select(by, *(F.col(c).cast("long").alias(c) for c in ("number", "begin", "end")))
     reached = media.overlapping(times.select(by, "number", "end"), known, by, REACH, keep=("near",))
     lists = reached.groupBy(by, "number").agg(F.array_sort(F.collect_list(F.struct("block_begin", "block_end", "near"))).alias("reach"))
-    rows = times.join(lists, [by, "number"], "left")
+    rows = times.join(lists.hint("merge"), [by, "number"], "left")
     own = cues.schema[by].dataType.simpleString()
 
     def moved_end(end: int, reach: list[dict], last: tuple | None) -> tuple[int, tuple] | None:

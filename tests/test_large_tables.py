@@ -57,3 +57,10 @@ def test_blocks_of_near_copies(spark):
     met = {(bytes(x["key"]), bytes(y["key"])) for x in many if x["outer"] for y in many if y["inner"] and (x["outer_block"], x["inner_block"]) == (y["outer_block"], y["inner_block"])}
     assert met == {(bytes([a]), bytes([b])) for a in range(n) for b in range(n + 3)}
     assert np.unique([(r["outer_block"], r["inner_block"], r["key"][0]) for r in many], axis=0).shape[0] == len(many) and pa is not None
+
+
+def test_cues_and_blocks_are_not_broadcast(spark, small):
+    from millrace.plans import catalog, signals
+
+    for query in (signals.coherent_subtitles, catalog.cue_scene_overlap):
+        assert "BroadcastExchange" not in query(spark, small)._jdf.queryExecution().executedPlan().toString()
