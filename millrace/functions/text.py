@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
 SPACE = f"[{SPACES}]"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it; a column that is named again is made again."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 

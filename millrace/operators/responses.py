@@ -36,18 +36,28 @@ def parts(text: Column, mode: str = "all") -> Column:
     answer itself (not in mode `short`), a short one the first of several lines of the long one (not in mode `long`).
     """
     text = F.coalesce(text, F.lit(""))
-    answer = parsed(text)
+    return tx.let(F.struct(text.alias("text"), parsed(text).alias("answer")), lambda x: _parts(x["text"], x["answer"], mode))
+
+
+def _parts(text: Column, answer: Column, mode: str) -> Column:
     tags = F.coalesce(F.array_join(F.try_variant_get(answer, "$.tags", "array<string>"), ", "), _value(answer, "string", "tags"))
     full = lambda k: F.when(answer.isNotNull(), F.get_json_object(text, f"$.{k}"))
     rating = F.coalesce(*(F.when(~full(k).isin("", "[]", "{}"), full(k)) for k in ("rating", "scores")))
     short, long = _value(answer, "string", "short_description", "short"), _value(answer, "string", "long_description", "description")
     by_sections = (short == "") & (long == "") & F.contains(text, F.lit("###"))
     short, long = (F.when(by_sections, section).otherwise(own) for section, own in zip(tx.short_and_long(text), (short, long), strict=True))
-    if mode != "short":
-        long = F.when(long == "", tx.strip(text)).otherwise(long)
-    if mode != "long":
-        short = F.when((short == "") & F.contains(long, F.lit("\n")), tx.strip(F.substring_index(long, "\n", 1))).otherwise(short)
-    return F.struct(tags.alias("tags"), short.alias("short"), long.alias("long"), rating.alias("rating"), _value(answer, "double", "average_score", "avg_score").alias("average"))
+    average = _value(answer, "double", "average_score", "avg_score")
+
+    def made(x: Column) -> Column:
+        short, long = x["short"], x["long"]
+        if mode != "long":
+            short = F.when((short == "") & F.contains(long, F.lit("\n")), tx.strip(F.substring_index(long, "\n", 1))).otherwise(short)
+        return F.struct(tags.alias("tags"), short.alias("short"), long.alias("long"), rating.alias("rating"), average.alias("average"))
+
+    def whole(x: Column) -> Column:
+        return F.struct(x["short"].alias("short"), (x["long"] if mode == "short" else F.when(x["long"] == "", tx.strip(text)).otherwise(x["long"])).alias("long"))
+
+    return tx.let(tx.let(F.struct(short.alias("short"), long.alias("long")), whole), made)
 
 
 def caption(text: Column, overall: str | None = None) -> Column:
@@ -56,23 +66,33 @@ def caption(text: Column, overall: str | None = None) -> Column:
     A short text that is missing is the begin of the long one, a long one the short one. Without an average it is the
     score named `overall`, else the total by the number of scores, else their mean.
     """
-    answer = parsed(text)
+    return tx.let(parsed(text), lambda answer: _caption(answer, overall))
+
+
+def _caption(answer: Column, overall: str | None) -> Column:
     short = tx.strip(_value(answer, "string", "short_description", "short"))
     long = tx.strip(_value(answer, "string", "long_description", "long", "description", "caption"))
     given = F.coalesce(F.try_variant_get(answer, "$.tags", "array<string>"), F.split(_value(answer, "string", "tags"), "[,，]"))
     tags = F.filter(F.transform(given, tx.strip), lambda t: t != "")
-    rating = F.lower(tx.strip(_value(answer, "string", "rating")))
+    told = lambda rating: F.when(rating.isin(*RATINGS), rating).otherwise(RATINGS[0])
+    rating = tx.let(F.lower(tx.strip(_value(answer, "string", "rating"))), told)
     scores = F.coalesce(F.try_variant_get(answer, "$.scores", "map<string,double>"), F.create_map().cast("map<string,double>"))
-    total = F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    known = [_value(answer, "double", "average_score", "avg_score"), *([F.try_element_at(scores, F.lit(overall))] if overall else [])]
-    mean = F.try_divide(F.coalesce(F.nullif(_value(answer, "double", "total_score"), F.lit(0.0)), total), F.size(scores))
-    average = F.coalesce(*(F.nullif(x, F.lit(0.0)) for x in known), mean, F.lit(0.0))
-    made = F.struct(
-        F.when(short == "", tx.strip(F.left(long, F.lit(SHORT)))).otherwise(short).alias("short"), F.when(long == "", short).otherwise(long).alias("long"), tags.alias("tags"),
-        F.when(rating.isin(*RATINGS), rating).otherwise(RATINGS[0]).alias("rating"), F.least(F.greatest(_value(answer, "double", "confidence"), F.lit(0.0)), F.lit(1.0)).alias("confidence"),
-        scores.alias("scores"), average.alias("average"),
-    )
-    return F.when((short != "") | (long != ""), made)
+
+    def average(scores: Column) -> Column:
+        total = F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+        known = [_value(answer, "double", "average_score", "avg_score"), *([F.try_element_at(scores, F.lit(overall))] if overall else [])]
+        mean = F.try_divide(F.coalesce(F.nullif(_value(answer, "double", "total_score"), F.lit(0.0)), total), F.size(scores))
+        return F.coalesce(*(F.nullif(x, F.lit(0.0)) for x in known), mean, F.lit(0.0))
+
+    def made(x: Column) -> Column:
+        short, long, scores = x["short"], x["long"], x["scores"]
+        found = F.struct(
+            F.when(short == "", tx.strip(F.left(long, F.lit(SHORT)))).otherwise(short).alias("short"), F.when(long == "", short).otherwise(long).alias("long"), tags.alias("tags"), rating.alias("rating"),
+            F.least(F.greatest(_value(answer, "double", "confidence"), F.lit(0.0)), F.lit(1.0)).alias("confidence"), scores.alias("scores"), average(scores).alias("average"),
+        )
+        return F.when((short != "") | (long != ""), found)
+
+    return tx.let(F.struct(short.alias("short"), long.alias("long"), scores.alias("scores")), made)
 
 
 def freeform(text: Column) -> Column:
@@ -80,7 +100,10 @@ def freeform(text: Column) -> Column:
 
     Of several scores of one label, and of several averages, the last counts.
     """
-    lines = F.split(tx.unix_lines(F.coalesce(text, F.lit(""))), "\n")
+    return tx.let(F.split(tx.unix_lines(F.coalesce(text, F.lit(""))), "\n"), _freeform)
+
+
+def _freeform(lines: Column) -> Column:
     heading = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(SCORE_HEADING)), i)), lambda i: i.isNotNull())
     body = tx.strip(F.array_join(F.slice(lines, F.lit(1), F.coalesce(F.get(heading, F.lit(0)), F.size(lines))), "\n"))
     description = F.regexp_replace(tx.strip(F.regexp_replace(body, TEXT_HEADING, "")), "\n{3,}", "\n\n")
@@ -95,7 +118,7 @@ def freeform(text: Column) -> Column:
     scores = F.filter(F.transform(told, score), lambda s: (s["label"] != "") & s["score"].isNotNull())
     averages = F.regexp_extract_all(F.array_join(F.transform(lines, lambda x: F.regexp_extract(x, AVERAGE, 0)), "\n"), F.lit(AVERAGE), F.lit(1))
     average = F.coalesce(F.try_element_at(averages, F.lit(-1)).try_cast("double"), F.lit(0.0))
-    return F.struct(description.alias("description"), F.map_from_entries(last_by_label(scores)).alias("scores"), average.alias("average"))
+    return F.struct(description.alias("description"), F.map_from_entries(tx.let(scores, last_by_label)).alias("scores"), average.alias("average"))
 
 
 def last_by_label(scores: Column) -> Column:

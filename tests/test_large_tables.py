@@ -64,3 +64,14 @@ def test_cues_and_blocks_are_not_broadcast(spark, small):
 
     for query in (signals.coherent_subtitles, catalog.cue_scene_overlap):
         assert "BroadcastExchange" not in query(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_are_parsed_once(spark):
+    """Each value that a rule names again is made once: plans that hold it many times over take that much longer a row."""
+    from millrace.operators import responses
+
+    text = F.concat(F.lit("{"), F.col("id").cast("string"), F.lit("}"))
+    plan = lambda c: spark.range(1).select(c.alias("a")).select("a.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(responses.freeform(text)).count("split(") == 1
+    assert all(plan(f(text)).count("try_parse_json") <= 2 or plan(f(text)).lower().count("parsejson") <= 2 for f in (responses.caption, responses.parts))
+    assert all(len(plan(f(text))) < 12_000 for f in (responses.freeform, responses.caption, responses.parts))
