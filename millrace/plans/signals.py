@@ -78,13 +78,14 @@ def event_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.struct(F.lit("start").alias("type"), (36 + n % 48).cast("int").alias("pitch"), at.alias("start_time"), n.alias("index"), F.col("event_type").alias("instrument"), F.lit(None).cast("double").alias("end_time"), F.lit(None).cast("long").alias("start_event_index"), (2 * n + 1).alias("seq"))
     end = F.struct(F.lit("end").alias("type"), F.lit(None).cast("int").alias("pitch"), F.lit(None).cast("double").alias("start_time"), F.lit(None).cast("long").alias("index"), F.lit(None).cast("string").alias("instrument"), (at + 0.25).alias("end_time"), n.alias("start_event_index"), (2 * n).alias("seq"))
     folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
-    told = materialize(event_files.write_events(rows.select("user_id", F.inline(F.array(start, end))), "user_id", folder))
-    user = F.regexp_extract("path", r"([^/]+)\.\w+$", 1).cast("long").alias("user_id")
-    lines = spark.read.schema(event_files.EVENT).json(f"{folder}/*.jsonl").select("type", F.col("_metadata.file_path").alias("path")).groupBy(user).agg(F.count_if(F.col("type").isNotNull()).alias("lines"))
-    items = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.size(F.from_json("value", f"array<struct<{event_files.EVENT.replace(' ', ':').replace(',:', ',')}>>")).cast("long").alias("items"), F.col("_metadata.file_path").alias("path")).select(user, "items")
-    notes = event_files.read_midi(spark.read.format("binaryFile").load(f"{folder}/*.mid")).groupBy(user).agg(F.count(F.lit(1)).alias("midi_notes"), F.sum("pitch").alias("midi_pitches"), F.round(F.min("onset"), 3).alias("first_onset"), F.round(F.max("offset"), 3).alias("last_offset"))
-    found = told.select("user_id", "events", "notes", F.array_join(F.array_sort("instruments"), ",").alias("instruments")).join(lines, "user_id").join(items, "user_id").join(notes, "user_id")
-    found = materialize(found)
+    told = materialize(event_files.write_events(rows.select("user_id", F.inline(F.array(start, end))), "user_id", folder, folders=256))
+    told = told.select("user_id", "events", "notes", F.array_join(F.array_sort("instruments"), ",").alias("instruments"), *(F.concat(F.lit(f"{folder}/"), F.substring_index(kind, "/", -2)).alias(kind) for kind in ("json", "jsonl", "mid")))
+    paths = lambda kind: told.select(F.col(kind).alias("path"))
+    lines, items = (event_files.read_events(paths(kind)).groupBy(F.col("path").alias(kind)).agg(F.count_if(F.col("type").isNotNull()).alias(name)) for kind, name in (("jsonl", "lines"), ("json", "items")))
+    notes = event_files.read_midi(paths("mid")).groupBy(F.col("path").alias("mid")).agg(F.count(F.lit(1)).alias("midi_notes"), F.sum("pitch").alias("midi_pitches"), F.round(F.min("onset"), 3).alias("first_onset"), F.round(F.max("offset"), 3).alias("last_offset"))
+    found = told.join(lines, "jsonl").join(items, "json").join(notes, "mid")
+    found = materialize(found.select("user_id", "events", "notes", "instruments", "lines", "items", "midi_notes", "midi_pitches", "first_onset", "last_offset"))
+    event_files.remove_files(told.select(F.explode(F.array("json", "jsonl", "mid")).alias("path")))
     remove(spark, folder)
     return found
 

@@ -93,3 +93,60 @@ def test_texts_go_to_python_in_small_batches(spark, small, query):
         assert rows.select(size("t").alias("n")).agg(F.max("n")).first()[0] <= 5 << 20
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def test_files_of_many_media_are_not_listed(spark, small, tmp_path):
+    """Each task opens the paths it holds; of a table's folder the driver lists what stands in it, not a file for each medium."""
+    from millrace.plans import signals
+
+    found = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    spark.read.parquet(f"{small}/events.parquet").where("user_id < 40").write.parquet(f"{tmp_path}/events.parquet")
+    before = found.getCount()
+    rows = signals.event_files_read_back(spark, str(tmp_path)).collect()
+    assert found.getCount() - before < len(rows)
+
+
+def test_events_are_read_in_parts(spark, tmp_path, monkeypatch):
+    import io
+    import json
+
+    from millrace.sources import event_files
+
+    events = [("start", 36 + k % 48, k / 8, k, ["Ünison", "a\"b\\", None][k % 3], 0.0, 0) if k % 2 else ("end", 0, 0.0, 0, None, k / 8, k - 1) for k in range(1, 60)]
+    plain = [{"type": "start", "pitch": e[1], "start_time": e[2], "index": e[3], "instrument": e[4] or ""} if e[0] == "start" else {"type": "end", "end_time": e[5], "start_event_index": e[6]} for e in events]
+    raw = {}
+    for name, bound in (("whole", None), ("parts", 7)):
+        if bound:
+            monkeypatch.setattr(event_files, "AT_ONCE", bound)
+            monkeypatch.setattr(event_files, "IN_MEMORY", bound)
+        files, base = event_files.fs.FileSystem.from_uri(f"file://{tmp_path}/{name}")
+        files.create_dir(base)
+        own = event_files._Files(name, files, base, {})
+        for e in events:
+            own.add(*e)
+        told = own.commit()
+        assert told[1:4] == (59, 30, ["a\"b\\", "Ünison"])
+        raw[name] = [open(p, "rb").read() for p in told[4:]]
+    assert raw["whole"] == raw["parts"]
+    array, lines, _ = raw["parts"]
+    assert array.decode() == json.dumps(plain, ensure_ascii=False, indent=2) + "\n"
+    read = lambda f, x: [json.loads(t) for part in f(io.BytesIO(x)) for t in part]
+    assert read(event_files.item_texts, array) == read(event_files.line_texts, lines) == read(event_files.line_texts, lines.rstrip()) == plain
+    assert read(event_files.item_texts, b'[{"a": 1}, {"b": [{}]}, 5, {"c": 1}]') == [{"a": 1}, {"b": [{}]}] and read(event_files.item_texts, b"") == read(event_files.item_texts, b"[]\n") == []
+
+    (tmp_path / "odd.jsonl").write_bytes(b'{"type":"start","pitch":1}\n\nno\n{"type":"end","end_time":"x"}')
+    paths = spark.createDataFrame([(f"file://{tmp_path}/whole/whole.json",), (f"{tmp_path}/whole/whole.jsonl",), (f"{tmp_path}/odd.jsonl",)], "path string")
+    counts = {r.path[-10:]: (r.n, r.s) for r in event_files.read_events(paths).groupBy("path").agg(F.count("type").alias("n"), F.sum("index").alias("s")).collect()}
+    total = sum(e["index"] for e in plain if e["type"] == "start")
+    assert counts["whole.json"] == (59, total) and counts["hole.jsonl"] == (59, total) and counts["/odd.jsonl"][0] in (1, 2)
+    event_files.remove_files(paths)
+    assert [p.name for p in (tmp_path / "whole").iterdir()] == ["whole.mid"]
+
+
+def test_media_are_dealt_to_folders(spark, tmp_path):
+    from millrace.sources import event_files
+
+    rows = [(k, 1, "start", 60, 0.5, 1, "x", None, None) for k in range(40)]
+    told = event_files.write_events(spark.createDataFrame(rows, f"k long, seq long, {event_files.EVENT}"), "k", f"file://{tmp_path}/out", folders=4).localCheckpoint()
+    assert len(list((tmp_path / "out").iterdir())) == 4 and len(list((tmp_path / "out").glob("*/*"))) == 120
+    assert event_files.read_midi(told.select(F.col("mid").alias("path"))).where("pitch = 60 and onset = 0.5").count() == 40
